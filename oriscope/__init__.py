@@ -1 +1 @@
-"""Peak-to-trough ratio analytics on Spark."""
+"""Peak-to-trough ratios of sequencing coverage, as Spark jobs."""

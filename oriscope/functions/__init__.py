@@ -1 +1 @@
-"""Peak-to-trough ratio analytics on Spark."""
+"""Numerical helpers."""

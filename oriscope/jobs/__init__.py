@@ -1 +1 @@
-"""Peak-to-trough ratio analytics on Spark."""
+"""Whole jobs: projections, the registered queries and the command line."""

@@ -1,15 +1,303 @@
-"""All registered queries, by name."""
+"""The registered queries of the library: one for each operator, over the alignments projection."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import cached_property
 
-def queries() -> dict:
-    return {}
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from oriscope.functions.numeric import Z975
+from oriscope.jobs import oracle
+from oriscope.jobs import projection as p
+from oriscope.operators import assign, coverage, filters, fit_assembly, fit_complete, mapping, products
+from oriscope.sources import sam, sequences, simulate, tables
 
-def oracle_sql() -> dict:
-    return {}
+KEYS = coverage.KEYS
 
 
-def entry(spark, sf_dir: str):
-    raise NotImplementedError
+class Steps:
+    """The steps of the job over one input, each built when it is asked for."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str, assigned: bool = False):
+        self.spark, self.sf_dir, self.assigned = spark, sf_dir, assigned
+        self.hold = tables.scratch(spark, "steps")
+
+    @cached_property
+    def alignments(self) -> DataFrame:
+        return mapping.with_genome(p.alignments(self.spark, self.sf_dir))
+
+    @cached_property
+    def ref_seqs(self) -> DataFrame:
+        found = self.alignments.groupBy("sample_id", "genome_id", "ref_name").agg(F.max("ref_length").alias("length"))
+        return assign.with_kind(found)
+
+    @cached_property
+    def best(self) -> DataFrame:
+        return mapping.best_hits(mapping.identity_filter(mapping.flag_filter(self.alignments)))
+
+    @cached_property
+    def reads(self) -> DataFrame:
+        """Uniquely mapped reads; with multi-mapped ones at their genomes if `assigned`."""
+        if self.assigned:
+            return self.hold(assign.assigned_reads(self.hold(self.best, "best")), "reads")
+        return mapping.unique_hits(self.best).select("sample_id", "read_id", "genome_id", "ref_name", "ref_length", "pos")
+
+    def _of_kind(self, assembly: bool) -> DataFrame:
+        kinds = self.ref_seqs.select(*KEYS, "is_assembly").distinct().filter(F.col("is_assembly") == assembly)
+        return self.reads.join(kinds.select(*KEYS), KEYS)
+
+    @cached_property
+    def complete(self) -> DataFrame:
+        return self.hold(self._of_kind(False), "complete")
+
+    @cached_property
+    def histogram(self) -> DataFrame:
+        return coverage.histogram_ref(self.complete, p.BINS)
+
+    @cached_property
+    def phase1(self) -> DataFrame:
+        return self.hold(filters.remove_regions(self.complete, filters.phase1_regions(self.complete, self.histogram, p.BINS)), "phase1")
+
+    @cached_property
+    def filtered(self) -> DataFrame:
+        return filters.filter_ref(self.complete, p.MIN_READS, p.BINS, self.hold)
+
+    @cached_property
+    def qc_ref(self) -> DataFrame:
+        return filters.qc_ref(self.filtered, p.MIN_READS, p.MIN_COV, p.BINS)
+
+    @cached_property
+    def counts(self) -> DataFrame:
+        return self.hold(fit_complete.position_counts(self.filtered).join(self.qc_ref.filter("passed_qc").select(*KEYS), KEYS), "counts")
+
+    @cached_property
+    def single(self) -> DataFrame:
+        return self.hold(fit_complete.single_sample_ptr(fit_complete.circular_median(self.counts)), "single")
+
+    @cached_property
+    def origin_costs(self) -> DataFrame:
+        return self.hold(fit_complete.origin_costs(self.counts, self.single), "origins")
+
+    @cached_property
+    def sizes(self) -> DataFrame:
+        return coverage.contig_sizes(self.ref_seqs.filter("is_assembly"), p.CONTIG_BINS)
+
+    @cached_property
+    def contig_histogram(self) -> DataFrame:
+        return self.hold(coverage.histogram_contig(self._of_kind(True), self.sizes), "contigs")
+
+    @cached_property
+    def contig_qc(self) -> DataFrame:
+        return coverage.qc_contig(self.contig_histogram)
+
+    @cached_property
+    def matrix(self) -> DataFrame:
+        return coverage.coverage_matrix(self.contig_histogram.join(self.contig_qc.filter("passed_qc").select(*KEYS), KEYS))
+
+    @cached_property
+    def masked(self) -> DataFrame:
+        return self.hold(filters.mask_outliers(self.matrix), "masked")
+
+    @cached_property
+    def samples(self) -> DataFrame:
+        return filters.min_samples_gate(filters.sample_gate(self.masked, p.MIN_READS), p.MIN_SAMPLES)
+
+    @cached_property
+    def bins(self) -> DataFrame:
+        return filters.bin_gate(self.masked, self.samples, p.MIN_SAMPLES)
+
+    @cached_property
+    def gated(self) -> DataFrame:
+        return self.hold(self.masked.join(self.samples, ["genome_id", "sample_id"]).join(self.bins, ["genome_id", "bin_ix"]), "gated")
+
+    @cached_property
+    def ordered(self) -> DataFrame:
+        return self.gated.join(fit_assembly.bin_order(self.gated), ["genome_id", "bin_ix"])
+
+    @cached_property
+    def trimmed(self) -> DataFrame:
+        return fit_assembly.trimmed_bins(self.ordered)
+
+    @cached_property
+    def trimmed_by_number(self) -> DataFrame:
+        return fit_assembly.trimmed_bins(self.gated.withColumn("place", F.col("bin_ix")))
+
+    @cached_property
+    def ptr_ref(self) -> DataFrame:
+        return fit_complete.estimates(self.counts, self.qc_ref)
+
+    @cached_property
+    def ptr_contig(self) -> DataFrame:
+        return fit_assembly.contig_fits(self.trimmed)
+
+    @cached_property
+    def read_counts(self) -> DataFrame:
+        # Counting keeps pairs of one read and more.
+        filtered = filters.filter_ref(self.complete, 1, p.BINS, self.hold)
+        complete = products.complete_counts(filtered, filters.qc_ref(filtered, 1, p.MIN_COV, p.BINS))
+        return self.hold(products.contig_counts(self.masked, self.contig_qc, self.sizes).unionByName(complete), "read-counts")
+
+    @cached_property
+    def abundance(self) -> DataFrame:
+        complete = products.complete_counts(self.filtered, self.qc_ref)
+        return products.relative_abundance(products.contig_counts(self.masked, self.contig_qc, self.sizes).unionByName(complete))
+
+    def ptr_table(self) -> DataFrame:
+        kinds = self.ref_seqs.groupBy("genome_id").agg(F.max("is_assembly").alias("is_assembly"))
+        long = self.ptr_ref.select(*KEYS, "log2_ptr").unionByName(self.ptr_contig.select(*KEYS, "log2_ptr"))
+        wide = products.wide_table(long.withColumn("log2_ptr", F.round("log2_ptr", 6)), "log2_ptr", products.sample_domain(self.alignments))
+        return products.ordered_rows(wide.filter(~products.blank_row(wide)).join(kinds, "genome_id"), F.col("is_assembly"))
+
+
+def rounded(df: DataFrame, places: int = 6) -> DataFrame:
+    return df.select(*[F.round(c, places).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
+
+
+def joined(c: str):
+    return F.array_join(c, ",").alias(c)
+
+
+def _pages_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sequence-like lines of pages: every third is a header."""
+    page = F.col("page_id")
+    value = F.when(page % 3 == 0, F.concat(F.lit(">"), "url")).otherwise(F.substring("html", 1, 40))
+    return p.table(spark, sf_dir, "pages").select(F.concat(F.lit("refs/g"), (page % 7).cast("string"), F.lit(".fa")).alias("file"), page.alias("line_no"), value.alias("value"))
+
+
+def _fastq_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = F.col("o_orderkey")
+    return p.table(spark, sf_dir, "orders").select(F.concat(F.lit("P"), F.floor(key / 2).cast("string"), F.lit("_"), (key % 2 + 1).cast("string"), F.lit(".fastq.gz")).alias("file"))
+
+
+def _url_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    page = F.col("page_id")
+    end = F.when(page % 3 == 0, ".fastq.gz").when(page % 3 == 1, ".fq").otherwise("")
+    return p.table(spark, sf_dir, "pages").select("page_id", sam.fastq_name(F.concat("url", end)).alias("name"))
+
+
+def _merged(s: Steps) -> DataFrame:
+    files = [s.alignments.filter(F.col("line") % 2 == i) for i in (0, 1)]
+    return mapping.merge_best(files).select("read_id", "ref_name", "pos", "as_score")
+
+
+def _incremental(s: Steps) -> DataFrame:
+    done = p.table(s.spark, s.sf_dir, "orders").filter(F.col("o_orderkey") % 4 < 2).select(F.concat(F.lit("S"), (F.col("o_orderkey") % 4).cast("string")).alias("sample_id"))
+    return tables.new_samples(s.reads, done).groupBy(*KEYS).agg(F.count("*").alias("n_reads"))
+
+
+def _compacted(s: Steps) -> DataFrame:
+    """Two fixed regions of every complete genome removed."""
+    pairs = s.complete.select(*KEYS).distinct()
+    cut = F.explode(F.array(*(F.struct(F.lit(a).cast("long").alias("left"), F.lit(b).cast("long").alias("right")) for a, b in ((100_000, 150_000), (400_000, 420_000))))).alias("r")
+    return filters.remove_regions(s.complete, pairs.select(*KEYS, cut).select(*KEYS, "r.left", "r.right")).select(*KEYS, "read_id", "pos", "ref_length")
+
+
+def _ll_grid(s: Steps) -> DataFrame:
+    grid = s.spark.createDataFrame([(r, o) for r in (0.25, 0.5, 1.0, 2.0) for o in (0.0, 0.25, 0.5, 0.75)], "log2_ptr double, ori double")
+    return fit_complete.log_likelihood_grid(s.complete, grid)
+
+
+def _simulated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A sample for each supplier, its ratio from the balance."""
+    ratio = 0.05 + 1.2 * F.pmod(F.abs("s_acctbal") / 100, F.lit(1.0))
+    sheet = p.table(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("string").alias("sample_id"), ratio.alias("log2_ptr"), (F.pmod("s_suppkey", F.lit(10)) / 10).alias("ori"))
+    return simulate.simulated_reads(sheet, 200, 1_000_000)
+
+
+def _event_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    reads = p.event_reads(spark, sf_dir)
+    return filters.phase1_regions(reads, coverage.histogram_ref(reads, p.BINS), p.BINS)
+
+
+def _pivot(s: Steps, long: DataFrame, value: str) -> DataFrame:
+    return products.wide_table(long, value, products.sample_domain(s.alignments), 0)
+
+
+READ = ["sample_id", "read_id", "ref_name", "pos", "as_score"]
+
+STEPS: dict[str, Callable[[Steps], DataFrame]] = {
+    "ref_sequences": lambda s: s.ref_seqs.select("sample_id", "ref_name", "length"),
+    "ref_genomes": lambda s: s.ref_seqs.groupBy("sample_id").agg(F.count("*").alias("n_sequences"), F.countDistinct("genome_id").alias("n_genomes")),
+    "sample_domain": lambda s: s.alignments.select("sample_id").distinct(),
+    "flag_filter": lambda s: mapping.flag_filter(s.alignments).select(*READ),
+    "identity_filter": lambda s: mapping.identity_filter(s.alignments).select(*READ),
+    "best_hits": lambda s: s.best.select(*READ, "n_hits"),
+    "genome_projection": lambda s: s.best.groupBy("ref_name", "genome_id").agg(F.count("*").alias("n_hits")),
+    "bin_coverage": lambda s: rounded(mapping.bin_coverage(s.best)),
+    "ambiguous_reads": lambda s: mapping.multi_hits(s.best).select("sample_id", "read_id", joined("genomes"), "n_hits", "discarded"),
+    "prior_counts": lambda s: mapping.prior_counts(s.best),
+    "multimap_classes": lambda s: mapping.multimap_classes(s.best).select("sample_id", joined("genomes"), "reads"),
+    "vi_weights": lambda s: assign.class_weights(s.hold(s.best, "best")).select("sample_id", joined("genomes"), "reads", F.transform("phi", lambda x: F.round(x, 4)).alias("phi"), "chosen"),
+    "multimap_assignment": lambda s: assign.assigned_reads(s.hold(s.best, "best")),
+    "positions_per_sequence": lambda s: coverage.positions_per_sequence(s.reads, s.ref_seqs).drop("is_assembly"),
+    "genome_kind": lambda s: s.ref_seqs.select(*KEYS, "is_assembly").distinct(),
+    "merge_best_score": _merged,
+    "min_reads_prefilter": lambda s: coverage.min_reads_prefilter(s.reads, p.MIN_READS),
+    "incremental_extract": _incremental,
+    "ref_bin_size": lambda s: s.ref_seqs.filter("not is_assembly").select(*KEYS, coverage.bin_size_ref(F.col("length"), p.BINS).alias("bin_size")),
+    "ref_histogram": lambda s: s.histogram,
+    "genomewide_bounds": lambda s: rounded(filters.genome_bounds(s.histogram)),
+    "local_bounds": lambda s: rounded(filters.genome_bounds(s.histogram, Z975)),
+    "rolling_counts": lambda s: filters.rolling_counts(s.complete, p.BINS),
+    "outlier_regions": lambda s: filters.phase1_regions(s.complete, s.histogram, p.BINS),
+    "phase1_filter": lambda s: s.phase1.select(*KEYS, "read_id", "pos", "ref_length"),
+    "region_compaction": _compacted,
+    "phase2_regions": lambda s: filters.phase2_regions(s.phase1, p.BINS),
+    "phase2_filter": lambda s: filters.remove_regions(s.phase1, filters.phase2_regions(s.phase1, p.BINS)).select(*KEYS, "read_id", "pos", "ref_length"),
+    "ref_filter_pipeline": lambda s: s.filtered.select(*KEYS, "read_id", "pos", "ref_length"),
+    "ref_qc": lambda s: rounded(s.qc_ref),
+    "contig_bin_size": lambda s: s.sizes.select(*KEYS, "ref_name", "bin_size", "n_bins"),
+    "contig_histogram": lambda s: s.contig_histogram,
+    "contig_qc": lambda s: rounded(s.contig_qc),
+    "coverage_matrix": lambda s: s.matrix,
+    "masked_matrix": lambda s: s.masked,
+    "sample_gate": lambda s: rounded(filters.sample_gate(s.masked, p.MIN_READS)),
+    "min_samples_gate": lambda s: s.samples,
+    "bin_gate": lambda s: s.bins,
+    "poisson_factor_order": lambda s: fit_assembly.bin_order(s.gated).select("genome_id", "bin_ix", F.round("w", 3).alias("w"), "place"),
+    "reordered_bins": lambda s: s.ordered.select("genome_id", "sample_id", "place", "cnt"),
+    "trimmed_bins": lambda s: s.trimmed_by_number,
+    "contig_mle": lambda s: rounded(fit_assembly.contig_fits(s.trimmed_by_number), 5),
+    "ols_slope": lambda s: rounded(fit_assembly.ols_line(s.trimmed_by_number)),
+    "ref_log_likelihood_grid": lambda s: rounded(_ll_grid(s), 5),
+    "multisample_ll_grid": lambda s: rounded(_ll_grid(s).groupBy("genome_id", "log2_ptr", "ori").agg(F.sum("log_lk").alias("log_lk")), 5),
+    "circular_median": lambda s: rounded(fit_complete.circular_median(s.counts), 9),
+    "single_sample_ptr": lambda s: rounded(s.single.select(*KEYS, "log2_ptr"), 5),
+    "shared_origin": lambda s: rounded(fit_complete.shared_origin(s.origin_costs)),
+    "ptr_refit": lambda s: rounded(fit_complete.refit(s.origin_costs, fit_complete.shared_origin(s.origin_costs)), 5),
+    "ptr_estimates_ref": lambda s: rounded(s.ptr_ref, 5),
+    "ptr_estimates_contig": lambda s: rounded(s.ptr_contig, 3),
+    "ptr_table": lambda s: s.ptr_table().drop("is_assembly"),
+    "read_counts": lambda s: s.read_counts.select(*KEYS, "count"),
+    "read_counts_pivot": lambda s: _pivot(s, s.read_counts, "count"),
+    "relative_abundance": lambda s: rounded(s.abundance, 9),
+    "relative_abundance_pivot": lambda s: rounded(_pivot(s, s.abundance, "rel_abun"), 9),
+    "plot_data_ref": lambda s: rounded(products.plot_data_ref(s.histogram, filters.genome_bounds(s.histogram), s.single.withColumn("ori", F.col("ori_pos") / F.col("ref_length")))),
+    "plot_data_contig": lambda s: rounded(products.plot_data_contig(s.trimmed_by_number, fit_assembly.contig_fits(s.trimmed_by_number)), 5),
+}
+
+PLAIN: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "fastq_name_normalise": _url_names,
+    "fasta_header_rewrite": lambda spark, d: sequences.rename_headers(_pages_lines(spark, d)),
+    "fasta_genomes": lambda spark, d: sequences.genomes(_pages_lines(spark, d)),
+    "mate_pairing": lambda spark, d: sequences.pair_mates(_fastq_names(spark, d)),
+    "event_rolling_counts": lambda spark, d: filters.rolling_counts(p.event_reads(spark, d), p.BINS),
+    "event_outlier_regions": _event_regions,
+    "simulated_reads": _simulated,
+}
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    steps = {name: (lambda spark, sf_dir, make=make: make(Steps(spark, sf_dir))) for name, make in STEPS.items()}
+    return steps | PLAIN
+
+
+def oracle_sql() -> dict[str, str]:
+    return {k: v for k, v in oracle.sql().items() if k in STEPS or k in PLAIN}
+
+
+def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The genome-by-sample table of log2 ratios, multi-mapped reads assigned."""
+    return Steps(spark, sf_dir, assigned=True).ptr_table()

@@ -1 +1 @@
-"""Peak-to-trough ratio analytics on Spark."""
+"""Transformations of alignments, coverage and estimates."""

@@ -1 +1 @@
-"""Peak-to-trough ratio analytics on Spark."""
+"""Readers and writers of alignment, sequence and result files."""

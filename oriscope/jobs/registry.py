@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,146 +10,13 @@ from pyspark.sql import functions as F
 from oriscope.functions.numeric import Z975
 from oriscope.jobs import oracle
 from oriscope.jobs import projection as p
+from oriscope.jobs.steps import Steps
 from oriscope.operators import assign, coverage, filters, fit_assembly, fit_complete, mapping, products
 from oriscope.sources import sam, sequences, simulate, tables
 
 KEYS = coverage.KEYS
 
 
-class Steps:
-    """The steps of the job over one input, each built when it is asked for."""
-
-    def __init__(self, spark: SparkSession, sf_dir: str, assigned: bool = False):
-        self.spark, self.sf_dir, self.assigned = spark, sf_dir, assigned
-        self.hold = tables.scratch(spark, "steps")
-
-    @cached_property
-    def alignments(self) -> DataFrame:
-        return mapping.with_genome(p.alignments(self.spark, self.sf_dir))
-
-    @cached_property
-    def ref_seqs(self) -> DataFrame:
-        found = self.alignments.groupBy("sample_id", "genome_id", "ref_name").agg(F.max("ref_length").alias("length"))
-        return assign.with_kind(found)
-
-    @cached_property
-    def best(self) -> DataFrame:
-        return mapping.best_hits(mapping.identity_filter(mapping.flag_filter(self.alignments)))
-
-    @cached_property
-    def reads(self) -> DataFrame:
-        """Uniquely mapped reads; with multi-mapped ones at their genomes if `assigned`."""
-        if self.assigned:
-            return self.hold(assign.assigned_reads(self.hold(self.best, "best")), "reads")
-        return mapping.unique_hits(self.best).select("sample_id", "read_id", "genome_id", "ref_name", "ref_length", "pos")
-
-    def _of_kind(self, assembly: bool) -> DataFrame:
-        kinds = self.ref_seqs.select(*KEYS, "is_assembly").distinct().filter(F.col("is_assembly") == assembly)
-        return self.reads.join(kinds.select(*KEYS), KEYS)
-
-    @cached_property
-    def complete(self) -> DataFrame:
-        return self.hold(self._of_kind(False), "complete")
-
-    @cached_property
-    def histogram(self) -> DataFrame:
-        return coverage.histogram_ref(self.complete, p.BINS)
-
-    @cached_property
-    def phase1(self) -> DataFrame:
-        return self.hold(filters.remove_regions(self.complete, filters.phase1_regions(self.complete, self.histogram, p.BINS)), "phase1")
-
-    @cached_property
-    def filtered(self) -> DataFrame:
-        return filters.filter_ref(self.complete, p.MIN_READS, p.BINS, self.hold)
-
-    @cached_property
-    def qc_ref(self) -> DataFrame:
-        return filters.qc_ref(self.filtered, p.MIN_READS, p.MIN_COV, p.BINS)
-
-    @cached_property
-    def counts(self) -> DataFrame:
-        return self.hold(fit_complete.position_counts(self.filtered).join(self.qc_ref.filter("passed_qc").select(*KEYS), KEYS), "counts")
-
-    @cached_property
-    def single(self) -> DataFrame:
-        return self.hold(fit_complete.single_sample_ptr(fit_complete.circular_median(self.counts)), "single")
-
-    @cached_property
-    def origin_costs(self) -> DataFrame:
-        return self.hold(fit_complete.origin_costs(self.counts, self.single), "origins")
-
-    @cached_property
-    def sizes(self) -> DataFrame:
-        return coverage.contig_sizes(self.ref_seqs.filter("is_assembly"), p.CONTIG_BINS)
-
-    @cached_property
-    def contig_histogram(self) -> DataFrame:
-        return self.hold(coverage.histogram_contig(self._of_kind(True), self.sizes), "contigs")
-
-    @cached_property
-    def contig_qc(self) -> DataFrame:
-        return coverage.qc_contig(self.contig_histogram)
-
-    @cached_property
-    def matrix(self) -> DataFrame:
-        return coverage.coverage_matrix(self.contig_histogram.join(self.contig_qc.filter("passed_qc").select(*KEYS), KEYS))
-
-    @cached_property
-    def masked(self) -> DataFrame:
-        return self.hold(filters.mask_outliers(self.matrix), "masked")
-
-    @cached_property
-    def samples(self) -> DataFrame:
-        return filters.min_samples_gate(filters.sample_gate(self.masked, p.MIN_READS), p.MIN_SAMPLES)
-
-    @cached_property
-    def bins(self) -> DataFrame:
-        return filters.bin_gate(self.masked, self.samples, p.MIN_SAMPLES)
-
-    @cached_property
-    def gated(self) -> DataFrame:
-        return self.hold(self.masked.join(self.samples, ["genome_id", "sample_id"]).join(self.bins, ["genome_id", "bin_ix"]), "gated")
-
-    @cached_property
-    def ordered(self) -> DataFrame:
-        return self.gated.join(fit_assembly.bin_order(self.gated), ["genome_id", "bin_ix"])
-
-    @cached_property
-    def trimmed(self) -> DataFrame:
-        return fit_assembly.trimmed_bins(self.ordered)
-
-    @cached_property
-    def trimmed_by_number(self) -> DataFrame:
-        return fit_assembly.trimmed_bins(self.gated.withColumn("place", F.col("bin_ix")))
-
-    @cached_property
-    def ptr_ref(self) -> DataFrame:
-        return fit_complete.estimates(self.counts, self.qc_ref)
-
-    @cached_property
-    def ptr_contig(self) -> DataFrame:
-        return fit_assembly.contig_fits(self.trimmed)
-
-    @cached_property
-    def read_counts(self) -> DataFrame:
-        # Counting keeps pairs of one read and more.
-        filtered = filters.filter_ref(self.complete, 1, p.BINS, self.hold)
-        complete = products.complete_counts(filtered, filters.qc_ref(filtered, 1, p.MIN_COV, p.BINS))
-        return self.hold(products.contig_counts(self.masked, self.contig_qc, self.sizes).unionByName(complete), "read-counts")
-
-    @cached_property
-    def abundance(self) -> DataFrame:
-        complete = products.complete_counts(self.filtered, self.qc_ref)
-        return products.relative_abundance(products.contig_counts(self.masked, self.contig_qc, self.sizes).unionByName(complete))
-
-    def ptr_table(self) -> DataFrame:
-        kinds = self.ref_seqs.groupBy("genome_id").agg(F.max("is_assembly").alias("is_assembly"))
-        long = self.ptr_ref.select(*KEYS, "log2_ptr").unionByName(self.ptr_contig.select(*KEYS, "log2_ptr"))
-        wide = products.wide_table(long.withColumn("log2_ptr", F.round("log2_ptr", 6)), "log2_ptr", products.sample_domain(self.alignments))
-        return products.ordered_rows(wide.filter(~products.blank_row(wide)).join(kinds, "genome_id"), F.col("is_assembly"))
-
-
 def rounded(df: DataFrame, places: int = 6) -> DataFrame:
     return df.select(*[F.round(c, places).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
 
@@ -212,7 +78,7 @@ def _event_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _pivot(s: Steps, long: DataFrame, value: str) -> DataFrame:
-    return products.wide_table(long, value, products.sample_domain(s.alignments), 0)
+    return products.wide_table(long, value, s.domain, 0)
 
 
 READ = ["sample_id", "read_id", "ref_name", "pos", "as_score"]

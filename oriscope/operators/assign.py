@@ -48,12 +48,12 @@ def infer(sets: list[np.ndarray], reads: np.ndarray, prior: np.ndarray, tol: flo
     return eta, np.split(phi, np.flatnonzero(np.diff(owner)) + 1), bounds
 
 
-def class_weights(best: DataFrame) -> DataFrame:
+def class_weights(best: DataFrame, max_alignments: int = mapping.MAX_ALIGNMENTS) -> DataFrame:
     """sample_id, genomes, reads, phi (one a genome) and the chosen genome of each class of multi-mapped reads.
 
     The most probable genome is chosen, at a tie the first by name.
     """
-    classes = mapping.multimap_classes(best).withColumn("kind", F.lit("set"))
+    classes = mapping.multimap_classes(best, max_alignments).withColumn("kind", F.lit("set"))
     priors = mapping.prior_counts(best).select("sample_id", F.array("genome_id").alias("genomes"), F.col("prior").alias("reads"), F.lit("prior").alias("kind"))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -74,11 +74,11 @@ def class_weights(best: DataFrame) -> DataFrame:
     return classes.select(*columns).unionByName(priors.select(*columns)).groupBy("sample_id").applyInPandas(run, "sample_id string, genomes array<string>, reads long, phi array<double>, chosen string")
 
 
-def assigned_reads(best: DataFrame) -> DataFrame:
+def assigned_reads(best: DataFrame, max_alignments: int = mapping.MAX_ALIGNMENTS) -> DataFrame:
     """sample_id, read_id, genome_id, ref_name, ref_length, pos: uniquely mapped reads as they are, and kept
     multi-mapped ones at their position on the chosen genome."""
     columns = ["sample_id", "read_id", "genome_id", "ref_name", "ref_length", "pos"]
-    chosen = mapping.multi_hits(best).filter("not discarded").join(class_weights(best).select("sample_id", "genomes", "chosen"), ["sample_id", "genomes"])
+    chosen = mapping.multi_hits(best, max_alignments).filter("not discarded").join(class_weights(best, max_alignments).select("sample_id", "genomes", "chosen"), ["sample_id", "genomes"])
     placed = best.filter("n_hits > 1").join(chosen.select("sample_id", "read_id", F.col("chosen").alias("genome_id")), ["sample_id", "read_id", "genome_id"])
     return mapping.unique_hits(best).select(*columns).unionByName(placed.select(*columns))
 

@@ -62,11 +62,11 @@ def unique_hits(best: DataFrame) -> DataFrame:
     return best.filter("n_hits = 1")
 
 
-def multi_hits(best: DataFrame) -> DataFrame:
+def multi_hits(best: DataFrame, max_alignments: int = MAX_ALIGNMENTS) -> DataFrame:
     """One row a multi-mapped read: its sorted genomes, hits, and whether it is discarded (a genome hit twice, or too
     many hits). A read's hits are as many as the aligner reports."""
     reads = best.filter("n_hits > 1").groupBy("sample_id", "read_id").agg(F.array_sort(F.collect_set("genome_id")).alias("genomes"), F.count("*").alias("n_hits"))
-    return reads.withColumn("discarded", (F.size("genomes") < F.col("n_hits")) | (F.col("n_hits") >= MAX_ALIGNMENTS))
+    return reads.withColumn("discarded", (F.size("genomes") < F.col("n_hits")) | (F.col("n_hits") >= max_alignments))
 
 
 def bin_coverage(best: DataFrame) -> DataFrame:
@@ -87,6 +87,6 @@ def prior_counts(best: DataFrame) -> DataFrame:
     return known.select("sample_id", "genome_id", F.when(F.col("fraction") > PRIOR_COVERAGE, F.coalesce("reads", F.lit(0).cast("long"))).otherwise(0).cast("long").alias("prior"))
 
 
-def multimap_classes(best: DataFrame) -> DataFrame:
+def multimap_classes(best: DataFrame, max_alignments: int = MAX_ALIGNMENTS) -> DataFrame:
     """sample_id, genomes, reads: how many kept multi-mapped reads have the same set of genomes."""
-    return multi_hits(best).filter("not discarded").groupBy("sample_id", "genomes").agg(F.count("*").alias("reads"))
+    return multi_hits(best, max_alignments).filter("not discarded").groupBy("sample_id", "genomes").agg(F.count("*").alias("reads"))

@@ -4,16 +4,17 @@ Documents are sets of word shingles; two link at a Jaccard similarity of `thresh
 global order, and each set of size n keeps its first n - ceil(threshold * n) + l shingles (its l-prefix), then two sets
 that link share at least l shingles of their l-prefixes. A longer prefix costs more postings to scan but lets fewer
 pairs through, so each document chooses the l whose estimated cost, scanned postings and pairs to verify, is least.
+When two sets meet, the smaller l of both holds; both sizes are known, and so is the overlap that a link takes: their
+prefixes shorten to that.
 
 The order puts shingles that many documents have last, and goes by hash otherwise. Documents of equal sets are one.
-Links are found in two exact steps that never list all pairs of a group: first each posting list's members meet its
-first document only, and what links is merged into components; then only members of different components meet, with
-the multi-match test, so that no link between components is missed.
+Links are found in two steps that never list all pairs of a group: first each document is held against the one first
+document of its posting lists that it shares most with, and what links is merged into components; then only members of
+different components meet, with the multi-match test, so that no link between components is missed.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -107,18 +108,42 @@ def _texts(batch: pa.RecordBatch, at: int) -> list[bytes | None]:
     return batch.column(at).cast(pa.binary()).to_pylist()
 
 
-def heavy_shingles(docs: DataFrame, size: int, percent: int, parts: int) -> np.ndarray:
-    """Sorted hashes of the shingles that are among the lowest of HEAVY_FROM or more documents.
+def _is_in(hashes: np.ndarray, table: np.ndarray) -> np.ndarray:
+    if not len(table):
+        return np.zeros(len(hashes), bool)
+    return table[np.minimum(np.searchsorted(table, hashes), len(table) - 1)] == hashes
+
+
+def _wanted(n: int, percent: int) -> int:
+    """The longest prefix that a set of size n may need."""
+    return min(n, n - _need(n, percent) + LEVELS)
+
+
+def _low_part(s: np.ndarray, percent: int, heavy: np.ndarray) -> np.ndarray:
+    return s[: _low_size(len(s), percent)]
 
-    Only the lowest hashes of each document matter for prefixes, so only these are counted. Tasks count per batch and
-    deal packed (hash, count) runs to `parts` ranges of hashes.
+
+def _rest_part(s: np.ndarray, percent: int, heavy: np.ndarray) -> np.ndarray:
+    """What follows the low part, of documents whose low part holds too few light shingles for a prefix."""
+    low = _low_size(len(s), percent)
+    if low - int(_is_in(s[:low], heavy).sum()) >= _wanted(len(s), percent):
+        return s[:0]
+    return s[low:]
+
+
+def _frequent(docs: DataFrame, part_of, heavy: np.ndarray, size: int, percent: int, parts: int, most: int) -> np.ndarray:
+    """Sorted hashes that HEAVY_FROM or more documents have in the part of their sets that part_of gives.
+
+    Tasks count per batch and deal packed (hash, count) runs to `parts` ranges of hashes. At most `most` hashes come
+    back: the number of documents that makes a shingle frequent rises, by powers of two, until they fit.
     """
     shift = np.uint64(64 - max(1, (parts - 1).bit_length()))
+    known = docs.sparkSession.sparkContext.broadcast(heavy)
 
-    def low(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = (shingle_set(x, size) for x in _texts(batch, 0))
-            found = [s[: _low_size(len(s), percent)] for s in sets if len(s)]
+            found = [x for s in sets if len(s) and len(x := part_of(s, percent, known.value))]
             if not found:
                 continue
             hashes, n = np.unique(np.concatenate(found), return_counts=True)
@@ -135,19 +160,28 @@ def heavy_shingles(docs: DataFrame, size: int, percent: int, parts: int) -> np.n
         return pa.table({"hash": found[keep].astype("<i8"), "n": total[keep]})
 
     scratch = Scratch(docs.sparkSession, "ngram-heavy")
-    counted = scratch.table(docs.select("text").mapInArrow(low, "part int, hashes binary, n binary").groupBy("part").applyInArrow(count, "hash long, n long"), "heavy")
-    sizes = counted.groupBy(F.floor(F.log2("n")).alias("p")).count().orderBy(F.col("p").desc()).collect()  # some dozens of rows
+    counted = scratch.table(docs.select("text").mapInArrow(deal, "part int, hashes binary, n binary").groupBy("part").applyInArrow(count, "hash long, n long"), "heavy")
     least, total = None, 0
-    for row in sizes:
+    for row in counted.groupBy(F.floor(F.log2("n")).alias("p")).count().orderBy(F.col("p").desc()).collect():  # some dozens of rows
         total += row[1]
-        if total > MAX_HEAVY:
+        if total > most:
             break
         least = int(row.p)
-    if least is None:
-        return np.zeros(0, np.uint64)
-    table = counted.filter(F.floor(F.log2("n")) >= least).select("hash").toPandas()
+    found = counted.filter(F.floor(F.log2("n")) >= least).select("hash").toPandas()["hash"].to_numpy(np.int64) if least is not None else np.zeros(0, np.int64)
     scratch.drop()
-    return np.sort(table["hash"].to_numpy(np.int64).view(np.uint64))
+    return np.sort(found.view(np.uint64))
+
+
+def heavy_shingles(docs: DataFrame, size: int, percent: int, parts: int) -> np.ndarray:
+    """Sorted hashes of shingles that go last in the order, MAX_HEAVY at most.
+
+    Only the lowest hashes of a set matter for its prefix, so these are counted first; then the others of those
+    documents whose lowest shingles are mostly frequent, as copies of one text are, and whose prefixes go further.
+    """
+    low = _frequent(docs, _low_part, np.zeros(0, np.uint64), size, percent, parts, MAX_HEAVY // 2)
+    if not len(low):
+        return low
+    return np.union1d(low, _frequent(docs, _rest_part, low, size, percent, parts, MAX_HEAVY // 2))
 
 
 def profiles(docs: DataFrame, heavy: np.ndarray, size: int, percent: int) -> DataFrame:
@@ -163,12 +197,8 @@ def profiles(docs: DataFrame, heavy: np.ndarray, size: int, percent: int) -> Dat
                 n.append(len(s))
                 one.append(int(_mix(s).sum(dtype=np.uint64).view(np.int64)) if len(s) else 0)
                 two.append(int(_mix(s * _R + np.uint64(7)).sum(dtype=np.uint64).view(np.int64)) if len(s) else 0)
-                wanted = min(len(s), len(s) - _need(len(s), percent) + LEVELS)
-                if len(heavy) and len(s):
-                    at = np.minimum(np.searchsorted(heavy, s), len(heavy) - 1)
-                    is_heavy = heavy[at] == s
-                    s = np.r_[s[~is_heavy], s[is_heavy]]
-                prefixes.append(s[:wanted].view(np.int64))
+                is_heavy = _is_in(s, heavy)
+                prefixes.append(np.r_[s[~is_heavy], s[is_heavy]][: _wanted(len(s), percent)].view(np.int64))
             cuts = np.r_[0, np.cumsum([len(p) for p in prefixes])].astype(np.int32)
             values = np.concatenate(prefixes) if prefixes else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(one, pa.int64()), pa.array(two, pa.int64()), pa.ListArray.from_arrays(cuts, values)], ["doc_id", "n", "one", "two", "prefix"])
@@ -177,28 +207,38 @@ def profiles(docs: DataFrame, heavy: np.ndarray, size: int, percent: int) -> Dat
 
 
 def postings(sets: DataFrame, percent: int, scratch: Scratch, verify_cost: float = 0.2) -> DataFrame:
-    """token, id, n, level, ell and first (id, n, level of the token's first document) for sets(id, n, prefix).
+    """token, id, n, pos, ell and first (id, n, pos of the token's first document) for sets(id, n, prefix).
 
-    level is the least l whose prefix holds the token. Tokens of one document are left out. ell is the document's own
-    l: that of least estimated cost, the postings in its l-prefix and, at verify_cost a shingle, the candidates, of
-    which there are at most the postings over l.
+    Tokens of one document are left out. ell is the document's own l: that of least estimated cost, the postings in its
+    l-prefix and, at verify_cost a shingle, the candidates, of which there are at most the postings over l.
     """
-    at = F.posexplode("prefix").alias("pos", "token")
-    each = sets.select("id", "n", at).withColumn("level", F.greatest(F.lit(1), F.col("pos") + 1 - F.col("n") + F.expr(f"(n * {percent} + 99) div 100")).cast("int")).drop("pos")
-    shared = each.groupBy("token").agg(F.count("*").alias("df"), F.min(F.struct("id", "n", "level")).alias("first")).filter("df > 1")
+    each = sets.select("id", "n", F.posexplode("prefix").alias("pos", "token"))
+    shared = each.groupBy("token").agg(F.count("*").alias("df"), F.min(F.struct("id", "n", "pos")).alias("first")).filter("df > 1")
     shared = scratch.table(shared, "tokens")
     met = each.join(shared, "token")
-    item = F.struct("token", "level", "df", "first")
+    need = f"((n * {percent} + 99) div 100)"
+    # The first l whose prefix holds the token, when the partner is of equal size.
+    level = F.expr(f"greatest(1, pos + 1 - n + ((2 * n * {percent} + {99 + percent}) div {100 + percent}))")
     # No set can be asked for more than the overlap that a link needs.
-    cost = lambda l: F.sum(F.when(F.col("level") <= l, F.col("df") - 1).otherwise(0)) * (1 + F.lit(verify_cost) * F.col("n") / l)  # noqa: E731, E741
-    costs = [F.when(F.expr(f"(n * {percent} + 99) div 100") >= l, cost(l)).otherwise(float("inf")) for l in range(1, LEVELS + 1)]  # noqa: E741
+    cost = lambda l: F.sum(F.when(level <= l, F.col("df") - 1).otherwise(0)) * (1 + F.lit(verify_cost) * F.col("n") / l)  # noqa: E731, E741
+    costs = [F.when(F.expr(f"{need} >= {l}"), cost(l)).otherwise(float("inf")) for l in range(1, LEVELS + 1)]  # noqa: E741
     # A document's own tokens come together: no more than its prefix holds.
-    per = met.groupBy("id", "n").agg(F.collect_list(item).alias("items"), F.array(*costs).alias("costs"))
+    per = met.groupBy("id", "n").agg(F.collect_list(F.struct("token", "pos", "first")).alias("items"), F.array(*costs).alias("costs"))
     ell = F.array_position("costs", F.array_min("costs")).cast("int")
     per = per.select("id", "n", ell.alias("ell"), F.explode("items").alias("x"))
     return scratch.table(per.select("id", "n", "ell", "x.*"), "postings")
 
 
+def _level(percent: int, a: str, b: str) -> Column:
+    """The least l at which the prefixes of two sets both hold a shingle; a and b hold n and pos.
+
+    A link takes an overlap of threshold / (1 + threshold) of both sizes' sum, which sets the prefixes' lengths.
+    """
+    n_a, n_b = f"{a}.n", f"{b}.n"
+    overlap = f"((({n_a} + {n_b}) * {percent} + {99 + percent}) div {100 + percent})"
+    return F.expr(f"greatest(1, {a}.pos + 1 - {n_a} + {overlap}, {b}.pos + 1 - {n_b} + {overlap})")
+
+
 def _sizes_fit(a: str, b: str, percent: int) -> Column:
     return F.least(a, b) * 100 >= F.greatest(a, b) * percent
 
@@ -247,9 +287,9 @@ def components(links: DataFrame, scratch: Scratch) -> DataFrame:
             return labels
 
 
-def _pick(lists: DataFrame) -> DataFrame:
-    """a, b of lists(a, b, level, ell) with at least ell rows of level ell or less; ell is the pair's."""
-    return lists.filter("level <= ell").groupBy("a", "b").agg(F.count("*").alias("met"), F.first("ell").alias("ell")).filter("met >= ell").select("a", "b")
+def _enough(meetings: DataFrame) -> DataFrame:
+    """a, b, met of meetings(a, b, ell), one row a shared shingle, that number at least the pair's ell."""
+    return meetings.groupBy("a", "b").agg(F.count("*").alias("met"), F.first("ell").alias("ell")).filter("met >= ell").select("a", "b", "met")
 
 
 def link_documents(docs: DataFrame, size: int = 3, threshold: float = 0.9, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -276,23 +316,25 @@ def link_documents(docs: DataFrame, size: int = 3, threshold: float = 0.9, id_co
     lists = postings(sets, percent, scratch)
     texts = rows.filter("doc_id is not null")
 
-    fits = lists.filter((F.col("id") != F.col("first.id")) & _sizes_fit("n", "first.n", percent))
-    star = fits.select(F.col("first.id").alias("a"), F.col("id").alias("b"), F.greatest("level", "first.level").alias("level"), "ell")
-    near = verified(scratch.table(_pick(star), "star"), texts, size, percent, scratch)
+    me = lists.select(F.struct("id", "n", "pos").alias("x"), "first", "ell")
+    star = me.filter((F.col("x.id") != F.col("first.id")) & _sizes_fit("x.n", "first.n", percent) & (_level(percent, "x", "first") <= F.col("ell")))
+    star = _enough(star.select(F.col("first.id").alias("a"), F.col("x.id").alias("b"), "ell"))
+    # Each document is held against one first document only: that which it shares most with.
+    star = star.groupBy("b").agg(F.max_by("a", F.struct("met", -F.col("a"))).alias("a")).select("a", "b")
+    near = verified(scratch.table(star, "star"), texts, size, percent, scratch)
     merged = scratch.table(components(near, scratch), "merged")
 
-    placed = scratch.table(lists.drop("first", "df").join(merged, "id", "left").withColumn("component", F.coalesce("component", "id")), "placed")
+    placed = scratch.table(lists.drop("first").join(merged, "id", "left").withColumn("component", F.coalesce("component", "id")), "placed")
     # In each list, the members of its largest component meet only those outside it.
     counts = placed.groupBy("token", "component").agg(F.count("*").alias("n_in"))
     mixed = counts.groupBy("token").agg(F.count("*").alias("groups"), F.max_by("component", F.struct("n_in", "component")).alias("main")).filter("groups > 1").select("token", "main")
     mixed = scratch.table(placed.join(scratch.table(mixed, "mixed"), "token"), "open")
-    outer = mixed.filter("component != main").select("token", F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("level").alias("l_a"), F.col("ell").alias("ell_a"), F.col("component").alias("c_a"))
-    other = mixed.select("token", F.col("id").alias("b"), F.col("n").alias("n_b"), F.col("level").alias("l_b"), F.col("ell").alias("ell_b"), F.col("component").alias("c_b"), (F.col("component") == F.col("main")).alias("in_main"))
-    meets = outer.join(other, "token").filter((F.col("c_a") != F.col("c_b")) & (F.col("in_main") | (F.col("a") < F.col("b"))) & _sizes_fit("n_a", "n_b", percent))
-    # The larger set asks; of equal ones the larger id.
-    asks = F.when(F.struct("n_a", "a") > F.struct("n_b", "b"), F.col("ell_a")).otherwise(F.col("ell_b"))
-    cross = meets.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.greatest("l_a", "l_b").alias("level"), asks.alias("ell"))
-    far = verified(scratch.table(_pick(cross), "cross"), texts, size, percent, scratch)
+    side = lambda name: mixed.select("token", F.struct("id", "n", "pos", "ell", "component", (F.col("component") == F.col("main")).alias("in_main")).alias(name))
+    asks = F.least("x.ell", "y.ell")
+    apart = (F.col("x.component") != F.col("y.component")) & (F.col("y.in_main") | (F.col("x.id") < F.col("y.id")))
+    meets = side("x").filter("not x.in_main").join(side("y"), "token").filter(apart & _sizes_fit("x.n", "y.n", percent) & (_level(percent, "x", "y") <= asks))
+    cross = _enough(meets.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b"), asks.alias("ell"))).select("a", "b")
+    far = verified(scratch.table(cross, "cross"), texts, size, percent, scratch)
     linked = scratch.table(components(near.unionByName(far), scratch), "linked").withColumnRenamed("component", "reached")
 
     named = scratch.table(classes.join(linked, "id", "left").select("n", "one", "two", F.coalesce("reached", "id").alias("component_id")), "named")

@@ -71,15 +71,15 @@ def _at_level(seed: int, level: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
     return lambda pdf: _settle(pdf, seed, level)
 
 
-def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, limit: float = 2.0, seed: int = 17, chunk: int = 4096) -> DataFrame:
-    """doc_id, size, source_size, target, copies, taken for each row.
+def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, limit: float = 2.0, seed: int = 17, chunk: int = 4096, key_col: str | None = None) -> DataFrame:
+    """doc_id, size, source_size, target, copies, taken for each row, and `key` if key_col names a column to carry.
 
     size counts words (null text: 0); taken = size * copies. Rows of size 0 take part with 0 copies. Null ids are
     ids like any other; repeated rows are rows of their own. The result depends on the rows and the seed only, not on
     how they are partitioned. An empty table gives an empty result.
     """
     scratch = Scratch(docs.sparkSession, "mixing")
-    sizes = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), source_key(F.col(source_col)).alias("source_key"), F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
+    sizes = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), source_key(F.col(source_col)).alias("source_key"), F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("size"), *([F.col(key_col).alias("key")] if key_col else []))
     sizes = scratch.table(sizes, "sizes")
     targets = scratch.table(source_targets(sizes, weights, share, limit), "targets")
     each = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
@@ -103,4 +103,22 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             break
         level += 1
     copies = (F.col("base") + F.col("p")).cast("long")
-    return done.select("doc_id", "size", "source_size", "target", copies.alias("copies"), (F.col("size") * copies).alias("taken"))
+    return done.select("doc_id", "size", "source_size", "target", copies.alias("copies"), (F.col("size") * copies).alias("taken"), *(["key"] if key_col else []))
+
+
+def take_mix(docs: DataFrame, **options) -> DataFrame:
+    """The rows of docs, each as many times as mix_sources(docs, ...) takes it, with all their columns.
+
+    Rows find their copies by a hash of all columns, so null and repeated ids are safe; rows that are alike in every
+    column share what they are taken together.
+    """
+    columns = docs.columns
+    scratch = Scratch(docs.sparkSession, "take-mix")
+    key = F.concat_ws("-", *(F.xxhash64(F.lit(salt), *(F.col(f"`{c}`") for c in columns)).cast("string") for salt in (1, 2)))
+    keyed = docs.withColumn("_mix_key", key)
+    taken = mix_sources(keyed, key_col="_mix_key", **options).groupBy("key").agg(F.sum("copies").alias("_copies"), F.count("*").alias("_alike"))
+    taken = scratch.table(taken.filter("_copies > 0").withColumnRenamed("key", "_mix_key"), "taken")
+    joined = keyed.join(taken, "_mix_key")
+    one, more = joined.filter("_alike = 1"), joined.filter("_alike > 1").dropDuplicates(["_mix_key"])
+    times = F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies"))).alias("_nth")
+    return one.unionByName(more).select(*(F.col(f"`{c}`") for c in columns), times).drop("_nth")

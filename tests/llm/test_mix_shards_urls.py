@@ -1,6 +1,6 @@
 import random
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import pytest
 from pyspark.sql import functions as F
@@ -71,6 +71,21 @@ def test_mix_expectation(make):
         assert total[i] / 12 / 40 == pytest.approx(target[s] / size[s], rel=0.06)
 
 
+def test_take_mix_keeps_rows(make):
+    """Null and repeated ids, repeated rows and clashing columns: each row comes as often as the mix takes it."""
+    rows = [*documents(6, 200), (None, "w w", None, "a"), (None, "w w w", None, None)] + [(9000, "w w w", None, "a")] * 5
+    df = make(rows)
+    out = mixing.take_mix(df)
+    assert out.columns == df.columns
+    got = Counter((r.doc_id, r.text) for r in out.collect())
+    want = Counter()
+    for r in mixing.mix_sources(df.withColumn("row", F.struct("doc_id", "text")), key_col="row").collect():
+        if r.copies:
+            want[r.key.doc_id, r.key.text] += r.copies
+    assert got == want
+    assert mixing.take_mix(make([])).count() == 0
+
+
 def test_mix_empty(make):
     assert mixing.mix_sources(make([])).count() == 0
     only = mixing.mix_sources(make([(1, None), (2, "")])).collect()

@@ -36,9 +36,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as many times as the mix takes it: not at all, once or twice."""
-    taken = Scratch(spark, "mix").table(mixing.mix_sources(docs).filter("copies > 0").groupBy("doc_id").agg(F.max("copies").alias("copies")), "taken")
-    times = F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))
-    return docs.join(taken, "doc_id").withColumn("nth", times).select(*docs.columns)
+    return mixing.take_mix(docs)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

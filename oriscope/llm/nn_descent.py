@@ -7,7 +7,8 @@ reverse and two shuffles. Equal vectors are one node.
 
 Searching: a query keeps its best nodes found so far; a round joins those not yet looked into with the graph, fetches
 the vectors of nodes that are new to the query, and keeps the best. It ends when nothing among the best is left to
-look into. Scores are taken from the original vectors in double precision.
+look into. Both use unit vectors in half precision; the best found are scored anew, and ranked, from the original
+vectors in double precision.
 """
 
 from __future__ import annotations
@@ -114,12 +115,11 @@ def _merge(pairs: DataFrame, k: int, parts: int) -> DataFrame:
     return pairs.withColumn("bucket", F.pmod(F.xxhash64("node"), F.lit(parts))).groupBy("bucket").applyInArrow(lambda t: top(t), "node long, others array<long>, sims array<float>")
 
 
-def build_graph(nodes: DataFrame, dim: int, scratch: Scratch, k: int = 14, orders: int = 3, rounds: int = 6, least_change: float = 0.02, seed: int = 5) -> DataFrame:
-    """node, others, sims of the NN-descent graph over nodes(node, unit), unit being packed 32-bit unit vectors."""
+def build_graph(nodes: DataFrame, dim: int, scratch: Scratch, k: int = 32, orders: int = 6, rounds: int = 6, least_change: float = 0.02, seed: int = 5) -> DataFrame:
+    """node, others, sims of the NN-descent graph over nodes(node, unit, half), packed unit vectors of 32 and 16 bits."""
     n = nodes.count()
     parts = max(8, -(-n // 4000))
     graph = scratch.table(_merge(_starting_pairs(nodes, dim, k, orders, seed, parts), k, parts), "graph")
-    small = nodes.select("node", "unit")
 
     def meet(table: pa.Table) -> pa.Table:
         """At each meeting place, compare what has come; report to each vector what it did not know to be so near."""
@@ -143,13 +143,7 @@ def build_graph(nodes: DataFrame, dim: int, scratch: Scratch, k: int = 14, order
         a, b, s = _best(np.concatenate(a_all), np.concatenate(b_all), np.concatenate(s_all), k)
         return pa.table({"node": a, "other": b, "sim": pa.array(s, pa.float32())})
 
-    def halve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if b.num_rows:
-                half = _matrix(b.column(1)).astype("<f2")
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x.tobytes() for x in half], pa.binary())], ["node", "half"])
-
-    halves = scratch.table(small.mapInArrow(halve, "node long, half binary"), "halves")
+    halves = nodes.select("node", "half")
     for _ in range(rounds):
         links = graph.select("node", F.explode("others").alias("other"))
         nth = F.row_number().over(Window.partitionBy("other").orderBy(F.xxhash64("node", "other")))
@@ -167,51 +161,48 @@ def build_graph(nodes: DataFrame, dim: int, scratch: Scratch, k: int = 14, order
     return graph
 
 
-def search(queries: DataFrame, nodes: DataFrame, graph: DataFrame, scratch: Scratch, degree: int = 20, width: int = 48, hops: int = 12) -> DataFrame:
-    """query_id, node, score: up to `width` best nodes of each of queries(query_id, start, v).
+def search(queries: DataFrame, nodes: DataFrame, graph: DataFrame, scratch: Scratch, degree: int = 32, width: int = 128, hops: int = 16) -> DataFrame:
+    """query_id, best: up to `width` best nodes of each of queries(query_id, start, half), best first.
 
-    start is a node to begin with, or null. v are packed doubles, as are those of nodes(node, v).
+    start is a node to begin with, or null. half are packed unit vectors, as those of nodes(node, half).
     """
     links = graph.select("node", F.explode("others").alias("other"))
     nth = F.row_number().over(Window.partitionBy("node").orderBy(F.xxhash64("node", "other")))
     back = links.select(F.col("other").alias("node"), F.col("node").alias("other")).withColumn("nth", nth).filter(F.col("nth") <= degree).groupBy("node").agg(F.collect_list("other").alias("back"))
     graph = scratch.table(graph.join(back, "node", "left").select("node", F.array_union("others", F.coalesce("back", F.array().cast("array<long>"))).alias("links")), "links")
-    entries = nodes.orderBy(F.xxhash64("node"), "node").limit(ENTRIES).select("node", "v").toPandas()
+    entries = nodes.orderBy(F.xxhash64("node"), "node").limit(ENTRIES).select("node", "half").toPandas()
     entry_ids = entries["node"].to_numpy(np.int64)
-    entry_v = _matrix(pa.array(entries["v"], pa.binary()), "<f8") if len(entries) else np.zeros((0, 1))
-    entry_norm = np.sqrt((entry_v * entry_v).sum(axis=1))
-    state_schema = "query_id long, v binary, best array<long>, scores array<double>, done array<long>, todo array<long>"
+    entry_x = np.frombuffer(b"".join(entries["half"]), "<f2").reshape(len(entries), -1).astype(np.float32)
+    state_schema = "query_id long, half binary, best array<long>, scores array<float>, done array<long>, todo array<long>"
+    columns = ["query_id", "half", "best", "scores", "done", "todo"]
 
     def begin(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = []
-            for query, start, v in pdf.itertuples(index=False):
-                q = np.frombuffer(v, "<f8")
-                s = entry_v @ q / (entry_norm * np.sqrt(q @ q))
+            for query, start, half in pdf.itertuples(index=False):
+                s = entry_x @ np.frombuffer(half, "<f2").astype(np.float32)
                 at = np.lexsort((entry_ids, -s))[:width]
-                own = [] if pd.isna(start) else [int(start)]
-                best = entry_ids[at].tolist()
-                rows.append((query, v, best, s[at].tolist(), [], list(dict.fromkeys(own + best[: 8 if own else 24]))))
-            yield pd.DataFrame(rows, columns=["query_id", "v", "best", "scores", "done", "todo"])
+                best, own = entry_ids[at].tolist(), [] if pd.isna(start) else [int(start)]
+                rows.append((query, half, best, s[at].tolist(), [], list(dict.fromkeys(own + best[: 4 if own else 24]))))
+            yield pd.DataFrame(rows, columns=columns)
 
     def step(state: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
         groups = {q: g for q, g in found.groupby("asked")} if len(found) else {}
         rows = []
-        for query, v, best, scores, done, todo in state[["query_id", "v", "best", "scores", "done", "todo"]].itertuples(index=False):
-            best, scores, done = np.asarray(best, np.int64), np.asarray(scores, np.float64), np.r_[np.asarray(done, np.int64), np.asarray(todo, np.int64)]
+        for query, half, best, scores, done, todo in state[columns].itertuples(index=False):
+            best, scores, done = np.asarray(best, np.int64), np.asarray(scores, np.float32), np.r_[np.asarray(done, np.int64), np.asarray(todo, np.int64)]
             if (g := groups.get(query)) is not None:
-                q, x = np.frombuffer(v, "<f8"), np.frombuffer(b"".join(g["v"]), "<f8").reshape(len(g), -1)
-                s = (x @ q) / (np.sqrt((x * x).sum(axis=1)) * np.sqrt(q @ q))
-                best, scores = np.r_[best, g["node"].to_numpy(np.int64)], np.r_[scores, s]
+                x = np.frombuffer(b"".join(g["half"]), "<f2").reshape(len(g), -1).astype(np.float32)
+                best = np.r_[best, g["node"].to_numpy(np.int64)]
+                scores = np.r_[scores, x @ np.frombuffer(half, "<f2").astype(np.float32)]
                 best, first = np.unique(best, return_index=True)
-                scores = scores[first]
-                at = np.lexsort((best, -scores))[:width]
-                best, scores = best[at], scores[at]
-            rows.append((query, v, best, scores, done, best[~np.isin(best, done)]))
-        return pd.DataFrame(rows, columns=["query_id", "v", "best", "scores", "done", "todo"])
-
-    state = scratch.table(queries.select("query_id", "start", "v").mapInPandas(begin, state_schema), "state")
-    buckets = max(6, -(-state.count() // 500))
+                at = np.lexsort((best, -scores[first]))[:width]
+                best, scores = best[at], scores[first][at]
+            rows.append((query, half, best, scores, done, best[~np.isin(best, done)]))
+        return pd.DataFrame(rows, columns=columns)
+
+    state = scratch.table(queries.select("query_id", "start", "half").mapInPandas(begin, state_schema), "state")
+    buckets = max(6, -(-state.count() // 100))
     by = lambda df, c: df.withColumn("bucket", F.pmod(F.xxhash64(c), F.lit(buckets))).groupBy("bucket")
     for _ in range(hops):
         open_ = state.filter(F.size("todo") > 0)
@@ -221,15 +212,28 @@ def search(queries: DataFrame, nodes: DataFrame, graph: DataFrame, scratch: Scra
         # Nodes that are new to the query: neighbours, and its own start, less what it has looked into or holds.
         reached = ask.select("query_id", F.explode(F.array_append("links", F.col("node"))).alias("node")).distinct()
         seen = open_.select("query_id", F.explode(F.array_union("done", "best")).alias("node"))
-        fresh = reached.join(seen, ["query_id", "node"], "left_anti").join(nodes.select("node", "v"), "node")
-        fresh = fresh.select(F.col("query_id").alias("asked"), F.col("node").alias("node"), F.col("v").alias("v"))
+        fresh = reached.join(seen, ["query_id", "node"], "left_anti").join(nodes.select("node", "half"), "node")
+        fresh = fresh.select(F.col("query_id").alias("asked"), F.col("node").alias("node"), F.col("half").alias("half"))
         better = by(state, "query_id").cogroup(by(fresh, "asked")).applyInPandas(lambda s, f: step(s, f), state_schema)
         before, state = state, scratch.table(better, "state")
         scratch.drop(before)
-    return state.select("query_id", F.explode(F.arrays_zip("best", "scores")).alias("x")).select("query_id", F.col("x.best").alias("node"), F.col("x.scores").alias("score"))
+    return state.select("query_id", "best")
+
+
+def exact_scores(pairs: DataFrame) -> DataFrame:
+    """query_id, node, score of pairs(query_id, node, qv, v), packed doubles: the cosine in double precision."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                q, x = _matrix(b.column(2), "<f8"), _matrix(b.column(3), "<f8")
+                s = (q * x).sum(axis=1) / (np.sqrt((q * q).sum(axis=1)) * np.sqrt((x * x).sum(axis=1)))
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(s, pa.float64())], ["query_id", "node", "score"])
+
+    return pairs.select("query_id", "node", "qv", "v").mapInArrow(run, "query_id long, node long, score double")
 
 
-def nearest_neighbours(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", every: int = 50, k: int = 5, degree: int = 14, width: int = 48) -> DataFrame:
+def nearest_neighbours(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", every: int = 50, k: int = 5, degree: int = 32, width: int = 128) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found of each vector whose id is divisible by `every`.
 
     Nearest first, ties to the smaller vec_id; a query is no neighbour of its own. Vectors that usable_vectors leaves
@@ -250,20 +254,21 @@ def nearest_neighbours(vectors: DataFrame, id_col: str = "vec_id", vec_col: str
                 # Scaled before squaring, so that neither great nor tiny components leave the range.
                 scaled = x / np.abs(x).max(axis=1, keepdims=True)
                 unit = (scaled / np.sqrt((scaled * scaled).sum(axis=1, keepdims=True))).astype("<f4")
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array([r.tobytes() for r in unit], pa.binary()), pa.array([r.tobytes() for r in x.astype("<f8")], pa.binary())], ["vec_id", "unit", "v"])
+                yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array([r.tobytes() for r in m], pa.binary()) for m in (unit, unit.astype("<f2"), x.astype("<f8")))], ["vec_id", "unit", "half", "v"])
 
-    packed = scratch.table(rows.mapInArrow(pack, "vec_id long, unit binary, v binary"), "packed")
+    packed = scratch.table(rows.mapInArrow(pack, "vec_id long, unit binary, half binary, v binary"), "packed")
     nth = F.row_number().over(Window.partitionBy("v").orderBy("vec_id"))
     copies = scratch.table(packed.select("vec_id", "v").withColumn("nth", nth).filter(F.col("nth") <= k + 1), "copies")
     heads = copies.filter("nth = 1").select(F.col("vec_id").alias("node"), "v")
-    nodes = scratch.table(heads.join(packed.select(F.col("vec_id").alias("node"), "v", "unit"), ["node", "v"]), "nodes")
+    nodes = scratch.table(heads.join(packed.select(F.col("vec_id").alias("node"), "v", "unit", "half"), ["node", "v"]), "nodes")
     # A vec_id that has several vectors makes several nodes of one id; the largest vector (as bytes) keeps the id.
-    nodes = nodes.groupBy("node").agg(F.max_by("v", "v").alias("v"), F.max_by("unit", "v").alias("unit"))
+    nodes = nodes.groupBy("node").agg(F.max_by("v", "v").alias("v"), F.max_by("unit", "v").alias("unit"), F.max_by("half", "v").alias("half"))
     nodes = scratch.table(nodes, "nodes")
     graph = build_graph(nodes, dim, scratch, degree)
-    queries = packed.filter(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("query_id"), "v").groupBy("query_id").agg(F.max("v").alias("v"))
-    queries = queries.join(nodes.select("v", F.col("node").alias("start")), "v", "left")
-    found = search(queries, nodes, graph, scratch, width=width)
+    queries = packed.filter(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("query_id"), "v", "half").groupBy("query_id").agg(F.max("v").alias("v"), F.max_by("half", "v").alias("half"))
+    queries = scratch.table(queries.join(nodes.select("v", F.col("node").alias("start")), "v", "left"), "queries")
+    best = search(queries, nodes, graph, scratch, degree, width).select("query_id", F.explode(F.slice("best", 1, 4 * k + 12)).alias("node"))
+    found = exact_scores(best.join(queries.select("query_id", F.col("v").alias("qv")), "query_id").join(nodes.select("node", "v"), "node"))
     members = copies.join(nodes, "v").select("node", "vec_id")
     pairs = found.join(members, "node").filter(F.col("vec_id") != F.col("query_id"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))

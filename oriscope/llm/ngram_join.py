@@ -104,6 +104,13 @@ def _low_size(n: int, percent: int) -> int:
     return min(n, (5 * (n - _need(n, percent))) // 2 + 2 * LEVELS)
 
 
+def _slices(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
+    """Batches of few rows: the hash arrays of many documents at once are several times as large as their texts."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def _texts(batch: pa.RecordBatch, at: int) -> list[bytes | None]:
     return batch.column(at).cast(pa.binary()).to_pylist()
 
@@ -141,7 +148,7 @@ def _frequent(docs: DataFrame, part_of, heavy: np.ndarray, size: int, percent: i
     known = docs.sparkSession.sparkContext.broadcast(heavy)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _slices(batches, 2000):
             sets = (shingle_set(x, size) for x in _texts(batch, 0))
             found = [x for s in sets if len(s) and len(x := part_of(s, percent, known.value))]
             if not found:
@@ -190,7 +197,7 @@ def profiles(docs: DataFrame, heavy: np.ndarray, size: int, percent: int) -> Dat
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         heavy = known.value
-        for batch in batches:
+        for batch in _slices(batches):
             n, one, two, prefixes = [], [], [], []
             for text in _texts(batch, 1):
                 s = shingle_set(text, size)
@@ -251,7 +258,7 @@ def verified(pairs: DataFrame, docs: DataFrame, size: int, percent: int, scratch
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last: tuple[bytes | None, np.ndarray] = None, np.zeros(0, np.uint64)
-        for batch in batches:
+        for batch in _slices(batches):
             keep = []
             for x, y in zip(_texts(batch, 2), _texts(batch, 3), strict=True):
                 if x != last[0]:

@@ -122,11 +122,14 @@ def identify(docs: DataFrame, profiles: dict[str, np.ndarray], text_col: str = "
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            pairs = [predict(x) for x in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array([x[0] for x in pairs], pa.string()), pa.array([x[1] for x in pairs], pa.float64())], [*batch.schema.names[1:], "lang_pred", "score"])
-
-    rows = docs.select(F.col(text_col).alias("_text"), *(F.col(f"`{c}`") for c in keep))
-    return rows.mapInArrow(run, rows.drop("_text").select("*", F.lit("").alias("lang_pred"), F.lit(0.0).alias("score")).schema)
+            pairs = [predict(x) for x in batch.column(at).to_pylist()]
+            kept = batch.columns[: len(keep)]
+            yield pa.RecordBatch.from_arrays([*kept, pa.array([x[0] for x in pairs], pa.string()), pa.array([x[1] for x in pairs], pa.float64())], [*batch.schema.names[: len(keep)], "lang_pred", "score"])
+
+    names = [*keep] if text_col in keep else [*keep, text_col]
+    at = names.index(text_col)
+    rows = docs.select(*(F.col(f"`{c}`") for c in names))
+    return rows.mapInArrow(run, rows.select(*(F.col(f"`{c}`") for c in keep), F.lit("").alias("lang_pred"), F.lit(0.0).alias("score")).schema)
 
 
 def held_out(id_col: str = "doc_id"):

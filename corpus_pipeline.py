@@ -16,14 +16,21 @@ from oriscope.llm.queries import tokenizer_path
 LEAST_SCORE = 0.02
 
 
+def _bounded_batches(spark: SparkSession) -> None:
+    """Whole rows go through Python here; a thousand long documents at a time fit a small executor."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+
+
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a letter, or like no language that was learnt, go; lang becomes the predicted one."""
+    _bounded_batches(spark)
     profiles = langid.learn_profiles(docs.filter(~langid.held_out()))
     kept = langid.identify(docs, profiles, keep=tuple(docs.columns), text_col="text")
     return kept.filter((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE)).withColumn("lang", F.col("lang_pred")).select(*docs.columns)
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    _bounded_batches(spark)
     return exact_dedup.drop_exact_copies(docs)
 
 

@@ -1,4 +1,5 @@
 import duckdb
+import pandas as pd
 import pytest
 
 import __spark_entry__
@@ -18,7 +19,7 @@ def duck():
 
 def rows(df):
     df = df[sorted(df.columns)]
-    plain = lambda x: "" if x is None or x != x else f"{x:.9g}" if isinstance(x, float) else str(x)
+    plain = lambda x: "" if pd.isna(x) else f"{x:.9g}" if isinstance(x, float) else str(x)
     return sorted(tuple(map(plain, r)) for r in df.astype(object).itertuples(index=False))
 
 

@@ -214,13 +214,16 @@ def profiles(docs: DataFrame, heavy: np.ndarray, size: int, percent: int) -> Dat
 
 
 def postings(sets: DataFrame, percent: int, scratch: Scratch, verify_cost: float = 0.2) -> DataFrame:
-    """token, id, n, pos, ell and first (id, n, pos of the token's first document) for sets(id, n, prefix).
+    """token, id, n, pos, ell and first (pos, id, n of the token's first document) for sets(id, n, prefix).
+
+    A token's first document is that whose prefix has it earliest. Among copies of one text that has the fewest
+    shingles of its own, so that it is near to the most of them.
 
     Tokens of one document are left out. ell is the document's own l: that of least estimated cost, the postings in its
     l-prefix and, at verify_cost a shingle, the candidates, of which there are at most the postings over l.
     """
     each = sets.select("id", "n", F.posexplode("prefix").alias("pos", "token"))
-    shared = each.groupBy("token").agg(F.count("*").alias("df"), F.min(F.struct("id", "n", "pos")).alias("first")).filter("df > 1")
+    shared = each.groupBy("token").agg(F.count("*").alias("df"), F.min(F.struct("pos", "id", "n")).alias("first")).filter("df > 1")
     shared = scratch.table(shared, "tokens")
     met = each.join(shared, "token")
     need = f"((n * {percent} + 99) div 100)"

@@ -155,9 +155,19 @@ PLAIN: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 
+#: Steps over coverage. The SQL of these names holds uniquely mapped reads only; `NAME_assigned` is the whole job, with
+#: multi-mapped reads at their genomes, which inference finds and SQL does not.
+COVERAGE = """positions_per_sequence min_reads_prefilter incremental_extract ref_histogram genomewide_bounds local_bounds rolling_counts
+    outlier_regions phase1_filter region_compaction phase2_regions phase2_filter ref_filter_pipeline ref_qc contig_histogram contig_qc
+    coverage_matrix masked_matrix sample_gate min_samples_gate bin_gate poisson_factor_order reordered_bins trimmed_bins contig_mle ols_slope
+    ref_log_likelihood_grid multisample_ll_grid circular_median single_sample_ptr shared_origin ptr_refit ptr_estimates_ref
+    ptr_estimates_contig ptr_table read_counts read_counts_pivot relative_abundance relative_abundance_pivot plot_data_ref plot_data_contig""".split()
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     steps = {name: (lambda spark, sf_dir, make=make: make(Steps(spark, sf_dir))) for name, make in STEPS.items()}
-    return steps | PLAIN
+    whole = {f"{name}_assigned": (lambda spark, sf_dir, make=STEPS[name]: make(Steps(spark, sf_dir, assigned=True))) for name in COVERAGE}
+    return steps | whole | PLAIN
 
 
 def oracle_sql() -> dict[str, str]:

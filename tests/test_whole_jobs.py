@@ -1,5 +1,6 @@
 """Whole jobs that the SQL of the shorter forms can't hold, against brute force."""
 
+import re
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -36,3 +37,14 @@ def test_assigned_reads_are_counted(spark):
 
 def test_every_coverage_query_has_a_whole_form():
     assert {f"{name}_assigned" for name in registry.COVERAGE} <= set(registry.queries())
+
+
+def test_headers_of_whole_pages(spark, tmp_path):
+    pages = [(3, "u3", ">one\nACGT\r\n>two " + "A" * 100), (4, "u4", "x" * 90 + "\n>three\r"), (5, "u5", None)]
+    spark.createDataFrame(pages, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    want = []
+    for i, url, html in pages:
+        lines = ([f">{url}"] if i % 3 == 0 else []) + re.split("\r\n|\r|\n", html or "")
+        want += [(f"refs/g{i % 7}.fa", i, n, f">g{i % 7}|{x[1:]}" if x[:1] == ">" else x) for n, x in enumerate(lines)]
+    rows = registry.queries()["fasta_header_rewrite_whole"](spark, str(tmp_path)).collect()
+    assert sorted((r.file, r.page_id, r.line_no, r.value) for r in rows) == sorted(want)

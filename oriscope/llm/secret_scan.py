@@ -3,7 +3,8 @@
 The lexer reads source and configuration text as statements `name = value`, `name: value`, `"name": value`,
 `export NAME=value`. A value is a literal, a reference to an earlier name, or several of these joined by `+`.
 References are replaced by what the name held, so a literal reaches every name that it is passed on to. Each literal
-is scored by how sensitive the names are that it reaches and by its own look.
+is scored by how sensitive the names are that it reaches and by its own look. Literals in triple quotes may span lines;
+statements inside them are read too. References inside quotes ("${name}") are not followed.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -27,7 +29,7 @@ KINDS = {"assign": 0, "access": 1, "hex": 2, "lexed": 3}
 
 _NAME = r"[A-Za-z_$][\w$.\-]*"
 STATEMENT = re.compile(rf"""(?<![\w$.\-"'])(?P<q>["']?)(?P<name>{_NAME})(?P=q)[\x20\t]*(?::=|=>|=(?![=>])|:(?![:/]))[\x20\t]*""", re.ASCII)
-TERM = re.compile(r"""(?:"(?P<double>(?:[^"\\\n]|\\.)*)"|'(?P<single>(?:[^'\\\n]|\\.)*)'|\$\{(?P<braced>[\w.\-]+)\}|\$(?P<dollar>\w+)|(?P<bare>[A-Za-z0-9+/_.=\-]+))""", re.ASCII)
+TERM = re.compile(r"""(?:\"{3}(?P<triple>(?:[^"\\]++|\\[\s\S]|"(?!""))*+)\"{3}|'{3}(?P<triple1>(?:[^'\\]++|\\[\s\S]|'(?!''))*+)'{3}|"(?P<double>(?:[^"\\\n]|\\.)*)"|'(?P<single>(?:[^'\\\n]|\\.)*)'|\$\{(?P<braced>[\w.\-]+)\}|\$(?P<dollar>\w+)|(?P<bare>[A-Za-z0-9+/_.=\-]+))""", re.ASCII)
 PLUS = re.compile(r"[\x20\t]*\+[\x20\t\n]*")
 WORDS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
 
@@ -52,40 +54,112 @@ def name_score(name: str) -> int:
     return sum(SENSITIVE.get(w, 0) - HARMLESS.get(w, 0) for w in words) + 2 * ("api" in words and "key" in words)
 
 
-def literal_score(value: str) -> float:
+class _Look(NamedTuple):
+    """What the score of a value needs. counts and n are to be multiplied by 2 ** scale: names joined to themselves
+    again and again hold values of any length."""
+
+    counts: dict[str, float]
+    n: float
+    scale: int
+    head: str
+    tail: str
+
+
+#: A value: its parts, each a span of the text or another value that is shared, and its look once that is known.
+_Value = list
+
+HEAD, TAIL, LARGE = 16, 2, 2.0**500
+
+
+def _look_of(text: str) -> _Look:
+    return _Look(Counter(text), len(text), 0, text[:HEAD], text[-TAIL:])
+
+
+def _joined_look(looks: list[_Look]) -> _Look:
+    scale = max(x.scale for x in looks)
+    counts: dict[str, float] = {}
+    n, head, tail = 0.0, "", ""
+    for x in looks:
+        for c, k in x.counts.items():
+            counts[c] = counts.get(c, 0.0) + math.ldexp(k, x.scale - scale)
+        n += math.ldexp(x.n, x.scale - scale)
+        head, tail = (head + x.head)[:HEAD] if len(head) < HEAD else head, (tail + x.tail)[-TAIL:]
+    if n > LARGE:
+        scale, n, counts = scale + 500, n / LARGE, {c: k / LARGE for c, k in counts.items()}
+    return _Look(counts, n, scale, head, tail)
+
+
+def _look(text: str, value: _Value) -> _Look:
+    """The look of a value; those of the values that it shares are kept with them."""
+    todo = [value]
+    while todo:
+        top = todo[-1]
+        unknown = [] if top[1] else [p for p in top[0] if isinstance(p, list) and not p[1]]
+        if unknown:
+            todo += unknown
+            continue
+        if not top[1]:
+            top[1] = _joined_look([p[1] if isinstance(p, list) else _look_of(text[p[0] : p[1]]) for p in top[0]])
+        todo.pop()
+    return value[1]
+
+
+def _is_placeholder(x: _Look) -> bool:
+    """Whether PLACEHOLDERS matches. Of a long value it needs the ends and which characters are between."""
+    if not x.scale and x.n <= HEAD:
+        return bool(PLACEHOLDERS.match(x.head))
+    last_only = x.tail.endswith("\n") and not x.scale and x.counts["\n"] == 1
+    return bool(PLACEHOLDERS.match(x.head + "".join(c for c in x.counts if c != "\n" or not last_only) + x.tail))
+
+
+def literal_score(x: _Look) -> float:
     """0 for what can't be a secret; else grows with length, mixture and entropy."""
-    if len(value) < 8 or PLACEHOLDERS.match(value) or value.count(" ") > 6:
+    long = lambda n: x.scale > 0 or x.n >= n
+    if not long(8) or _is_placeholder(x):
         return 0.0
-    n = len(value)
-    entropy = -sum(c / n * math.log2(c / n) for c in Counter(value).values())
-    mixed = any(c.isdigit() for c in value) + any(c.isalpha() for c in value) + any(not c.isalnum() and c != " " for c in value)
-    return 0.0 if mixed < 2 and entropy < 3.5 else min(entropy, 4.0) / 2 + (mixed - 1) * 0.5 + (n >= 16) * 0.5
+    entropy = -sum(c / x.n * math.log2(c / x.n) for c in x.counts.values() if c / x.n > 0)
+    mixed = any(c.isdigit() for c in x.counts) + any(c.isalpha() for c in x.counts) + any(not c.isalnum() and c != " " for c in x.counts)
+    return 0.0 if mixed < 2 and entropy < 3.5 else min(entropy, 4.0) / 2 + (mixed - 1) * 0.5 + long(16) * 0.5
 
 
 def lexed_spans(text: str, threshold: float = 4.5) -> list[tuple[int, int, str]]:
     """(start, end, `lexed`) of literals whose names and looks score the threshold."""
     if "=" not in text and ":" not in text:
         return []
-    held: dict[str, list[tuple[int, int]]] = {}
+    held: dict[str, _Value | None] = {}
     found: set[tuple[int, int]] = set()
-    at = 0
-    while m := STATEMENT.search(text, at):
-        at, parts = m.end(), []
-        while t := TERM.match(text, at):
+    told: set[int] = set()  # values whose spans are in found
+    kept: list[_Value] = []  # keeps their ids theirs
+    ranges = [(0, len(text))]  # the next one last
+    while ranges:
+        at, end = ranges.pop()
+        if not (m := STATEMENT.search(text, at, end)):
+            continue
+        at, parts, inner = m.end(), [], []
+        while t := TERM.match(text, at, end):
             kind = t.lastgroup
             value = t[kind].rstrip(".") if kind == "bare" else t[kind]
             if kind in ("braced", "dollar") or kind == "bare" and value in held:
-                parts += held.get(value, [])
+                parts += [p for p in [held.get(value)] if p]
             elif value:
                 parts.append((t.start(kind), t.start(kind) + len(value)))
+                if kind.startswith("triple"):
+                    inner.append((t.start(kind), t.end(kind)))
             at = t.end()
-            if not (plus := PLUS.match(text, at)):
+            if not (plus := PLUS.match(text, at, end)):
                 break
             at = plus.end()
-        parts = parts[:64]
-        held[m["name"]] = parts
-        if parts and (sensitive := name_score(m["name"])) >= 2 and sensitive + literal_score("".join(text[a:b] for a, b in parts)) >= threshold:
-            found.update(parts)
+        ranges += [(at, end), *reversed(inner)]
+        whole = parts[0] if len(parts) == 1 and isinstance(parts[0], list) else [parts, None] if parts else None
+        held[m["name"]] = whole
+        if whole and (sensitive := name_score(m["name"])) >= 2 and sensitive + literal_score(_look(text, whole)) >= threshold:
+            todo = [whole]
+            while todo:
+                if id(top := todo.pop()) not in told:
+                    told.add(id(top))
+                    kept.append(top)
+                    found.update(p for p in top[0] if isinstance(p, tuple))
+                    todo += [p for p in top[0] if isinstance(p, list)]
     return [(a, b, "lexed") for a, b in sorted(found)]
 
 

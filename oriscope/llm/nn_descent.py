@@ -7,7 +7,8 @@ reverse and two shuffles. Equal vectors are one node.
 
 Searching: a query keeps its best nodes found so far; a round joins those not yet looked into with the graph, fetches
 the vectors of nodes that are new to the query, and keeps the best. It ends when nothing among the best is left to
-look into. Both use unit vectors in half precision; the best found are scored anew, and ranked, from the original
+look into. Both use unit vectors in single precision and compare them by their distance in double precision, which
+tells near copies apart where the rounding of a cosine does not; all found are scored anew, and ranked, from the original
 vectors in double precision.
 """
 
@@ -58,17 +59,25 @@ def _best(owner: np.ndarray, other: np.ndarray, sim: np.ndarray, k: int) -> tupl
     return owner[keep], other[keep], sim[keep]
 
 
-PAIRS = "node long, other long, sim float"
-_pairs = lambda a, b, s: pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(s, pa.float32())], ["node", "other", "sim"])
+def _nearness(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """1 less half the squared distance of each of x to each of y: the cosine, free of the rounding of unit lengths."""
+    x, y = x.astype(np.float64), y.astype(np.float64)
+    centre = y[:1]
+    x, y = x - centre, y - centre
+    return 1 - ((x * x).sum(axis=1)[:, None] + (y * y).sum(axis=1) - 2 * (x @ y.T)) / 2
+
+
+PAIRS = "node long, other long, sim double"
+_pairs = lambda a, b, s: pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(s, pa.float64())], ["node", "other", "sim"])
 
 
 def _block_pairs(ids: np.ndarray, x: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Each vector's k nearest within the block."""
-    sim = x @ x.T
+    sim = _nearness(x, x)
     np.fill_diagonal(sim, -np.inf)
     k = min(k, len(ids) - 1)
     if k < 1:
-        return (np.zeros(0, np.int64),) * 2 + (np.zeros(0, np.float32),)
+        return (np.zeros(0, np.int64),) * 2 + (np.zeros(0),)
     at = np.argpartition(-sim, k - 1, axis=1)[:, :k]
     return np.repeat(ids, k), ids[at].ravel(), np.take_along_axis(sim, at, 1).ravel()
 
@@ -83,9 +92,9 @@ def _starting_pairs(nodes: DataFrame, dim: int, k: int, orders: int, seed: int,
         def keyed(batches: Iterator[pa.RecordBatch], planes=planes) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 if b.num_rows:
-                    y = _matrix(b.column(1)) @ planes
+                    y = _matrix(b.column(1)).astype(np.float64) @ planes
                     code = (y[:, :12] > 0) @ (1 << np.arange(11, -1, -1))
-                    yield pa.RecordBatch.from_arrays([*b.columns, pa.array(code + 0.5 + np.tanh(y[:, 12].astype(np.float64)) / 2.01, pa.float64())], ["node", "unit", "place"])
+                    yield pa.RecordBatch.from_arrays([*b.columns, pa.array(code + 0.5 + np.tanh(y[:, 12]) / 2.01, pa.float64())], ["node", "unit", "place"])
 
         def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ids, x = np.zeros(0, np.int64), np.zeros((0, dim), np.float32)
@@ -110,13 +119,13 @@ def _merge(pairs: DataFrame, k: int, parts: int) -> DataFrame:
         a, b, s = _best(*(table[c].to_numpy() for c in ("node", "other", "sim")), k)
         start = np.flatnonzero(np.r_[True, a[1:] != a[:-1]])
         cuts = pa.array(np.r_[start, len(a)], pa.int32())
-        return pa.table({"node": a[start], "others": pa.ListArray.from_arrays(cuts, pa.array(b)), "sims": pa.ListArray.from_arrays(cuts, pa.array(s, pa.float32()))})
+        return pa.table({"node": a[start], "others": pa.ListArray.from_arrays(cuts, pa.array(b)), "sims": pa.ListArray.from_arrays(cuts, pa.array(s, pa.float64()))})
 
-    return pairs.withColumn("bucket", F.pmod(F.xxhash64("node"), F.lit(parts))).groupBy("bucket").applyInArrow(lambda t: top(t), "node long, others array<long>, sims array<float>")
+    return pairs.withColumn("bucket", F.pmod(F.xxhash64("node"), F.lit(parts))).groupBy("bucket").applyInArrow(lambda t: top(t), "node long, others array<long>, sims array<double>")
 
 
 def build_graph(nodes: DataFrame, dim: int, scratch: Scratch, k: int = 32, orders: int = 6, rounds: int = 6, least_change: float = 0.02, seed: int = 5) -> DataFrame:
-    """node, others, sims of the NN-descent graph over nodes(node, unit, half), packed unit vectors of 32 and 16 bits."""
+    """node, others, sims of the NN-descent graph over nodes(node, unit), packed unit vectors of 32 bits."""
     n = nodes.count()
     parts = max(8, -(-n // 4000))
     graph = scratch.table(_merge(_starting_pairs(nodes, dim, k, orders, seed, parts), k, parts), "graph")
@@ -124,7 +133,7 @@ def build_graph(nodes: DataFrame, dim: int, scratch: Scratch, k: int = 32, order
     def meet(table: pa.Table) -> pa.Table:
         """At each meeting place, compare what has come; report to each vector what it did not know to be so near."""
         at, node, least = (table[c].to_numpy() for c in ("at", "node", "least"))
-        x = _matrix(table["half"], "<f2").astype(np.float32)
+        x = _matrix(table["unit"])
         order = np.lexsort((node, at))
         at, node, least, x = at[order], node[order], least[order], x[order]
         same = np.r_[False, (at[1:] == at[:-1]) & (node[1:] == node[:-1])]
@@ -134,22 +143,22 @@ def build_graph(nodes: DataFrame, dim: int, scratch: Scratch, k: int = 32, order
         for lo, hi in zip(start, np.r_[start[1:], len(at)], strict=True):
             for i in range(lo, hi, BLOCK):  # what many meet at goes block by block
                 j = min(hi, i + BLOCK)
-                sim = x[i:j] @ x[i:j].T
-                np.fill_diagonal(sim, -2)
-                r, c = np.nonzero(sim > least[i:j, None] + 1e-4)
+                sim = _nearness(x[i:j], x[i:j])
+                np.fill_diagonal(sim, -3)
+                r, c = np.nonzero(sim >= least[i:j, None])
                 a_all.append(node[i:j][r])
                 b_all.append(node[i:j][c])
                 s_all.append(sim[r, c])
         a, b, s = _best(np.concatenate(a_all), np.concatenate(b_all), np.concatenate(s_all), k)
-        return pa.table({"node": a, "other": b, "sim": pa.array(s, pa.float32())})
+        return pa.table({"node": a, "other": b, "sim": pa.array(s, pa.float64())})
 
-    halves = nodes.select("node", "half")
+    units = nodes.select("node", "unit")
     for _ in range(rounds):
         links = graph.select("node", F.explode("others").alias("other"))
         nth = F.row_number().over(Window.partitionBy("other").orderBy(F.xxhash64("node", "other")))
         back = links.withColumn("nth", nth).filter(F.col("nth") <= k).groupBy(F.col("other").alias("node")).agg(F.collect_list("node").alias("back"))
-        least = F.when(F.size("sims") >= k, F.array_min("sims")).otherwise(F.lit(-2.0)).cast("float")
-        sent = graph.join(back, "node", "left").join(halves, "node").select("node", least.alias("least"), "half", F.explode(F.array_union("others", F.coalesce("back", F.array().cast("array<long>")))).alias("at"))
+        least = F.when(F.size("sims") >= k, F.array_min("sims")).otherwise(F.lit(-2.0)).cast("double")
+        sent = graph.join(back, "node", "left").join(units, "node").select("node", least.alias("least"), "unit", F.explode(F.array_union("others", F.coalesce("back", F.array().cast("array<long>")))).alias("at"))
         met = sent.withColumn("bucket", F.pmod(F.xxhash64("at"), F.lit(parts))).groupBy("bucket").applyInArrow(lambda t: meet(t), PAIRS)
         known = graph.select("node", F.explode(F.arrays_zip("others", "sims")).alias("x")).select("node", F.col("x.others").alias("other"), F.col("x.sims").alias("sim"))
         better = scratch.table(_merge(known.unionByName(met), k, parts), "graph")
@@ -162,46 +171,46 @@ def build_graph(nodes: DataFrame, dim: int, scratch: Scratch, k: int = 32, order
 
 
 def search(queries: DataFrame, nodes: DataFrame, graph: DataFrame, scratch: Scratch, degree: int = 32, width: int = 128, hops: int = 16) -> DataFrame:
-    """query_id, best: up to `width` best nodes of each of queries(query_id, start, half), best first.
+    """query_id, best: up to `width` best nodes of each of queries(query_id, start, unit), best first.
 
-    start is a node to begin with, or null. half are packed unit vectors, as those of nodes(node, half).
+    start is a node to begin with, or null. unit are packed unit vectors, as those of nodes(node, unit).
     """
     links = graph.select("node", F.explode("others").alias("other"))
     nth = F.row_number().over(Window.partitionBy("node").orderBy(F.xxhash64("node", "other")))
     back = links.select(F.col("other").alias("node"), F.col("node").alias("other")).withColumn("nth", nth).filter(F.col("nth") <= degree).groupBy("node").agg(F.collect_list("other").alias("back"))
     graph = scratch.table(graph.join(back, "node", "left").select("node", F.array_union("others", F.coalesce("back", F.array().cast("array<long>"))).alias("links")), "links")
-    entries = nodes.orderBy(F.xxhash64("node"), "node").limit(ENTRIES).select("node", "half").toPandas()
+    entries = nodes.orderBy(F.xxhash64("node"), "node").limit(ENTRIES).select("node", "unit").toPandas()
     entry_ids = entries["node"].to_numpy(np.int64)
-    entry_x = np.frombuffer(b"".join(entries["half"]), "<f2").reshape(len(entries), -1).astype(np.float32)
-    state_schema = "query_id long, half binary, best array<long>, scores array<float>, done array<long>, todo array<long>"
-    columns = ["query_id", "half", "best", "scores", "done", "todo"]
+    entry_x = np.frombuffer(b"".join(entries["unit"]), "<f4").reshape(len(entries), -1)
+    state_schema = "query_id long, unit binary, best array<long>, scores array<double>, done array<long>, todo array<long>"
+    columns = ["query_id", "unit", "best", "scores", "done", "todo"]
 
     def begin(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = []
-            for query, start, half in pdf.itertuples(index=False):
-                s = entry_x @ np.frombuffer(half, "<f2").astype(np.float32)
+            for query, start, unit in pdf.itertuples(index=False):
+                s = _nearness(entry_x, np.frombuffer(unit, "<f4")[None])[:, 0]
                 at = np.lexsort((entry_ids, -s))[:width]
                 best, own = entry_ids[at].tolist(), [] if pd.isna(start) else [int(start)]
-                rows.append((query, half, best, s[at].tolist(), [], list(dict.fromkeys(own + best[: 4 if own else 24]))))
+                rows.append((query, unit, best, s[at].tolist(), [], list(dict.fromkeys(own + best[: 4 if own else 24]))))
             yield pd.DataFrame(rows, columns=columns)
 
     def step(state: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
         groups = {q: g for q, g in found.groupby("asked")} if len(found) else {}
         rows = []
-        for query, half, best, scores, done, todo in state[columns].itertuples(index=False):
-            best, scores, done = np.asarray(best, np.int64), np.asarray(scores, np.float32), np.r_[np.asarray(done, np.int64), np.asarray(todo, np.int64)]
+        for query, unit, best, scores, done, todo in state[columns].itertuples(index=False):
+            best, scores, done = np.asarray(best, np.int64), np.asarray(scores, np.float64), np.r_[np.asarray(done, np.int64), np.asarray(todo, np.int64)]
             if (g := groups.get(query)) is not None:
-                x = np.frombuffer(b"".join(g["half"]), "<f2").reshape(len(g), -1).astype(np.float32)
+                x = np.frombuffer(b"".join(g["unit"]), "<f4").reshape(len(g), -1)
                 best = np.r_[best, g["node"].to_numpy(np.int64)]
-                scores = np.r_[scores, x @ np.frombuffer(half, "<f2").astype(np.float32)]
+                scores = np.r_[scores, _nearness(x, np.frombuffer(unit, "<f4")[None])[:, 0]]
                 best, first = np.unique(best, return_index=True)
                 at = np.lexsort((best, -scores[first]))[:width]
                 best, scores = best[at], scores[first][at]
-            rows.append((query, half, best, scores, done, best[~np.isin(best, done)]))
+            rows.append((query, unit, best, scores, done, best[~np.isin(best, done)]))
         return pd.DataFrame(rows, columns=columns)
 
-    state = scratch.table(queries.select("query_id", "start", "half").mapInPandas(begin, state_schema), "state")
+    state = scratch.table(queries.select("query_id", "start", "unit").mapInPandas(begin, state_schema), "state")
     buckets = max(6, -(-state.count() // 100))
     by = lambda df, c: df.withColumn("bucket", F.pmod(F.xxhash64(c), F.lit(buckets))).groupBy("bucket")
     for _ in range(hops):
@@ -212,8 +221,8 @@ def search(queries: DataFrame, nodes: DataFrame, graph: DataFrame, scratch: Scra
         # Nodes that are new to the query: neighbours, and its own start, less what it has looked into or holds.
         reached = ask.select("query_id", F.explode(F.array_append("links", F.col("node"))).alias("node")).distinct()
         seen = open_.select("query_id", F.explode(F.array_union("done", "best")).alias("node"))
-        fresh = reached.join(seen, ["query_id", "node"], "left_anti").join(nodes.select("node", "half"), "node")
-        fresh = fresh.select(F.col("query_id").alias("asked"), F.col("node").alias("node"), F.col("half").alias("half"))
+        fresh = reached.join(seen, ["query_id", "node"], "left_anti").join(nodes.select("node", "unit"), "node")
+        fresh = fresh.select(F.col("query_id").alias("asked"), F.col("node").alias("node"), F.col("unit").alias("unit"))
         better = by(state, "query_id").cogroup(by(fresh, "asked")).applyInPandas(lambda s, f: step(s, f), state_schema)
         before, state = state, scratch.table(better, "state")
         scratch.drop(before)
@@ -254,20 +263,20 @@ def nearest_neighbours(vectors: DataFrame, id_col: str = "vec_id", vec_col: str
                 # Scaled before squaring, so that neither great nor tiny components leave the range.
                 scaled = x / np.abs(x).max(axis=1, keepdims=True)
                 unit = (scaled / np.sqrt((scaled * scaled).sum(axis=1, keepdims=True))).astype("<f4")
-                yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array([r.tobytes() for r in m], pa.binary()) for m in (unit, unit.astype("<f2"), x.astype("<f8")))], ["vec_id", "unit", "half", "v"])
+                yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array([r.tobytes() for r in m], pa.binary()) for m in (unit, x.astype("<f8")))], ["vec_id", "unit", "v"])
 
-    packed = scratch.table(rows.mapInArrow(pack, "vec_id long, unit binary, half binary, v binary"), "packed")
+    packed = scratch.table(rows.mapInArrow(pack, "vec_id long, unit binary, v binary"), "packed")
     nth = F.row_number().over(Window.partitionBy("v").orderBy("vec_id"))
     copies = scratch.table(packed.select("vec_id", "v").withColumn("nth", nth).filter(F.col("nth") <= k + 1), "copies")
     heads = copies.filter("nth = 1").select(F.col("vec_id").alias("node"), "v")
-    nodes = scratch.table(heads.join(packed.select(F.col("vec_id").alias("node"), "v", "unit", "half"), ["node", "v"]), "nodes")
+    nodes = scratch.table(heads.join(packed.select(F.col("vec_id").alias("node"), "v", "unit"), ["node", "v"]), "nodes")
     # A vec_id that has several vectors makes several nodes of one id; the largest vector (as bytes) keeps the id.
-    nodes = nodes.groupBy("node").agg(F.max_by("v", "v").alias("v"), F.max_by("unit", "v").alias("unit"), F.max_by("half", "v").alias("half"))
+    nodes = nodes.groupBy("node").agg(F.max_by("v", "v").alias("v"), F.max_by("unit", "v").alias("unit"))
     nodes = scratch.table(nodes, "nodes")
     graph = build_graph(nodes, dim, scratch, degree)
-    queries = packed.filter(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("query_id"), "v", "half").groupBy("query_id").agg(F.max("v").alias("v"), F.max_by("half", "v").alias("half"))
+    queries = packed.filter(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("query_id"), "v", "unit").groupBy("query_id").agg(F.max("v").alias("v"), F.max_by("unit", "v").alias("unit"))
     queries = scratch.table(queries.join(nodes.select("v", F.col("node").alias("start")), "v", "left"), "queries")
-    best = search(queries, nodes, graph, scratch, degree, width).select("query_id", F.explode(F.slice("best", 1, 4 * k + 12)).alias("node"))
+    best = search(queries, nodes, graph, scratch, degree, width).select("query_id", F.explode("best").alias("node"))
     found = exact_scores(best.join(queries.select("query_id", F.col("v").alias("qv")), "query_id").join(nodes.select("node", "v"), "node"))
     members = copies.join(nodes, "v").select("node", "vec_id")
     pairs = found.join(members, "node").filter(F.col("vec_id") != F.col("query_id"))

@@ -35,10 +35,14 @@ def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents that links of five-word shingles at 0.8 connect, that with the smallest id stays."""
-    classes = ngram_join.link_documents(docs, size=5, threshold=0.8)
-    copies = Scratch(spark, "near-copies").table(classes.filter("doc_id != component_id").select("doc_id").distinct(), "copies")
-    return docs.join(copies, "doc_id", "left_anti").select(*docs.columns)
+    """Of rows that links of five-word shingles at 0.8 connect, that with the smallest doc_id stays, null ids last and
+    ties by the text's hash. Each row is judged by its own text, whether its doc_id repeats or is null."""
+    scratch = Scratch(spark, "near-copies")
+    rows = scratch.table(docs.withColumn("row_id", F.monotonically_increasing_id()).withColumn("text_hash", F.xxhash64("text")), "rows")
+    links = ngram_join.link_documents(rows, size=5, threshold=0.8, id_col="row_id").select(F.col("doc_id").alias("row_id"), F.col("component_id").alias("component"))
+    order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash", "row_id")
+    first = links.join(rows.select("row_id", "doc_id", "text_hash"), "row_id").groupBy("component").agg(F.min(order)["row_id"].alias("row_id"))
+    return rows.join(scratch.table(first.select("row_id"), "first"), "row_id", "left_semi").select(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

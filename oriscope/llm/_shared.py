@@ -6,22 +6,32 @@ import contextlib
 import math
 import tempfile
 import uuid
+import weakref
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: The ASCII white space that separates words: space, and tab to carriage return.
 SPACES = "\x20\t\n\x0b\x0c\r"
 WORD = r"[^\x20\x09-\x0D]+"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+#: The folders of local sessions without spark.checkpoint.dir.
+_local: weakref.WeakKeyDictionary = weakref.WeakKeyDictionary()
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a new one where that is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where that is unset, a local session gets a new
+    folder; on a cluster that is an error, as executors would write where nobody else can read."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        found = tempfile.mkdtemp(prefix="spark-scratch-", dir="/tmp")
-        spark.conf.set("spark.checkpoint.dir", found)
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        if spark not in _local:
+            _local[spark] = tempfile.mkdtemp(prefix="spark-scratch-", dir="/tmp")
+        found = _local[spark]
     return found.rstrip("/")
 
 
@@ -52,6 +62,13 @@ class Scratch:
                 path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
+    """Batches of few rows: what is made of many documents at once is several times as large as their texts."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def ascii_lower(c: Column) -> Column:
     """A-Z only; letters outside ASCII stay."""
     return F.translate(c, UPPER, UPPER.lower())
@@ -64,3 +81,36 @@ def pow2_at_least(n: float) -> int:
 def source_key(c: Column) -> Column:
     """A non-null join key: null and any string stay apart."""
     return F.when(c.isNull(), F.lit("n")).otherwise(F.concat(F.lit("v"), c.cast("string")))
+
+
+def join_unique(left: DataFrame, right: DataFrame, on: list[str], weight: str, how: str = "inner", share: int = 500) -> DataFrame:
+    """left joined to right, whose keys are unique, such that no task gets a hot key's rows. left's keys aren't null.
+
+    weight is a column of right, left out of the result: how many rows of left have the key. Keys with more than a
+    share-th of these rows, of which there are fewer than `share`, are broadcast; the others are shuffled. right is
+    read several times, so it should be a written table.
+    """
+    rows = right.agg(F.sum(weight)).first()[0] or 0
+    is_hot = F.col(weight) * share > rows
+    hot, few = F.broadcast(right.filter(is_hot).drop(weight)), right.filter(~is_hot).drop(weight)
+    return left.join(hot, on).unionByName(left.join(hot.select(*on), on, "left_anti").join(few, on, how))
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """A column name that df has not, with more underscores if need be."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
+def row_hash(df: DataFrame, salt: int = 0) -> Column:
+    """A 64-bit hash over all columns; those that hold maps, which have no hash, are hashed as JSON."""
+
+    def holds_map(kind: T.DataType) -> bool:
+        if isinstance(kind, T.StructType):
+            return any(holds_map(f.dataType) for f in kind.fields)
+        return isinstance(kind, (T.MapType, T.VariantType)) or isinstance(kind, T.ArrayType) and holds_map(kind.elementType)
+
+    cell = lambda f: F.to_json(F.struct(F.col(f"`{f.name}`").alias("x"))) if holds_map(f.dataType) else F.col(f"`{f.name}`")
+    return F.xxhash64(F.lit(salt), *(cell(f) for f in df.schema.fields))

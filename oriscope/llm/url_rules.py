@@ -2,8 +2,8 @@
 
 A URL is a transaction of tokens (domain suffixes, path words, query keys, scheme). FP-growth over
 labelled URLs finds token combinations; those that imply a label with enough support, confidence and lift become
-rules. Rules match through an inverted index: each rule is posted under its rarest token only, a URL looks up its own
-tokens, and what it finds is checked against the rule's remaining tokens.
+rules. Rules match through an inverted index: each rule is posted only under that of its tokens which the fewest URLs
+have, a URL looks up its own tokens, and what it finds is checked against the rule's remaining tokens.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from oriscope.llm._shared import Scratch, ascii_lower
+from oriscope.llm._shared import Scratch, ascii_lower, join_unique
 
 
 def host_of(url: Column) -> Column:
@@ -52,14 +52,18 @@ def mine_rules(labelled: DataFrame, min_support: float, min_rows: int, min_confi
     """rule_id, tokens, label, confidence, support from labelled(tokens, label).
 
     A combination must hold in min_support of the rows and in min_rows of them, so that
-    few labelled rows give few rules; no labelled rows give none.
+    few labelled rows give few rules; no labelled rows give none. Tokens that all rows have are left out: they add
+    nothing to a combination.
     """
     spark = labelled.sparkSession
     schema = "rule_id string, tokens array<string>, label string, confidence double, lift double, support double"
-    baskets = labelled.filter(F.size("tokens") > 0).select(F.concat("tokens", F.array(F.concat(F.lit("label="), "label"))).alias("items"))
-    rows = baskets.count()
+    labelled = labelled.filter(F.size("tokens") > 0)
+    rows = labelled.count()
     if rows < min_rows:
         return spark.createDataFrame([], schema)
+    always = [r[0] for r in labelled.select(F.explode("tokens").alias("token")).groupBy("token").count().filter(F.col("count") == rows).collect()]  # no more than one row has
+    tokens = F.array_except("tokens", F.array(*map(F.lit, always)).cast("array<string>"))
+    baskets = labelled.select(F.concat(tokens, F.array(F.concat(F.lit("label="), "label"))).alias("items"))
     min_support = max(min_support, min_rows / rows)
     rules = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence, **{"numPartitions": partitions} if partitions else {}).fit(baskets).associationRules
     implied = F.element_at("consequent", 1)
@@ -83,11 +87,19 @@ def match_rules(urls: DataFrame, rules: DataFrame) -> DataFrame:
 
     Best: highest confidence, then support, then fewest tokens, then rule_id and label.
     """
-    common = rules.select(F.explode("tokens").alias("token"), "rule_id").groupBy("token").agg(F.countDistinct("rule_id").alias("rules"))
-    # Tokens that many rules share are the frequent ones: the least shared token is the posting's key.
-    posts = rules.select("*", F.explode("tokens").alias("token")).join(common, "token")
-    posts = posts.groupBy("rule_id", "label").agg(F.min(F.struct("rules", "token"))["token"].alias("token"), F.first("tokens").alias("rule_tokens"), F.first("confidence").alias("confidence"), F.first("support").alias("support"))
-    found = urls.select("key", "tokens", F.explode("tokens").alias("token")).join(posts, "token")
+    scratch = Scratch(urls.sparkSession, "match-rules")
+    each = rules.select("*", F.explode("tokens").alias("token"))
+    words = urls.select("key", "tokens", F.explode("tokens").alias("token"))
+    # Rules' tokens are frequent in the labelled URLs, so that their number is bounded by 1 / min_support times the tokens
+    # of a URL.
+    common = words.join(F.broadcast(each.select("token").distinct()), "token").groupBy("token").agg(F.count("*").alias("urls"))
+    common = scratch.table(common, "common")
+    # Tokens that no URL has find nothing, and neither do their rules.
+    held = each.join(common, "token", "left").groupBy("rule_id", "label").agg(F.min(F.struct(F.coalesce("urls", F.lit(0)).alias("urls"), "token")).alias("rarest"), F.first("tokens").alias("rule_tokens"), F.first("confidence").alias("confidence"), F.first("support").alias("support"))
+    posts = held.filter("rarest.urls > 0").select(F.col("rarest.token").alias("token"), F.struct("rule_id", "label", "rule_tokens", "confidence", "support").alias("rule"))
+    posts = posts.groupBy("token").agg(F.collect_list("rule").alias("rules"))
+    posts = scratch.table(posts.join(common, "token"), "posts")
+    found = join_unique(words, posts, ["token"], "urls").select("key", "tokens", F.explode("rules").alias("rule")).select("key", "tokens", "rule.*")
     found = found.filter(F.size(F.array_except("rule_tokens", "tokens")) == 0)
     rank = F.struct(-F.col("confidence"), -F.col("support"), F.size("rule_tokens"), "rule_id", "label")
     return found.groupBy("key").agg(F.min_by(F.struct("label", "rule_id"), rank).alias("mined"))
@@ -109,8 +121,13 @@ def judge_urls(pages: DataFrame, labels: DataFrame, rules: list[tuple[str, str]]
     mined = scratch.table(prune_rules(scratch.table(mine_rules(labelled, min_support, min_rows, min_confidence, min_lift), "rules")), "pruned")
     ruled = explicit_rule(F.col("host"), F.col("path"), rules)
     judged = parsed.withColumn("ruled", ruled).withColumn("key", F.when(F.col("ruled").isNull() & (F.col("host") != ""), url))
-    distinct = judged.filter("key is not null").groupBy("key").agg(F.first("host").alias("host"), F.first("path").alias("path"))
+    open_ = judged.filter("key is not null")
+    distinct = open_.groupBy("key").agg(F.first("host").alias("host"), F.first("path").alias("path"), F.count("*").alias("rows"))
+    distinct = scratch.table(distinct, "urls")
     matched = match_rules(distinct.select("key", url_tokens(F.col("key"), F.col("host"), F.col("path")).alias("tokens")), mined)
-    matched = scratch.table(matched, "matched").withColumnRenamed("key", "matched_key")
-    out = judged.join(matched, F.col("key") == F.col("matched_key"), "left")
+    matched = scratch.table(distinct.select("key", "rows").join(matched, "key", "left"), "matched")
+    # Rows that a rule decides, or without a host, need no lookup; the pages of one hot URL meet its rule by broadcast.
+    found = join_unique(open_, matched, ["key"], "rows", "left")
+    rest = judged.filter("key is null").select("*", F.lit(None).cast(matched.schema["mined"].dataType).alias("mined"))
+    out = found.select(*rest.columns).unionByName(rest)
     return out.select("page_id", "host", "path", F.col("ruled.rule").alias("rule"), F.coalesce("ruled.verdict", "mined.label", F.lit(default)).alias("verdict"), F.when(F.col("ruled").isNull(), F.col("mined.rule_id")).alias("mined_rule"))

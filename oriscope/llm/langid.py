@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from oriscope.llm._shared import slices
+
 SPACE = 32
 
 
@@ -31,15 +33,25 @@ def _tables() -> tuple[np.ndarray, np.ndarray]:
     return low, letter
 
 
-def ngram_counts(text: str, orders: tuple[int, ...] = (1, 2, 3)) -> tuple[np.ndarray, np.ndarray]:
-    """Packed n-grams of code points and their counts; other characters than letters part words, as one space.
+SLICE = 1 << 20
 
-    An n-gram is packed as 21 bits a character. Those that hold a space inside are left out, as they cross words.
-    """
-    low, letter = _tables()
-    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
-    if not letter[codes].any():
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+def _pieces(codes: np.ndarray, letter: np.ndarray) -> Iterator[np.ndarray]:
+    """The code points in pieces of about SLICE, which end at other characters than letters: no n-gram crosses these."""
+    at, step = 0, SLICE
+    while at + step < len(codes):
+        end = at + step
+        while end < len(codes) and letter[codes[end : end + SLICE]].all():
+            end += SLICE
+        if end >= len(codes):
+            break
+        end += int(np.argmin(letter[codes[end : end + SLICE]]))
+        yield codes[at:end]
+        at = end
+    yield codes[at:]
+
+
+def _count(codes: np.ndarray, low: np.ndarray, orders: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray]:
     x = np.r_[SPACE, low[codes], SPACE]
     gap = x == SPACE
     x = x[np.r_[True, ~(gap[1:] & gap[:-1])]]
@@ -58,6 +70,32 @@ def ngram_counts(text: str, orders: tuple[int, ...] = (1, 2, 3)) -> tuple[np.nda
     return np.unique(np.concatenate(grams), return_counts=True)
 
 
+def _summed(found: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """The sum of (n-grams, counts)."""
+    if len(found) == 1:
+        return found[0]
+    grams, at = np.unique(np.concatenate([g for g, _ in found]), return_inverse=True)
+    return grams, np.bincount(at, np.concatenate([n for _, n in found]), len(grams)).astype(np.int64)
+
+
+def ngram_counts(text: str, orders: tuple[int, ...] = (1, 2, 3)) -> tuple[np.ndarray, np.ndarray]:
+    """Packed n-grams of code points and their counts; other characters than letters part words, as one space.
+
+    An n-gram is packed as 21 bits a character. Those that hold a space inside are left out, as they cross words. A
+    text is counted in pieces of bounded size, unless it is one word.
+    """
+    low, letter = _tables()
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
+    if not letter[codes].any():
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    total = None
+    for piece in _pieces(codes, letter):
+        if letter[piece].any():
+            found = _count(piece, low, orders)
+            total = found if total is None else _summed([total, found])
+    return total
+
+
 def _ranked(grams: np.ndarray, counts: np.ndarray, top: int) -> np.ndarray:
     """The most frequent n-grams, ties by their own order."""
     if len(grams) > top:
@@ -70,7 +108,7 @@ def _ranked(grams: np.ndarray, counts: np.ndarray, top: int) -> np.ndarray:
 def learn_profiles(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", top: int = 400, rows_per_lang: int = 4000) -> dict[str, np.ndarray]:
     """Ranked n-grams of each language, from a bounded sample of labelled rows.
 
-    About rows_per_lang whole texts of each language are counted, chosen by a hash of the id; the counts are summed
+    About rows_per_lang whole texts of each language are counted, chosen by a hash of id and text; the counts are summed
     by Spark and `top` n-grams a language come to the driver. Rows with a null text or language take no part.
     """
     labelled = labelled.filter(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull())
@@ -78,16 +116,15 @@ def learn_profiles(labelled: DataFrame, id_col: str = "doc_id", text_col: str =
     if not sizes:
         return {}
     share = F.element_at(F.create_map(*(x for k, n in sizes.items() for x in (F.lit(k), F.lit(min(1.0, rows_per_lang / n))))), F.col(lang_col))
-    chosen = labelled.filter(F.pmod(F.xxhash64(id_col), F.lit(1 << 20)) < share * (1 << 20)).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
+    chosen = labelled.filter(F.pmod(F.xxhash64(id_col, text_col), F.lit(1 << 20)) < share * (1 << 20)).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             per: dict[str, list] = {}
             for lang, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 per.setdefault(lang, []).append(ngram_counts(text))
             for lang, found in per.items():
-                grams, at = np.unique(np.concatenate([g for g, _ in found]), return_inverse=True)
-                counts = np.bincount(at, np.concatenate([n for _, n in found])).astype(np.int64) if len(grams) else grams
+                grams, counts = _summed(found)
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(grams), pa.string()), pa.array(grams, pa.int64()), pa.array(counts, pa.int64())], ["lang", "gram", "n"])
 
     counts = chosen.mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
@@ -97,8 +134,9 @@ def learn_profiles(labelled: DataFrame, id_col: str = "doc_id", text_col: str =
     return {lang: pdf["gram"].to_numpy(np.int64) for lang, pdf in found.groupby("lang")}
 
 
-def identify(docs: DataFrame, profiles: dict[str, np.ndarray], text_col: str = "text", keep: tuple[str, ...] = (), top: int = 400) -> DataFrame:
-    """`keep` columns, lang_pred and score for each row of docs.
+def identify(docs: DataFrame, profiles: dict[str, np.ndarray], text_col: str = "text", keep: tuple[str, ...] = (), top: int = 400, names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """`keep` columns, lang_pred and score for each row of docs; `names` are those of the latter two, for tables that
+    have such columns.
 
     score is 1 less the distance over the greatest possible one: 1 for a text that ranks its n-grams as the profile
     does, 0 for one that shares none. Null and empty texts and those without a letter are `und` with score 0, as all
@@ -121,15 +159,17 @@ def identify(docs: DataFrame, profiles: dict[str, np.ndarray], text_col: str = "
         return langs[int(far.argmin())], 1 - float(far.min()) / (top * len(found))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             pairs = [predict(x) for x in batch.column(at).to_pylist()]
             kept = batch.columns[: len(keep)]
             yield pa.RecordBatch.from_arrays([*kept, pa.array([x[0] for x in pairs], pa.string()), pa.array([x[1] for x in pairs], pa.float64())], [*batch.schema.names[: len(keep)], "lang_pred", "score"])
 
-    names = [*keep] if text_col in keep else [*keep, text_col]
-    at = names.index(text_col)
-    rows = docs.select(*(F.col(f"`{c}`") for c in names))
-    return rows.mapInArrow(run, rows.select(*(F.col(f"`{c}`") for c in keep), F.lit("").alias("lang_pred"), F.lit(0.0).alias("score")).schema)
+    # Columns go through Python under names of their own, as Arrow's take no dots.
+    columns = [*keep] if text_col in keep else [*keep, text_col]
+    at = columns.index(text_col)
+    rows = docs.select(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(columns)))
+    schema = rows.select(*rows.columns[: len(keep)], F.lit("").alias("lang_pred"), F.lit(0.0).alias("score")).schema
+    return rows.mapInArrow(run, schema).toDF(*keep, *names)
 
 
 def held_out(id_col: str = "doc_id"):

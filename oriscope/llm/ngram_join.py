@@ -15,38 +15,43 @@ different components meet, with the multi-match test, so that no link between co
 
 from __future__ import annotations
 
+import hashlib
+import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from oriscope.llm._shared import Scratch
+from oriscope.llm._shared import Scratch, join_unique, slices
 
 LEVELS = 8  # the most shared prefix shingles that a document may ask for
 HEAVY_FROM = 32  # a shingle in the low parts of so many documents goes last in the order
 MAX_HEAVY = 1 << 20  # bound on such shingles (8 MB); the threshold rises until they fit
 SLICE = 1 << 20
+CACHED_WORDS = 1 << 18
 
 _R = np.uint64(0x9E3779B97F4A7C15)
-_rng = np.random.default_rng(20240229)
-_BYTES = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_BYTES[65:91] = _BYTES[97:123]  # A-Z as a-z
-_SPACE = np.zeros(256, bool)
-_SPACE[[32, 9, 10, 11, 12, 13]] = True
-_powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+_GAP = re.compile(rb"[\x20\x09-\x0D]")
 
 
-def _power_tables(n: int) -> list[np.ndarray]:
-    """Powers of an odd number and of its inverse, modulo 2**64."""
-    if len(_powers[0]) < n:
-        inverse = np.uint64(pow(int(_R), -1, 1 << 64))
-        for i, base in enumerate((_R, inverse)):
-            steps = np.full(n, base, np.uint64)
-            steps[0] = 1
-            _powers[i] = np.cumprod(steps, dtype=np.uint64)
-    return _powers
+class _Hashes(dict):
+    """A 64-bit hash of each word; `other` holds a second one, independent of the first."""
+
+    def __init__(self):
+        super().__init__()
+        self.other: dict[bytes, int] = {}
+
+    def __missing__(self, word: bytes) -> int:
+        digest = hashlib.blake2b(word, digest_size=16).digest()
+        self[word] = found = int.from_bytes(digest[:8], "little")
+        self.other[word] = int.from_bytes(digest[8:], "little")
+        return found
+
+
+_known = _Hashes()
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -55,37 +60,32 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def word_hashes(data: bytes) -> np.ndarray:
-    """64-bit hashes of the words of UTF-8 data, A-Z lower-cased. Works in slices of bounded size."""
-    out, at, n = [], 0, len(data)
+def words_of(data: bytes) -> Iterator[list[bytes]]:
+    """The words of UTF-8 data, A-Z lower-cased, in lists of bounded size (a word is never cut)."""
+    at, n = 0, len(data)
     while at < n:
-        end = min(n, at + SLICE)
-        b = np.frombuffer(data, np.uint8, end - at, at)
-        space = _SPACE[b]
-        if end < n:  # end the slice at white space, or take the long word whole
-            gaps = np.flatnonzero(space)
-            if len(gaps):
-                end = at + int(gaps[-1]) + 1
-            else:
-                while end < n and not _SPACE[data[end]]:
-                    end += 1
-            b = np.frombuffer(data, np.uint8, end - at, at)
-            space = _SPACE[b]
-        up, down = _power_tables(len(b) + 1)
-        total = np.zeros(len(b) + 1, np.uint64)
-        values = _BYTES[b] * up[: len(b)]
-        values[space] = 0
-        np.cumsum(values, out=total[1:])
-        edge = np.flatnonzero(np.diff(np.r_[True, space, True].astype(np.int8)))
-        start, stop = edge[::2], edge[1::2]
-        out.append(_mix((total[stop] - total[start]) * down[start]))
+        gap = _GAP.search(data, at + SLICE) if at + SLICE < n else None
+        end = gap.start() if gap else n
+        yield data[at:end].lower().split()
         at = end
-    return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
-def shingle_set(data: bytes | None, size: int) -> np.ndarray:
-    """Sorted distinct hashes of the word shingles; of the whole sequence if it is shorter; empty without words."""
-    words = word_hashes(data) if data else np.zeros(0, np.uint64)
+def word_hashes(data: bytes, both: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """Two independent 64-bit hashes of each word; the second ones only if `both`."""
+    if len(_known) > CACHED_WORDS:
+        _known.clear()
+        _known.other.clear()
+    one, two = [], []
+    for words in words_of(data):
+        one.append(np.fromiter(map(_known.__getitem__, words), np.uint64, len(words)))
+        if both:
+            two.append(np.fromiter(map(_known.other.__getitem__, words), np.uint64, len(words)))
+    empty = np.zeros(0, np.uint64)
+    return np.concatenate(one) if one else empty, np.concatenate(two) if two else empty
+
+
+def _shingles(words: np.ndarray, size: int) -> np.ndarray:
+    """Sorted distinct hashes of the runs of `size` words; of the whole sequence if it is shorter; empty without words."""
     if not len(words):
         return words
     width = min(size, len(words))
@@ -95,6 +95,28 @@ def shingle_set(data: bytes | None, size: int) -> np.ndarray:
     return np.unique(_mix(total))
 
 
+def shingle_set(data: bytes | None, size: int) -> np.ndarray:
+    """Sorted distinct hashes of a text's word shingles."""
+    return _shingles(word_hashes(data, both=False)[0], size) if data else np.zeros(0, np.uint64)
+
+
+def exact_overlap(x: bytes | None, y: bytes | None, size: int) -> tuple[int, int, int]:
+    """Numbers of distinct shingles of x, of y and of both, by the words themselves: equal shingles get equal numbers,
+    a word longer at a time."""
+    ids: dict[bytes, int] = {}
+    codes = [np.fromiter((ids.setdefault(w, len(ids)) for w in chain.from_iterable(words_of(t or b""))), np.int64) for t in (x, y)]
+    widths = [min(size, len(c)) for c in codes]
+    if 0 in widths or widths[0] != widths[1]:  # a shingle of fewer words than `size` is a whole text
+        return (*(len(_shingles(c.astype(np.uint64), size)) for c in codes), 0)
+    words, width = codes, widths[0]
+    for i in range(1, width):
+        codes = [c[:-1] * len(ids) + w[i:] for c, w in zip(codes, words, strict=True)]
+        found = np.unique(np.concatenate(codes), return_inverse=True)[1]
+        codes = [found[: len(codes[0])], found[len(codes[0]) :]]
+    one, two = (np.unique(c) for c in codes)
+    return len(one), len(two), len(np.intersect1d(one, two, assume_unique=True))
+
+
 def _need(n, percent: int):
     """ceil(threshold * n), the least overlap of a set of size n with one that links to it."""
     return (n * percent + 99) // 100
@@ -104,13 +126,6 @@ def _low_size(n: int, percent: int) -> int:
     return min(n, (5 * (n - _need(n, percent))) // 2 + 2 * LEVELS)
 
 
-def _slices(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
-    """Batches of few rows: the hash arrays of many documents at once are several times as large as their texts."""
-    for batch in batches:
-        for at in range(0, batch.num_rows, rows):
-            yield batch.slice(at, rows)
-
-
 def _texts(batch: pa.RecordBatch, at: int) -> list[bytes | None]:
     return batch.column(at).cast(pa.binary()).to_pylist()
 
@@ -148,7 +163,7 @@ def _frequent(docs: DataFrame, part_of, heavy: np.ndarray, size: int, percent: i
     known = docs.sparkSession.sparkContext.broadcast(heavy)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _slices(batches, 2000):
+        for batch in slices(batches, 2000):
             sets = (shingle_set(x, size) for x in _texts(batch, 0))
             found = [x for s in sets if len(s) and len(x := part_of(s, percent, known.value))]
             if not found:
@@ -192,25 +207,26 @@ def heavy_shingles(docs: DataFrame, size: int, percent: int, parts: int) -> np.n
 
 
 def profiles(docs: DataFrame, heavy: np.ndarray, size: int, percent: int) -> DataFrame:
-    """doc_id, n, a digest of the set (two longs) and the longest prefix in the global order, for each row."""
+    """row_id, n, a digest of the set (two longs, from independent hashes of the words) and the longest prefix in the
+    global order, for each row."""
     known = docs.sparkSession.sparkContext.broadcast(heavy)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         heavy = known.value
-        for batch in _slices(batches):
+        for batch in slices(batches):
             n, one, two, prefixes = [], [], [], []
             for text in _texts(batch, 1):
-                s = shingle_set(text, size)
+                s, t = (_shingles(w, size) for w in word_hashes(text or b""))
                 n.append(len(s))
                 one.append(int(_mix(s).sum(dtype=np.uint64).view(np.int64)) if len(s) else 0)
-                two.append(int(_mix(s * _R + np.uint64(7)).sum(dtype=np.uint64).view(np.int64)) if len(s) else 0)
+                two.append(int(_mix(t).sum(dtype=np.uint64).view(np.int64)) if len(t) else 0)
                 is_heavy = _is_in(s, heavy)
                 prefixes.append(np.r_[s[~is_heavy], s[is_heavy]][: _wanted(len(s), percent)].view(np.int64))
             cuts = np.r_[0, np.cumsum([len(p) for p in prefixes])].astype(np.int32)
             values = np.concatenate(prefixes) if prefixes else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(one, pa.int64()), pa.array(two, pa.int64()), pa.ListArray.from_arrays(cuts, values)], ["doc_id", "n", "one", "two", "prefix"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(one, pa.int64()), pa.array(two, pa.int64()), pa.ListArray.from_arrays(cuts, values)], ["row_id", "n", "one", "two", "prefix"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, one long, two long, prefix array<long>")
+    return docs.select("row_id", "text").mapInArrow(run, "row_id long, n long, one long, two long, prefix array<long>")
 
 
 def postings(sets: DataFrame, percent: int, scratch: Scratch, verify_cost: float = 0.2) -> DataFrame:
@@ -225,7 +241,7 @@ def postings(sets: DataFrame, percent: int, scratch: Scratch, verify_cost: float
     each = sets.select("id", "n", F.posexplode("prefix").alias("pos", "token"))
     shared = each.groupBy("token").agg(F.count("*").alias("df"), F.min(F.struct("pos", "id", "n")).alias("first")).filter("df > 1")
     shared = scratch.table(shared, "tokens")
-    met = each.join(shared, "token")
+    met = join_unique(each, shared.withColumn("members", F.col("df")), ["token"], "members")
     need = f"((n * {percent} + 99) div 100)"
     # The first l whose prefix holds the token, when the partner is of equal size.
     level = F.expr(f"greatest(1, pos + 1 - n + ((2 * n * {percent} + {99 + percent}) div {100 + percent}))")
@@ -254,22 +270,18 @@ def _sizes_fit(a: str, b: str, percent: int) -> Column:
 
 
 def verified(pairs: DataFrame, docs: DataFrame, size: int, percent: int, scratch: Scratch) -> DataFrame:
-    """a, b of the pairs whose whole sets link. docs(doc_id, text) with distinct ids."""
-    needed = scratch.table(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "needed")
-    texts = scratch.table(docs.select("doc_id", "text").join(needed, "doc_id").groupBy("doc_id").agg(F.max("text").alias("text")), "texts")
-    both = pairs.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b").join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
+    """a, b of the pairs whose whole sets link, by their words. docs(row_id, text) with distinct ids."""
+    needed = scratch.table(pairs.select(F.explode(F.array("a", "b")).alias("row_id")).groupBy("row_id").count(), "needed")
+    texts = scratch.table(docs.select("row_id", "text").join(needed, "row_id"), "texts")
+    side = lambda c: texts.select(F.col("row_id").alias(c), F.col("text").alias(f"text_{c}"), "count")
+    both = join_unique(pairs.join(side("b").drop("count"), "b"), side("a"), ["a"], "count")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last: tuple[bytes | None, np.ndarray] = None, np.zeros(0, np.uint64)
-        for batch in _slices(batches):
+        for batch in slices(batches):
             keep = []
             for x, y in zip(_texts(batch, 2), _texts(batch, 3), strict=True):
-                if x != last[0]:
-                    last = x, shingle_set(x, size)
-                one, two = last[1], shingle_set(y, size)
-                at = np.minimum(np.searchsorted(one, two), len(one) - 1)
-                common = int((one[at] == two).sum()) if len(one) and len(two) else 0
-                keep.append(common > 0 and common * 100 >= percent * (len(one) + len(two) - common))
+                one, two, common = exact_overlap(x, y, size)
+                keep.append(common > 0 and common * 100 >= percent * (one + two - common))
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
     found = scratch.table(both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long"), "links")
@@ -281,20 +293,24 @@ def components(links: DataFrame, scratch: Scratch) -> DataFrame:
     """id, component: the smallest id that links(a, b) reach, for every id in them.
 
     Each round gives every id the smallest label among its neighbours' and then that label's own label; rounds are
-    written to the shared folder. Long chains shorten by half a round.
+    written to the shared folder. Long chains shorten by half a round. Ids with many links and labels with many ids
+    are not gathered in one task.
     """
     edges = scratch.table(links.select("a", "b").union(links.select("b", "a")).distinct().toDF("id", "other"), "edges")
-    labels = scratch.table(edges.groupBy("id").agg(F.least(F.min("other"), F.first("id")).alias("component")), "labels")
+    labels = scratch.table(edges.groupBy("id").agg(F.least(F.min("other"), F.first("id")).alias("component"), F.count("*").alias("degree")), "labels")
     while True:
-        near = edges.join(labels.withColumnRenamed("id", "other"), "other").groupBy("id").agg(F.min("component").alias("near"))
-        better = labels.join(near, "id").select("id", "component", F.least("component", "near").alias("new"))
-        jump = better.select(F.col("id").alias("new"), F.col("new").alias("to"))
-        moved = better.join(jump, "new", "left").select("id", "component", F.least("new", F.coalesce("to", "new")).alias("new"))
-        moved = scratch.table(moved, "labels")
-        before, labels = labels, moved.select("id", F.col("new").alias("component"))
-        scratch.drop(before)
+        far = labels.select(F.col("id").alias("other"), F.col("component").alias("near"), "degree")
+        near = join_unique(edges, far, ["other"], "degree").groupBy("id").agg(F.min("near").alias("near"))
+        better = scratch.table(labels.join(near, "id").select("id", "component", "degree", F.least("component", "near").alias("new")), "better")
+        held = better.groupBy("new").agg(F.count("*").alias("members"))
+        jump = scratch.table(held.join(better.select(F.col("id").alias("new"), F.col("new").alias("to")), "new"), "jump")
+        moved = join_unique(better, jump, ["new"], "members")
+        moved = scratch.table(moved.select("id", "component", "degree", F.least("new", "to").alias("new")), "labels")
+        for table in (labels, better, jump):
+            scratch.drop(table)
+        labels = moved.select("id", F.col("new").alias("component"), "degree")
         if moved.filter("new != component").isEmpty():
-            return labels
+            return labels.drop("degree")
 
 
 def _enough(meetings: DataFrame) -> DataFrame:
@@ -302,52 +318,61 @@ def _enough(meetings: DataFrame) -> DataFrame:
     return meetings.groupBy("a", "b").agg(F.count("*").alias("met"), F.first("ell").alias("ell")).filter("met >= ell").select("a", "b", "met")
 
 
-def link_documents(docs: DataFrame, size: int = 3, threshold: float = 0.9, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id for each row of docs.
+def link_rows(rows: DataFrame, size: int, threshold: float, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """The sets of rows(row_id, text), a written table with distinct row ids, and the classes of equal sets.
 
-    component_id is the smallest doc_id that links reach, the row's own included. A document without words has no
-    shingles and links with nothing, not even with another such. Null ids are left in the result with a null component
-    and take part in no link. Rows that repeat an id with other shingles are all judged by the greatest of their
-    texts. An empty table gives an empty result; other columns are ignored. threshold counts in whole hundredths.
+    The sets are row_id, n, one, two; one row each. The classes are n, one, two, times (rows) and component, the
+    smallest row_id that links reach; sets without shingles are in no class.
     """
-    spark, percent = docs.sparkSession, round(threshold * 100)
-    scratch = Scratch(spark, "ngram-join")
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    spark, percent = rows.sparkSession, round(threshold * 100)
     heavy = heavy_shingles(rows, size, percent, max(16, int(spark.conf.get("spark.sql.shuffle.partitions"))))
     all_sets = scratch.table(profiles(rows, heavy, size, percent), "profiles")
-    known = all_sets.filter("n > 0 and doc_id is not null")
-    if not all_sets.filter("doc_id is not null").groupBy("doc_id").agg(F.min(F.struct("n", "one", "two")).alias("x"), F.max(F.struct("n", "one", "two")).alias("y")).filter("x != y").isEmpty():
-        one = link_documents(rows.filter("doc_id is not null").groupBy("doc_id").agg(F.max("text").alias("text")), size, threshold)
-        lone = all_sets.filter("doc_id is null").select("doc_id", F.col("n").alias("n_shingles"), F.lit(None).cast("long").alias("component_id"))
-        return all_sets.select("doc_id").join(one, "doc_id").select("doc_id", "n_shingles", "component_id").unionByName(lone)
-    classes = known.groupBy("n", "one", "two").agg(F.min("doc_id").alias("id"))
-    classes = scratch.table(classes, "classes")
-    sets = known.join(classes.select("id"), known["doc_id"] == F.col("id"), "left_semi").groupBy(F.col("doc_id").alias("id")).agg(F.max("n").alias("n"), F.max("prefix").alias("prefix"))
+    known = all_sets.filter("n > 0")
+    classes = scratch.table(known.groupBy("n", "one", "two").agg(F.min("row_id").alias("id"), F.count("*").alias("times")), "classes")
+    sets = known.join(classes.select(F.col("id").alias("row_id")), "row_id", "left_semi").select(F.col("row_id").alias("id"), "n", "prefix")
     lists = postings(sets, percent, scratch)
-    texts = rows.filter("doc_id is not null")
 
     me = lists.select(F.struct("id", "n", "pos").alias("x"), "first", "ell")
     star = me.filter((F.col("x.id") != F.col("first.id")) & _sizes_fit("x.n", "first.n", percent) & (_level(percent, "x", "first") <= F.col("ell")))
     star = _enough(star.select(F.col("first.id").alias("a"), F.col("x.id").alias("b"), "ell"))
     # Each document is held against one first document only: that which it shares most with.
     star = star.groupBy("b").agg(F.max_by("a", F.struct("met", -F.col("a"))).alias("a")).select("a", "b")
-    near = verified(scratch.table(star, "star"), texts, size, percent, scratch)
+    near = verified(scratch.table(star, "star"), rows, size, percent, scratch)
     merged = scratch.table(components(near, scratch), "merged")
 
     placed = scratch.table(lists.drop("first").join(merged, "id", "left").withColumn("component", F.coalesce("component", "id")), "placed")
     # In each list, the members of its largest component meet only those outside it.
     counts = placed.groupBy("token", "component").agg(F.count("*").alias("n_in"))
-    mixed = counts.groupBy("token").agg(F.count("*").alias("groups"), F.max_by("component", F.struct("n_in", "component")).alias("main")).filter("groups > 1").select("token", "main")
-    mixed = scratch.table(placed.join(scratch.table(mixed, "mixed"), "token"), "open")
+    mixed = counts.groupBy("token").agg(F.count("*").alias("groups"), F.sum("n_in").alias("members"), F.max_by("component", F.struct("n_in", "component")).alias("main")).filter("groups > 1").select("token", "main", "members")
+    mixed = scratch.table(join_unique(placed, scratch.table(mixed, "mixed"), ["token"], "members"), "open")
     side = lambda name: mixed.select("token", F.struct("id", "n", "pos", "ell", "component", (F.col("component") == F.col("main")).alias("in_main")).alias(name))
     asks = F.least("x.ell", "y.ell")
     apart = (F.col("x.component") != F.col("y.component")) & (F.col("y.in_main") | (F.col("x.id") < F.col("y.id")))
     meets = side("x").filter("not x.in_main").join(side("y"), "token").filter(apart & _sizes_fit("x.n", "y.n", percent) & (_level(percent, "x", "y") <= asks))
     cross = _enough(meets.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b"), asks.alias("ell"))).select("a", "b")
-    far = verified(scratch.table(cross, "cross"), texts, size, percent, scratch)
-    linked = scratch.table(components(near.unionByName(far), scratch), "linked").withColumnRenamed("component", "reached")
+    far = verified(scratch.table(cross, "cross"), rows, size, percent, scratch)
+    linked = components(near.unionByName(far), scratch)
+    named = classes.join(linked, "id", "left").select("n", "one", "two", "times", F.coalesce("component", "id").alias("component"))
+    return all_sets.drop("prefix"), scratch.table(named, "named")
+
 
-    named = scratch.table(classes.join(linked, "id", "left").select("n", "one", "two", F.coalesce("reached", "id").alias("component_id")), "named")
-    out = all_sets.select("doc_id", "n", "one", "two").join(named, ["n", "one", "two"], "left")
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
+def link_documents(docs: DataFrame, size: int = 3, threshold: float = 0.9, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, n_shingles, component_id for each row of docs.
+
+    component_id is the smallest doc_id that links reach, the row's own included. Every row is judged by its own text,
+    whether its id repeats or is null; null ids are passed over for component_id, which is null where links reach no
+    other ids. A document without words has no shingles and links with nothing, not even with another such. An empty
+    table gives an empty result; other columns are ignored. threshold counts in whole hundredths.
+    """
+    scratch = Scratch(docs.sparkSession, "ngram-join")
+    rows = docs.select(F.monotonically_increasing_id().alias("row_id"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    rows = scratch.table(rows, "rows")
+    sets, classes = link_rows(rows, size, threshold, scratch)
+    sets = scratch.table(sets.join(rows.select("row_id", "doc_id"), "row_id").drop("row_id"), "sets")
+    least = sets.filter("n > 0").groupBy("n", "one", "two").agg(F.min("doc_id").alias("least"))
+    classes = scratch.table(classes.join(least, ["n", "one", "two"]), "classes")
+    reached = scratch.table(classes.groupBy("component").agg(F.min("least").alias("component_id"), F.count("*").alias("members")), "reached")
+    named = scratch.table(join_unique(classes, reached, ["component"], "members").select("n", "one", "two", "times", "component_id"), "reached")
+    linked = join_unique(sets.filter("n > 0"), named, ["n", "one", "two"], "times").select("doc_id", "n", "component_id")
+    out = linked.unionByName(sets.filter("n = 0").select("doc_id", "n", F.col("doc_id").alias("component_id")))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), "component_id")

@@ -73,16 +73,52 @@ def test_join_of_one_large_group_and_chain(make, monkeypatch):
     assert got == components(rows, 3, 90)
 
 
+def rows_of(out):
+    return sorted(((r.doc_id, r.n_shingles, r.component_id) for r in out.collect()), key=str)
+
+
 def test_join_odd_rows(make):
-    rows = [(1, "a b c d"), (1, "a b c d"), (2, "a b c d"), (None, "a b c d"), (3, None), (4, "")]
-    got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in ngram_join.link_documents(make(rows)).collect()), key=str)
-    assert got == sorted([(1, 2, 1), (1, 2, 1), (2, 2, 1), (None, 2, None), (3, 0, 3), (4, 0, 4)], key=str)
-    other = [(1, "a b c d"), (1, "e f g h"), (2, "e f g h"), (3, "a b c d")]
-    got = sorted((r.doc_id, r.component_id) for r in ngram_join.link_documents(make(other)).collect())
-    assert got == [(1, 1), (1, 1), (2, 1), (3, 3)]
+    """Each row is judged by its own text: repeated ids with other texts link by each of them, and null ids link too."""
+    rows = [(1, "a b c d"), (1, "a b c d"), (2, "a b c d"), (None, "a b c d"), (3, None), (4, ""), (None, "x y z"), (None, "x y z")]
+    want = [(1, 2, 1), (1, 2, 1), (2, 2, 1), (None, 2, 1), (3, 0, 3), (4, 0, 4), (None, 1, None), (None, 1, None)]
+    assert rows_of(ngram_join.link_documents(make(rows))) == sorted(want, key=str)
+    other = [(1, "a b c d"), (5, "e f g h i"), (2, "e f g h i"), (3, "a b c d"), (5, "m n o p"), (6, "m n o p")]
+    want = [(1, 2, 1), (5, 3, 2), (2, 3, 2), (3, 2, 1), (5, 2, 5), (6, 2, 5)]
+    assert rows_of(ngram_join.link_documents(make(other))) == sorted(want, key=str)
     assert ngram_join.link_documents(make([])).count() == 0
 
 
+def test_links_through_null_ids(make):
+    """A document without an id connects two that don't link themselves."""
+    words = [f"w{i}" for i in range(100)]
+    rows = [(7, " ".join(words[:94])), (None, " ".join(words)), (9, " ".join(words[6:]))]
+    assert rows_of(ngram_join.link_documents(make(rows))) == sorted([(7, 92, 7), (None, 98, 7), (9, 92, 7)], key=str)
+
+
+def test_long_words_that_polynomials_confuse(make):
+    """A Thue-Morse word and its complement, 1,024 letters each."""
+    bits = [bin(i).count("1") % 2 for i in range(1024)]
+    one, two = "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)
+    rows = [(1, f"{one} x y z"), (2, f"{two} x y z"), (3, f"{two.upper()} x y z")]
+    assert rows_of(ngram_join.link_documents(make(rows))) == [(1, 2, 1), (2, 2, 2), (3, 2, 2)]
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.text(alphabet="abB \n", max_size=40), st.text(alphabet="abB \n", max_size=40), st.integers(1, 5))
+def test_exact_overlap(x, y, k):
+    a, b = shingles(x, k), shingles(y, k)
+    assert ngram_join.exact_overlap(x.encode(), y.encode(), k) == (len(a), len(b), len(a & b))
+
+
+def test_components_of_a_hub_and_chains(spark):
+    from oriscope.llm._shared import Scratch
+
+    links = [(0, i) for i in range(1, 400)] + [(i, i + 1) for i in range(1000, 1040)] + [(7, 5000), (5000, 5001)]
+    table = spark.createDataFrame(links, "a long, b long").repartition(5)
+    got = {r.id: r.component for r in ngram_join.components(table, Scratch(spark, "test")).collect()}
+    assert got == {i: 0 for i in [*range(400), 5000, 5001]} | {i: 1000 for i in range(1000, 1041)}
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.text(alphabet="aB \t\n\x0bé.", max_size=60), st.integers(1, 6))
 def test_shingle_sets(text, k):
@@ -93,7 +129,7 @@ def test_words_across_slices(monkeypatch):
     data = ("word Other " * 50 + "x" * 300 + " end").encode()
     whole = ngram_join.word_hashes(data)
     monkeypatch.setattr(ngram_join, "SLICE", 64)
-    assert np.array_equal(whole, ngram_join.word_hashes(data))
+    assert all(map(np.array_equal, whole, ngram_join.word_hashes(data)))
 
 
 def brute_dedup(rows):
@@ -126,6 +162,38 @@ def test_drop_exact_copies(make):
     assert exact_dedup.drop_exact_copies(make([])).count() == 0
 
 
+def test_filters_by_ranges(make, monkeypatch):
+    """More rows than one filter may hold are dealt to several; results stay the same."""
+    monkeypatch.setattr(exact_dedup, "ranges_of", lambda rows, mb: 3)
+    rows = [(i, f"t{i % 37}" if i % 3 else f"only {i}") for i in range(300)] + [(500, None), (501, ""), (None, "t1")] + [(None, "hot")] * 50
+    got = sorted((tuple(r) for r in exact_dedup.exact_dedup(make(rows)).collect()), key=str)
+    assert got == brute_dedup(rows)
+    kept = sorted(r.doc_id or -1 for r in exact_dedup.drop_exact_copies(make(rows)).collect())
+    assert kept == sorted(r[0] or -1 for r in got if r[3])
+
+
+def test_number_of_filters():
+    assert [exact_dedup.ranges_of(n, 64) for n in (0, 1 << 26, 1 << 27, (1 << 27) + 1, 1 << 30)] == [1, 1, 2, 3, 16]
+
+
+def test_filter_passes_single_rows_when_full(make):
+    """At the least number of bits a row, about a fortieth of single rows is possibly repeated."""
+    from pyspark.sql import functions as F
+
+    n = 1 << 18
+    rows = make([(0, "x")]).sparkSession.range(n).select(F.unhex(F.sha2(F.col("id").cast("string"), 256)).alias("sha"))
+    bits = exact_dedup.repeated_filter(rows, n, exact_dedup.LEAST_BITS, 4, 64)
+    assert len(bits) * 8 == n * exact_dedup.LEAST_BITS
+    assert exact_dedup.flag_repeated(rows, "sha", bits, 4).filter("maybe").count() < 0.03 * n
+
+
+def test_drop_keeps_map_columns(make):
+    from pyspark.sql import functions as F
+
+    df = make([(1, "a"), (2, "a"), (3, "b")]).withColumn("meta", F.create_map(F.lit("k"), F.col("doc_id")))
+    assert sorted((r.doc_id, r.meta["k"]) for r in exact_dedup.drop_exact_copies(df).collect()) == [(2, 2), (3, 3)]
+
+
 def test_filter_passes_single_rows(make, spark):
     from pyspark.sql import functions as F
 

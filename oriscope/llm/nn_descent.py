@@ -1,9 +1,10 @@
 """Approximate nearest neighbours by cosine: an NN-descent graph, and greedy search in it.
 
 Building: every node starts with neighbours from blocks of vectors that random projections bring together. Then, in
-rounds, each node passes its vector to its neighbours and to the nodes that have it as a neighbour; where vectors meet
-they are compared, so that neighbours of neighbours become neighbours. A round is a join of the graph with its own
-reverse and two shuffles. Equal vectors are one node.
+rounds, a node's neighbours and a bounded sample of the nodes that have it as a neighbour meet at the node, each with
+its vector; they are compared, all with all, unless both are known there from earlier rounds, so that neighbours of
+neighbours become neighbours. A round is a join of the graph with its own reverse and few shuffles; nodes at which
+nothing is new send nothing. Equal vectors are one node.
 
 Searching: a query keeps its best nodes found so far; a round joins those not yet looked into with the graph, fetches
 the vectors of nodes that are new to the query, and keeps the best. It ends when nothing among the best is left to
@@ -24,7 +25,7 @@ from pyspark.sql import functions as F
 
 from oriscope.llm._shared import Scratch
 
-BLOCK = 96
+BLOCK = 512
 #: The starting points of searches: at most this many nodes, chosen by a hash of their ids.
 ENTRIES = 1024
 
@@ -45,18 +46,20 @@ def _matrix(column: pa.ChunkedArray | pa.Array, kind: str = "<f4") -> np.ndarray
     return np.frombuffer(b"".join(data), kind).reshape(len(data), -1)
 
 
-def _best(owner: np.ndarray, other: np.ndarray, sim: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The k most similar distinct others of each owner, most similar first, ties by id."""
+def _best(owner: np.ndarray, other: np.ndarray, sim: np.ndarray, k: int, fresh: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
+    """The k most similar distinct others of each owner, most similar first, ties by id; of a pair that comes more than
+    once, one that isn't fresh."""
+    fresh = np.ones(len(owner), bool) if fresh is None else fresh
+    order = np.lexsort((fresh, other, owner))
+    owner, other, sim, fresh = owner[order], other[order], sim[order], fresh[order]
+    first = np.r_[True, (owner[1:] != owner[:-1]) | (other[1:] != other[:-1])] if len(owner) else np.zeros(0, bool)
+    owner, other, sim, fresh = owner[first], other[first], sim[first], fresh[first]
     order = np.lexsort((other, -sim, owner))
-    owner, other, sim = owner[order], other[order], sim[order]
-    first = np.lexsort((np.arange(len(owner)), other, owner))
-    same = np.zeros(len(owner), bool)
-    same[first[1:]] = (owner[first[1:]] == owner[first[:-1]]) & (other[first[1:]] == other[first[:-1]])
-    owner, other, sim = owner[~same], other[~same], sim[~same]
+    owner, other, sim, fresh = owner[order], other[order], sim[order], fresh[order]
     start = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]]) if len(owner) else np.zeros(0, np.int64)
     rank = np.arange(len(owner)) - np.repeat(start, np.diff(np.r_[start, len(owner)]))
     keep = rank < k
-    return owner[keep], other[keep], sim[keep]
+    return owner[keep], other[keep], sim[keep], fresh[keep]
 
 
 def _nearness(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -113,56 +116,64 @@ def _starting_pairs(nodes: DataFrame, dim: int, k: int, orders: int, seed: int,
 
 
 def _merge(pairs: DataFrame, k: int, parts: int) -> DataFrame:
-    """node, others, sims: the k best of each node. Nodes are dealt to as many buckets as keep each a bounded size."""
+    """node, others, sims, fresh: the k best of each node. Nodes are dealt to as many buckets as keep each a bounded
+    size."""
 
     def top(table: pa.Table) -> pa.Table:
-        a, b, s = _best(*(table[c].to_numpy() for c in ("node", "other", "sim")), k)
+        a, b, s, f = _best(*(table[c].to_numpy() for c in ("node", "other", "sim")), k, table["fresh"].to_numpy())
         start = np.flatnonzero(np.r_[True, a[1:] != a[:-1]])
         cuts = pa.array(np.r_[start, len(a)], pa.int32())
-        return pa.table({"node": a[start], "others": pa.ListArray.from_arrays(cuts, pa.array(b)), "sims": pa.ListArray.from_arrays(cuts, pa.array(s, pa.float64()))})
-
-    return pairs.withColumn("bucket", F.pmod(F.xxhash64("node"), F.lit(parts))).groupBy("bucket").applyInArrow(lambda t: top(t), "node long, others array<long>, sims array<double>")
-
-
-def build_graph(nodes: DataFrame, dim: int, scratch: Scratch, k: int = 32, orders: int = 6, rounds: int = 6, least_change: float = 0.02, seed: int = 5) -> DataFrame:
-    """node, others, sims of the NN-descent graph over nodes(node, unit), packed unit vectors of 32 bits."""
+        lists = (pa.ListArray.from_arrays(cuts, pa.array(x, t)) for x, t in ((b, pa.int64()), (s, pa.float64()), (f, pa.bool_())))
+        return pa.table(dict(zip(("node", "others", "sims", "fresh"), (a[start], *lists), strict=True)))
+
+    return pairs.withColumn("bucket", F.pmod(F.xxhash64("node"), F.lit(parts))).groupBy("bucket").applyInArrow(lambda t: top(t), "node long, others array<long>, sims array<double>, fresh array<boolean>")
+
+
+def _meet(table: pa.Table, k: int) -> pa.Table:
+    """At each meeting place, compare what has come, unless both are known there; report to each vector what it did not
+    know to be so near."""
+    at, node, least, fresh = (table[c].to_numpy() for c in ("at", "node", "least", "fresh"))
+    x = _matrix(table["unit"])
+    order = np.lexsort((~fresh, node, at))
+    at, node, least, fresh, x = at[order], node[order], least[order], fresh[order], x[order]
+    same = np.r_[False, (at[1:] == at[:-1]) & (node[1:] == node[:-1])]
+    at, node, least, fresh, x = at[~same], node[~same], least[~same], fresh[~same], x[~same]
+    start = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
+    found = [], [], []
+    for i, j in zip(start, np.r_[start[1:], len(at)], strict=True):
+        sim = _nearness(x[i:j], x[i:j])
+        np.fill_diagonal(sim, -3)
+        r, c = np.nonzero((sim >= least[i:j, None]) & (fresh[i:j, None] | fresh[i:j]))
+        for out, values in zip(found, (node[i:j][r], node[i:j][c], sim[r, c]), strict=True):
+            out.append(values)
+    a, b, s, _ = _best(*map(np.concatenate, found), k)
+    return pa.table({"node": a, "other": b, "sim": pa.array(s, pa.float64())})
+
+
+def build_graph(nodes: DataFrame, dim: int, scratch: Scratch, k: int = 32, orders: int = 4, rounds: int = 4, least_change: float = 0.02, seed: int = 5) -> DataFrame:
+    """node, others, sims of the NN-descent graph over nodes(node, unit), packed unit vectors of 32 bits.
+
+    At a node meet its k neighbours and at most k of those that have it as a neighbour: the new ones first, then by a
+    hash. Rounds end when fewer than least_change of all neighbours change, or after `rounds`.
+    """
     n = nodes.count()
     parts = max(8, -(-n // 4000))
-    graph = scratch.table(_merge(_starting_pairs(nodes, dim, k, orders, seed, parts), k, parts), "graph")
-
-    def meet(table: pa.Table) -> pa.Table:
-        """At each meeting place, compare what has come; report to each vector what it did not know to be so near."""
-        at, node, least = (table[c].to_numpy() for c in ("at", "node", "least"))
-        x = _matrix(table["unit"])
-        order = np.lexsort((node, at))
-        at, node, least, x = at[order], node[order], least[order], x[order]
-        same = np.r_[False, (at[1:] == at[:-1]) & (node[1:] == node[:-1])]
-        at, node, least, x = at[~same], node[~same], least[~same], x[~same]
-        start = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
-        a_all, b_all, s_all = [], [], []
-        for lo, hi in zip(start, np.r_[start[1:], len(at)], strict=True):
-            for i in range(lo, hi, BLOCK):  # what many meet at goes block by block
-                j = min(hi, i + BLOCK)
-                sim = _nearness(x[i:j], x[i:j])
-                np.fill_diagonal(sim, -3)
-                r, c = np.nonzero(sim >= least[i:j, None])
-                a_all.append(node[i:j][r])
-                b_all.append(node[i:j][c])
-                s_all.append(sim[r, c])
-        a, b, s = _best(np.concatenate(a_all), np.concatenate(b_all), np.concatenate(s_all), k)
-        return pa.table({"node": a, "other": b, "sim": pa.array(s, pa.float64())})
-
+    graph = scratch.table(_merge(_starting_pairs(nodes, dim, k, orders, seed, parts).withColumn("fresh", F.lit(True)), k, parts), "graph")
     units = nodes.select("node", "unit")
     for _ in range(rounds):
-        links = graph.select("node", F.explode("others").alias("other"))
-        nth = F.row_number().over(Window.partitionBy("other").orderBy(F.xxhash64("node", "other")))
-        back = links.withColumn("nth", nth).filter(F.col("nth") <= k).groupBy(F.col("other").alias("node")).agg(F.collect_list("node").alias("back"))
+        links = graph.select("node", F.explode(F.arrays_zip("others", "fresh")).alias("x")).select("node", F.col("x.others").alias("other"), F.col("x.fresh").alias("fresh"))
+        # The rank filter cuts a hub's in-links down before they shuffle.
+        nth = F.row_number().over(Window.partitionBy("other").orderBy(F.col("fresh").desc(), F.xxhash64("node", "other")))
+        back = links.withColumn("nth", nth).filter(F.col("nth") <= k).select(F.col("other").alias("at"), "node", "fresh")
+        come = links.select(F.col("node").alias("at"), F.col("other").alias("node"), "fresh").unionByName(back)
+        come = come.groupBy("at").agg(F.collect_list(F.struct("node", "fresh")).alias("come")).filter(F.exists("come", lambda x: x.fresh))
+        come = come.select("at", F.explode("come").alias("x")).select("at", "x.*")
         least = F.when(F.size("sims") >= k, F.array_min("sims")).otherwise(F.lit(-2.0)).cast("double")
-        sent = graph.join(back, "node", "left").join(units, "node").select("node", least.alias("least"), "unit", F.explode(F.array_union("others", F.coalesce("back", F.array().cast("array<long>")))).alias("at"))
-        met = sent.withColumn("bucket", F.pmod(F.xxhash64("at"), F.lit(parts))).groupBy("bucket").applyInArrow(lambda t: meet(t), PAIRS)
-        known = graph.select("node", F.explode(F.arrays_zip("others", "sims")).alias("x")).select("node", F.col("x.others").alias("other"), F.col("x.sims").alias("sim"))
-        better = scratch.table(_merge(known.unionByName(met), k, parts), "graph")
-        changed = better.alias("b").join(graph.alias("g"), "node").agg(F.sum(F.size(F.array_except("b.others", "g.others"))).alias("n")).first().n or 0
+        sent = come.join(graph.select("node", least.alias("least")).join(units, "node"), "node")
+        met = sent.withColumn("bucket", F.pmod(F.xxhash64("at"), F.lit(parts))).groupBy("bucket").applyInArrow(lambda t: _meet(t, k), PAIRS)
+        known = graph.select("node", F.explode(F.arrays_zip("others", "sims")).alias("x")).select("node", F.col("x.others").alias("other"), F.col("x.sims").alias("sim"), F.lit(False).alias("fresh"))
+        better = scratch.table(_merge(known.unionByName(met.withColumn("fresh", F.lit(True))), k, parts), "graph")
+        changed = better.agg(F.sum(F.size(F.filter("fresh", lambda x: x)))).first()[0] or 0
         scratch.drop(graph)
         graph = better
         if changed <= least_change * n * k:
@@ -170,7 +181,7 @@ def build_graph(nodes: DataFrame, dim: int, scratch: Scratch, k: int = 32, order
     return graph
 
 
-def search(queries: DataFrame, nodes: DataFrame, graph: DataFrame, scratch: Scratch, degree: int = 32, width: int = 128, hops: int = 16) -> DataFrame:
+def search(queries: DataFrame, nodes: DataFrame, graph: DataFrame, scratch: Scratch, degree: int = 32, width: int = 128) -> DataFrame:
     """query_id, best: up to `width` best nodes of each of queries(query_id, start, unit), best first.
 
     start is a node to begin with, or null. unit are packed unit vectors, as those of nodes(node, unit).
@@ -213,7 +224,7 @@ def search(queries: DataFrame, nodes: DataFrame, graph: DataFrame, scratch: Scra
     state = scratch.table(queries.select("query_id", "start", "unit").mapInPandas(begin, state_schema), "state")
     buckets = max(6, -(-state.count() // 100))
     by = lambda df, c: df.withColumn("bucket", F.pmod(F.xxhash64(c), F.lit(buckets))).groupBy("bucket")
-    for _ in range(hops):
+    while True:  # a query looks into each node once, so that it ends
         open_ = state.filter(F.size("todo") > 0)
         if open_.isEmpty():
             break
@@ -235,7 +246,8 @@ def exact_scores(pairs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
-                q, x = _matrix(b.column(2), "<f8"), _matrix(b.column(3), "<f8")
+                # Scaled before squaring, so that neither great nor tiny components leave the range.
+                q, x = (m / np.abs(m).max(axis=1, keepdims=True) for m in (_matrix(b.column(2), "<f8"), _matrix(b.column(3), "<f8")))
                 s = (q * x).sum(axis=1) / (np.sqrt((q * q).sum(axis=1)) * np.sqrt((x * x).sum(axis=1)))
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(s, pa.float64())], ["query_id", "node", "score"])
 
@@ -247,7 +259,9 @@ def nearest_neighbours(vectors: DataFrame, id_col: str = "vec_id", vec_col: str
 
     Nearest first, ties to the smaller vec_id; a query is no neighbour of its own. Vectors that usable_vectors leaves
     out take no part. Every copy of a vector is a candidate: a node knows its k + 1 smallest ids, which are all that
-    can be among k. Rows that repeat an id and its vector count once. An empty table gives an empty result.
+    can be among k. Rows that repeat an id and its vector count once; of several vectors of one id the greatest one, by
+    its bytes, is the id's. Vectors of another length than the most common one take no part, as they have no cosine
+    with the others. An empty table gives an empty result.
     """
     scratch = Scratch(vectors.sparkSession, "nn-descent")
     rows = scratch.table(usable_vectors(vectors, id_col, vec_col), "vectors")

@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from oriscope.llm._shared import WORD, Scratch, source_key
+from oriscope.llm._shared import WORD, Scratch, join_unique, row_hash, source_key, unused
 
 EDGE = 1e-9
 
@@ -47,6 +47,22 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...], share: float, l
     return ranked.select("source_key", "source_size", F.least("cap", F.coalesce("fair", "cap")).alias("target"), "docs")
 
 
+def _numbered(sizes: DataFrame) -> DataFrame:
+    """sizes with nth, which numbers the rows that are alike in source, id, size and text: these part in their hashes.
+
+    Rows are numbered within the parts that they were written in, on from the parts before, so that a great many equal
+    rows are no single task's. Equal rows are exchangeable, so that the result doesn't depend on the parts.
+    """
+    alike = ["source_key", "doc_id", "size", "text_hash"]
+    here = Window.partitionBy(*alike, "part")
+    nth = sizes.withColumn("nth", F.row_number().over(here.orderBy(F.lit(1))))
+    parts = sizes.groupBy(*alike, "part").agg(F.count("*").alias("n"))
+    before = F.sum("n").over(Window.partitionBy(*alike).orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
+    parts = parts.withColumn("before", before).filter("before is not null").drop("n")
+    same = [nth[c].eqNullSafe(parts[c]) for c in (*alike, "part")]
+    return nth.join(parts, same, "left").select(*(nth[c] for c in sizes.columns), (nth["nth"] + F.coalesce(parts["before"], F.lit(0))).cast("long").alias("nth")).drop("part")
+
+
 def _settle(pdf: pd.DataFrame, seed: int, level: int) -> pd.DataFrame:
     """One chunk: all but at most one of its documents become integral."""
     pdf = pdf.sort_values(["size", "doc_hash", "doc_id"], ascending=[False, True, True], ignore_index=True)
@@ -75,17 +91,18 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """doc_id, size, source_size, target, copies, taken for each row, and `key` if key_col names a column to carry.
 
     size counts words (null text: 0); taken = size * copies. Rows of size 0 take part with 0 copies. Null ids are
-    ids like any other; repeated rows are rows of their own. The result depends on the rows and the seed only, not on
+    ids like any other; repeated rows are rows of their own, in chunks of their own. The result depends on the rows and the seed only, not on
     how they are partitioned. An empty table gives an empty result.
     """
     scratch = Scratch(docs.sparkSession, "mixing")
-    sizes = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), source_key(F.col(source_col)).alias("source_key"), F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("size"), *([F.col(key_col).alias("key")] if key_col else []))
+    sizes = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), source_key(F.col(source_col)).alias("source_key"), F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("size"), F.xxhash64(text_col).alias("text_hash"), F.spark_partition_id().alias("part"), *([F.col(key_col).alias("key")] if key_col else []))
     sizes = scratch.table(sizes, "sizes")
+    sizes = scratch.table(_numbered(sizes), "numbered")
     targets = scratch.table(source_targets(sizes, weights, share, limit), "targets")
     each = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    rows = sizes.drop("source").join(targets, "source_key")
+    rows = join_unique(sizes.drop("source"), targets.withColumn("rows", F.col("docs")), ["source_key"], "rows")
     rows = rows.withColumn("base", F.floor(each + EDGE)).withColumn("p", F.when(F.col("size") > 0, F.greatest(each - F.col("base"), F.lit(0.0))).otherwise(0.0))
-    rows = rows.withColumn("doc_hash", F.xxhash64("doc_id", "size", F.lit(seed))).withColumn("chunks", F.ceil(F.col("docs") / chunk))
+    rows = rows.withColumn("doc_hash", F.xxhash64("doc_id", "size", "text_hash", "nth", F.lit(seed))).withColumn("chunks", F.ceil(F.col("docs") / (0.9 * chunk)))
     rows = rows.withColumn("chunk", F.pmod("doc_hash", "chunks")).drop("docs")
     schema, level, done = rows.schema, 0, None
     while True:
@@ -107,18 +124,17 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def take_mix(docs: DataFrame, **options) -> DataFrame:
-    """The rows of docs, each as many times as mix_sources(docs, ...) takes it, with all their columns.
+    """The rows of docs, each as many times as mix_sources(docs, ...) takes it, with all their columns, of any type.
 
     Rows find their copies by a hash of all columns, so null and repeated ids are safe; rows that are alike in every
     column share what they are taken together.
     """
-    columns = docs.columns
     scratch = Scratch(docs.sparkSession, "take-mix")
-    key = F.concat_ws("-", *(F.xxhash64(F.lit(salt), *(F.col(f"`{c}`") for c in columns)).cast("string") for salt in (1, 2)))
-    keyed = docs.withColumn("_mix_key", key)
-    taken = mix_sources(keyed, key_col="_mix_key", **options).groupBy("key").agg(F.sum("copies").alias("_copies"), F.count("*").alias("_alike"))
-    taken = scratch.table(taken.filter("_copies > 0").withColumnRenamed("key", "_mix_key"), "taken")
-    joined = keyed.join(taken, "_mix_key")
-    one, more = joined.filter("_alike = 1"), joined.filter("_alike > 1").dropDuplicates(["_mix_key"])
-    times = F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies"))).alias("_nth")
-    return one.unionByName(more).select(*(F.col(f"`{c}`") for c in columns), times).drop("_nth")
+    key, copies, alike, nth = (unused(docs, c) for c in ("mix_key", "mix_copies", "mix_alike", "mix_nth"))
+    keyed = docs.withColumn(key, F.concat_ws("-", *(row_hash(docs, salt).cast("string") for salt in (1, 2))))
+    taken = mix_sources(keyed, key_col=key, **options).groupBy("key").agg(F.sum("copies").alias(copies), F.count("*").alias(alike))
+    taken = scratch.table(taken.withColumnRenamed("key", key).withColumn("rows", F.col(alike)), "taken")
+    joined = join_unique(keyed, taken, [key], "rows").filter(F.col(copies) > 0)
+    one, more = joined.filter(F.col(alike) == 1), joined.filter(F.col(alike) > 1).dropDuplicates([key])
+    times = F.explode(F.sequence(F.lit(1).cast("long"), F.col(copies))).alias(nth)
+    return one.unionByName(more).select(*(F.col(f"`{c}`") for c in docs.columns), times).drop(nth)

@@ -1,3 +1,4 @@
+import itertools
 import random
 import re
 from collections import Counter, defaultdict
@@ -86,6 +87,26 @@ def test_take_mix_keeps_rows(make):
     assert mixing.take_mix(make([])).count() == 0
 
 
+def test_mix_parts_rows_that_are_alike(make):
+    """Rows of null ids, and rows alike in all columns, are dealt to bounded chunks; reruns agree."""
+    rows = [(None, f"w{i % 3} w w", None, "a") for i in range(3000)] + [(i, "w " * (i % 9), None, "b") for i in range(500)]
+    numbered = mixing._numbered(make(rows).select("doc_id", F.lit("a").alias("source_key"), F.lit(3).alias("size"), F.xxhash64("text").alias("text_hash"), F.spark_partition_id().alias("part")))
+    alike = numbered.filter("doc_id is null").groupBy("text_hash").agg(F.sort_array(F.collect_list("nth")).alias("nths")).collect()
+    assert [r.nths for r in alike] == [list(range(1, 1001))] * 3
+    one, two = (Counter(map(tuple, mixing.mix_sources(make(rows, parts=p), chunk=64).drop("key").collect())) for p in (2, 5))
+    assert one == two
+    size, target = targets(rows)
+    taken = Counter()
+    for r in one.elements():
+        taken["a" if r[0] is None else "b"] += r[-1]
+    assert all(abs(taken[s] - target[s]) <= 6 for s in "ab")
+
+
+def test_take_mix_of_map_columns(make):
+    df = make(documents(6, 60)).withColumn("meta", F.create_map(F.lit("k"), F.col("doc_id")))
+    assert all(r.meta["k"] == r.doc_id for r in mixing.take_mix(df).collect())
+
+
 def test_mix_empty(make):
     assert mixing.mix_sources(make([])).count() == 0
     only = mixing.mix_sources(make([(1, None), (2, "")])).collect()
@@ -166,6 +187,32 @@ def test_mined_rules(spark):
     assert set(blocked.mined_rule.split()) == {"p:ads", "q:ref"}
 
 
+def test_mined_rules_are_brute_force(spark):
+    """All combinations of few tokens, counted one by one: support, confidence, lift and what pruning leaves."""
+    r = random.Random(5)
+    baskets = []
+    for _ in range(400):
+        tokens = ["always", *r.sample(["a", "b", "c", "d", "e"], r.randint(1, 4))]
+        baskets.append((tokens, "block" if r.random() < (0.9 if {"a", "b"} <= set(tokens) else 0.2 if "c" in tokens else 0.6) else "allow"))
+    df = spark.createDataFrame([*baskets, ([], "block")], "tokens array<string>, label string")
+    found = url_rules.mine_rules(df, 0.05, 10, 0.6, 1.05)
+    got = {(x.rule_id, x.label): (round(x.confidence, 9), round(x.lift, 9), round(x.support, 9)) for x in found.collect()}
+    want, n = {}, len(baskets)
+    for size in range(1, 6):
+        for some in itertools.combinations("abcde", size):
+            held = [lab for tokens, lab in baskets if set(some) <= set(tokens)]
+            for label in ("allow", "block"):
+                hits, all_ = held.count(label), sum(lab == label for _, lab in baskets)
+                if hits and hits >= max(0.05, 10 / n) * n and hits / len(held) >= 0.6 and hits / len(held) / (all_ / n) >= 1.05:
+                    want[" ".join(some), label] = (round(hits / len(held), 9), round(hits / len(held) / (all_ / n), 9), round(hits / n, 9))
+    assert got == want
+    assert len(want) > 5
+    left = {(x.rule_id, x.label) for x in url_rules.prune_rules(found).collect()}
+    shorter = lambda rule, label: [(" ".join(t for t in rule.split() if t != out), label) for out in rule.split()]
+    assert left == {k for k, v in want.items() if not any(s in want and want[s][0] >= v[0] for s in shorter(*k))}
+    assert len(left) < len(want)
+
+
 def test_rule_matching_is_brute_force(spark):
     r = random.Random(9)
     letters = [f"t{i}" for i in range(12)]

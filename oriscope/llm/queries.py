@@ -73,13 +73,13 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 ORACLE = {
     "op5_warc_normaliser": """
-        WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS body FROM pages),
-        d AS (SELECT page_id, octet_length(body) AS n, sha1(body) AS h FROM p),
-        g AS (SELECT *, min(page_id) OVER (PARTITION BY h) AS first FROM d)
+        WITH p AS (SELECT page_id, url, encode(coalesce(html, '')) AS body FROM pages),
+        d AS (SELECT page_id, url, octet_length(body) AS n, sha1(body) AS h FROM p),
+        g AS (SELECT *, first_value(page_id) OVER w AS first, row_number() OVER w AS nth FROM d WINDOW w AS (PARTITION BY h ORDER BY page_id NULLS LAST, url NULLS FIRST))
         SELECT page_id, CAST(n AS BIGINT) AS payload_bytes,
             list_aggregate(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(1 + ((CAST('0x' || substr(h, CAST(1 + 5 * (i // 4) AS BIGINT), 5) AS BIGINT) >> CAST(15 - 5 * (i % 4) AS BIGINT)) & 31) AS BIGINT), 1)), 'string_agg', '') AS payload_digest,
-            CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
-            CASE WHEN page_id = first THEN NULL ELSE first END AS refers_to
+            CASE WHEN nth = 1 THEN 'response' ELSE 'revisit' END AS record_type,
+            CASE WHEN nth = 1 THEN NULL ELSE first END AS refers_to
         FROM g""",
     "op7_extendible_shards": f"""
         WITH k AS (SELECT doc_id, CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 15) AS BIGINT) AS h,

@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from oriscope.llm._shared import Scratch
+from oriscope.llm._shared import Scratch, join_unique
 
 EOL = b"\r\n"
 ID = "urn:x-page:"
@@ -83,18 +83,21 @@ def _headers(head: bytes) -> dict[str, str]:
 
 
 def plan_revisits(pages: DataFrame, scratch: Scratch, least: int) -> DataFrame:
-    """page_id, url, html, refers_to of each row: null for the first record of a payload and for short ones.
+    """page_id, url, html, refers_to of each row: null for the one response of a payload and for short ones.
 
-    Equal payloads are found by their SHA-1, of which only those that repeat are joined back. Rows that repeat the
-    smallest page_id are all responses, as are all rows of a payload that has null page_ids only.
+    Equal payloads are found by their SHA-1. The response is the row of the smallest page_id, null ids last; of rows
+    that share it, that of the smallest url, then the first one written. Its page_id may be null; refers_to is then
+    empty. Only hashes are grouped; the pages of a hot payload meet its response by broadcast.
     """
-    payload = F.encode(F.coalesce("html", F.lit("")), "UTF-8")
-    keyed = pages.withColumn("sha", F.unhex(F.sha1(payload)))
-    firsts = keyed.filter(F.octet_length(F.coalesce("html", F.lit(""))) >= least).groupBy("sha").agg(F.count("*").alias("n"), F.min("page_id").alias("first"))
-    firsts = scratch.table(firsts.filter("n > 1").select("sha", "first"), "firsts")
-    joined = keyed.join(firsts, "sha", "left")
-    repeats = F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
-    return joined.select("page_id", "url", "html", F.when(repeats, F.col("first").cast("string")).alias("refers_to"))
+    payload = F.coalesce("html", F.lit(""))
+    keyed = pages.withColumn("row_id", F.monotonically_increasing_id()).withColumn("sha", F.unhex(F.sha1(F.encode(payload, "UTF-8"))))
+    keyed = scratch.table(keyed.withColumn("n_bytes", F.octet_length(payload)), "pages")
+    order = F.struct(F.col("page_id").isNull().alias("no_id"), "page_id", "url", "row_id")
+    firsts = keyed.filter(F.col("n_bytes") >= least).groupBy("sha").agg(F.count("*").alias("n"), F.min(order).alias("first"))
+    firsts = scratch.table(firsts.filter("n > 1").select("sha", "n", "first.row_id", "first.page_id").toDF("sha", "n", "first_row", "first"), "firsts")
+    joined = join_unique(keyed, firsts, ["sha"], "n", "left")
+    repeats = F.col("first_row").isNotNull() & (F.col("first_row") != F.col("row_id"))
+    return joined.select("page_id", "url", "html", F.when(repeats, F.coalesce(F.col("first").cast("string"), F.lit(""))).alias("refers_to"))
 
 
 def write_monolithic(rows: DataFrame, folder: str, archive_mb: int, date: str, level: int = 1) -> DataFrame:
@@ -226,12 +229,14 @@ def archive_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
     """Write pages as archives, normalise these, and read them back: the rows of read_records.
 
     A null html is an empty payload, a null url a record without target; repeated rows are records of their own. Of
-    equal payloads of at least least_revisit bytes the smallest page_id is the response. An empty table gives an empty
-    result. The normalised archives stay in `folder` (by default in the shared scratch folder).
+    equal payloads of at least least_revisit bytes one row of the smallest page_id is the response, the others revisit
+    it. An empty table gives an empty
+    result. The normalised archives stay in a new folder inside `folder` (by default the shared scratch folder), so that
+    runs don't read each other's. Control characters in urls are percent-encoded, and come back so.
     """
     spark = pages.sparkSession
     scratch = Scratch(spark, "warc")
-    raw, folder = scratch.path("monolithic"), folder or scratch.path("archives")
+    raw, folder = scratch.path("monolithic"), f"{folder or scratch.path('archives')}/run-{uuid.uuid4().hex[:12]}"
     for uri in (raw, folder):
         fs, path = _open(uri)
         fs.create_dir(path)

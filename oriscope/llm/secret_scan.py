@@ -167,7 +167,12 @@ def all_spans(text: str) -> tuple[list[tuple[int, int, str]], list[tuple[int, in
     """Base spans, and those with the lexed ones that no base span covers; each by start, then kind."""
     order = lambda s: (s[0], KINDS[s[2]], s[1])
     base = sorted(base_spans(text), key=order)
-    more = [s for s in lexed_spans(text) if not any(a <= s[0] and s[1] <= b for a, b, _ in base)]
+    more, reach, at = [], -1, 0
+    for span in lexed_spans(text):  # by start: the base spans that start no later reach to `reach`
+        while at < len(base) and base[at][0] <= span[0]:
+            reach, at = max(reach, base[at][1]), at + 1
+        if span[1] > reach:
+            more.append(span)
     return base, sorted(base + more, key=order)
 
 

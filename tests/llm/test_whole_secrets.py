@@ -1,3 +1,6 @@
+import time
+from unittest import mock
+
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -19,6 +22,25 @@ def test_values_joined_to_themselves():
     assert lexed(text + "auth_key = a3000") == ["Zx81kQ", "b9"]
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 60), st.integers(1, 20)), max_size=8), st.lists(st.tuples(st.integers(0, 60), st.integers(1, 20)), max_size=8))
+def test_lexed_spans_inside_base_spans_go(base, more):
+    base = [(a, a + n, "hex") for a, n in base]
+    more = sorted({(a, a + n, "lexed") for a, n in more})
+    with mock.patch.object(secret_scan, "base_spans", lambda _: base), mock.patch.object(secret_scan, "lexed_spans", lambda _: more):
+        _, spans = secret_scan.all_spans("")
+    assert [s for s in spans if s[2] == "lexed"] == [s for s in more if not any(a <= s[0] and s[1] <= b for a, b, _ in base)]
+
+
+def test_many_spans_take_time_in_proportion():
+    line = 'auth_key_{} = "Zx81kQv93L{:06d}"\napi_key: 0123456789abcdef{:06d}\n'
+    text = "".join(line.format(i, i, i) for i in range(20_000))
+    began = time.time()
+    base, spans = secret_scan.all_spans(text)
+    assert len(base) >= 20_000 and len(spans) - len(base) >= 20_000
+    assert time.time() - began < 30
+
+
 def test_triple_quotes():
     pem = "-----BEGIN KEY-----\nMIIEow\"IBAA\nKCAQ7x9\n-----END KEY-----\n"
     for q in ('"""', "'''"):

@@ -4,36 +4,50 @@ Pass one puts every row's text hash into a Bloom filter that records which posit
 two tests each row: if one of its positions was set once only, its text occurs once and the row goes straight through;
 the other rows, possibly repeated, are the only ones that shuffle, and an exact grouping by SHA-256 settles them.
 A false positive costs one shuffled row and never changes a result.
+
+A filter has at least LEAST_BITS bits a row, with which about a fortieth of single rows is possibly repeated, and at
+most max_filter_mb. More rows than fit one filter are dealt to ranges of hashes, each with a filter of its own.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from oriscope.llm._shared import Scratch, pow2_at_least
+from oriscope.llm._shared import Scratch, join_unique, pow2_at_least, row_hash, slices
 
 SEGMENT_BITS = 20
+LEAST_BITS = 8
 
 
 def _positions(hashes: pa.Array, m: int, k: int) -> np.ndarray:
-    """(rows, k) filter positions, from the first k 8-byte words of each SHA-256."""
+    """(rows, k) filter positions, from the low bits of the first k 8-byte words of each SHA-256."""
     data = b"".join(hashes.to_pylist())
     words = np.frombuffer(data, dtype="<u8").reshape(len(hashes), 4)[:, :k]
     return (words & np.uint64(m - 1)).astype(np.int64)
 
 
+def ranges_of(rows: int, max_filter_mb: int) -> int:
+    """How many filters `rows` rows need."""
+    return max(1, -(-rows * LEAST_BITS // (max_filter_mb << 23)))
+
+
+def _range(sha: str, ranges: int) -> Column:
+    """The range of a hash, from its last bytes, which set no filter positions."""
+    return F.pmod(F.conv(F.hex(F.substring(sha, 29, 4)), 16, 10).cast("long"), F.lit(ranges)).cast("int") if ranges > 1 else F.lit(0)
+
+
 def repeated_filter(hashes: DataFrame, rows: int, bits_per_row: int, k: int, max_filter_mb: int) -> np.ndarray:
     """Packed bits of the positions that were set at least twice.
 
     hashes: one binary column `sha`. The filter has bits_per_row bits a row but never more than max_filter_mb, which
-    bounds what is merged, collected and broadcast; a fuller filter lets more rows through to the exact grouping.
+    bounds what is merged, collected and broadcast.
     """
-    spark = hashes.sparkSession
     m = min(pow2_at_least(max(rows, 1) * bits_per_row), max_filter_mb << 23)
     m = max(m, 1 << SEGMENT_BITS)
     segments, size = m >> SEGMENT_BITS, 1 << SEGMENT_BITS
@@ -74,7 +88,6 @@ def repeated_filter(hashes: DataFrame, rows: int, bits_per_row: int, k: int, max
     bits = np.zeros((segments, size // 8), np.uint8)
     for row in whole.collect():  # at most max_filter_mb in all
         bits[row.segment] = np.frombuffer(row.twice, np.uint8)
-    del spark
     return bits.reshape(-1)
 
 
@@ -90,9 +103,7 @@ def flag_repeated(df: DataFrame, sha: str, bits: np.ndarray, k: int) -> DataFram
     at = df.columns.index(sha)
 
     def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in slices(batches):
             pos = _positions(batch.column(at), m, k)
             hit = (known.value[pos >> 3] >> (7 - (pos & 7)).astype(np.uint8)) & 1
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(hit.all(axis=1))], [*batch.schema.names, "maybe"])
@@ -100,7 +111,19 @@ def flag_repeated(df: DataFrame, sha: str, bits: np.ndarray, k: int) -> DataFram
     return df.mapInArrow(test, df.select("*", F.lit(True).alias("maybe")).schema)
 
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", normalise: Callable[[Column], Column] = lambda c: c, bits_per_row: int = 16, hashes: int = 4, max_filter_mb: int = 64) -> DataFrame:
+def _filters(docs: DataFrame, sha: Column, rows: int, bits_per_row: int, k: int, max_filter_mb: int, scratch: Scratch, keep: tuple[str, ...] = ()) -> tuple[DataFrame, list[np.ndarray]]:
+    """A table of the hashes (sha, span and the `keep` columns of docs), in a folder for each range, and their filters."""
+    n = ranges_of(rows, max_filter_mb)
+    table = docs.select(*keep, sha.alias("sha")).withColumn("span", _range("sha", n))
+    table = scratch.table(table, "hashes", ["span"])
+    return table, [repeated_filter(table.filter(F.col("span") == i).select("sha"), -(-rows // n), bits_per_row, k, max_filter_mb) for i in range(n)]
+
+
+def _sha(text: Column) -> Column:
+    return F.unhex(F.sha2(F.coalesce(text, F.lit("")), 256))
+
+
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", normalise: Callable[[Column], Column] = lambda c: c, bits_per_row: int = 16, hashes: int = 4, max_filter_mb: int = 256) -> DataFrame:
     """One row per document: doc_id, keep_id, group_size, kept, text_sha256.
 
     Texts that are equal after `normalise` form a group; its largest doc_id stays. A null text counts as empty. Null
@@ -108,31 +131,36 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     can be kept. Other columns are ignored. An empty table gives an empty result.
     """
     scratch = Scratch(docs.sparkSession, "exact-dedup")
-    rows = scratch.table(docs.select(F.col(id_col).alias("doc_id"), F.unhex(F.sha2(F.coalesce(normalise(F.col(text_col)), F.lit("")), 256)).alias("sha")), "hashes")
-    bits = repeated_filter(rows.select("sha"), rows.count(), bits_per_row, hashes, max_filter_mb)
-    flagged = scratch.table(flag_repeated(rows, "sha", bits, hashes), "flagged", ["maybe"])
+    plain = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    rows, filters = _filters(plain, _sha(normalise(F.col("text"))), plain.count(), bits_per_row, hashes, max_filter_mb, scratch, ("doc_id",))
+    parts = [flag_repeated(rows.filter(F.col("span") == i).select("doc_id", "sha"), "sha", bits, hashes) for i, bits in enumerate(filters)]
+    flagged = scratch.table(reduce(DataFrame.unionByName, parts), "flagged", ["maybe"])
     scratch.drop(rows)
     alone = flagged.filter(~F.col("maybe")).select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "sha")
-    distinct = flagged.filter("maybe").groupBy("sha", "doc_id").agg(F.count("*").alias("times"))
+    # Equal rows are counted by the part of the table that they are in, so that a great many of them are several rows.
+    distinct = flagged.filter("maybe").groupBy("sha", "doc_id", F.spark_partition_id().alias("part")).agg(F.count("*").alias("times"))
     distinct = scratch.table(distinct, "repeated")
-    groups = scratch.table(distinct.groupBy("sha").agg(F.max("doc_id").alias("keep_id"), F.sum("times").alias("group_size")), "groups")
-    found = distinct.join(groups, "sha").select("doc_id", "keep_id", "group_size", "sha", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times"))).alias("nth"))
-    found = found.select("doc_id", "keep_id", "group_size", (F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("nth") == 1)).alias("kept"), "sha")
+    groups = distinct.groupBy("sha").agg(F.max(F.struct("doc_id", "part")).alias("keep"), F.sum("times").alias("group_size"), F.count("*").alias("members"))
+    groups = scratch.table(groups, "groups")
+    found = join_unique(distinct, groups, ["sha"], "members").select("*", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times"))).alias("nth"))
+    kept = F.col("keep").eqNullSafe(F.struct("doc_id", "part")) & (F.col("nth") == 1)
+    found = found.select("doc_id", F.col("keep.doc_id").alias("keep_id"), "group_size", kept.alias("kept"), "sha")
     return alone.unionByName(found).select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("sha")).alias("text_sha256"))
 
 
-def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits_per_row: int = 16, hashes: int = 4, max_filter_mb: int = 64) -> DataFrame:
-    """The rows of docs that stay, with all their columns; rows of texts that occur once never shuffle.
+def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits_per_row: int = 16, hashes: int = 4, max_filter_mb: int = 256) -> DataFrame:
+    """The rows of docs that stay, with all their columns of any type; rows of texts that occur once never shuffle.
 
-    The row with the largest id stays; of rows with the same id, that with the largest hash over all columns.
+    The row with the largest id stays, null ids last; of rows with the same id, that with the largest hash over all
+    columns. A null text counts as empty; an empty table gives an empty result. docs is read once for the filters and
+    once for each filter.
     """
-    columns = docs.columns
-    packed = docs.select(F.struct(*(F.col(f"`{c}`") for c in columns)).alias("row"), F.col(id_col).alias("id"), F.unhex(F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256)).alias("sha"))
+    packed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col(id_col).alias("id"), row_hash(docs).alias("hash"), _sha(F.col(text_col)).alias("sha"))
     scratch = Scratch(docs.sparkSession, "exact-dedup")
-    shas = scratch.table(packed.select("sha"), "hashes")
-    bits = repeated_filter(shas, shas.count(), bits_per_row, hashes, max_filter_mb)
+    shas, filters = _filters(docs, _sha(F.col(text_col)), docs.count(), bits_per_row, hashes, max_filter_mb, scratch)
     scratch.drop(shas)
-    flagged = flag_repeated(packed, "sha", bits, hashes)
+    spans = [packed.filter(_range("sha", len(filters)) == i) if len(filters) > 1 else packed for i in range(len(filters))]
+    flagged = reduce(DataFrame.unionByName, [flag_repeated(span, "sha", bits, hashes) for span, bits in zip(spans, filters, strict=True)])
     once = flagged.filter(~F.col("maybe")).select("row.*")
-    most = flagged.filter("maybe").groupBy("sha").agg(F.max_by("row", F.struct("id", F.xxhash64("row"))).alias("row"))
+    most = flagged.filter("maybe").groupBy("sha").agg(F.max_by("row", F.struct("id", "hash")).alias("row"))
     return once.unionByName(most.select("row.*"))

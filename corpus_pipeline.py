@@ -9,48 +9,56 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from oriscope.llm import bpe, exact_dedup, langid, mixing, ngram_join
-from oriscope.llm._shared import Scratch
+from oriscope.llm._shared import Scratch, unused
 from oriscope.llm.queries import tokenizer_path
 
 #: Texts whose n-grams are further than this from every profile are in no known language.
 LEAST_SCORE = 0.02
 
 
-def _bounded_batches(spark: SparkSession) -> None:
-    """Whole rows go through Python here; a thousand long documents at a time fit a small executor."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
-
-
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a letter, or like no language that was learnt, go; lang becomes the predicted one."""
-    _bounded_batches(spark)
+    """Documents without a letter, or like no language that was learnt, go; lang becomes the predicted one.
+
+    A null or empty text has no letter and goes. Rows are judged one by one, so repeated and null ids are safe, and
+    other columns are carried along whatever their names. If no row has a known lang, nothing can be predicted and
+    all rows go; an empty table stays empty.
+    """
     profiles = langid.learn_profiles(docs.filter(~langid.held_out()))
-    kept = langid.identify(docs, profiles, keep=tuple(docs.columns), text_col="text")
-    return kept.filter((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE)).withColumn("lang", F.col("lang_pred")).select(*docs.columns)
+    lang, score = unused(docs, "lang_pred"), unused(docs, "score")
+    kept = langid.identify(docs, profiles, keep=tuple(docs.columns), text_col="text", names=(lang, score))
+    return kept.filter((F.col(lang) != "und") & (F.col(score) >= LEAST_SCORE)).withColumn("lang", F.col(lang)).select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    _bounded_batches(spark)
+    """One row of each text stays, that with the largest doc_id, null ids last; of rows with that id the one with the
+    largest hash over all columns. A null text counts as empty. An empty table stays empty."""
     return exact_dedup.drop_exact_copies(docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of rows that links of five-word shingles at 0.8 connect, that with the smallest doc_id stays, null ids last and
-    ties by the text's hash. Each row is judged by its own text, whether its doc_id repeats or is null."""
+    ties by the text's hash. Each row is judged by its own text, whether its doc_id repeats or is null. Rows without
+    words (null and empty texts too) link with nothing and stay. An empty table stays empty."""
     scratch = Scratch(spark, "near-copies")
-    rows = scratch.table(docs.withColumn("row_id", F.monotonically_increasing_id()).withColumn("text_hash", F.xxhash64("text")), "rows")
-    links = ngram_join.link_documents(rows, size=5, threshold=0.8, id_col="row_id").select(F.col("doc_id").alias("row_id"), F.col("component_id").alias("component"))
+    row_id = unused(docs, "row_id")
+    rows = scratch.table(docs.withColumn(row_id, F.monotonically_increasing_id()), "rows")
+    keys = rows.select(F.col(row_id).alias("row_id"), "doc_id", F.xxhash64("text").alias("text_hash"))
+    sets, classes = ngram_join.link_rows(rows.select(F.col(row_id).alias("row_id"), "text"), 5, 0.8, scratch)
     order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash", "row_id")
-    first = links.join(rows.select("row_id", "doc_id", "text_hash"), "row_id").groupBy("component").agg(F.min(order)["row_id"].alias("row_id"))
-    return rows.join(scratch.table(first.select("row_id"), "first"), "row_id", "left_semi").select(*docs.columns)
+    first = sets.filter("n > 0").join(keys, "row_id").groupBy("n", "one", "two").agg(F.min(order).alias("first"))
+    first = classes.join(first, ["n", "one", "two"]).groupBy("component").agg(F.min("first")["row_id"].alias("row_id"))
+    stay = scratch.table(first.select("row_id").unionByName(sets.filter("n = 0").select("row_id")).withColumnRenamed("row_id", row_id), "stay")
+    return rows.join(stay, row_id, "left_semi").select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as many times as the mix takes it: not at all, once or twice."""
+    """Each document as many times as the mix takes it: not at all, once or twice. Rows without words are taken no
+    times. Null sources are a source; null and repeated ids and repeated rows are rows of their own."""
     return mixing.take_mix(docs)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 of each row, repeated ones too; a null text counts as empty."""
     return bpe.encode_texts(docs, tokenizer_path(), fields=("n_tokens", "ids_sha256", "decoded_sha256"))
 
 

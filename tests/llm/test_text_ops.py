@@ -3,6 +3,7 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -101,6 +102,14 @@ def test_ngrams(text):
     assert dict(zip(g.tolist(), n.tolist(), strict=True)) == want
 
 
+def test_ngrams_in_pieces(monkeypatch):
+    text = ("Über den Fluß  1. " * 30 + "langeswort" * 40 + " ende") * 2
+    whole = langid.ngram_counts(text)
+    for size in (1, 7, 64):
+        monkeypatch.setattr(langid, "SLICE", size)
+        assert all(np.array_equal(a, b) for a, b in zip(whole, langid.ngram_counts(text), strict=True))
+
+
 def test_languages(make):
     rows = prose(1)
     extra = [(1000, None, "en"), (1001, "", "de"), (1002, "123 !!", "fr"), (1003, "the and that with", None), (None, "der die und nicht", None)]

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from oriscope.llm._shared import Scratch, join_unique, pow2_at_least, row_hash, slices
+from oriscope.llm._shared import Scratch, join_unique, pow2_at_least, row_hash
 
 SEGMENT_BITS = 20
 LEAST_BITS = 8
@@ -100,15 +100,13 @@ def _runs(sorted_values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray
 def flag_repeated(df: DataFrame, sha: str, bits: np.ndarray, k: int) -> DataFrame:
     """df with a boolean column `maybe`: false for rows whose hash certainly occurs once."""
     known, m = df.sparkSession.sparkContext.broadcast(bits), len(bits) * 8
-    at = df.columns.index(sha)
 
-    def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
-            pos = _positions(batch.column(at), m, k)
-            hit = (known.value[pos >> 3] >> (7 - (pos & 7)).astype(np.uint8)) & 1
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(hit.all(axis=1))], [*batch.schema.names, "maybe"])
+    @F.arrow_udf("boolean")
+    def test(hashes: pa.Array) -> pa.Array:
+        pos = _positions(hashes, m, k)
+        return pa.array(((known.value[pos >> 3] >> (7 - (pos & 7)).astype(np.uint8)) & 1).all(axis=1), pa.bool_())
 
-    return df.mapInArrow(test, df.select("*", F.lit(True).alias("maybe")).schema)
+    return df.withColumn("maybe", test(sha))
 
 
 def _filters(docs: DataFrame, sha: Column, rows: int, bits_per_row: int, k: int, max_filter_mb: int, scratch: Scratch, keep: tuple[str, ...] = ()) -> tuple[DataFrame, list[np.ndarray]]:

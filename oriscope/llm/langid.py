@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from oriscope.llm._shared import slices
+from oriscope.llm._shared import slices, unused
 
 SPACE = 32
 
@@ -158,18 +158,15 @@ def identify(docs: DataFrame, profiles: dict[str, np.ndarray], text_col: str = "
         far = np.where(known < 0, top, np.minimum(np.abs(known - np.arange(len(found))), top)).sum(axis=1)
         return langs[int(far.argmin())], 1 - float(far.min()) / (top * len(found))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
-            pairs = [predict(x) for x in batch.column(at).to_pylist()]
-            kept = batch.columns[: len(keep)]
-            yield pa.RecordBatch.from_arrays([*kept, pa.array([x[0] for x in pairs], pa.string()), pa.array([x[1] for x in pairs], pa.float64())], [*batch.schema.names[: len(keep)], "lang_pred", "score"])
-
-    # Columns go through Python under names of their own, as Arrow's take no dots.
-    columns = [*keep] if text_col in keep else [*keep, text_col]
-    at = columns.index(text_col)
-    rows = docs.select(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(columns)))
-    schema = rows.select(*rows.columns[: len(keep)], F.lit("").alias("lang_pred"), F.lit(0.0).alias("score")).schema
-    return rows.mapInArrow(run, schema).toDF(*keep, *names)
+    @F.arrow_udf("lang string, score double")
+    def predicted(texts: pa.Array) -> pa.Array:
+        pairs = [predict(x.as_py()) for x in texts]
+        return pa.StructArray.from_arrays([pa.array([x[0] for x in pairs], pa.string()), pa.array([x[1] for x in pairs], pa.float64())], ["lang", "score"])
+
+    # Only texts go through Python; the other columns stay where they are.
+    found = docs.select(*(F.col(f"`{c}`") for c in keep), predicted(F.col(f"`{text_col}`").cast("string")).alias(unused(docs, "found")))
+    last = F.col(found.columns[-1])
+    return found.select(*(F.col(f"`{c}`") for c in keep), last["lang"].alias(names[0]), last["score"].alias(names[1]))
 
 
 def held_out(id_col: str = "doc_id"):

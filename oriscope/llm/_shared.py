@@ -62,11 +62,17 @@ class Scratch:
                 path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def slices(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
-    """Batches of few rows: what is made of many documents at once is several times as large as their texts."""
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 1000, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+    """Batches of few rows, and of at most some `most` bytes unless a row has more: what is made of many documents at
+    once is several times as large as their texts."""
     for batch in batches:
-        for at in range(0, batch.num_rows, rows):
-            yield batch.slice(at, rows)
+        at = 0
+        while at < batch.num_rows:
+            part = batch.slice(at, rows)
+            while part.num_rows > 1 and part.nbytes > most:
+                part = part.slice(0, part.num_rows // 2)
+            yield part
+            at += part.num_rows
 
 
 def ascii_lower(c: Column) -> Column:

@@ -15,13 +15,14 @@ different components meet, with the multi-match test, so that no link between co
 
 from __future__ import annotations
 
-import hashlib
 import re
 from collections.abc import Iterator
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -31,29 +32,11 @@ LEVELS = 8  # the most shared prefix shingles that a document may ask for
 HEAVY_FROM = 32  # a shingle in the low parts of so many documents goes last in the order
 MAX_HEAVY = 1 << 20  # bound on such shingles (8 MB); the threshold rises until they fit
 SLICE = 1 << 20
-CACHED_WORDS = 1 << 18
 
 _R = np.uint64(0x9E3779B97F4A7C15)
 _GAP = re.compile(rb"[\x20\x09-\x0D]")
 
 
-class _Hashes(dict):
-    """A 64-bit hash of each word; `other` holds a second one, independent of the first."""
-
-    def __init__(self):
-        super().__init__()
-        self.other: dict[bytes, int] = {}
-
-    def __missing__(self, word: bytes) -> int:
-        digest = hashlib.blake2b(word, digest_size=16).digest()
-        self[word] = found = int.from_bytes(digest[:8], "little")
-        self.other[word] = int.from_bytes(digest[8:], "little")
-        return found
-
-
-_known = _Hashes()
-
-
 def _mix(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
@@ -70,34 +53,45 @@ def words_of(data: bytes) -> Iterator[list[bytes]]:
         at = end
 
 
-def word_hashes(data: bytes, both: bool = True) -> tuple[np.ndarray, np.ndarray]:
-    """Two independent 64-bit hashes of each word; the second ones only if `both`."""
-    if len(_known) > CACHED_WORDS:
-        _known.clear()
-        _known.other.clear()
-    one, two = [], []
-    for words in words_of(data):
-        one.append(np.fromiter(map(_known.__getitem__, words), np.uint64, len(words)))
-        if both:
-            two.append(np.fromiter(map(_known.other.__getitem__, words), np.uint64, len(words)))
-    empty = np.zeros(0, np.uint64)
-    return np.concatenate(one) if one else empty, np.concatenate(two) if two else empty
+def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Where each text's words begin and end, and two 64-bit hashes of each word, the halves of one of 128
+    bits, A-Z lower-cased. Each distinct word is hashed once."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(texts.fill_null("")))
+    cuts = np.r_[0, np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))].astype(np.int64)
+    words = lists.flatten()
+    full = pc.binary_length(words).to_numpy(zero_copy_only=False) > 0  # white space at an end gives an empty word
+    coded = words.filter(pa.array(full)).dictionary_encode()
+    distinct = coded.dictionary.cast(pa.binary()).to_numpy(zero_copy_only=False)
+    raw = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, distinct)), "<u8").reshape(-1, 2)
+    each = raw[coded.indices.to_numpy(zero_copy_only=False)]
+    return np.r_[0, np.cumsum(full)][cuts].astype(np.int64), each[:, 0].copy(), each[:, 1].copy()
+
+
+def _runs_of_words(words: np.ndarray, width: int) -> np.ndarray:
+    """A hash of the `width` words from each word on; the last ones are of too few words."""
+    total = np.full(len(words), width, np.uint64)
+    for i in range(min(width, len(words))):
+        total[: len(words) - i] += _mix(words[i:] + np.uint64((i + 1) * int(_R) & (2**64 - 1)))
+    return _mix(total)
 
 
-def _shingles(words: np.ndarray, size: int) -> np.ndarray:
-    """Sorted distinct hashes of the runs of `size` words; of the whole sequence if it is shorter; empty without words."""
-    if not len(words):
-        return words
-    width = min(size, len(words))
-    total = np.full(len(words) - width + 1, width, np.uint64)
-    for i in range(width):
-        total += _mix(words[i : len(words) - width + 1 + i] + np.uint64((i + 1) * int(_R) & (2**64 - 1)))
-    return np.unique(_mix(total))
+def _sets(cuts: np.ndarray, words: np.ndarray, size: int) -> list[np.ndarray]:
+    """Each text's sorted distinct hashes of the runs of `size` words; of the whole sequence if it is shorter; empty
+    without words."""
+    runs, out = _runs_of_words(words, size), []
+    for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+        s = runs[a : b - size + 1] if b - a >= size else _runs_of_words(words[a:b], b - a)[:1]
+        if len(s) > 1:
+            s = np.sort(s)
+            s = s[np.r_[True, s[1:] != s[:-1]]]
+        out.append(s)
+    return out
 
 
-def shingle_set(data: bytes | None, size: int) -> np.ndarray:
-    """Sorted distinct hashes of a text's word shingles."""
-    return _shingles(word_hashes(data, both=False)[0], size) if data else np.zeros(0, np.uint64)
+def shingle_sets(texts: pa.Array, size: int) -> list[np.ndarray]:
+    """Sorted distinct hashes of each text's word shingles."""
+    cuts, words, _ = word_hashes(texts)
+    return _sets(cuts, words, size)
 
 
 def exact_overlap(x: bytes | None, y: bytes | None, size: int) -> tuple[int, int, int]:
@@ -107,7 +101,7 @@ def exact_overlap(x: bytes | None, y: bytes | None, size: int) -> tuple[int, int
     codes = [np.fromiter((ids.setdefault(w, len(ids)) for w in chain.from_iterable(words_of(t or b""))), np.int64) for t in (x, y)]
     widths = [min(size, len(c)) for c in codes]
     if 0 in widths or widths[0] != widths[1]:  # a shingle of fewer words than `size` is a whole text
-        return (*(len(_shingles(c.astype(np.uint64), size)) for c in codes), 0)
+        return (*(len(_sets(np.array([0, len(c)]), c.astype(np.uint64), size)[0]) for c in codes), 0)
     words, width = codes, widths[0]
     for i in range(1, width):
         codes = [c[:-1] * len(ids) + w[i:] for c, w in zip(codes, words, strict=True)]
@@ -164,8 +158,7 @@ def _frequent(docs: DataFrame, part_of, heavy: np.ndarray, size: int, percent: i
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 2000):
-            sets = (shingle_set(x, size) for x in _texts(batch, 0))
-            found = [x for s in sets if len(s) and len(x := part_of(s, percent, known.value))]
+            found = [x for s in shingle_sets(batch.column(0), size) if len(s) and len(x := part_of(s, percent, known.value))]
             if not found:
                 continue
             hashes, n = np.unique(np.concatenate(found), return_counts=True)
@@ -206,25 +199,29 @@ def heavy_shingles(docs: DataFrame, size: int, percent: int, parts: int) -> np.n
     return np.union1d(low, _frequent(docs, _rest_part, low, size, percent, parts, MAX_HEAVY // 2))
 
 
+def _digests_of(sets: list[np.ndarray]) -> pa.Array:
+    """A hash of each set: the sum of its members' hashes."""
+    ends = np.cumsum([0, *map(len, sets)])
+    total = np.r_[np.uint64(0), np.cumsum(_mix(np.concatenate([*sets, np.zeros(0, np.uint64)])), dtype=np.uint64)]
+    return pa.array((total[ends[1:]] - total[ends[:-1]]).view(np.int64), pa.int64())
+
+
 def profiles(docs: DataFrame, heavy: np.ndarray, size: int, percent: int) -> DataFrame:
-    """row_id, n, a digest of the set (two longs, from independent hashes of the words) and the longest prefix in the
+    """row_id, n, a digest of the set (two longs, from both hashes of the words) and the longest prefix in the
     global order, for each row."""
     known = docs.sparkSession.sparkContext.broadcast(heavy)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         heavy = known.value
         for batch in slices(batches):
-            n, one, two, prefixes = [], [], [], []
-            for text in _texts(batch, 1):
-                s, t = (_shingles(w, size) for w in word_hashes(text or b""))
-                n.append(len(s))
-                one.append(int(_mix(s).sum(dtype=np.uint64).view(np.int64)) if len(s) else 0)
-                two.append(int(_mix(t).sum(dtype=np.uint64).view(np.int64)) if len(t) else 0)
-                is_heavy = _is_in(s, heavy)
-                prefixes.append(np.r_[s[~is_heavy], s[is_heavy]][: _wanted(len(s), percent)].view(np.int64))
-            cuts = np.r_[0, np.cumsum([len(p) for p in prefixes])].astype(np.int32)
-            values = np.concatenate(prefixes) if prefixes else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(one, pa.int64()), pa.array(two, pa.int64()), pa.ListArray.from_arrays(cuts, values)], ["row_id", "n", "one", "two", "prefix"])
+            cuts, *words = word_hashes(batch.column(1))
+            sets, others = (_sets(cuts, w, size) for w in words)
+            is_heavy = np.split(_is_in(np.concatenate([*sets, sets[0][:0]]), heavy), np.cumsum([len(s) for s in sets]))
+            prefixes = [np.r_[s[~h], s[h]][: _wanted(len(s), percent)].view(np.int64) for s, h in zip(sets, is_heavy[:-1], strict=True)]
+            ends = np.r_[0, np.cumsum([len(p) for p in prefixes])].astype(np.int32)
+            lists = pa.ListArray.from_arrays(ends, np.concatenate([*prefixes, np.zeros(0, np.int64)]))
+            n = pa.array([len(s) for s in sets], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), n, _digests_of(sets), _digests_of(others), lists], ["row_id", "n", "one", "two", "prefix"])
 
     return docs.select("row_id", "text").mapInArrow(run, "row_id long, n long, one long, two long, prefix array<long>")
 

@@ -2,12 +2,13 @@ import hashlib
 import random
 import re
 
-import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from oriscope.llm import exact_dedup, ngram_join
+from oriscope.llm._shared import slices
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -122,14 +123,23 @@ def test_components_of_a_hub_and_chains(spark):
 @settings(max_examples=60, deadline=None)
 @given(st.text(alphabet="aB \t\n\x0bé.", max_size=60), st.integers(1, 6))
 def test_shingle_sets(text, k):
-    assert len(ngram_join.shingle_set(text.encode(), k)) == len(shingles(text, k))
+    for found, want in zip(ngram_join.shingle_sets(pa.array([text, None, text[::-1], ""]), k), (text, None, text[::-1], ""), strict=True):
+        assert len(found) == len(shingles(want, k))
 
 
 def test_words_across_slices(monkeypatch):
     data = ("word Other " * 50 + "x" * 300 + " end").encode()
-    whole = ngram_join.word_hashes(data)
     monkeypatch.setattr(ngram_join, "SLICE", 64)
-    assert all(map(np.array_equal, whole, ngram_join.word_hashes(data)))
+    found = list(ngram_join.words_of(data))
+    assert len(found) > 3
+    assert [w for part in found for w in part] == data.lower().split()
+
+
+def test_batches_in_slices():
+    batch = pa.RecordBatch.from_arrays([pa.array(["x" * n for n in (10, 5000, 1, 1, 90, 70, 3, 3)])], ["text"])
+    parts = list(slices(iter([batch]), rows=3, most=100))
+    assert pa.Table.from_batches(parts).column(0).to_pylist() == batch.column(0).to_pylist()
+    assert all(p.num_rows <= 3 and (p.num_rows == 1 or p.nbytes <= 100) for p in parts)
 
 
 def brute_dedup(rows):

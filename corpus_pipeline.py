@@ -3,7 +3,8 @@ input. All stages but the last return the columns of documents."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,6 +17,19 @@ from oriscope.llm.queries import tokenizer_path
 LEAST_SCORE = 0.02
 
 
+@contextmanager
+def _small_batches(spark: SparkSession) -> Iterator[None]:
+    """Python gets a thousand rows at a time: of long documents that fits a small executor. What runs in here is written
+    before it ends, and the session is then as it was."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "1000")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a letter, or like no language that was learnt, go; lang becomes the predicted one.
 
@@ -23,10 +37,12 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     other columns are carried along whatever their names. If no row has a known lang, nothing can be predicted and
     all rows go; an empty table stays empty.
     """
-    profiles = langid.learn_profiles(docs.filter(~langid.held_out()))
     lang, score = unused(docs, "lang_pred"), unused(docs, "score")
-    kept = langid.identify(docs, profiles, keep=tuple(docs.columns), text_col="text", names=(lang, score))
-    return kept.filter((F.col(lang) != "und") & (F.col(score) >= LEAST_SCORE)).withColumn("lang", F.col(lang)).select(*(F.col(f"`{c}`") for c in docs.columns))
+    with _small_batches(spark):
+        profiles = langid.learn_profiles(docs.filter(~langid.held_out()))
+        kept = langid.identify(docs, profiles, keep=tuple(docs.columns), text_col="text", names=(lang, score))
+        kept = kept.filter((F.col(lang) != "und") & (F.col(score) >= LEAST_SCORE)).withColumn("lang", F.col(lang))
+        return Scratch(spark, "language").table(kept.select(*(F.col(f"`{c}`") for c in docs.columns)), "kept")
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,7 +59,8 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     row_id = unused(docs, "row_id")
     rows = scratch.table(docs.withColumn(row_id, F.monotonically_increasing_id()), "rows")
     keys = rows.select(F.col(row_id).alias("row_id"), "doc_id", F.xxhash64("text").alias("text_hash"))
-    sets, classes = ngram_join.link_rows(rows.select(F.col(row_id).alias("row_id"), "text"), 5, 0.8, scratch)
+    with _small_batches(spark):
+        sets, classes = ngram_join.link_rows(rows.select(F.col(row_id).alias("row_id"), "text"), 5, 0.8, scratch)
     order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash", "row_id")
     first = sets.filter("n > 0").join(keys, "row_id").groupBy("n", "one", "two").agg(F.min(order).alias("first"))
     first = classes.join(first, ["n", "one", "two"]).groupBy("component").agg(F.min("first")["row_id"].alias("row_id"))
@@ -59,7 +76,9 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of each row, repeated ones too; a null text counts as empty."""
-    return bpe.encode_texts(docs, tokenizer_path(), fields=("n_tokens", "ids_sha256", "decoded_sha256"))
+    with _small_batches(spark):
+        coded = bpe.encode_texts(docs, tokenizer_path(), fields=("n_tokens", "ids_sha256", "decoded_sha256"))
+        return Scratch(spark, "bpe").table(coded, "coded")
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

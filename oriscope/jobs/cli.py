@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import argparse
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from oriscope.jobs.steps import CoverageSteps, Options
-from oriscope.operators import assign, filters, mapping, products
-from oriscope.sources import sam, sequences, tables
+from oriscope.operators import assign, coverage, filters, mapping, products
+from oriscope.sources import bam, sam, sequences, tables
 from oriscope.streaming.extract import extract
 
 
@@ -32,66 +33,90 @@ def _parser() -> argparse.ArgumentParser:
     verb("map", "index", "input+", "out_folder", paired=False, threads=1, bt2_k=10)
     verb("merge", "files+", "out")
     verb("extract", "in_folder", "out_folder", ref_genome_regex=mapping.GENOME_REGEX, check_regex=False, bt2_k=mapping.MAX_ALIGNMENTS)
-    verb("estimate", "coverage_folder", "out_file", min_reads=5000, min_cov=0.75, min_samples=5, plot=None)
+    verb("estimate", "coverage_folder", "out_file", min_reads=5000, min_cov=0.75, min_samples=5, plot=None, restart=False)
     verb("count", "coverage_folder", "out_file", min_cov=0.75, min_samples=5)
     verb("rabun", "coverage_folder", "out_file", min_reads=5000, min_cov=0.75, min_samples=5)
     return top
 
 
 def run_extract(spark: SparkSession, folder: str, out: str, regex: str = mapping.GENOME_REGEX, check_regex: bool = False, max_alignments: int = mapping.MAX_ALIGNMENTS) -> DataFrame:
-    """Coverage maps of the samples in folder that have none in out yet; returns how many sequences and genomes each
-    sample's header has, which is all that check_regex asks for."""
-    header = sam.read_sam_header(spark, folder)
-    seqs = mapping.with_genome(header, regex)
+    """Coverage maps of the samples in folder (SAM and BAM) that have none in out yet; returns how many sequences and
+    genomes each of their headers has. With check_regex that is all, of every sample. Files of samples that are done are
+    not read."""
+    files = sam.alignment_files(spark, folder)
+    if not check_regex:
+        try:
+            files = files.join(spark.read.parquet(f"{out}/sequences").select("sample_id").distinct(), "sample_id", "left_anti")
+        except AnalysisException as e:
+            if "PATH_NOT_FOUND" not in str(e):
+                raise
+    records, header = sam.read_files(spark, sorted(r.file for r in files.collect()))  # a row a file
+    hold = tables.scratch(spark, "extract")
+    seqs = hold(mapping.with_genome(header, regex), "sequences")
     report = seqs.groupBy("sample_id").agg(F.countDistinct("ref_name").alias("n_sequences"), F.countDistinct("genome_id").alias("n_genomes"))
-    if check_regex:
+    if check_regex or seqs.isEmpty():
         return report
-    records = sam.read_sam(spark, folder)
-    try:
-        done = spark.read.parquet(f"{out}/sequences").select("sample_id").distinct()
-        records, seqs = records.join(done, "sample_id", "left_anti"), seqs.join(done, "sample_id", "left_anti")
-    except Exception as e:  # noqa: BLE001
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-    hold = tables.scratch(spark, "extract")
     reads = hold(assign.assigned_reads(hold(extract(records, header, regex), "best"), max_alignments), "reads")
     tables.write_coverage(reads, f"{out}/reads")
-    hold(seqs, "sequences").write.mode("append").parquet(f"{out}/sequences")
+    seqs.write.mode("append").parquet(f"{out}/sequences")
     return report
 
 
-def coverage_steps(spark: SparkSession, folder: str, options: Options) -> CoverageSteps:
+def coverage_steps(spark: SparkSession, folder: str, options: Options, restart: bool = False) -> CoverageSteps:
+    """The steps over coverage maps. Their counts of positions are kept in `<folder>/positions`, which `restart` takes up
+    again instead of grouping the reads anew."""
     seqs = spark.read.parquet(f"{folder}/sequences").dropDuplicates(["sample_id", "ref_name"])
-    return CoverageSteps(spark, tables.read_coverage(spark, f"{folder}/reads"), seqs, options)
+    steps, place = CoverageSteps(spark, tables.read_coverage(spark, f"{folder}/reads"), seqs, options), f"{folder}/positions"
+    if not restart:
+        coverage.position_counts(steps.reads).write.mode("overwrite").parquet(place)
+    steps.__dict__["positions"] = spark.read.parquet(place)
+    return steps
 
 
 def run_merge(spark: SparkSession, files: list[str], out: str) -> None:
-    header = mapping.merge_headers([sam.read_sam_header(spark, f, "*") for f in files])
-    sam.write_sam(mapping.merge_best([sam.read_sam(spark, f, "*") for f in files]), header, out)
+    """The best alignments of each read over SAM and BAM files: a BAM file if out ends so, else a folder of SAM text."""
+    parts = [sam.read_files(spark, [f]) for f in files]
+    header, rows = mapping.merge_headers([h for _, h in parts]), mapping.merge_best([r for r, _ in parts])
+    if out.endswith(".bam"):
+        folder, name = (out.rsplit("/", 1) if "/" in out else (".", out))
+        bam.write_bam(rows.withColumns({"sample_id": F.lit(name.removesuffix(".bam")), "mapq": F.lit(None).cast("int")}), header, folder)
+    else:
+        sam.write_sam(rows, header, out)
+
+
+def run_index(spark: SparkSession, a: argparse.Namespace) -> None:
+    folder, _ = sequences.prepare_index(spark, a.ref_fasta, a.index_out)
+    files = [r.file for r in spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(folder).select(F.regexp_replace("path", "^file:/*", "/").alias("file")).orderBy("file").collect()]
+    sequences.run(sequences.index_command(files, a.index_out, a.bt2_threads, a.bt2_bmax, a.bt2_dcv, a.bt2_packed))
+
+
+def run_map(spark: SparkSession, a: argparse.Namespace) -> None:
+    for sample, files in sequences.mapping_jobs(spark, a.input, a.paired):
+        local = [f.replace("file:", "", 1) for f in files]
+        sequences.run(sequences.map_command(a.index, f"{a.out_folder}/{sample}.sam", local, a.threads, a.bt2_k))
 
 
 def write_estimates(s: CoverageSteps, out: str, plot: str | None = None) -> None:
-    tables.write_wide(s.ptr_table().drop("is_assembly"), out, "log2(PTR)")
+    tables.write_wide(s.ptr_table(), out, "log2(PTR)")
     if plot:
         bounds = filters.genome_bounds(s.histogram)
         products.plot_data_ref(s.histogram, bounds, s.ptr_ref.filter("log2_ptr is not null")).write.mode("overwrite").parquet(f"{plot}/complete")
-        products.plot_data_contig(s.trimmed, s.ptr_contig).write.mode("overwrite").parquet(f"{plot}/assemblies")
+        products.plot_data_contig(s.trimmed, s.contig_fits).write.mode("overwrite").parquet(f"{plot}/assemblies")
 
 
 def main(argv: list[str] | None = None) -> None:
     a = _parser().parse_args(argv)
+    spark = SparkSession.builder.appName("oriscope").getOrCreate()
     if a.verb == "index":
-        return sequences.run(sequences.index_command(a.ref_fasta, a.index_out, a.bt2_threads, a.bt2_bmax, a.bt2_dcv, a.bt2_packed))
+        return run_index(spark, a)
     if a.verb == "map":
-        name = a.input[0].rsplit("/", 1)[-1].split(".")[0]
-        return sequences.run(sequences.map_command(a.index, f"{a.out_folder}/{name}.sam", a.input if a.paired else a.input[:1], a.threads, a.bt2_k))
-    spark = SparkSession.builder.appName("oriscope").getOrCreate()
+        return run_map(spark, a)
     if a.verb == "merge":
         return run_merge(spark, a.files, a.out)
     if a.verb == "extract":
         return run_extract(spark, a.in_folder, a.out_folder, a.ref_genome_regex, a.check_regex, a.bt2_k).show(truncate=False)
     options = Options(min_reads=getattr(a, "min_reads", 1), min_cov=a.min_cov, min_samples=a.min_samples)
-    s = coverage_steps(spark, a.coverage_folder, options)
+    s = coverage_steps(spark, a.coverage_folder, options, getattr(a, "restart", False))
     if a.verb == "estimate":
         return write_estimates(s, a.out_file, a.plot)
     long, value, label = (s.read_counts, "count", "count") if a.verb == "count" else (s.abundance, "rel_abun", "rel_abun")

@@ -7,12 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from oriscope.functions.numeric import Z975
 from oriscope.jobs import oracle
 from oriscope.jobs import projection as p
-from oriscope.jobs.steps import Steps
+from oriscope.jobs.steps import Options, Steps
 from oriscope.operators import assign, coverage, filters, fit_assembly, fit_complete, mapping, products
-from oriscope.sources import sam, sequences, simulate, tables
+from oriscope.sources import bam, sam, sequences, simulate, tables
 
 KEYS = coverage.KEYS
 
@@ -63,9 +62,28 @@ def _incremental(s: Steps) -> DataFrame:
 
 def _compacted(s: Steps) -> DataFrame:
     """Two fixed regions of every complete genome removed."""
-    pairs = s.complete.select(*KEYS).distinct()
+    pairs = s.complete_reads.select(*KEYS).distinct()
     cut = F.explode(F.array(*(F.struct(F.lit(a).cast("long").alias("left"), F.lit(b).cast("long").alias("right")) for a, b in ((100_000, 150_000), (400_000, 420_000))))).alias("r")
-    return filters.remove_regions(s.complete, pairs.select(*KEYS, cut).select(*KEYS, "r.left", "r.right")).select(*KEYS, "read_id", "pos", "ref_length")
+    return filters.remove_regions(s.complete_reads, pairs.select(*KEYS, cut).select(*KEYS, "r.left", "r.right")).select(*KEYS, "read_id", "pos", "ref_length")
+
+
+def _filtered_reads(s: Steps) -> DataFrame:
+    """Reads one by one after both phases, of pairs with enough reads before."""
+    found = filters.filter_ref(s.complete_reads, p.BINS, s.hold)
+    enough = found.pairs.filter(F.col("raw") >= p.MIN_READS).select(*KEYS)
+    return found.reads.join(enough, KEYS).select(*KEYS, "read_id", "pos", "ref_length")
+
+
+def _position_lists(s: Steps) -> DataFrame:
+    """Lists as text, parted by commas."""
+    found = coverage.position_lists(s.positions, s.ref_seqs)
+    return found.select(*KEYS, "ref_name", "length", "chunk", *(F.array_join(F.transform(c, lambda x: x.cast("string")), ",").alias(c) for c in ("positions", "reads")))
+
+
+def _weights(s: Steps) -> DataFrame:
+    """A row a genome of each class."""
+    each = assign.class_weights(s.hold(s.best, "best")).select("sample_id", joined("genomes"), "reads", "chosen", F.explode(F.arrays_zip("genomes", "phi")).alias("x"))
+    return each.select("sample_id", "genomes", F.col("x.genomes").alias("genome_id"), "reads", F.round("x.phi", 4).alias("phi"), "chosen")
 
 
 def _ll_grid(s: Steps) -> DataFrame:
@@ -80,6 +98,38 @@ def _simulated(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simulate.simulated_reads(sheet, 200, 1_000_000)
 
 
+def _sam_round_trip(s: Steps) -> DataFrame:
+    """All alignments written as SAM text and read again."""
+    path = f"{s.hold.folder}/sam"
+    rows = s.alignments.withColumn("cigar", F.concat(F.col("query_length").cast("string"), F.lit("M")))
+    sam.write_sam(rows, s.ref_seqs.select("ref_name", "length").distinct(), path)
+    return sam.read_sam(s.spark, path, "part-*").select(F.col("read_id").cast("long").alias("read_id"), "flag", "ref_name", "pos", "as_score", "query_length", "tags")
+
+
+def _bam_round_trip(s: Steps) -> DataFrame:
+    """All alignments written as BAM, a file a sample, and read again in shares."""
+    folder = f"{s.hold.folder}/bam"
+    rows = s.alignments.withColumn("cigar", F.concat(F.col("query_length").cast("string"), F.lit("M")))
+    files = bam.write_bam(rows, s.ref_seqs.select("ref_name", "length").distinct(), folder)
+    found = bam.read_bam(s.spark, [r.file for r in files.collect()], share_bytes=1 << 16)
+    return found.select("sample_id", F.col("read_id").cast("long").alias("read_id"), "flag", "ref_name", "pos", "as_score", "query_length", "tags")
+
+
+def _bam_header(s: Steps) -> DataFrame:
+    folder = f"{s.hold.folder}/bam"
+    few = s.ref_seqs.select("sample_id", "ref_name", "length")
+    rows = few.select("sample_id", "ref_name", F.lit("r").alias("read_id"), F.lit(0).alias("flag"), F.lit(0).cast("long").alias("pos"), F.lit("1M").alias("cigar"), F.lit(0).alias("as_score"))
+    files = bam.write_bam(rows, few, folder)
+    return bam.read_bam(s.spark, [r.file for r in files.collect()], header=True)
+
+
+def _map_round_trip(s: Steps) -> DataFrame:
+    """Coverage maps, a folder a sample, read again: how many reads of each genome."""
+    path = f"{s.hold.folder}/maps"
+    tables.write_coverage(s.reads, path)
+    return tables.read_coverage(s.spark, path).groupBy(*KEYS, "ref_name").agg(F.count("*").alias("n_reads"), F.sum("pos").alias("sum_pos"))
+
+
 def _event_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
     reads = p.event_reads(spark, sf_dir)
     return filters.phase1_regions(reads, coverage.histogram_ref(reads, p.BINS), p.BINS)
@@ -103,53 +153,58 @@ STEPS: dict[str, Callable[[Steps], DataFrame]] = {
     "ambiguous_reads": lambda s: mapping.multi_hits(s.best).select("sample_id", "read_id", joined("genomes"), "n_hits", "discarded"),
     "prior_counts": lambda s: mapping.prior_counts(s.best),
     "multimap_classes": lambda s: mapping.multimap_classes(s.best).select("sample_id", joined("genomes"), "reads"),
-    "vi_weights": lambda s: assign.class_weights(s.hold(s.best, "best")).select("sample_id", joined("genomes"), "reads", F.transform("phi", lambda x: F.round(x, 4)).alias("phi"), "chosen"),
+    "vi_weights": _weights,
     "multimap_assignment": lambda s: assign.assigned_reads(s.hold(s.best, "best")),
-    "positions_per_sequence": lambda s: coverage.positions_per_sequence(s.reads, s.ref_seqs).drop("is_assembly"),
+    "positions_per_sequence": lambda s: coverage.positions_per_sequence(s.positions, s.ref_seqs).drop("is_assembly"),
+    "position_lists": _position_lists,
+    "coverage_map_scan": _map_round_trip,
     "genome_kind": lambda s: s.ref_seqs.select(*KEYS, "is_assembly").distinct(),
     "merge_best_score": _merged,
-    "min_reads_prefilter": lambda s: coverage.min_reads_prefilter(s.reads, p.MIN_READS),
+    "sam_round_trip": _sam_round_trip,
+    "bam_round_trip": _bam_round_trip,
+    "bam_header": _bam_header,
+    "min_reads_prefilter": lambda s: coverage.min_reads_prefilter(s.positions, p.MIN_READS),
     "incremental_extract": _incremental,
     "ref_bin_size": lambda s: s.ref_seqs.filter("not is_assembly").select(*KEYS, coverage.bin_size_ref(F.col("length"), p.BINS).alias("bin_size")),
     "ref_histogram": lambda s: s.histogram,
     "genomewide_bounds": lambda s: rounded(filters.genome_bounds(s.histogram)),
-    "local_bounds": lambda s: rounded(filters.genome_bounds(s.histogram, Z975)),
+    "local_bounds": lambda s: rounded(filters.local_bounds(s.phase1, p.BINS)),
     "rolling_counts": lambda s: filters.rolling_counts(s.complete, p.BINS),
     "outlier_regions": lambda s: filters.phase1_regions(s.complete, s.histogram, p.BINS),
-    "phase1_filter": lambda s: s.phase1.select(*KEYS, "read_id", "pos", "ref_length"),
+    "phase1_filter": lambda s: s.phase1_reads.select(*KEYS, "read_id", "pos", "ref_length"),
     "region_compaction": _compacted,
     "phase2_regions": lambda s: filters.phase2_regions(s.phase1, p.BINS),
-    "phase2_filter": lambda s: filters.remove_regions(s.phase1, filters.phase2_regions(s.phase1, p.BINS)).select(*KEYS, "read_id", "pos", "ref_length"),
-    "ref_filter_pipeline": lambda s: s.filtered.select(*KEYS, "read_id", "pos", "ref_length"),
+    "phase2_filter": lambda s: filters.remove_regions(s.phase1_reads, filters.phase2_regions(s.phase1, p.BINS)).select(*KEYS, "read_id", "pos", "ref_length"),
+    "ref_filter_pipeline": _filtered_reads,
     "ref_qc": lambda s: rounded(s.qc_ref),
     "contig_bin_size": lambda s: s.sizes.select(*KEYS, "ref_name", "bin_size", "n_bins"),
     "contig_histogram": lambda s: s.contig_histogram,
     "contig_qc": lambda s: rounded(s.contig_qc),
     "coverage_matrix": lambda s: s.matrix,
     "masked_matrix": lambda s: s.masked,
-    "sample_gate": lambda s: rounded(filters.sample_gate(s.masked, p.MIN_READS)),
+    "sample_gate": lambda s: rounded(s.sample_gate),
     "min_samples_gate": lambda s: s.samples,
     "bin_gate": lambda s: s.bins,
-    "poisson_factor_order": lambda s: fit_assembly.bin_order(s.gated).select("genome_id", "bin_ix", F.round("w", 3).alias("w"), "place"),
+    "poisson_factor_order": lambda s: s.order.select("genome_id", "bin_ix", F.round("w", 4).alias("w"), "place"),
     "reordered_bins": lambda s: s.ordered.select("genome_id", "sample_id", "place", "cnt"),
-    "trimmed_bins": lambda s: s.trimmed_by_number,
-    "contig_mle": lambda s: rounded(fit_assembly.contig_fits(s.trimmed_by_number), 5),
-    "ols_slope": lambda s: rounded(fit_assembly.ols_line(s.trimmed_by_number)),
+    "trimmed_bins": lambda s: s.trimmed,
+    "contig_mle": lambda s: rounded(s.contig_fits, 5),
+    "ols_slope": lambda s: rounded(fit_assembly.ols_line(s.trimmed)),
     "ref_log_likelihood_grid": lambda s: rounded(_ll_grid(s), 5),
     "multisample_ll_grid": lambda s: rounded(_ll_grid(s).groupBy("genome_id", "log2_ptr", "ori").agg(F.sum("log_lk").alias("log_lk")), 5),
-    "circular_median": lambda s: rounded(fit_complete.circular_median(s.counts), 9),
+    "circular_median": lambda s: rounded(fit_complete.circular_median(s.passing), 9),
     "single_sample_ptr": lambda s: rounded(s.single.select(*KEYS, "log2_ptr"), 5),
-    "shared_origin": lambda s: rounded(fit_complete.shared_origin(s.origin_costs)),
-    "ptr_refit": lambda s: rounded(fit_complete.refit(s.origin_costs, fit_complete.shared_origin(s.origin_costs)), 5),
+    "shared_origin": lambda s: rounded(s.shared_origin),
+    "ptr_refit": lambda s: rounded(s.again, 5),
     "ptr_estimates_ref": lambda s: rounded(s.ptr_ref, 5),
     "ptr_estimates_contig": lambda s: rounded(s.ptr_contig, 3),
-    "ptr_table": lambda s: s.ptr_table().drop("is_assembly"),
+    "ptr_table": lambda s: rounded(s.ptr_table(), 4),
     "read_counts": lambda s: s.read_counts.select(*KEYS, "count"),
     "read_counts_pivot": lambda s: _pivot(s, s.read_counts, "count"),
     "relative_abundance": lambda s: rounded(s.abundance, 9),
     "relative_abundance_pivot": lambda s: rounded(_pivot(s, s.abundance, "rel_abun"), 9),
     "plot_data_ref": lambda s: rounded(products.plot_data_ref(s.histogram, filters.genome_bounds(s.histogram), s.single.withColumn("ori", F.col("ori_pos") / F.col("ref_length")))),
-    "plot_data_contig": lambda s: rounded(products.plot_data_contig(s.trimmed_by_number, fit_assembly.contig_fits(s.trimmed_by_number)), 5),
+    "plot_data_contig": lambda s: rounded(products.plot_data_contig(s.trimmed, s.contig_fits), 5),
 }
 
 PLAIN: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -164,9 +219,9 @@ PLAIN: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 
-#: Steps over coverage. The SQL of these names holds uniquely mapped reads only; `NAME_assigned` is the whole job, with
-#: multi-mapped reads at their genomes, which inference finds and SQL does not.
-COVERAGE = """positions_per_sequence min_reads_prefilter incremental_extract ref_histogram genomewide_bounds local_bounds rolling_counts
+#: Steps over coverage. These names hold uniquely mapped reads only; `NAME_assigned` is the whole job, with multi-mapped
+#: reads at the genomes that inference finds, in SQL too.
+COVERAGE = """positions_per_sequence position_lists coverage_map_scan min_reads_prefilter incremental_extract ref_histogram genomewide_bounds local_bounds rolling_counts
     outlier_regions phase1_filter region_compaction phase2_regions phase2_filter ref_filter_pipeline ref_qc contig_histogram contig_qc
     coverage_matrix masked_matrix sample_gate min_samples_gate bin_gate poisson_factor_order reordered_bins trimmed_bins contig_mle ols_slope
     ref_log_likelihood_grid multisample_ll_grid circular_median single_sample_ptr shared_origin ptr_refit ptr_estimates_ref
@@ -180,9 +235,14 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {k: v for k, v in oracle.sql().items() if k in STEPS or k in PLAIN}
+    whole = oracle.sql(assigned=True)
+    return {k: v for k, v in oracle.sql().items() if k in STEPS or k in PLAIN} | {f"{name}_assigned": whole[name] for name in COVERAGE}
+
+
+#: For data with some thirty reads a pair: wide bins.
+SMALL = Options(min_reads=5, min_cov=0.1, min_samples=p.MIN_SAMPLES, bins=10, contig_bins=p.CONTIG_BINS)
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The genome-by-sample table of log2 ratios, multi-mapped reads assigned."""
-    return Steps(spark, sf_dir, assigned=True).ptr_table()
+    return Steps(spark, sf_dir, assigned=True, options=SMALL).ptr_table()

@@ -56,13 +56,27 @@ class Steps:
             return self.hold(assign.assigned_reads(self.hold(self.best, "best")), "reads")
         return mapping.unique_hits(self.best).select("sample_id", "read_id", "genome_id", "ref_name", "ref_length", "pos")
 
-    def _of_kind(self, assembly: bool) -> DataFrame:
+    @cached_property
+    def positions(self) -> DataFrame:
+        """How many reads begin where: all that the estimates, counts and abundances are made of."""
+        return self.hold(coverage.position_counts(self.reads), "positions")
+
+    def _of_kind(self, reads: DataFrame, assembly: bool) -> DataFrame:
         kinds = self.ref_seqs.select(*KEYS, "is_assembly").distinct().filter(F.col("is_assembly") == assembly)
-        return self.reads.join(kinds.select(*KEYS), KEYS)
+        return reads.join(kinds.select(*KEYS), KEYS)
+
+    @cached_property
+    def complete_reads(self) -> DataFrame:
+        """Reads one by one, for the steps that are asked for with their read ids."""
+        return self.hold(self._of_kind(self.reads, False), "reads-complete")
+
+    @cached_property
+    def phase1_reads(self) -> DataFrame:
+        return self.hold(filters.remove_regions(self.complete_reads, filters.phase1_regions(self.complete, self.histogram, self.o.bins)), "reads-phase1")
 
     @cached_property
     def complete(self) -> DataFrame:
-        return self.hold(self._of_kind(False), "complete")
+        return self.hold(self._of_kind(self.positions, False), "complete")
 
     @cached_property
     def histogram(self) -> DataFrame:
@@ -73,24 +87,35 @@ class Steps:
         return self.hold(filters.remove_regions(self.complete, filters.phase1_regions(self.complete, self.histogram, self.o.bins)), "phase1")
 
     @cached_property
-    def filtered(self) -> DataFrame:
-        return filters.filter_ref(self.complete, self.o.min_reads, self.o.bins, self.hold)
+    def filtered(self) -> filters.Filtered:
+        """Both phases, once for estimates, counts and abundances: they differ in the gates that follow."""
+        return filters.filter_ref(self.complete, self.o.bins, self.hold)
 
     @cached_property
     def qc_ref(self) -> DataFrame:
         return self.hold(filters.qc_ref(self.filtered, self.o.min_reads, self.o.min_cov, self.o.bins), "qc")
 
     @cached_property
-    def counts(self) -> DataFrame:
-        return self.hold(fit_complete.position_counts(self.filtered).join(self.qc_ref.filter("passed_qc").select(*KEYS), KEYS), "counts")
+    def passing(self) -> DataFrame:
+        """Filtered counts of positions of the pairs that pass the quality check."""
+        return self.hold(self.filtered.reads.join(self.qc_ref.filter("passed_qc").select(*KEYS), KEYS), "passing")
 
     @cached_property
     def single(self) -> DataFrame:
-        return self.hold(fit_complete.single_sample_ptr(fit_complete.circular_median(self.counts)), "single")
+        return self.hold(fit_complete.single_sample_ptr(fit_complete.circular_median(self.passing)), "single")
 
     @cached_property
-    def origin_costs(self) -> DataFrame:
-        return self.hold(fit_complete.origin_costs(self.counts, self.single), "origins")
+    def shared_origin(self) -> DataFrame:
+        return self.hold(fit_complete.shared_origin(self.passing, self.single, self._origin_cells()), "origins")
+
+    def _origin_cells(self) -> int:
+        """Cells of the circle such that one holds no more than some 100,000 positions of all samples together."""
+        most = self.passing.groupBy("genome_id").count().agg(F.max("count")).first()[0] or 0
+        return 2 * max(fit_complete.CELLS // 2, -(-most // 100_000))
+
+    @cached_property
+    def again(self) -> DataFrame:
+        return fit_complete.refit(self.passing, self.shared_origin)
 
     @cached_property
     def sizes(self) -> DataFrame:
@@ -98,7 +123,7 @@ class Steps:
 
     @cached_property
     def contig_histogram(self) -> DataFrame:
-        return self.hold(coverage.histogram_contig(self._of_kind(True), self.sizes), "contigs")
+        return self.hold(coverage.histogram_contig(self._of_kind(self.positions, True), self.sizes), "contigs")
 
     @cached_property
     def contig_qc(self) -> DataFrame:
@@ -106,55 +131,72 @@ class Steps:
 
     @cached_property
     def matrix(self) -> DataFrame:
-        return coverage.coverage_matrix(self.contig_histogram.join(self.contig_qc.filter("passed_qc").select(*KEYS), KEYS))
+        passing = coverage.same_contigs(self.sizes, self.contig_qc.filter("passed_qc").select(*KEYS))
+        return coverage.coverage_matrix(self.contig_histogram.join(passing, KEYS))
 
     @cached_property
     def masked(self) -> DataFrame:
         return self.hold(filters.mask_outliers(self.matrix), "masked")
 
+    @cached_property
+    def sample_gate(self) -> DataFrame:
+        return self.hold(filters.sample_gate(self.masked, self.o.min_reads), "samples")
+
     @cached_property
     def samples(self) -> DataFrame:
-        return filters.min_samples_gate(filters.sample_gate(self.masked, self.o.min_reads), self.o.min_samples)
+        return filters.min_samples_gate(self.sample_gate, self.o.min_samples)
+
+    @cached_property
+    def kept_bins(self) -> DataFrame:
+        return self.hold(filters.kept_bins(self.masked, self.samples), "bins")
 
     @cached_property
     def bins(self) -> DataFrame:
-        return filters.bin_gate(self.masked, self.samples, self.o.min_samples)
+        return filters.bin_gate(self.kept_bins, self.o.min_samples)
+
+    @cached_property
+    def in_kept_bins(self) -> DataFrame:
+        return self.hold(self.masked.join(self.samples, ["genome_id", "sample_id"]).join(self.kept_bins, ["genome_id", "bin_ix"]), "in-bins")
 
     @cached_property
     def gated(self) -> DataFrame:
-        return self.hold(self.masked.join(self.samples, ["genome_id", "sample_id"]).join(self.bins, ["genome_id", "bin_ix"]), "gated")
+        return self.hold(self.in_kept_bins.join(self.bins, ["genome_id", "bin_ix"]), "gated")
+
+    @cached_property
+    def order(self) -> DataFrame:
+        return self.hold(fit_assembly.bin_order(self.gated), "order")
 
     @cached_property
     def ordered(self) -> DataFrame:
-        return self.hold(self.gated.join(fit_assembly.bin_order(self.gated), ["genome_id", "bin_ix"]), "ordered")
+        return self.hold(self.gated.join(self.order, ["genome_id", "bin_ix"]), "ordered")
 
     @cached_property
     def trimmed(self) -> DataFrame:
         return fit_assembly.trimmed_bins(self.ordered)
 
     @cached_property
-    def trimmed_by_number(self) -> DataFrame:
-        return fit_assembly.trimmed_bins(self.gated.withColumn("place", F.col("bin_ix")))
+    def ptr_ref(self) -> DataFrame:
+        return self.hold(fit_complete.estimates(self.single, self.again, self.qc_ref), "ptr-ref")
 
     @cached_property
-    def ptr_ref(self) -> DataFrame:
-        return self.hold(fit_complete.estimates(self.counts, self.qc_ref), "ptr-ref")
+    def contig_fits(self) -> DataFrame:
+        return self.hold(fit_assembly.contig_fits(self.ordered, self.trimmed), "fits")
 
     @cached_property
     def ptr_contig(self) -> DataFrame:
-        return self.hold(fit_assembly.contig_fits(self.trimmed), "ptr-contig")
+        return self.hold(fit_assembly.estimates(self.contig_qc, self.sample_gate, self.samples, self.in_kept_bins, self.contig_fits), "ptr-contig")
+
+    def _counts(self, qc: DataFrame) -> DataFrame:
+        return products.contig_counts(self.masked, self.contig_qc, self.sizes).unionByName(products.complete_counts(self.filtered.reads, qc))
 
     @cached_property
     def read_counts(self) -> DataFrame:
-        # Counting keeps pairs of one read and more.
-        filtered = filters.filter_ref(self.complete, 1, self.o.bins, self.hold)
-        complete = products.complete_counts(filtered, filters.qc_ref(filtered, 1, self.o.min_cov, self.o.bins))
-        return self.hold(products.contig_counts(self.masked, self.contig_qc, self.sizes).unionByName(complete), "read-counts")
+        """Counting keeps pairs of one read and more."""
+        return self.hold(self._counts(filters.qc_ref(self.filtered, 1, self.o.min_cov, self.o.bins)), "read-counts")
 
     @cached_property
     def abundance(self) -> DataFrame:
-        complete = products.complete_counts(self.filtered, self.qc_ref)
-        return products.relative_abundance(products.contig_counts(self.masked, self.contig_qc, self.sizes).unionByName(complete))
+        return products.relative_abundance(self._counts(self.qc_ref))
 
     @cached_property
     def domain(self) -> list[str]:
@@ -165,7 +207,7 @@ class Steps:
         kinds = self.ref_seqs.groupBy("genome_id").agg(F.max("is_assembly").alias("is_assembly"))
         long = self.ptr_ref.select(*KEYS, "log2_ptr").unionByName(self.ptr_contig.select(*KEYS, "log2_ptr"))
         wide = products.wide_table(long.withColumn("log2_ptr", F.round("log2_ptr", 6)), "log2_ptr", self.domain)
-        return products.ordered_rows(wide.filter(~products.blank_row(wide)).join(kinds, "genome_id"), F.col("is_assembly"))
+        return products.ordered_rows(wide.filter(~products.blank_row(wide)).join(kinds, "genome_id"), F.col("is_assembly")).drop("is_assembly")
 
 
 class CoverageSteps(Steps):

@@ -17,10 +17,11 @@ from oriscope.functions.numeric import digamma
 from oriscope.operators import mapping
 
 
-def infer(sets: list[np.ndarray], reads: np.ndarray, prior: np.ndarray, tol: float = 1e-3, most: int = 10_000) -> tuple[np.ndarray, list[np.ndarray], list[float]]:
+def infer(sets: list[np.ndarray], reads: np.ndarray, prior: np.ndarray, tol: float = 1e-3, settled: float = 1e-7) -> tuple[np.ndarray, list[np.ndarray], list[float]]:
     """Dirichlet parameters, responsibilities of each set, and the bound after each step.
 
-    sets: genome indices of each class; prior: counts added to a flat Dirichlet prior.
+    sets: genome indices of each class; prior: counts added to a flat Dirichlet prior. Steps end when the bound, which
+    never falls and is limited, grows by no more than tol and no responsibility moves by more than `settled`.
     """
     owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
     genome, weight = np.concatenate(sets).astype(int), reads[owner].astype(float)
@@ -36,14 +37,15 @@ def infer(sets: list[np.ndarray], reads: np.ndarray, prior: np.ndarray, tol: flo
         return float(((alpha - 1) * log_pi).sum() + (weight * phi).sum() + (weight * phi * log_pi[genome]).sum() + dirichlet - (weight * phi * np.log(safe)).sum())
 
     bounds.append(bound())
-    for _ in range(most):
+    while True:
+        before = phi
         eta = alpha + np.bincount(genome, weight * phi, len(alpha))
         log_phi = digamma(eta)[genome]
         log_phi -= np.maximum.reduceat(log_phi, np.r_[0, np.flatnonzero(np.diff(owner)) + 1])[owner]
         phi = np.exp(log_phi)
         phi /= np.bincount(owner, phi)[owner]
         bounds.append(bound())
-        if abs(bounds[-1] - bounds[-2]) <= tol:
+        if abs(bounds[-1] - bounds[-2]) <= max(tol, 1e-12 * abs(bounds[-1])) and np.abs(phi - before).max() <= settled:
             break
     return eta, np.split(phi, np.flatnonzero(np.diff(owner)) + 1), bounds
 
@@ -51,7 +53,7 @@ def infer(sets: list[np.ndarray], reads: np.ndarray, prior: np.ndarray, tol: flo
 def class_weights(best: DataFrame, max_alignments: int = mapping.MAX_ALIGNMENTS) -> DataFrame:
     """sample_id, genomes, reads, phi (one a genome) and the chosen genome of each class of multi-mapped reads.
 
-    The most probable genome is chosen, at a tie the first by name.
+    The most probable genome is chosen, at a tie (to six digits) the first by name.
     """
     classes = mapping.multimap_classes(best, max_alignments).withColumn("kind", F.lit("set"))
     priors = mapping.prior_counts(best).select("sample_id", F.array("genome_id").alias("genomes"), F.col("prior").alias("reads"), F.lit("prior").alias("kind"))
@@ -67,7 +69,7 @@ def class_weights(best: DataFrame, max_alignments: int = mapping.MAX_ALIGNMENTS)
         if sets.empty:
             return pd.DataFrame(columns=["sample_id", "genomes", "reads", "phi", "chosen"])
         _, phi, _ = infer([np.array([at[g] for g in x]) for x in sets["genomes"]], sets["reads"].to_numpy(), prior)
-        chosen = [g[int(np.argmax(p))] for g, p in zip(sets["genomes"], phi, strict=True)]
+        chosen = [g[int(np.argmax(np.round(p, 6)))] for g, p in zip(sets["genomes"], phi, strict=True)]
         return pd.DataFrame({"sample_id": sets["sample_id"], "genomes": sets["genomes"], "reads": sets["reads"], "phi": phi, "chosen": chosen})
 
     columns = ["sample_id", "genomes", "reads", "kind"]

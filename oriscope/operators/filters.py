@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -10,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from oriscope.functions.numeric import Z95, Z975
-from oriscope.operators.coverage import KEYS, bin_size_ref
+from oriscope.operators.coverage import KEYS, bin_size_ref, histogram_ref, times
 
 MOST_REMOVED = 0.25
 REACH = 0.0625
@@ -37,7 +39,7 @@ def rolling_counts(reads: DataFrame, bins: int = 500) -> DataFrame:
     """
     size = bin_size_ref(F.coalesce("full_length", "ref_length") if "full_length" in reads.columns else F.col("ref_length"), bins)
     sized = reads.withColumn("step", (size / STEPS).cast("long")).filter("step > 0")
-    cells = sized.withColumn("k", F.ceil(F.col("pos") / F.col("step")) - 1).groupBy(*KEYS, "k").agg(F.count("*").alias("cell"))
+    cells = sized.withColumn("k", F.ceil(F.col("pos") / F.col("step")) - 1).groupBy(*KEYS, "k").agg(F.sum(times(reads)).alias("cell"))
     grid = sized.groupBy(*KEYS).agg(F.max(F.ceil(F.col("ref_length") / F.col("step"))).alias("n")).select(*KEYS, F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("k"))
     dense = grid.join(cells, [*KEYS, "k"], "left").withColumn("cell", F.coalesce("cell", F.lit(0).cast("long")))
     frame = Window.partitionBy(*KEYS).orderBy("k").rowsBetween(0, STEPS - 1)
@@ -62,10 +64,15 @@ def flags(rolling: DataFrame, lower: str = "lower", upper: str = "upper") -> Col
     return F.when((c > hi) | (c < lo), 1).when((c < hi) & (c > lo), 0)
 
 
+def _steps(reads: DataFrame, full: Column, bins: int) -> DataFrame:
+    """ref_length and step of each pair; the step follows from the length of the whole genome."""
+    step = (bin_size_ref(full, bins) / STEPS).cast("long")
+    return reads.groupBy(*KEYS).agg(F.max("ref_length").alias("ref_length"), F.max(step).alias("step"))
+
+
 def phase1_regions(reads: DataFrame, histogram: DataFrame, bins: int = 500) -> DataFrame:
     """Regions of windows outside the genome-wide bounds."""
-    sizes = reads.groupBy(*KEYS).agg(F.max("ref_length").alias("ref_length"), F.max((bin_size_ref(F.col("ref_length"), bins) / STEPS).cast("long")).alias("step"))
-    rolling = rolling_counts(reads, bins).join(genome_bounds(histogram), KEYS).join(sizes, KEYS)
+    rolling = rolling_counts(reads, bins).join(genome_bounds(histogram), KEYS).join(_steps(reads, F.col("ref_length"), bins), KEYS)
     return outlier_regions(rolling.withColumn("flag", flags(rolling)))
 
 
@@ -85,8 +92,8 @@ def remove_regions(reads: DataFrame, regions: DataFrame) -> DataFrame:
     return out.withColumn("pos", F.col("new_pos")).drop("new_pos", "regions")
 
 
-def _local_regions(counts: np.ndarray, step: int, size: int, length: int) -> list[tuple[int, int]]:
-    """Regions of windows outside the bounds of their neighbourhood.
+def _local_bounds(counts: np.ndarray, size: int, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Lower and upper bounds of each window by its neighbourhood; NaN where that has no reads.
 
     A window's neighbourhood is every 100th window on both sides, over 6.25 % of the genome or 4 bins; it wraps around.
     Bounds are remembered by the neighbourhood's median, and the first with a median sets them for all later ones.
@@ -103,51 +110,84 @@ def _local_regions(counts: np.ndarray, step: int, size: int, length: int) -> lis
         if len(seen):
             centre, spread = np.log2(np.median(seen)), max(1.0, float(np.std(np.log2(seen))))
             lower[i], upper[i] = 2 ** (centre - Z975 * spread), 2 ** (centre + Z975 * spread)
-    lo, hi = lower[back], upper[back]
-    flag = np.where((counts > hi) | (counts < lo), 1, np.where((counts < hi) & (counts > lo), 0, -1))
-    known = np.maximum.accumulate(np.where(flag >= 0, at, -1))
-    state = np.where(known >= 0, flag[np.maximum(known, 0)], 0)
-    turns = np.flatnonzero(np.diff(np.r_[0, state, 0]))
-    return [(int(a) * step, int(b) * step if b < n else length) for a, b in zip(turns[::2], turns[1::2], strict=True)]
+    return lower[back], upper[back]
 
 
-def phase2_regions(reads: DataFrame, bins: int = 500) -> DataFrame:
-    """Regions by local bounds, on the reads that phase 1 left. A pair's grid of windows is one row; its length follows
-    from the number of bins and not from the reads."""
+def local_bounds(reads: DataFrame, bins: int = 500) -> DataFrame:
+    """sample_id, genome_id, k, cnt, lower, upper of every rolling window, on the reads that phase 1 left; bounds are
+    null where the neighbourhood has no reads. A pair's grid of windows is one row; its length follows from the number
+    of bins and not from the reads."""
     size = bin_size_ref(F.col("full_length"), bins)
     sizes = reads.groupBy(*KEYS).agg(F.max("ref_length").alias("length"), F.max(size).alias("size"))
     grids = rolling_counts(reads, bins).groupBy(*KEYS).agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "cnt"))), lambda x: x.cnt).alias("counts"))
 
     def run(batches):
         for pdf in batches:
-            rows = [(s, g, a, b) for s, g, counts, length, size in pdf.itertuples(index=False) for a, b in _local_regions(np.asarray(counts), size // STEPS, size, length)]
-            yield pd.DataFrame(rows, columns=["sample_id", "genome_id", "left", "right"])
+            for s, g, counts, length, size in pdf.itertuples(index=False):
+                counts = np.asarray(counts)
+                lower, upper = _local_bounds(counts, size, length)
+                yield pd.DataFrame({"sample_id": s, "genome_id": g, "k": np.arange(len(counts)), "cnt": counts, "lower": lower, "upper": upper})
 
-    return grids.join(sizes, KEYS).select(*KEYS, "counts", "length", "size").mapInPandas(run, "sample_id string, genome_id string, left long, right long")
+    found = grids.join(sizes, KEYS).select(*KEYS, "counts", "length", "size").mapInPandas(run, "sample_id string, genome_id string, k long, cnt long, lower double, upper double")
+    return found.select(*KEYS, "k", "cnt", F.nanvl("lower", F.lit(None)).alias("lower"), F.nanvl("upper", F.lit(None)).alias("upper"))
 
 
-def qc_ref(reads: DataFrame, min_reads: int, min_cov: float, bins: int = 500) -> DataFrame:
-    """sample_id, genome_id, frac_nonzero, nreads, frac_removed, passed_qc of filtered reads(.., full_length).
+def phase2_regions(reads: DataFrame, bins: int = 500) -> DataFrame:
+    """Regions of windows outside their local bounds, on the reads that phase 1 left."""
+    rolling = local_bounds(reads, bins).join(_steps(reads, F.col("full_length"), bins), KEYS)
+    return outlier_regions(rolling.withColumn("flag", flags(rolling)))
 
-    The bins are as wide as those of the whole genome, and cover what is left of it.
-    """
-    n_bins = F.ceil(F.col("ref_length") / bin_size_ref(F.col("full_length"), bins))
-    sized = reads.withColumn("n_bins", n_bins).withColumn("bin_ix", F.floor(n_bins * F.col("pos") / F.col("ref_length")))
-    per_bin = sized.groupBy(*KEYS, "bin_ix").agg(F.count("*").alias("cnt"), F.max("n_bins").alias("n_bins"), F.max("ref_length").alias("ref_length"), F.max("full_length").alias("full_length"))
-    out = per_bin.groupBy(*KEYS).agg((F.count("*") / F.greatest(F.lit(1), F.max("n_bins"))).alias("frac_nonzero"), F.sum("cnt").alias("nreads"), (1 - F.max("ref_length") / F.max("full_length")).alias("frac_removed"))
-    return out.withColumn("passed_qc", (F.col("frac_nonzero") >= min_cov) & (F.col("nreads") >= min_reads) & (F.col("frac_removed") <= MOST_REMOVED))
 
+class Filtered(NamedTuple):
+    """What filtering leaves of complete genomes.
 
-def filter_ref(reads: DataFrame, min_reads: int, bins: int, hold) -> DataFrame:
-    """Reads of complete genomes after both phases; pairs with too few reads, or that lose over a quarter in phase 1,
-    leave before the next step. hold(df, name) writes and rereads a step that is used more than once."""
-    from oriscope.operators.coverage import histogram_ref
+    reads: after both phases, of pairs that lose no more than a quarter in phase 1. pairs: sample_id, genome_id, raw
+    (reads before), first (reads after phase 1), cut_first and cut (fractions of the genome removed in phase 1 and in
+    both; null for genomes too short for bins), for every pair.
+    """
 
-    enough = reads.groupBy(*KEYS).agg(F.count("*").alias("n")).filter(F.col("n") >= min_reads).select(*KEYS)
-    reads = hold(reads.join(enough, KEYS).filter(bin_size_ref(F.col("ref_length"), bins) > 0), "enough")
-    first = remove_regions(reads, phase1_regions(reads, histogram_ref(reads, bins), bins))
-    first = hold(first.filter(1 - F.col("ref_length") / F.col("full_length") <= MOST_REMOVED), "phase1")
-    return hold(remove_regions(first, phase2_regions(first, bins)), "phase2")
+    reads: DataFrame
+    pairs: DataFrame
+
+
+def filter_ref(reads: DataFrame, bins: int, hold: Callable[[DataFrame, str], DataFrame]) -> Filtered:
+    """Both phases over reads or counts of positions. hold(df, name) writes and rereads a step that is used twice."""
+    raw = hold(reads.groupBy(*KEYS).agg(F.sum(times(reads)).alias("raw"), F.max("ref_length").alias("full_length")), "pairs")
+    long_enough = reads.filter(bin_size_ref(F.col("ref_length"), bins) > 0)
+    one = hold(phase1_regions(long_enough, histogram_ref(long_enough, bins), bins), "regions1")
+    gone = lambda regions: regions.groupBy(*KEYS).agg(F.sum(F.col("right") - F.col("left")).alias("gone"))
+    raw = raw.join(gone(one).withColumnRenamed("gone", "gone_first"), KEYS, "left").withColumn("gone_first", F.coalesce("gone_first", F.lit(0)))
+    first = hold(remove_regions(long_enough, one), "phase1")
+    going_on = first.filter(1 - F.col("ref_length") / F.col("full_length") <= MOST_REMOVED)
+    two = hold(phase2_regions(going_on, bins), "regions2")
+    second = hold(remove_regions(going_on, two), "phase2")
+    left = first.groupBy(*KEYS).agg(F.sum(times(first)).alias("first"))
+    pairs = raw.join(left, KEYS, "left").join(gone(two), KEYS, "left")
+    sized = bin_size_ref(F.col("full_length"), bins) > 0
+    cut = lambda c: F.when(sized, 1 - (F.col("full_length") - c) / F.col("full_length"))
+    cuts = cut(F.col("gone_first")).alias("cut_first"), cut(F.col("gone_first") + F.coalesce("gone", F.lit(0))).alias("cut")
+    return Filtered(second, pairs.select(*KEYS, "raw", F.coalesce("first", F.lit(0)).cast("long").alias("first"), *cuts))
+
+
+def qc_ref(filtered: Filtered, min_reads: int, min_cov: float, bins: int = 500) -> DataFrame:
+    """sample_id, genome_id, frac_nonzero, nreads, frac_removed, passed_qc of every pair.
+
+    Pairs with fewer reads than min_reads, and those that lose over a quarter in phase 1, fail at once; what was not
+    computed for them is null. The bins are as wide as those of the whole genome, and cover what is left of it.
+    """
+    reads, n_bins = filtered.reads, F.ceil(F.col("ref_length") / bin_size_ref(F.col("full_length"), bins))
+    sized = reads.withColumn("n_bins", n_bins).withColumn("bin_ix", F.floor(n_bins * F.col("pos") / F.col("ref_length")))
+    per_bin = sized.groupBy(*KEYS, "bin_ix").agg(F.sum(times(reads)).alias("cnt"), F.max("n_bins").alias("n_bins"))
+    last = per_bin.groupBy(*KEYS).agg((F.count("*") / F.greatest(F.lit(1), F.max("n_bins"))).alias("covered"), F.sum("cnt").alias("left"))
+    few, cut = (F.col("raw") < min_reads) | F.col("cut_first").isNull(), F.col("cut_first") > MOST_REMOVED
+    out = filtered.pairs.join(last, KEYS, "left").select(
+        *KEYS,
+        F.when(~few & ~cut, F.coalesce("covered", F.lit(0.0))).alias("frac_nonzero"),
+        F.when(few, F.col("raw")).when(cut, F.col("first")).otherwise(F.coalesce("left", F.lit(0).cast("long"))).alias("nreads"),
+        F.when(few, None).when(cut, F.col("cut_first")).otherwise(F.col("cut")).alias("frac_removed"),
+    )
+    passed = (F.col("frac_nonzero") >= min_cov) & (F.col("nreads") >= min_reads) & (F.col("frac_removed") <= MOST_REMOVED)
+    return out.withColumn("passed_qc", F.coalesce(passed, F.lit(False)))
 
 
 def mask_outliers(matrix: DataFrame, z: float = Z95) -> DataFrame:
@@ -168,8 +208,12 @@ def min_samples_gate(gated: DataFrame, min_samples: int) -> DataFrame:
     return gated.filter("kept").withColumn("n", F.count("*").over(Window.partitionBy("genome_id"))).filter(F.col("n") >= min_samples).select("genome_id", "sample_id")
 
 
-def bin_gate(masked: DataFrame, samples: DataFrame, min_samples: int) -> DataFrame:
-    """genome_id, bin_ix of bins that under 2.5 % of the kept samples mask, in genomes with min_samples such bins."""
+def kept_bins(masked: DataFrame, samples: DataFrame) -> DataFrame:
+    """genome_id, bin_ix of bins that under 2.5 % of the kept samples mask."""
     per_bin = masked.join(samples, ["genome_id", "sample_id"]).groupBy("genome_id", "bin_ix").agg(F.count_if(F.col("cnt").isNull()).alias("n_masked"), F.count("*").alias("n"))
-    bins = per_bin.filter(F.col("n_masked") < 0.025 * F.col("n")).select("genome_id", "bin_ix")
+    return per_bin.filter(F.col("n_masked") < 0.025 * F.col("n")).select("genome_id", "bin_ix")
+
+
+def bin_gate(bins: DataFrame, min_samples: int) -> DataFrame:
+    """genome_id, bin_ix of kept bins, in genomes with min_samples of them."""
     return bins.withColumn("n", F.count("*").over(Window.partitionBy("genome_id"))).filter(F.col("n") >= min_samples).select("genome_id", "bin_ix")

@@ -35,11 +35,11 @@ def _newton(x: np.ndarray, mask: np.ndarray, own: np.ndarray, other: np.ndarray,
     return own
 
 
-def poisson_factors(x: np.ndarray, tol: float = 1e-3, rounds: int = 200) -> tuple[np.ndarray, np.ndarray, list[float]]:
+def poisson_factors(x: np.ndarray, tol: float = 1e-11) -> tuple[np.ndarray, np.ndarray, list[float]]:
     """w (rows), v (columns) and the log likelihoods of x ~ Poisson(exp(w v)); x may hold NaN for masked cells.
 
     It starts from the singular vectors of log2 counts (0 as 0.1, masked cells as their row's mean). Both gradients
-    leave masked cells out. The likelihoods never fall.
+    leave masked cells out. The likelihoods never fall; rounds end when one adds no more than a share of tol.
     """
     mask = np.isfinite(x)
     start = np.log2(np.where(mask & (x > 0), x, 0.1))
@@ -50,17 +50,16 @@ def poisson_factors(x: np.ndarray, tol: float = 1e-3, rounds: int = 200) -> tupl
     w, v = sign * u[:, 0] * s[0], sign * vt[0]
     score = lambda: float(np.where(mask, np.where(mask, x, 0.0) * np.outer(w, v) - np.exp(np.minimum(np.outer(w, v), 50.0)), 0.0).sum())
     scores = [score()]
-    for _ in range(rounds):
+    while True:
         w = _newton(x, mask, w, v)
         v = _newton(x.T, mask.T, v, w)
         scores.append(score())
-        if abs(scores[-1] - scores[-2]) <= tol:
-            break
-    return w, v, scores
+        if scores[-1] - scores[-2] <= tol * max(1.0, abs(scores[-1])):
+            return w, v, scores
 
 
 def bin_order(matrix: DataFrame) -> DataFrame:
-    """genome_id, bin_ix, w, place: bins in order of their factor, ties by number.
+    """genome_id, bin_ix, w, place: bins in order of their factor, ties by number. Factors have a mean square of 1.
 
     A genome's matrix has a bounded number of bins and a column a sample; it is gathered by genome. A genome whose
     factorisation fails has no rows.
@@ -72,7 +71,7 @@ def bin_order(matrix: DataFrame) -> DataFrame:
             w, _, _ = poisson_factors(wide.to_numpy(np.float64))
         except np.linalg.LinAlgError:
             w = np.full(len(wide), np.nan)
-        out = pd.DataFrame({"genome_id": pdf["genome_id"].iat[0], "bin_ix": wide.index.to_numpy(np.int64), "w": w})
+        out = pd.DataFrame({"genome_id": pdf["genome_id"].iat[0], "bin_ix": wide.index.to_numpy(np.int64), "w": w / np.sqrt((w * w).mean())})
         return out[np.isfinite(out["w"])]
 
     found = matrix.select("genome_id", "sample_id", "bin_ix", F.col("cnt").cast("double").alias("cnt")).groupBy("genome_id").applyInPandas(run, "genome_id string, bin_ix long, w double")
@@ -95,11 +94,37 @@ def slope_along(counts: pd.Series) -> pd.Series:
     return pd.Series([slope_of_counts(np.asarray(c)) for c in counts], dtype="float64")
 
 
-def contig_fits(trimmed: DataFrame) -> DataFrame:
-    """genome_id, sample_id, slope, log2_ptr (its size), reads, cov_frac."""
-    per = trimmed.groupBy("genome_id", "sample_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("ix", "cnt"))), lambda x: x.cnt.cast("double")).alias("counts"), F.sum("cnt").alias("reads"), F.avg((F.col("cnt") > 0).cast("double")).alias("cov_frac"))
+def unmasked_reads(bins: DataFrame) -> DataFrame:
+    """genome_id, sample_id, reads, covered: of unmasked bins the reads, and the fraction with any."""
+    return bins.groupBy("genome_id", "sample_id").agg(F.coalesce(F.sum("cnt"), F.lit(0).cast("long")).alias("reads"), F.avg((F.col("cnt") > 0).cast("double")).alias("covered"))
+
+
+def contig_fits(ordered: DataFrame, trimmed: DataFrame) -> DataFrame:
+    """genome_id, sample_id, slope, log2_ptr (its size), reads, cov_frac. Reads are those before the trim, the covered
+    fraction is that of the trimmed bins."""
+    per = trimmed.groupBy("genome_id", "sample_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("ix", "cnt"))), lambda x: x.cnt.cast("double")).alias("counts"), F.avg((F.col("cnt") > 0).cast("double")).alias("cov_frac"))
     slope = slope_along("counts")
-    return per.withColumn("slope", F.when(~F.isnan(slope), slope)).select("genome_id", "sample_id", "slope", F.abs("slope").alias("log2_ptr"), "reads", "cov_frac")
+    per = per.withColumn("slope", F.when(~F.isnan(slope), slope)).join(unmasked_reads(ordered), ["genome_id", "sample_id"])
+    return per.select("genome_id", "sample_id", "slope", F.abs("slope").alias("log2_ptr"), "reads", "cov_frac")
+
+
+def estimates(qc: DataFrame, gated: DataFrame, samples: DataFrame, bins: DataFrame, fits: DataFrame) -> DataFrame:
+    """genome_id, sample_id, log2_ptr, reads, cov_frac of every pair in qc (that of qc_contig).
+
+    Where no ratio can be had, reads and cov_frac are of the last step that the pair came to: those of all bins where the
+    quality check or the number of samples fails, unmasked reads where too few of them are left (gated, of
+    sample_gate), and those of the kept bins where these are too few or have no order. bins: the masked counts in kept
+    bins, of the kept samples.
+    """
+    keys = ["genome_id", "sample_id"]
+    out = qc.select(*keys, "n_reads", "frac_nonzero", "passed_qc").join(gated.select(*keys, F.col("reads").alias("unmasked"), "kept"), keys, "left")
+    out = out.join(samples.select(*keys, F.lit(True).alias("enough")), keys, "left")
+    out = out.join(unmasked_reads(bins).withColumnRenamed("reads", "in_bins"), keys, "left")
+    out = out.join(fits.select(*keys, "log2_ptr", F.col("reads").alias("fitted"), "cov_frac"), keys, "left")
+    early, enough = ~F.col("passed_qc") | ~F.coalesce("kept", F.lit(False)), F.col("enough").isNotNull()
+    reads = F.when(~F.col("passed_qc"), F.col("n_reads")).when(early, F.col("unmasked")).when(~enough, F.col("n_reads")).otherwise(F.coalesce("fitted", "in_bins", F.lit(0).cast("long")))
+    covered = F.when(early | ~enough, F.col("frac_nonzero")).when(F.col("fitted").isNotNull(), F.col("cov_frac")).otherwise(F.col("covered"))
+    return out.select(*keys, "log2_ptr", reads.alias("reads"), covered.alias("cov_frac"))
 
 
 def ols_line(trimmed: DataFrame) -> DataFrame:

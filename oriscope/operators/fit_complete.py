@@ -4,8 +4,8 @@ With the terminus opposite the origin, a sample's log2 likelihood depends on its
 their mean circular distance from the origin: N * (log2(r ln 2 / (1 - 2**-r)) - 2 r D). So the best origin is the
 circular median, the best r solves an equation in D, and a shared origin minimises the sum of N r D over samples.
 
-Reads are reduced to counts per distinct position before they are gathered, so that a (sample, genome) pair's row is
-bounded by the genome's length; samples of a genome are summed on a grid of origins and never gathered.
+The median is found exactly, with no pair's or genome's positions in one place: counts in cells of the circle bound the
+cost within each cell, and only the positions of cells that may hold the least are summed up one by one.
 """
 
 from __future__ import annotations
@@ -17,43 +17,81 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from oriscope.functions.numeric import MAX_LOG2_PTR, rate_of_mean_distance
-from oriscope.operators.coverage import KEYS
-
-ORIGINS = 1000
-
-
-def position_counts(reads: DataFrame) -> DataFrame:
-    """One row a pair: ref_length, nreads, and sorted distinct positions with their counts."""
-    per = reads.groupBy(*KEYS, "pos").agg(F.count("*").alias("c"), F.max("ref_length").alias("ref_length"))
-    return per.groupBy(*KEYS).agg(F.max("ref_length").alias("ref_length"), F.sum("c").alias("nreads"), F.array_sort(F.collect_list(F.struct("pos", "c"))).alias("at"))
-
-
-def circular_cost(x: np.ndarray, weight: np.ndarray, at: np.ndarray, length: float) -> np.ndarray:
-    """Twice the sum of weight * circular distance from each of `at` to sorted x; exact for integers."""
-    wide = np.concatenate([x - length, x, x + length])
-    w = np.tile(weight, 3)
-    count, total = np.r_[0, np.cumsum(w)], np.r_[0, np.cumsum(w * wide)]
-    mid = np.searchsorted(wide, at, "left")
-    right = np.searchsorted(2 * wide, 2 * at + length, "right")
-    left = np.searchsorted(2 * wide, 2 * at - length, "right")
-    return 2 * ((total[right] - total[mid]) - (count[right] - count[mid]) * at + (count[mid] - count[left]) * at - (total[mid] - total[left]))
+from oriscope.operators.coverage import KEYS, times
+
+CELLS = 256
+
+
+def _cost(o: Column, half: Column, w_o: Column, s_o: Column, w_h: Column, s_h: Column, w: Column, s: Column) -> Column:
+    """The sum of weight * circular distance from o, given weights (w) and weighted positions (s) up to o, up to the
+    point opposite to it, and in all."""
+    early = o * w_o - s_o + (s_h - s_o) - o * (w_h - w_o) + (2 * half + o) * (w - w_h) - (s - s_h)
+    late = (2 * half - o) * w_h + s_h + o * (w_o - w_h) - (s_o - s_h) + (s - s_o) - o * (w - w_o)
+    return F.when(o < half, early).otherwise(late)
+
+
+def _cells(points: DataFrame, keys: list[str], cells: int) -> DataFrame:
+    """The dense grid of cells with m and s (weight, weighted positions), w_k and s_k (of the cells before), w_all and
+    s_all, and whether the cell may hold the position of least cost."""
+    sums = points.groupBy(*keys, "half", "cell").agg(F.sum("w").alias("m"), F.sum(F.col("w") * F.col("x")).alias("s"))
+    grid = sums.select(*keys, "half").distinct().select(*keys, "half", F.explode(F.sequence(F.lit(0), F.lit(cells - 1))).alias("cell"))
+    zero = F.lit(0).cast(points.schema["w"].dataType)
+    dense = grid.join(sums, [*keys, "half", "cell"], "left").withColumns({c: F.coalesce(c, zero) for c in ("m", "s")})
+    by, order = Window.partitionBy(*keys), Window.partitionBy(*keys).orderBy("cell")
+    before = order.rowsBetween(Window.unboundedPreceding, -1)
+    dense = dense.withColumns({"w_k": F.coalesce(F.sum("m").over(before), zero), "s_k": F.coalesce(F.sum("s").over(before), zero), "w_all": F.sum("m").over(by), "s_all": F.sum("s").over(by)})
+    at = lambda c, n: F.coalesce(F.lead(c, n).over(order), F.lag(c, cells - n).over(order))
+    # Three cells, as a position on the border of two may count to either.
+    dense = dense.withColumn("m3", F.col("m") + at("m", 1) + at("m", cells - 1))
+    dense = dense.withColumns({"w_h": at("w_k", cells // 2), "s_h": at("s_k", cells // 2), "across": at("m3", cells // 2)})
+    width, o = 2 * F.col("half") / cells, 2 * F.col("half") * F.col("cell") / cells
+    cost = _cost(o, F.col("half"), *(F.col(c).cast("double") for c in ("w_k", "s_k", "w_h", "s_h", "w_all", "s_all")))
+    slope = 2.0 * F.col("w_k") - 2.0 * F.col("w_h") + F.when(F.col("cell") < cells // 2, F.col("w_all")).otherwise(-F.col("w_all"))
+    bounds = dense.withColumns({"low": cost + F.least(F.lit(0.0), width * (slope - 2 * F.col("across"))), "high": cost + F.greatest(F.lit(0.0), width * (slope + 2 * F.col("m3")))})
+    best = F.min(F.when(F.col("m") > 0, F.col("high"))).over(by)
+    return bounds.withColumn("holds", (F.col("m") > 0) & (F.col("low") <= best + 1e-9 * F.abs(best) + 1e-9))
+
+
+def best_origins(points: DataFrame, keys: list[str], cells: int = CELLS, places: int | None = None) -> DataFrame:
+    """keys, x, cost: the position with the least sum of weight * circular distance to all of its group, at a tie the
+    first.
+
+    points: keys, half (of the circle's length, the same in a group), x (at least 0 and under 2 * half) and w, all
+    longs or all doubles; exact for longs. Costs that agree when rounded to `places` are ties.
+    """
+    cell = F.least(F.floor(F.col("x") * cells / (2 * F.col("half"))), F.lit(cells - 1)).cast("int")
+    points = points.select(*keys, "half", "x", "w", cell.alias("cell"))
+    grid = _cells(points, keys, cells)
+    across = [F.pmod(F.col("cell") + cells // 2 + i, F.lit(cells)) for i in (-1, 0, 1)]
+    asked = grid.filter("holds").select(*keys, F.explode(F.array(F.col("cell"), *across)).alias("cell")).distinct()
+    needed = grid.select(*keys, "cell", "w_k", "s_k", "w_all", "s_all", "holds").join(asked, [*keys, "cell"])
+    near = points.join(needed.select(*keys, "cell", "holds"), [*keys, "cell"])
+    found = near.filter("holds").select(*keys, "half", "cell", "x").distinct()
+    far = F.when(F.col("x") < F.col("half"), F.col("x") + F.col("half")).otherwise(F.col("x") - F.col("half"))
+    far_cell = F.least(F.floor(far * cells / (2 * F.col("half"))), F.lit(cells - 1)).cast("int")
+    nothing = F.lit(0).cast(points.schema["w"].dataType)
+    no_one = F.lit(None).cast(points.schema["x"].dataType)
+    asks = [found.select(*keys, "half", c.alias("cell"), t.alias("t"), nothing.alias("w"), F.col("x").alias("owner"), F.lit(own).alias("own")) for c, t, own in ((F.col("cell"), F.col("x"), True), (far_cell, far, False))]
+    rows = near.select(*keys, "half", "cell", F.col("x").alias("t"), "w", no_one.alias("owner"), F.lit(False).alias("own")).unionByName(asks[0]).unionByName(asks[1])
+    upto = Window.partitionBy(*keys, "cell").orderBy("t").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = rows.withColumns({"run_w": F.sum("w").over(upto), "run_s": F.sum(F.col("w") * F.col("t")).over(upto)}).filter("owner is not null")
+    rows = rows.join(needed.drop("holds"), [*keys, "cell"]).withColumns({"up_w": F.col("w_k") + F.col("run_w"), "up_s": F.col("s_k") + F.col("run_s")})
+    side = lambda c, own: F.max(F.when(F.col("own") == own, F.col(c)))
+    per = rows.groupBy(*keys, "owner").agg(F.max("half").alias("half"), side("up_w", True).alias("w_o"), side("up_s", True).alias("s_o"), side("up_w", False).alias("w_h"), side("up_s", False).alias("s_h"), F.max("w_all").alias("w"), F.max("s_all").alias("s"))
+    cost = _cost(*(F.col(c) for c in ("owner", "half", "w_o", "s_o", "w_h", "s_h", "w", "s")))
+    cost = cost if places is None else F.round(cost, places)
+    best = per.groupBy(*keys).agg(F.min(F.struct(cost.alias("cost"), F.col("owner").alias("x"))).alias("best"))
+    return best.select(*keys, "best.x", "best.cost")
 
 
 def circular_median(counts: DataFrame) -> DataFrame:
     """sample_id, genome_id, ref_length, nreads, ori_pos, mean_distance (of the genome's length): the read position with
-    the least mean circular distance to the reads, at a tie the first."""
-
-    def run(batches):
-        for pdf in batches:
-            rows = []
-            for s, g, length, n, at in pdf.itertuples(index=False):
-                x, c = (np.array([p[i] for p in at], np.int64) for i in ("pos", "c"))
-                cost = circular_cost(x, c, x, int(length))
-                best = int(np.argmin(cost))
-                rows.append((s, g, length, n, int(x[best]), float(cost[best]) / (2.0 * n * length)))
-            yield pd.DataFrame(rows, columns=["sample_id", "genome_id", "ref_length", "nreads", "ori_pos", "mean_distance"])
-
-    return counts.select(*KEYS, "ref_length", "nreads", "at").mapInPandas(run, "sample_id string, genome_id string, ref_length long, nreads long, ori_pos long, mean_distance double")
+    the least mean circular distance to the reads, at a tie the first. counts: reads or counts of positions."""
+    points = counts.select(*KEYS, F.col("ref_length").alias("half"), (2 * F.col("pos")).alias("x"), times(counts).alias("w"))
+    whole = counts.groupBy(*KEYS).agg(F.max("ref_length").alias("ref_length"), F.sum(times(counts)).alias("nreads"))
+    best = best_origins(points, KEYS).join(whole, KEYS)
+    mean = F.col("cost") / (2.0 * F.col("nreads") * F.col("ref_length"))
+    return best.select(*KEYS, "ref_length", "nreads", (F.col("x") / 2).cast("long").alias("ori_pos"), mean.alias("mean_distance"))
 
 
 @F.pandas_udf(T.DoubleType())
@@ -65,47 +103,34 @@ def single_sample_ptr(medians: DataFrame) -> DataFrame:
     return medians.withColumn("log2_ptr", log2_ptr_of("mean_distance"))
 
 
-def origin_costs(counts: DataFrame, fitted: DataFrame, origins: int = ORIGINS) -> DataFrame:
-    """sample_id, genome_id, origin, mean_distance and cost (nreads * log2_ptr * mean distance) on a grid of origins."""
-
-    def run(batches):
-        for pdf in batches:
-            for s, g, length, n, at, r in pdf.itertuples(index=False):
-                x, c = (np.array([p[i] for p in at], np.float64) for i in ("pos", "c"))
-                grid = np.arange(origins)
-                mean = circular_cost(x / length, c, grid / origins, 1.0) / (2.0 * n)
-                yield pd.DataFrame({"sample_id": s, "genome_id": g, "origin": grid, "mean_distance": mean, "cost": n * r * mean})
+def shared_origin(counts: DataFrame, fitted: DataFrame, cells: int = CELLS) -> DataFrame:
+    """genome_id, ori, ter: the origin of most likelihood over all samples at their ratios, as a fraction of the genome.
 
-    joined = counts.join(fitted.select(*KEYS, "log2_ptr"), KEYS)
-    return joined.select(*KEYS, "ref_length", "nreads", "at", "log2_ptr").mapInPandas(run, "sample_id string, genome_id string, origin long, mean_distance double, cost double")
-
-
-def shared_origin(costs: DataFrame) -> DataFrame:
-    """genome_id, origin, ori, ter: the grid point of least summed cost, as fractions of the genome."""
-    total = costs.groupBy("genome_id", "origin").agg(F.round(F.sum("cost"), 6).alias("cost"))
-    best = total.groupBy("genome_id").agg(F.min(F.struct("cost", "origin"))["origin"].alias("origin"))
-    ori = F.col("origin") / ORIGINS
-    return best.select("genome_id", "origin", ori.alias("ori"), ((ori + 0.5) % 1).alias("ter"))
+    It is the position, among those of all samples' reads, with the least sum of ratio * circular distance.
+    """
+    rows = counts.join(fitted.select(*KEYS, "log2_ptr"), KEYS)
+    points = rows.select("genome_id", F.lit(0.5).alias("half"), (F.col("pos") / F.col("ref_length")).alias("x"), (F.col("log2_ptr") * times(counts)).alias("w"))
+    best = best_origins(points, ["genome_id"], cells, places=6)
+    return best.select("genome_id", F.col("x").alias("ori"), ((F.col("x") + 0.5) % 1).alias("ter"))
 
 
-def refit(costs: DataFrame, shared: DataFrame) -> DataFrame:
+def refit(counts: DataFrame, shared: DataFrame) -> DataFrame:
     """Each sample's ratio at the genome's shared origin; null at the upper bound."""
-    out = costs.join(shared, ["genome_id", "origin"]).withColumn("fit", log2_ptr_of("mean_distance"))
+    pairs = counts.select(*KEYS).distinct().join(shared, "genome_id")
+    apart = distance(F.col("pos"), F.col("ref_length"), F.col("ori"))
+    out = counts.join(pairs, KEYS).groupBy(*KEYS, "ori", "ter").agg((F.sum(times(counts) * apart) / F.sum(times(counts))).alias("mean_distance"))
+    out = out.withColumn("fit", log2_ptr_of("mean_distance"))
     return out.select(*KEYS, "ori", "ter", F.when(F.abs(F.col("fit") - MAX_LOG2_PTR) >= 1e-4, F.col("fit")).alias("log2_ptr"))
 
 
-def estimates(counts: DataFrame, qc: DataFrame, origins: int = ORIGINS) -> DataFrame:
+def estimates(single: DataFrame, again: DataFrame, qc: DataFrame) -> DataFrame:
     """sample_id, genome_id, log2_ptr, ori, ter, nreads, cov_frac of every pair in qc.
 
-    Pairs that fail the quality check have no estimate. A genome's only passing sample keeps its own origin; more
-    samples share one and are fitted again.
+    single: single_sample_ptr of the pairs that pass; again: refit. Pairs that fail the quality check have no estimate.
+    A genome's only passing sample keeps its own origin; more samples share one and are fitted again.
     """
-    passing = counts.join(qc.filter("passed_qc").select(*KEYS), KEYS)
-    single = single_sample_ptr(circular_median(passing))
-    costs = origin_costs(passing, single, origins)
-    again = refit(costs, shared_origin(costs)).select(*KEYS, "ori", "ter", F.col("log2_ptr").alias("again"))
     number = F.count("*").over(Window.partitionBy("genome_id"))
-    joined = single.withColumn("samples", number).join(again, KEYS)
+    joined = single.withColumn("samples", number).join(again.select(*KEYS, "ori", "ter", F.col("log2_ptr").alias("again")), KEYS)
     alone, own = F.col("samples") == 1, F.col("ori_pos") / F.col("ref_length")
     fit = F.when(alone, F.when(F.abs(F.col("log2_ptr") - MAX_LOG2_PTR) >= 1e-4, F.col("log2_ptr"))).otherwise(F.col("again"))
     done = joined.select(*KEYS, fit.alias("log2_ptr"), F.when(alone, own).otherwise(F.col("ori")).alias("ori"), F.when(alone, (own + 0.5) % 1).otherwise(F.col("ter")).alias("ter"))
@@ -129,6 +154,6 @@ def log_likelihood_grid(reads: DataFrame, grid: DataFrame) -> DataFrame:
     """
     origins = [row.ori for row in grid.select("ori").distinct().collect()]
     ori = F.explode(F.array(*map(F.lit, sorted(origins)))).alias("ori")
-    sums = reads.select(*KEYS, "pos", "ref_length", ori).groupBy(*KEYS, "ori").agg(F.count("*").alias("n"), F.sum(distance(F.col("pos"), F.col("ref_length"), F.col("ori"))).alias("total"))
+    sums = reads.select(*KEYS, "pos", "ref_length", times(reads).alias("times"), ori).groupBy(*KEYS, "ori").agg(F.sum("times").alias("n"), F.sum(F.col("times") * distance(F.col("pos"), F.col("ref_length"), F.col("ori"))).alias("total"))
     log_lk = F.col("n") * log_density_peak(F.col("log2_ptr")) - 2 * F.col("log2_ptr") * F.col("total")
     return sums.join(F.broadcast(grid), "ori").select(*KEYS, "log2_ptr", "ori", log_lk.alias("log_lk"))

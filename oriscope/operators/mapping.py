@@ -44,10 +44,10 @@ def best_hits(alignments: DataFrame) -> DataFrame:
 def merge_best(files: list[DataFrame]) -> DataFrame:
     """The union of files, of each read the alignments of highest score over all of them.
 
-    Second mates are left out of the reads' best scores and of the result. The best scores are aggregated before the
-    join, so that only (read, score) rows meet the alignments.
+    Unmapped, failed and second-mate records count neither for a read's best score nor in the result. The best scores are
+    aggregated before the join, so that only (read, score) rows meet the alignments.
     """
-    union = reduce(DataFrame.unionByName, files).filter(F.col("flag").bitwiseAND(SECOND_MATE) == 0)
+    union = flag_filter(reduce(DataFrame.unionByName, files))
     best = union.groupBy("read_id").agg(F.max("as_score").alias("best"))
     return union.join(best, "read_id").filter("as_score = best").drop("best")
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from oriscope.operators.coverage import KEYS
+from oriscope.operators.coverage import KEYS, times
 
 
 def contig_counts(masked: DataFrame, qc: DataFrame, sizes: DataFrame) -> DataFrame:
@@ -17,7 +17,7 @@ def contig_counts(masked: DataFrame, qc: DataFrame, sizes: DataFrame) -> DataFra
 
 def complete_counts(filtered: DataFrame, qc: DataFrame) -> DataFrame:
     """sample_id, genome_id, count, length of complete genomes that pass: reads and length after filtering."""
-    per = filtered.groupBy(*KEYS).agg(F.count("*").alias("count"), F.max("ref_length").alias("length"))
+    per = filtered.groupBy(*KEYS).agg(F.sum(times(filtered)).alias("count"), F.max("ref_length").alias("length"))
     return per.join(qc.filter("passed_qc").select(*KEYS), KEYS)
 
 

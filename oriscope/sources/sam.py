@@ -1,21 +1,11 @@
-"""SAM text and BAM files as DataFrames.
-
-SAM is read with Spark's text source, so that large files split; BAM is a Python data source with a partition a file.
-"""
+"""SAM text as DataFrames, read with Spark's text source so that large files split; and folders of SAM and BAM."""
 
 from __future__ import annotations
 
-import gzip
-import struct
-from collections.abc import Iterator
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
-
-ALIGNMENTS = "sample_id string, read_id string, flag int, ref_name string, pos long, mapq int, cigar string, query_length int, as_score int, seq string, qual string"
-HEADER = "sample_id string, ref_name string, length long"
 
+from oriscope.sources import bam
 
 def stem(name: Column) -> Column:
     """A file name without its folder and last extension."""
@@ -33,123 +23,55 @@ def aligned_length(cigar: Column) -> Column:
     return F.aggregate(numbers, F.lit(0), lambda a, x: a + x.cast("int"))
 
 
-def _lines(spark: SparkSession, path: str, glob: str) -> DataFrame:
+def _lines(spark: SparkSession, path: str | list[str], glob: str) -> DataFrame:
     return spark.read.option("pathGlobFilter", glob).text(path).select("value", stem(F.col("_metadata.file_path")).alias("sample_id"))
 
 
-def read_sam(spark: SparkSession, path: str, glob: str = "*.sam") -> DataFrame:
+def read_sam(spark: SparkSession, path: str | list[str], glob: str = "*.sam") -> DataFrame:
     """ALIGNMENTS of SAM files; pos counts from 0, and is -1 where the file says 0."""
     lines = _lines(spark, path, glob).filter(~F.col("value").startswith("@") & (F.col("value") != ""))
-    x = F.split("value", "\t")
+    x, n = F.split("value", "\t"), F.size(F.split("value", "\t"))
     score = F.regexp_extract("value", r"\tAS:i:(-?\d+)", 1)
     return lines.select(
         "sample_id", x[0].alias("read_id"), x[1].cast("int").alias("flag"), x[2].alias("ref_name"), (x[3].cast("long") - 1).alias("pos"), x[4].cast("int").alias("mapq"),
-        x[5].alias("cigar"), aligned_length(x[5]).alias("query_length"), F.when(score != "", score.cast("int")).alias("as_score"), x[9].alias("seq"), x[10].alias("qual"),
+        x[5].alias("cigar"), aligned_length(x[5]).alias("query_length"), F.when(score != "", score.cast("int")).alias("as_score"),
+        x[8].cast("int").alias("tlen"), x[9].alias("seq"), x[10].alias("qual"), F.array_join(F.slice(x, 12, F.greatest(n - 11, F.lit(0))), "\t").alias("tags"),
     )
 
 
-def read_sam_header(spark: SparkSession, path: str, glob: str = "*.sam") -> DataFrame:
+def read_sam_header(spark: SparkSession, path: str | list[str], glob: str = "*.sam") -> DataFrame:
     """HEADER of SAM files: @SQ lines that give a length."""
     lines = _lines(spark, path, glob).filter(F.col("value").startswith("@SQ\t"))
     field = lambda tag: F.regexp_extract("value", rf"\t{tag}:([^\t]*)", 1)
     return lines.select("sample_id", field("SN").alias("ref_name"), field("LN").alias("ln")).filter("ln != ''").select("sample_id", "ref_name", F.col("ln").cast("long").alias("length"))
 
 
-class _Files(DataSourceReader):
-    def __init__(self, options):
-        self.paths, self.header = [p for p in options.get("path", "").split(",") if p], options.get("content") == "header"
-
-    def partitions(self):
-        return [InputPartition(p) for p in self.paths]
-
-    def read(self, partition) -> Iterator[tuple]:
-        import pyarrow.fs as pafs
-
-        fs, path = pafs.FileSystem.from_uri(partition.value)
-        name = path.rsplit("/", 1)[-1].rsplit(".", 1)[0]
-        with fs.open_input_file(path) as raw, gzip.open(raw) as file:
-            yield from ((name, *row) for row in bam_records(file, self.header))
-
-
-def _take(file, size: int) -> bytes:
-    data = file.read(size)
-    if len(data) < size:
-        raise EOFError("the file ends inside a record")
-    return data
-
-
-def bam_records(file, header: bool = False) -> Iterator[tuple]:
-    """Rows of an inflated BAM stream, one record in memory at a time: those of HEADER or of ALIGNMENTS, both without
-    the sample."""
-    if _take(file, 4) != b"BAM\1":
-        raise ValueError("not a BAM file")
-    _take(file, struct.unpack("<i", _take(file, 4))[0])
-    names = []
-    for _ in range(struct.unpack("<i", _take(file, 4))[0]):
-        name = _take(file, struct.unpack("<i", _take(file, 4))[0])[:-1].decode()
-        length = struct.unpack("<i", _take(file, 4))[0]
-        names.append(name)
-        if header:
-            yield name, length
-    if header:
-        return
-    while size := file.read(4):
-        data = _take(file, struct.unpack("<i", size)[0])
-        ref, pos, name_size, mapq, _, n_ops, flag, n_bases = struct.unpack_from("<iiBBHHHi", data)
-        at = 32 + name_size
-        ops = [(x >> 4, "MIDNSHP=X"[x & 15]) for x in struct.unpack_from(f"<{n_ops}I", data, at)]
-        bases = at + 4 * n_ops
-        qualities = bases + (n_bases + 1) // 2
-        seq = "".join("=ACMGRSVTWYHKDBN"[data[bases + i // 2] >> (4 if i % 2 == 0 else 0) & 15] for i in range(n_bases)) or "*"
-        qual = data[qualities : qualities + n_bases]
-        qual = "*" if not qual or qual[0] == 255 else "".join(chr(q + 33) for q in qual)
-        yield data[32 : at - 1].decode(), flag, names[ref] if ref >= 0 else "*", pos, mapq, "".join(f"{n}{o}" for n, o in ops) or "*", sum(n for n, o in ops if o in "MI=X"), _score(data, qualities + n_bases), seq, qual
-
-
-def _score(data: bytes, at: int) -> int | None:
-    """The AS tag among the tags that begin at `at`."""
-    kinds = {"A": "c", "c": "b", "C": "B", "s": "<h", "S": "<H", "i": "<i", "I": "<I", "f": "<f"}
-    while at < len(data):
-        tag, kind = data[at : at + 2], chr(data[at + 2])
-        at += 3
-        if kind in "ZH":
-            at = data.index(b"\0", at) + 1
-        elif kind == "B":
-            sub, n = chr(data[at]), struct.unpack_from("<i", data, at + 1)[0]
-            at += 5 + n * struct.calcsize(kinds[sub])
-        else:
-            if tag == b"AS":
-                return int(struct.unpack_from(kinds[kind], data, at)[0])
-            at += struct.calcsize(kinds[kind])
-    return None
-
-
-class BamSource(DataSource):
-    """spark.read.format("bam").load(path[,path...]); option content=header reads the sequence dictionary."""
-
-    @classmethod
-    def name(cls) -> str:
-        return "bam"
-
-    def schema(self) -> str:
-        return HEADER if self.options.get("content") == "header" else ALIGNMENTS
-
-    def reader(self, schema):
-        return _Files(self.options)
-
-
-def read_bam(spark: SparkSession, paths: list[str], header: bool = False) -> DataFrame:
-    spark.dataSource.register(BamSource)
-    return spark.read.format("bam").option("path", ",".join(paths)).option("content", "header" if header else "records").load()
+def alignment_files(spark: SparkSession, folder: str) -> DataFrame:
+    """sample_id, file of the SAM and BAM files in a folder, or of one such file; nothing of them is read."""
+    found = spark.read.format("binaryFile").option("pathGlobFilter", "*.{sam,bam}").load(folder)
+    return found.select(stem(F.col("path")).alias("sample_id"), F.col("path").alias("file"))
+
+
+def read_files(spark: SparkSession, files: list[str]) -> tuple[DataFrame, DataFrame]:
+    """ALIGNMENTS and HEADER of SAM and BAM files, told apart by their names."""
+    text, binary = [f for f in files if not f.endswith(".bam")], [f for f in files if f.endswith(".bam")]
+    rows, heads = bam.read_bam(spark, binary), bam.read_bam(spark, binary, header=True)
+    if text:
+        rows = rows.unionByName(read_sam(spark, text, "*")) if binary else read_sam(spark, text, "*")
+        heads = heads.unionByName(read_sam_header(spark, text, "*")) if binary else read_sam_header(spark, text, "*")
+    return rows, heads
 
 
 def write_sam(alignments: DataFrame, header: DataFrame, path: str) -> None:
     """A folder of SAM text: part files of records, and beside it `<path>-header` with the dictionary sorted by name.
 
-    Mapping quality and mates are not carried over.
+    Template lengths and all tags are carried over, mapping qualities and mates are not.
     """
-    columns = [F.col("read_id"), F.col("flag").cast("string"), F.col("ref_name"), (F.col("pos") + 1).cast("string"), F.lit("255"), F.col("cigar"), F.lit("*"), F.lit("0"), F.lit("0"), F.coalesce("seq", F.lit("*")), F.coalesce("qual", F.lit("*")), F.concat(F.lit("AS:i:"), F.col("as_score").cast("string"))]
-    alignments.select(F.concat_ws("\t", *columns).alias("value")).write.mode("overwrite").text(path)
+    have = lambda c, other: F.coalesce(F.col(c).cast("string"), other) if c in alignments.columns else other
+    score = F.when(F.col("as_score").isNotNull(), F.concat(F.lit("AS:i:"), F.col("as_score").cast("string")))
+    columns = [F.col("read_id").cast("string"), F.col("flag").cast("string"), F.col("ref_name"), (F.col("pos") + 1).cast("string"), F.lit("255"), F.col("cigar"), F.lit("*"), F.lit("0"), have("tlen", F.lit("0")), have("seq", F.lit("*")), have("qual", F.lit("*"))]
+    tags = have("tags", score)
+    alignments.select(F.concat_ws("\t", *columns, F.when(tags != "", tags)).alias("value")).write.mode("overwrite").text(path)
     lines = header.orderBy("ref_name").select(F.concat_ws("\t", F.lit("@SQ"), F.concat(F.lit("SN:"), "ref_name"), F.concat(F.lit("LN:"), F.col("length").cast("string"))).alias("value"))
     first = header.sparkSession.createDataFrame([("@HD\tVN:1.0\tSO:unsorted",)], "value string")
     first.unionByName(lines).coalesce(1).write.mode("overwrite").text(f"{path}-header")

@@ -18,16 +18,23 @@ class Held:
         df.write.parquet(path)
         return self.spark.read.schema(schema).parquet(path)
 
+    def drop(self) -> None:
+        """Delete all steps, when the results that are made of them have been read."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.folder)
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
 
 def scratch(spark: SparkSession, name: str) -> Held:
-    """Steps in the folder that the cluster names in spark.checkpoint.dir, or in a new one where that is unset."""
+    """Steps in the folder that the cluster names in spark.checkpoint.dir. Where that is unset, a local session gets a new
+    folder; on a cluster that is an error, as executors would write where nobody else can read."""
     import tempfile
     import uuid
 
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="spark-steps-", dir="/tmp")
-        spark.conf.set("spark.checkpoint.dir", base)
     return Held(spark, f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}")
 
 

@@ -1,4 +1,4 @@
-"""Incremental extraction: new SAM files become coverage maps, each file once."""
+"""Incremental extraction: new SAM and BAM files become coverage maps, each file once."""
 
 from __future__ import annotations
 
@@ -9,18 +9,23 @@ from oriscope.operators import assign, mapping
 from oriscope.sources import sam, tables
 
 
+FILES = "path string, modificationTime timestamp, length long, content binary"
+
+
 def extract_new(spark: SparkSession, folder: str, out: str, checkpoint: str) -> int:
-    """Extract the SAM files that have come since the last call; returns how many rows the coverage maps have then.
+    """Extract the SAM and BAM files that have come since the last call; returns how many rows the coverage maps have
+    then.
 
-    The stream only finds the files; each batch is extracted as a whole, since a read's best hits need all of its
-    alignments. A batch that fails is run again and overwrites its samples' folders.
+    The stream only finds the files, without their content; each batch is extracted as a whole, since a read's best hits
+    need all of its alignments. A batch that fails is run again and overwrites its samples' folders.
     """
-    files = spark.readStream.option("pathGlobFilter", "*.sam").schema("value string").format("text").load(folder).select("value", sam.stem(F.col("_metadata.file_path")).alias("sample_id"), F.col("_metadata.file_path").alias("file"))
+    files = spark.readStream.format("binaryFile").schema(FILES).option("pathGlobFilter", "*.{sam,bam}").load(folder).select("path")
 
     def one(batch: DataFrame, _: int) -> None:
-        names = [r[0] for r in batch.select("file").distinct().collect()]
+        names = sorted(r.path for r in batch.collect())  # a row a file
         if names:
-            tables.write_coverage(assign.assigned_reads(extract(sam.read_sam(spark, names), sam.read_sam_header(spark, names))), out)
+            rows, header = sam.read_files(spark, names)
+            tables.write_coverage(assign.assigned_reads(extract(rows, header)), out)
 
     files.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
     return tables.read_coverage(spark, out).count()

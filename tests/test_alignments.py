@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from oriscope.jobs import cli
 from oriscope.operators import assign, mapping
+from oriscope.sources import bam as bam_files
 from oriscope.sources import sam, sequences, tables
 from oriscope.streaming import extract
 
@@ -100,11 +101,98 @@ def test_reads_bam(spark, tmp_path):
     tags = b"NMi" + struct.pack("<i", 3) + b"XZZtext\0" + b"XBBs" + struct.pack("<ihh", 2, 1, 2) + b"XAAc" + b"ASc" + struct.pack("b", -7)
     data = bam([("r1", 16, 1, 42, [(5, "S"), (70, "M"), (2, "D"), (3, "I")], tags), ("r2", 4, -1, -1, [], b"")], ["a", "b"])
     (tmp_path / "s1.bam").write_bytes(gzip.compress(data[:50]) + gzip.compress(data[50:]))
-    rows = {r.read_id: r for r in sam.read_bam(spark, [str(tmp_path / "s1.bam")]).collect()}
+    rows = {r.read_id: r for r in bam_files.read_bam(spark, [str(tmp_path / "s1.bam")]).collect()}
     r = rows["r1"]
     assert (r.sample_id, r.flag, r.ref_name, r.pos, r.cigar, r.query_length, r.as_score, r.seq, r.qual) == ("s1", 16, "b", 42, "5S70M2D3I", 73, -7, "ACG", "?@A")
     assert (rows["r2"].ref_name, rows["r2"].as_score) == ("*", None)
-    assert {(x.ref_name, x.length) for x in sam.read_bam(spark, [str(tmp_path / "s1.bam")], header=True).collect()} == {("a", 1000), ("b", 1000)}
+    assert {(x.ref_name, x.length) for x in bam_files.read_bam(spark, [str(tmp_path / "s1.bam")], header=True).collect()} == {("a", 1000), ("b", 1000)}
+
+
+def test_shares_of_a_bam_file(tmp_path):
+    """Records of all sizes, over the borders of blocks: each is read by one share, whatever the shares."""
+    import random
+
+    import pyarrow.fs as pafs
+
+    r = random.Random(7)
+    refs = {f"g{i}|c{i}": i for i in range(5)}
+    row = lambda i: {"read_id": f"read{i}" * r.choice([1, 1, 1, 20]), "flag": r.choice([0, 16, 256]), "ref_name": r.choice([*refs, "*"]), "pos": r.randrange(1000), "mapq": 9, "cigar": "10M2I", "as_score": -i, "tlen": 0, "seq": "".join(r.choice("ACGTN") for _ in range(r.choice([12, 12, 151, 20_000]))), "qual": None, "tags": f"NM:i:{i}\tXX:B:s,1,-2\tXZ:Z:a b\tXF:f:0.5\tAS:i:{-i}"}
+    rows = [row(i) for i in range(900)]
+    front = b"BAM\1" + struct.pack("<ii", 0, 5) + b"".join(struct.pack("<i", len(n) + 1) + n.encode() + b"\0" + struct.pack("<i", 1000) for n in refs)
+    data = front + b"".join(bam_files.encode(x, refs) for x in rows)
+    cuts = [0]
+    while cuts[-1] < len(data):
+        cuts.append(min(len(data), cuts[-1] + r.choice([50, 3000, 60_000])))
+    (tmp_path / "a.bam").write_bytes(b"".join(bam_files.block(data[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)) + bam_files.block(b""))
+    size = (tmp_path / "a.bam").stat().st_size
+    with pafs.LocalFileSystem().open_input_file(str(tmp_path / "a.bam")) as raw:
+        for share in (size, 100_000, 7_000):
+            found = []
+            for at in range(0, size, share):
+                raw.seek(0)
+                found += bam_files._records(raw, at, min(size, at + share))
+            assert [x[0] for x in found] == [x["read_id"] for x in rows]
+            assert [(x[1], x[2], x[3], x[7], x[9], x[11]) for x in found] == [(x["flag"], x["ref_name"], x["pos"], x["as_score"], x["seq"], x["tags"]) for x in rows]
+
+
+def test_bam_folders(spark, folder):
+    """SAM written as BAM, a file a sample: extracting and merging these is as from text, tags and lengths included."""
+    rows, header = sam.read_files(spark, [str(folder / "in/bam1.sam"), str(folder / "in/bam2.sam")])
+    files = bam_files.write_bam(rows, header, str(folder / "bams"))
+    assert {(r.sample_id, r.records) for r in files.collect()} == {("bam1", 4), ("bam2", 2)}
+    columns = ["sample_id", "read_id", "flag", "ref_name", "pos", "mapq", "cigar", "as_score", "tlen", "seq", "qual", "tags"]
+    again, head = sam.read_files(spark, [r.file for r in files.collect()])
+    assert sorted(again.select(columns).collect()) == sorted(rows.select(columns).collect())
+    assert {r.tags for r in again.collect()} >= {"NM:i:1\tAS:i:-3"}
+    assert cli.run_extract(spark, str(folder / "bams"), str(folder / "maps2")).count() == 2
+    cli.run_extract(spark, str(folder / "in"), str(folder / "maps1"))
+    one, two = (sorted(map(str, tables.read_coverage(spark, f"{folder}/maps{i}/reads").collect())) for i in (1, 2))
+    assert one == two and len(one) == 6
+    assert extract.extract_new(spark, str(folder / "bams"), str(folder / "stream2"), str(folder / "check2")) == 6
+    cli.run_merge(spark, [str(folder / "bams/bam1.bam"), str(folder / "in/bam2.sam")], str(folder / "out/merged.bam"))
+    merged, head = sam.read_files(spark, [str(folder / "out/merged.bam")])
+    assert {(r.sample_id, r.read_id, r.ref_name, r.mapq) for r in merged.collect()} == {("merged", "read1", "ref2|seq1", 255), ("merged", "read2", "ref1|seq1", 255), ("merged", "read3", "ref2|seq1", 255), ("merged", "read4", "ref1|seq2", 255)}
+    assert [r.ref_name for r in head.collect()] == ["ref1|seq1", "ref1|seq2", "ref2|seq1"]
+
+
+def test_merge_leaves_out_unmapped_and_failed(spark):
+    """A failed or unmapped record of a better score pushes out none of the good ones."""
+    rows = [("a", 0, -5), ("a", 512, 0), ("b", 4, 0), ("c", 128, 0), ("c", 0, -2), ("d", 16, -1), ("d", 256, -1)]
+    one = spark.createDataFrame(rows, "read_id string, flag int, as_score int")
+    assert sorted(map(tuple, mapping.merge_best([one]).collect())) == [("a", 0, -5), ("c", 0, -2), ("d", 16, -1), ("d", 256, -1)]
+
+
+def test_index_and_map_preparation(spark, tmp_path):
+    (tmp_path / "refs").mkdir()
+    (tmp_path / "refs/g1.fa").write_text(">c1 x\nACGT\nAC\n>c2\nAA\n")
+    (tmp_path / "refs/g2.fna").write_text(">c1\nT\n")
+    path, n = sequences.prepare_index(spark, str(tmp_path / "refs"), str(tmp_path / "index"))
+    assert n == 2
+    lines = [x for f in sorted((tmp_path / "index.fna").glob("part-*")) for x in f.read_text().splitlines()]
+    assert lines == [">g1|c1 x", "ACGT", "AC", ">g1|c2", "AA", ">g2|c1", "T"]
+    assert "".join(f.read_text() for f in (tmp_path / "index.genomes").glob("part-*")) == "g1\ng2\n"
+    (tmp_path / "reads").mkdir()
+    for name in ("s_1.fastq.gz", "s_2.fastq.gz", "t_2.fq", "t_1.fq", "no.txt"):
+        (tmp_path / "reads" / name).write_text("@r\nA\n+\nI\n")
+    jobs = lambda paired, *inputs: [(s, [f.rsplit("/", 1)[1] for f in files]) for s, files in sequences.mapping_jobs(spark, list(inputs), paired)]
+    reads = str(tmp_path / "reads")
+    assert jobs(True, reads) == [("s", ["s_1.fastq.gz", "s_2.fastq.gz"]), ("t", ["t_1.fq", "t_2.fq"])]
+    assert jobs(False, reads) == [("s_1", ["s_1.fastq.gz"]), ("s_2", ["s_2.fastq.gz"]), ("t_1", ["t_1.fq"]), ("t_2", ["t_2.fq"])]
+    assert jobs(False, f"{reads}/t_1.fq", f"{reads}/s_1.fastq.gz") == [("s_1", ["s_1.fastq.gz"]), ("t_1", ["t_1.fq"])]
+    with pytest.raises(ValueError, match="without a mate"):
+        jobs(True, f"{reads}/t_1.fq")
+
+
+def test_estimate_restarts_from_positions(spark, folder):
+    from oriscope.jobs.steps import Options
+
+    out = str(folder / "maps")
+    cli.run_extract(spark, str(folder / "in"), out)
+    first = sorted(map(str, cli.coverage_steps(spark, out, Options()).positions.collect()))
+    (folder / "maps/reads").rename(folder / "maps/reads-gone")
+    (folder / "maps/reads").mkdir()
+    tables.write_coverage(spark.read.parquet(f"{out}/reads-gone").limit(1).withColumn("sample_id", F.lit("x")), f"{out}/reads")
+    assert sorted(map(str, cli.coverage_steps(spark, out, Options(), restart=True).positions.collect())) == first
 
 
 def test_sequences(spark, tmp_path):
@@ -119,7 +207,7 @@ def test_sequences(spark, tmp_path):
     paths = spark.createDataFrame([("d.x/a.fastq.gz",), ("a.fq",), ("d.x/a",), ("a.gz",), ("a.b.c",)], "p string")
     assert [r[0] for r in paths.select(sam.fastq_name(F.col("p"))).collect()] == ["d.x/a", "a", "d.x/a", "a", "a.b"]
     assert sequences.map_command("i", "o.sam", ["r"], 2, 5) == ["bowtie2", "-x", "i", "-U", "r", "--no-unal", "-p", "2", "-k", "5", "-S", "o.sam"]
-    assert sequences.index_command("f", "i", packed=True)[-1] == "--packed"
+    assert sequences.index_command(["f", "g"], "i", packed=True) == ["bowtie2-build", "f,g", "i", "--threads", "1", "--packed"]
 
 
 def test_extract_is_incremental(spark, folder):

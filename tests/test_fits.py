@@ -38,13 +38,52 @@ def test_slope_is_the_likelihoods_top():
     assert math.isnan(numeric.slope_of_counts(np.zeros(5)))
 
 
-@pytest.mark.parametrize("length", [10, 11, 1000])
-def test_circular_cost(length):
-    r = np.random.default_rng(length)
-    x = np.unique(r.integers(0, length, 40))
-    w = r.integers(1, 5, len(x))
-    want = [sum(int(c) * min(2 * abs(int(a) - int(p)), 2 * length - 2 * abs(int(a) - int(p))) for p, c in zip(x, w, strict=True)) for a in x]
-    assert fit_complete.circular_cost(x, w, x, length).tolist() == want
+def circular_sum(at, x, w, length):
+    return sum(int(c) * min(2 * abs(int(at) - int(p)), 2 * length - 2 * abs(int(at) - int(p))) for p, c in zip(x, w, strict=True))
+
+
+@pytest.mark.parametrize("cells", [4, 256])
+def test_circular_median_by_brute_force(spark, cells, monkeypatch):
+    """Even, sloping, clustered and symmetric positions; ties go to the first position."""
+    monkeypatch.setattr(fit_complete, "CELLS", cells)
+    r = np.random.default_rng(cells)
+    rows, want = [], {}
+    for g in range(36):
+        length = int(r.choice([10, 11, 1000, 99_991]))
+        n = int(r.choice([1, 2, 5, 300]))
+        x = [r.integers(0, length, n), (length * r.beta(2, 5, n)).astype(int), (length // 2 + r.integers(-2, 3, n)) % length, np.arange(n) * length // n][g % 4]
+        x, w = np.unique(x, return_counts=True)
+        rows += [("s", f"g{g}", length, int(a), int(b)) for a, b in zip(x, w, strict=True)]
+        cost = [circular_sum(a, x, w, length) for a in x]
+        best = int(np.argmin(cost))
+        want[f"g{g}"] = (int(x[best]), cost[best] / (2 * int(w.sum()) * length), int(w.sum()))
+    counts = spark.createDataFrame(rows, "sample_id string, genome_id string, ref_length long, pos long, n long")
+    points = counts.select("sample_id", "genome_id", F.col("ref_length").alias("half"), (2 * F.col("pos")).alias("x"), F.col("n").alias("w"))
+    got = {x.genome_id: x.x // 2 for x in fit_complete.best_origins(points, ["sample_id", "genome_id"], cells).collect()}
+    assert got == {g: v[0] for g, v in want.items()}
+    for x in fit_complete.circular_median(counts).collect():
+        assert (x.ori_pos, x.nreads) == (want[x.genome_id][0], want[x.genome_id][2])
+        assert x.mean_distance == pytest.approx(want[x.genome_id][1], abs=1e-12)
+
+
+@pytest.mark.parametrize("cells", [8, 256])
+def test_shared_origin_by_brute_force(spark, cells):
+    r = np.random.default_rng(cells + 1)
+    rows, fits, want = [], [], {}
+    for g in range(8):
+        points = []
+        for s in range(int(r.integers(1, 5))):
+            length, ratio = int(r.integers(50, 5000)), float(r.uniform(0.1, 2))
+            fits.append((f"s{s}", f"g{g}", ratio))
+            for a in np.unique((length * r.beta(2, 2 + g % 3, 60)).astype(int)).tolist():
+                n = int(r.integers(1, 4))
+                rows.append((f"s{s}", f"g{g}", length, a, n))
+                points.append((a / length, n * ratio))
+        cost = lambda o: round(sum(w * min(abs(x - o), 1 - abs(x - o)) for x, w in points), 6)  # noqa: B023, E731
+        want[f"g{g}"] = min((cost(x), x) for x, _ in points)[1]
+    counts = spark.createDataFrame(rows, "sample_id string, genome_id string, ref_length long, pos long, n long")
+    fitted = spark.createDataFrame(fits, "sample_id string, genome_id string, log2_ptr double")
+    assert {x.genome_id: x.ori for x in fit_complete.shared_origin(counts, fitted, cells).collect()} == want
 
 
 def regions_by_walk(counts, lower, upper, step, length):
@@ -72,11 +111,10 @@ def test_outlier_regions_by_walk(spark):
     assert got == want
 
 
-def test_local_regions_by_walk():
+def test_local_bounds_by_walk():
     r = np.random.default_rng(5)
     for length, size in ((60_000, 1200), (50_050, 1000), (61_000, 1300)):
-        step = size // 100
-        n = -(-length // step)
+        n = -(-length // (size // 100))
         counts = r.poisson(6, n) * (r.random(n) > 0.2) + np.where((np.arange(n) // 300) % 5 == 2, 40, 0)
         reach = max(4, math.ceil(0.0625 * length / size))
         memo, lower, upper = {}, [], []
@@ -89,7 +127,20 @@ def test_local_regions_by_walk():
                 memo[key] = 2 ** (m - numeric.Z975 * s), 2 ** (m + numeric.Z975 * s)
             lower.append(memo[key][0])
             upper.append(memo[key][1])
-        assert filters._local_regions(counts, step, size, length) == regions_by_walk(counts, lower, upper, step, length)
+        got = filters._local_bounds(counts, size, length)
+        assert got[0] == pytest.approx(lower, nan_ok=True) and got[1] == pytest.approx(upper, nan_ok=True)
+
+
+def test_phase2_regions_by_walk(spark):
+    """Windows whose neighbourhood has no reads have no bounds, and open nothing."""
+    r = random.Random(6)
+    pos = [r.randrange(15_000, 45_000) for _ in range(600)] + [r.randrange(32_000, 34_000) for _ in range(400)]
+    df = spark.createDataFrame([("s", "g", 60_000, 60_000, p) for p in pos], "sample_id string, genome_id string, ref_length long, full_length long, pos long")
+    found = filters.local_bounds(df, 50).orderBy("k").collect()
+    assert any(x.lower is None for x in found)
+    none = float("nan")
+    want = regions_by_walk([x.cnt for x in found], [none if x.lower is None else x.lower for x in found], [none if x.upper is None else x.upper for x in found], 12, 60_000)
+    assert sorted((x.left, x.right) for x in filters.phase2_regions(df, 50).collect()) == want
 
 
 def test_rolling_counts_by_definition(spark):
@@ -115,11 +166,34 @@ def test_region_removal_step_by_step(spark):
     assert {(x.ref_length, x.full_length) for x in out} == {(length, 1000)}
 
 
-def test_short_genome_fails_quietly(spark):
-    df = spark.createDataFrame([("s", "g", 900, p) for p in range(50)], READS)
+def test_every_pair_has_an_outcome(spark):
+    """Too short a genome, too few reads, and too much removed: pairs that fail have their reads, and no estimate."""
+    r = random.Random(3)
+    rows = [("s", "short", 900, p) for p in range(50)] + [("s", "few", 60_000, 12 * p) for p in range(9)]
+    rows += [("s", "even", 60_000, r.randrange(60_000)) for _ in range(3000)]
+    rows += [("s", "patchy", 60_000, p) for _ in range(30) for p in [*range(1000, 20_000, 50), *range(40_000, 41_000)]]
+    df = spark.createDataFrame(rows, READS)
     hold = lambda x, _: x
-    assert filters.filter_ref(df, 5, 50, hold).count() == 0
-    assert coverage.histogram_ref(df, 50).count() == 0
+    qc = {x.genome_id: x for x in filters.qc_ref(filters.filter_ref(df, 50, hold), 10, 0.5, 50).collect()}
+    assert set(qc) == {"short", "few", "even", "patchy"}
+    assert [tuple(qc[g])[2:] for g in ("short", "few")] == [(None, 50, None, False), (None, 9, None, False)]
+    assert qc["even"].passed_qc and qc["even"].nreads > 2800
+    assert not qc["patchy"].passed_qc and qc["patchy"].frac_removed > 0.25 and qc["patchy"].frac_nonzero is None
+    counted = df.withColumn("ref_name", F.col("genome_id"))
+    same = filters.qc_ref(filters.filter_ref(coverage.position_counts(counted), 50, hold), 10, 0.5, 50)
+    assert sorted(map(tuple, same.collect())) == sorted(map(tuple, qc.values()))
+    assert coverage.histogram_ref(df.filter("genome_id = 'short'"), 50).count() == 0
+
+
+def test_contigs_must_agree(spark):
+    """A genome whose samples differ in their contigs is an error, since bins have no name but their number."""
+    seqs = [("a", "g", "c1", 400_000), ("a", "g", "c2", 400_000), ("b", "g", "c1", 400_000), ("b", "g", "c3", 400_000)]
+    pairs = spark.createDataFrame([("a", "g"), ("b", "g")], "sample_id string, genome_id string")
+    sizes = lambda rows: coverage.contig_sizes(spark.createDataFrame(rows, "sample_id string, genome_id string, ref_name string, length long"))
+    same = [(s, g, c.replace("3", "2"), n) for s, g, c, n in seqs]
+    assert coverage.same_contigs(sizes(same), pairs).count() == 2
+    with pytest.raises(Exception, match="samples differ in the contigs of g"):
+        coverage.same_contigs(sizes(seqs), pairs).collect()
 
 
 def test_inference_is_monotone_and_classes_equal_reads():

@@ -1,4 +1,4 @@
-"""Whole jobs that the SQL of the shorter forms can't hold, against brute force."""
+"""Whole jobs against brute force."""
 
 import re
 from collections import Counter, defaultdict

@@ -292,8 +292,10 @@ FINAL = {
         SELECT *, pow(2, abs(slope) * place / (n - 1)) AS e FROM (SELECT t.genome_id, t.sample_id, t.cnt, c.n, c.slope, CASE WHEN c.slope < 0 THEN c.n - 1 - t.ix ELSE t.ix END AS place
         FROM trim t JOIN cfit c USING (genome_id, sample_id))) WINDOW w AS (PARTITION BY genome_id, sample_id)""",
     "fastq_name_normalise": """SELECT page_id, regexp_replace(url || CASE page_id % 3 WHEN 0 THEN '.fastq.gz' WHEN 1 THEN '.fq' ELSE '' END, '((\\.[^./]+)?\\.gz|\\.[^./]+)$', '') AS name FROM pages""",
-    "fasta_header_rewrite": """SELECT 'refs/g' || (page_id % 7) || '.fa' AS file, page_id AS line_no,
-        CASE WHEN page_id % 3 = 0 THEN '>g' || (page_id % 7) || '|' || url WHEN html LIKE '>%' THEN '>g' || (page_id % 7) || '|' || substr(html, 2, 39) ELSE substr(html, 1, 40) END AS value FROM pages""",
+    "fasta_header_rewrite": r"""SELECT 'refs/g' || (page_id % 7) || '.fa' AS file, page_id, CAST(i - 1 AS INTEGER) AS line_no,
+        CASE WHEN lines[i] LIKE '>%' THEN '>g' || (page_id % 7) || '|' || substr(lines[i], 2) ELSE lines[i] END AS value FROM (
+        SELECT page_id, lines, unnest(range(1, len(lines) + 1)) AS i FROM (
+        SELECT page_id, string_split_regex(CASE WHEN page_id % 3 = 0 THEN '>' || url || chr(10) ELSE '' END || coalesce(html, ''), '\r\n|\r|\n') AS lines FROM pages))""",
     "fasta_genomes": "SELECT DISTINCT 'g' || (page_id % 7) AS genome_id FROM pages",
     "mate_pairing": """SELECT 'P' || (o_orderkey // 2) AS sample, min('P' || (o_orderkey // 2) || '_1.fastq.gz') FILTER (o_orderkey % 2 = 0) AS first, min('P' || (o_orderkey // 2) || '_2.fastq.gz') FILTER (o_orderkey % 2 = 1) AS second
         FROM orders GROUP BY 1 HAVING count(DISTINCT o_orderkey % 2) = 2""",

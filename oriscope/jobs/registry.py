@@ -24,19 +24,15 @@ def joined(c: str):
     return F.array_join(c, ",").alias(c)
 
 
-def _pages_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sequence-like lines of pages: every third is a header, the others a page's first 40 characters."""
-    page = F.col("page_id")
-    value = F.when(page % 3 == 0, F.concat(F.lit(">"), "url")).otherwise(F.substring("html", 1, 40))
-    return p.table(spark, sf_dir, "pages").select(F.concat(F.lit("refs/g"), (page % 7).cast("string"), F.lit(".fa")).alias("file"), page.alias("line_no"), value.alias("value"))
+def _page_file():
+    return F.concat(F.lit("refs/g"), (F.col("page_id") % 7).cast("string"), F.lit(".fa")).alias("file")
 
 
-def _whole_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _page_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All lines of pages; every third page has a header line before its own. line_no counts the lines of a page."""
-    page, html = F.col("page_id"), F.coalesce("html", F.lit(""))
-    whole = F.when(page % 3 == 0, F.concat(F.lit(">"), "url", F.lit("\n"), html)).otherwise(html)
-    file = F.concat(F.lit("refs/g"), (page % 7).cast("string"), F.lit(".fa")).alias("file")
-    return p.table(spark, sf_dir, "pages").select(file, "page_id", F.posexplode(F.split(whole, "\r\n|\r|\n")).alias("line_no", "value"))
+    html = F.coalesce("html", F.lit(""))
+    whole = F.when(F.col("page_id") % 3 == 0, F.concat(F.lit(">"), "url", F.lit("\n"), html)).otherwise(html)
+    return p.table(spark, sf_dir, "pages").select(_page_file(), "page_id", F.posexplode(F.split(whole, "\r\n|\r|\n")).alias("line_no", "value"))
 
 
 def _fastq_names(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -209,9 +205,8 @@ STEPS: dict[str, Callable[[Steps], DataFrame]] = {
 
 PLAIN: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "fastq_name_normalise": _url_names,
-    "fasta_header_rewrite": lambda spark, d: sequences.rename_headers(_pages_lines(spark, d)),
-    "fasta_header_rewrite_whole": lambda spark, d: sequences.rename_headers(_whole_pages(spark, d)),
-    "fasta_genomes": lambda spark, d: sequences.genomes(_pages_lines(spark, d)),
+    "fasta_header_rewrite": lambda spark, d: sequences.rename_headers(_page_lines(spark, d)),
+    "fasta_genomes": lambda spark, d: sequences.genomes(p.table(spark, d, "pages").select(_page_file())),
     "mate_pairing": lambda spark, d: sequences.pair_mates(_fastq_names(spark, d)),
     "event_rolling_counts": lambda spark, d: filters.rolling_counts(p.event_reads(spark, d), p.BINS),
     "event_outlier_regions": _event_regions,

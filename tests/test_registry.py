@@ -4,6 +4,7 @@ import pytest
 
 import __spark_entry__
 from oriscope.jobs import registry
+from oriscope.jobs.steps import Steps
 
 DATA = "/root/testdata/sf0.01"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -23,9 +24,17 @@ def rows(df):
     return sorted(tuple(map(plain, r)) for r in df.astype(object).itertuples(index=False))
 
 
+@pytest.fixture(scope="module")
+def steps(spark):
+    """The steps of both forms of the job, each of which the queries then share."""
+    return {whole: Steps(spark, DATA, assigned=whole) for whole in (False, True)}
+
+
 @pytest.mark.parametrize("name", sorted(registry.oracle_sql()))
-def test_query_equals_sql(spark, duck, name):
-    got, want = registry.queries()[name](spark, DATA).toPandas(), duck.execute(registry.oracle_sql()[name]).df()
+def test_query_equals_sql(spark, duck, steps, name):
+    plain = name.removesuffix("_assigned")
+    found = registry.STEPS[plain](steps[plain != name]) if plain in registry.STEPS else registry.queries()[name](spark, DATA)
+    got, want = found.toPandas(), duck.execute(registry.oracle_sql()[name]).df()
     assert sorted(got.columns) == sorted(want.columns)
     assert len(want)
     assert rows(got) == rows(want)

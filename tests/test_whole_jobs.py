@@ -46,5 +46,5 @@ def test_headers_of_whole_pages(spark, tmp_path):
     for i, url, html in pages:
         lines = ([f">{url}"] if i % 3 == 0 else []) + re.split("\r\n|\r|\n", html or "")
         want += [(f"refs/g{i % 7}.fa", i, n, f">g{i % 7}|{x[1:]}" if x[:1] == ">" else x) for n, x in enumerate(lines)]
-    rows = registry.queries()["fasta_header_rewrite_whole"](spark, str(tmp_path)).collect()
+    rows = registry.queries()["fasta_header_rewrite"](spark, str(tmp_path)).collect()
     assert sorted((r.file, r.page_id, r.line_no, r.value) for r in rows) == sorted(want)

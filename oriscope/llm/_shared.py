@@ -62,9 +62,10 @@ class Scratch:
                 path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def slices(batches: Iterator[pa.RecordBatch], rows: int = 1000, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 1000, most: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """Batches of few rows, and of at most some `most` bytes unless a row has more: what is made of many documents at
-    once is several times as large as their texts."""
+    once is several times as large as their texts. In the end, memory that is free goes back to the system, as workers
+    live on."""
     for batch in batches:
         at = 0
         while at < batch.num_rows:
@@ -73,6 +74,7 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = 1000, most: int = 8 <<
                 part = part.slice(0, part.num_rows // 2)
             yield part
             at += part.num_rows
+    pa.default_memory_pool().release_unused()
 
 
 def ascii_lower(c: Column) -> Column:

@@ -178,7 +178,7 @@ class PrefixTrie:
 class Encoder:
     """Encodes texts, remembering distinct pieces within a bounded memory. One lives in each Python worker."""
 
-    def __init__(self, spec: str, max_pieces: int = 400_000):
+    def __init__(self, spec: str, max_pieces: int = 150_000):
         from tokenizers import Tokenizer
 
         self.spec = json.loads(spec)

@@ -4,7 +4,7 @@ The lexer reads source and configuration text as statements `name = value`, `nam
 `export NAME=value`. A value is a literal, a reference to an earlier name, or several of these joined by `+`.
 References are replaced by what the name held, so a literal reaches every name that it is passed on to. Each literal
 is scored by how sensitive the names are that it reaches and by its own look. Literals in triple quotes may span lines;
-statements inside them are read too. References inside quotes ("${name}") are not followed.
+statements inside them are read too. References to earlier names inside double quotes ("${name}:x") are replaced too.
 """
 
 from __future__ import annotations
@@ -30,6 +30,7 @@ KINDS = {"assign": 0, "access": 1, "hex": 2, "lexed": 3}
 _NAME = r"[A-Za-z_$][\w$.\-]*"
 STATEMENT = re.compile(rf"""(?<![\w$.\-"'])(?P<q>["']?)(?P<name>{_NAME})(?P=q)[\x20\t]*(?::=|=>|=(?![=>])|:(?![:/]))[\x20\t]*""", re.ASCII)
 TERM = re.compile(r"""(?:\"{3}(?P<triple>(?:[^"\\]++|\\[\s\S]|"(?!""))*+)\"{3}|'{3}(?P<triple1>(?:[^'\\]++|\\[\s\S]|'(?!''))*+)'{3}|"(?P<double>(?:[^"\\\n]|\\.)*)"|'(?P<single>(?:[^'\\\n]|\\.)*)'|\$\{(?P<braced>[\w.\-]+)\}|\$(?P<dollar>\w+)|(?P<bare>[A-Za-z0-9+/_.=\-]+))""", re.ASCII)
+REFERENCE = re.compile(r"\$(?:\{([\w.\-]+)\}|(\w+))", re.ASCII)
 PLUS = re.compile(r"[\x20\t]*\+[\x20\t\n]*")
 WORDS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
 
@@ -142,7 +143,14 @@ def lexed_spans(text: str, threshold: float = 4.5) -> list[tuple[int, int, str]]
             if kind in ("braced", "dollar") or kind == "bare" and value in held:
                 parts += [p for p in [held.get(value)] if p]
             elif value:
-                parts.append((t.start(kind), t.start(kind) + len(value)))
+                start, stop = t.start(kind), t.start(kind) + len(value)
+                for ref in REFERENCE.finditer(text, start, stop) if kind == "double" and "$" in value else ():
+                    if (name := ref[1] or ref[2]) in held:
+                        parts += [(start, ref.start())] if start < ref.start() else []
+                        parts += [p for p in [held[name]] if p]
+                        start = ref.end()
+                if start < stop:
+                    parts.append((start, stop))
                 if kind.startswith("triple"):
                     inner.append((t.start(kind), t.end(kind)))
             at = t.end()

@@ -180,7 +180,9 @@ def test_base_spans_of_mixtures(parts):
         ('x = "Zx81kQv9" + "3Lmp2aaB7"\nauth_key = x', ["Zx81kQv9", "3Lmp2aaB7"]),
         ('{"private_key": "MIIEowIBAAKCAQ7x9"}', ["MIIEowIBAAKCAQ7x9"]),
         ("export SIGNING_KEY=q8Zt2mWv91LxKp", ["q8Zt2mWv91LxKp"]),
-        ('base=\'q8Zt2mWv91LxKp\'\nSIGNING_KEY="${base}"', []),
+        ('base=\'q8Zt2mWv91LxKp\'\nSIGNING_KEY="${base}"', ["q8Zt2mWv91LxKp"]),
+        ('base=\'q8Zt2mWv\'\nSIGNING_KEY="${base}-91LxKp$base!$other"', ["q8Zt2mWv", "-91LxKp", "!$other"]),
+        ('base=\'q8Zt2mWv91LxKp\'\nSIGNING_KEY=\'${base}\'', []),
         ('public_key = "MIIEowIBAAKCAQ7x9"', []),
         ('db_credential = "changeme please"', []),
         ("The answer: something longish here", []),

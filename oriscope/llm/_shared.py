@@ -8,6 +8,7 @@ import tempfile
 import uuid
 import weakref
 from collections.abc import Iterator
+from typing import ClassVar
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -36,10 +37,23 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 class Scratch:
-    """Tables written to the shared folder, so that lost executors cost no lineage to recompute."""
+    """Tables written to the shared folder, so that lost executors cost no lineage to recompute. `made` has the folders of
+    all of them: who has read a result may discard() what it was made of."""
+
+    made: ClassVar[list[str]] = []
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.base, self.n = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}", 0
+        self.made.append(self.base)
+
+    @classmethod
+    def discard(cls, spark: SparkSession, since: int = 0) -> None:
+        """Delete the folders that were made after the first `since` ones."""
+        for base in cls.made[since:]:
+            path = spark._jvm.org.apache.hadoop.fs.Path(base)
+            with contextlib.suppress(Exception):
+                path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        del cls.made[since:]
 
     def path(self, name: str) -> str:
         self.n += 1
@@ -52,12 +66,11 @@ class Scratch:
         (writer.partitionBy(*by) if by else writer).parquet(path)
         return self.spark.read.schema(schema).parquet(path)
 
-    def drop(self, df: DataFrame | None = None) -> None:
+    def drop(self, df: DataFrame) -> None:
         """Delete the files of a table that is needed no more."""
-        jvm = self.spark._jvm
-        for file in df.inputFiles()[:1] if df is not None else [f"{self.base}/x"]:
-            folder = file.rsplit("/", 1)[0] if df is None or "=" not in file.rsplit("/", 2)[1] else file.rsplit("/", 2)[0]
-            path = jvm.org.apache.hadoop.fs.Path(folder)
+        for file in df.inputFiles()[:1]:
+            folder = file.rsplit("/", 1)[0] if "=" not in file.rsplit("/", 2)[1] else file.rsplit("/", 2)[0]
+            path = self.spark._jvm.org.apache.hadoop.fs.Path(folder)
             with contextlib.suppress(Exception):
                 path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 

@@ -183,7 +183,7 @@ def _frequent(docs: DataFrame, part_of, heavy: np.ndarray, size: int, percent: i
             break
         least = int(row.p)
     found = counted.filter(F.floor(F.log2("n")) >= least).select("hash").toPandas()["hash"].to_numpy(np.int64) if least is not None else np.zeros(0, np.int64)
-    scratch.drop()
+    scratch.drop(counted)
     return np.sort(found.view(np.uint64))
 
 

@@ -54,11 +54,14 @@ def run_extract(spark: SparkSession, folder: str, out: str, regex: str = mapping
     hold = tables.scratch(spark, "extract")
     seqs = hold(mapping.with_genome(header, regex), "sequences")
     report = seqs.groupBy("sample_id").agg(F.countDistinct("ref_name").alias("n_sequences"), F.countDistinct("genome_id").alias("n_genomes"))
+    report = spark.createDataFrame(report.collect(), report.schema)  # a row a sample
     if check_regex or seqs.isEmpty():
+        hold.drop()
         return report
     reads = hold(assign.assigned_reads(hold(extract(records, header, regex), "best"), max_alignments), "reads")
     tables.write_coverage(reads, f"{out}/reads")
     seqs.write.mode("append").parquet(f"{out}/sequences")
+    hold.drop()
     return report
 
 
@@ -118,9 +121,11 @@ def main(argv: list[str] | None = None) -> None:
     options = Options(min_reads=getattr(a, "min_reads", 1), min_cov=a.min_cov, min_samples=a.min_samples)
     s = coverage_steps(spark, a.coverage_folder, options, getattr(a, "restart", False))
     if a.verb == "estimate":
-        return write_estimates(s, a.out_file, a.plot)
-    long, value, label = (s.read_counts, "count", "count") if a.verb == "count" else (s.abundance, "rel_abun", "rel_abun")
-    return tables.write_wide(products.wide_table(long, value, s.domain, 0).orderBy("genome_id"), a.out_file, label, "0")
+        write_estimates(s, a.out_file, a.plot)
+    else:
+        long, value, label = (s.read_counts, "count", "count") if a.verb == "count" else (s.abundance, "rel_abun", "rel_abun")
+        tables.write_wide(products.wide_table(long, value, s.domain, 0).orderBy("genome_id"), a.out_file, label, "0")
+    s.hold.drop()
 
 
 if __name__ == "__main__":

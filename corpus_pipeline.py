@@ -19,11 +19,11 @@ LEAST_SCORE = 0.02
 
 @contextmanager
 def _small_batches(spark: SparkSession) -> Iterator[None]:
-    """Python gets a thousand rows at a time: of long documents that fits a small executor. What runs in here is written
+    """Python gets five hundred rows at a time: of long documents that fits a small executor. What runs in here is written
     before it ends, and the session is then as it was."""
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
     before = spark.conf.get(name)
-    spark.conf.set(name, "1000")
+    spark.conf.set(name, "500")
     try:
         yield
     finally:

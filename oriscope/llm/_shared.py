@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import contextlib
+import ctypes
 import math
 import tempfile
 import uuid
@@ -75,10 +76,18 @@ class Scratch:
                 path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def slices(batches: Iterator[pa.RecordBatch], rows: int = 1000, most: int = 2 << 20) -> Iterator[pa.RecordBatch]:
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", lambda _: 0)
+
+
+def give_back() -> None:
+    """Let the system have what this process has freed: Python workers wait for their next task with what they hold."""
+    pa.default_memory_pool().release_unused()
+    _trim(0)
+
+
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 500, most: int = 1 << 19) -> Iterator[pa.RecordBatch]:
     """Batches of few rows, and of at most some `most` bytes unless a row has more: what is made of many documents at
-    once is several times as large as their texts. In the end, memory that is free goes back to the system, as workers
-    live on."""
+    once is several times as large as their texts. In the end free memory is given back."""
     for batch in batches:
         at = 0
         while at < batch.num_rows:
@@ -87,7 +96,7 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = 1000, most: int = 2 <<
                 part = part.slice(0, part.num_rows // 2)
             yield part
             at += part.num_rows
-    pa.default_memory_pool().release_unused()
+    give_back()
 
 
 def ascii_lower(c: Column) -> Column:

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from oriscope.llm._shared import slices
+from oriscope.llm._shared import give_back, slices
 
 NEVER = 1 << 40
 
@@ -323,6 +323,8 @@ def encode_texts(docs: DataFrame, tokenizer: str, text_col: str = "text", keep:
                 for f, column in out.items():
                     column.append(make[f][1](ids, text))
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], *(pa.array(v, make[f][0]) for f, v in out.items())], [*batch.schema.names[1:], *fields])
+        encoder.empty()  # the worker may have other work next
+        give_back()
 
     schema = rows.drop("_text").select("*", *(F.lit(None).cast(FIELDS[f]).alias(f) for f in fields)).schema
     return rows.mapInArrow(run, schema)

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from oriscope.llm._shared import slices, unused
+from oriscope.llm._shared import give_back, slices, unused
 
 SPACE = 32
 
@@ -161,6 +161,7 @@ def identify(docs: DataFrame, profiles: dict[str, np.ndarray], text_col: str = "
     @F.arrow_udf("lang string, score double")
     def predicted(texts: pa.Array) -> pa.Array:
         pairs = [predict(x.as_py()) for x in texts]
+        give_back()
         return pa.StructArray.from_arrays([pa.array([x[0] for x in pairs], pa.string()), pa.array([x[1] for x in pairs], pa.float64())], ["lang", "score"])
 
     # Only texts go through Python; the other columns stay where they are.

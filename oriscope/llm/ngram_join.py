@@ -249,7 +249,9 @@ def postings(sets: DataFrame, percent: int, scratch: Scratch, verify_cost: float
     per = met.groupBy("id", "n").agg(F.collect_list(F.struct("token", "pos", "first")).alias("items"), F.array(*costs).alias("costs"))
     ell = F.array_position("costs", F.array_min("costs")).cast("int")
     per = per.select("id", "n", ell.alias("ell"), F.explode("items").alias("x"))
-    return scratch.table(per.select("id", "n", "ell", "x.*"), "postings")
+    lists = scratch.table(per.select("id", "n", "ell", "x.*"), "postings")
+    scratch.drop(shared)
+    return lists
 
 
 def _level(percent: int, a: str, b: str) -> Column:
@@ -338,16 +340,20 @@ def link_rows(rows: DataFrame, size: int, threshold: float, scratch: Scratch) ->
     merged = scratch.table(components(near, scratch), "merged")
 
     placed = scratch.table(lists.drop("first").join(merged, "id", "left").withColumn("component", F.coalesce("component", "id")), "placed")
+    scratch.drop(lists)
     # In each list, the members of its largest component meet only those outside it.
     counts = placed.groupBy("token", "component").agg(F.count("*").alias("n_in"))
     mixed = counts.groupBy("token").agg(F.count("*").alias("groups"), F.sum("n_in").alias("members"), F.max_by("component", F.struct("n_in", "component")).alias("main")).filter("groups > 1").select("token", "main", "members")
     mixed = scratch.table(join_unique(placed, scratch.table(mixed, "mixed"), ["token"], "members"), "open")
+    scratch.drop(placed)
     side = lambda name: mixed.select("token", F.struct("id", "n", "pos", "ell", "component", (F.col("component") == F.col("main")).alias("in_main")).alias(name))
     asks = F.least("x.ell", "y.ell")
     apart = (F.col("x.component") != F.col("y.component")) & (F.col("y.in_main") | (F.col("x.id") < F.col("y.id")))
     meets = side("x").filter("not x.in_main").join(side("y"), "token").filter(apart & _sizes_fit("x.n", "y.n", percent) & (_level(percent, "x", "y") <= asks))
     cross = _enough(meets.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b"), asks.alias("ell"))).select("a", "b")
-    far = verified(scratch.table(cross, "cross"), rows, size, percent, scratch)
+    cross = scratch.table(cross, "cross")
+    scratch.drop(mixed)
+    far = verified(cross, rows, size, percent, scratch)
     linked = components(near.unionByName(far), scratch)
     named = classes.join(linked, "id", "left").select("n", "one", "two", "times", F.coalesce("component", "id").alias("component"))
     return all_sets.drop("prefix"), scratch.table(named, "named")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from oriscope.llm import bpe, exact_dedup, langid, mixing, ngram_join, nn_descent, secret_scan, sharding, url_rules, warc
+from oriscope.llm import bpe, conversations, exact_dedup, langid, mixing, ngram_join, nn_descent, secret_scan, sharding, url_rules, warc
 
 #: The explicit URL rules.
 URL_RULES = [("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow")]
@@ -67,8 +67,12 @@ def op10_bloom_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(_read(spark, sf_dir, "documents"))
 
 
+def op13_hirschberg_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.repair_conversations(_read(spark, sf_dir, "conversations"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_url_rules, op2_ngram_join, op3_nn_descent, op4_pivotal_mix, op5_warc_normaliser, op6_trie_bpe, op7_extendible_shards, op8_rank_order_langid, op9_secret_lexer, op10_bloom_dedup)}
+    return {f.__name__: f for f in (op1_url_rules, op2_ngram_join, op3_nn_descent, op4_pivotal_mix, op5_warc_normaliser, op6_trie_bpe, op7_extendible_shards, op8_rank_order_langid, op9_secret_lexer, op10_bloom_dedup, op13_hirschberg_repair)}
 
 
 ORACLE = {
@@ -94,4 +98,41 @@ ORACLE = {
         g AS (SELECT *, max(doc_id) OVER (PARTITION BY text_sha256) AS keep_id, count(*) OVER (PARTITION BY text_sha256) AS group_size,
             row_number() OVER (PARTITION BY text_sha256 ORDER BY doc_id DESC NULLS LAST) AS nth FROM d)
         SELECT doc_id, keep_id, CAST(group_size AS BIGINT) AS group_size, nth = 1 AS kept, text_sha256 FROM g""",
+    "op13_hirschberg_repair": r"""
+        WITH RECURSIVE k AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+            coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS key FROM conversations),
+        c AS (SELECT *, xor(CAST(4294967295 AS BIGINT), list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(range(1, length(key) + 1), lambda i: CAST(ascii(substr(key, i, 1)) AS BIGINT))),
+            lambda c, b: list_reduce(list_prepend(xor(c, b), range(8)), lambda x, i: CASE WHEN x & 1 = 1 THEN xor(x >> 1, CAST(3988292384 AS BIGINT)) ELSE x >> 1 END))) % 20 AS kind FROM k),
+        d AS (SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+            CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+            unnest(range(CASE kind WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS copy FROM c),
+        n AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i FROM d),
+        o AS (SELECT *, substr(role, 1, 1) AS r, lag(substr(role, 1, 1)) OVER (PARTITION BY conv_id ORDER BY i) AS before,
+            row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) AS nth FROM n),
+        f AS (SELECT *, CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'blank' WHEN nth > 1 THEN 'duplicate'
+            WHEN regexp_matches(text, '[.!?][\x20\x09-\x0D]*\z') THEN 'ok' ELSE 'truncated' END AS fault FROM o),
+        g AS (SELECT *, fault IN ('ok', 'truncated') AS can, CASE fault WHEN 'truncated' THEN 3 ELSE 0 END AS more,
+            chr(10) || role || ':' || text AS keep, chr(10) || 'user:' || text AS usr, chr(10) || 'assistant:' || text AS asst, chr(10) || 'user:' AS iu, chr(10) || 'assistant:' AS ia FROM f),
+        walk AS (SELECT conv_id, CAST(0 AS BIGINT) AS i, {'c': 0, 'a': '', 't': ''} AS s0, CAST(NULL AS STRUCT(c INTEGER, a VARCHAR, t VARCHAR)) AS s1,
+            CAST(NULL AS STRUCT(c INTEGER, a VARCHAR, t VARCHAR)) AS s2, CAST(NULL AS STRUCT(c INTEGER, a VARCHAR, t VARCHAR)) AS s3 FROM (SELECT DISTINCT conv_id FROM conversations)
+            UNION ALL
+            SELECT conv_id, i, {'c': s0.c + 4, 'a': s0.a || 'D', 't': s0.t},
+                list_min(list_filter([{'c': s1.c + 4, 'a': s1.a || 'D', 't': s1.t}, CASE WHEN can AND r = 's' THEN {'c': s0.c + more, 'a': s0.a || 'K', 't': s0.t || keep} END], lambda x: x.c IS NOT NULL)),
+                list_min(list_filter([{'c': s2.c + 4, 'a': s2.a || 'D', 't': s2.t}, CASE WHEN can THEN {'c': s2.c + 6 + more, 'a': s2.a || 'IR', 't': s2.t || ia || usr} END,
+                    CASE WHEN can AND r = 'u' THEN {'c': s2.c + 3 + more, 'a': s2.a || 'IK', 't': s2.t || ia || keep} END]
+                    || list_transform([s0, s1, s3], lambda x: CASE WHEN can THEN {'c': x.c + 3 + more, 'a': x.a || 'R', 't': x.t || usr} END)
+                    || list_transform([s0, s1, s3], lambda x: CASE WHEN can AND r = 'u' THEN {'c': x.c + more, 'a': x.a || 'K', 't': x.t || keep} END), lambda x: x.c IS NOT NULL)),
+                list_min(list_filter([{'c': s3.c + 4, 'a': s3.a || 'D', 't': s3.t}, CASE WHEN can THEN {'c': s2.c + 3 + more, 'a': s2.a || 'R', 't': s2.t || asst} END,
+                    CASE WHEN can AND r = 'a' THEN {'c': s2.c + more, 'a': s2.a || 'K', 't': s2.t || keep} END]
+                    || list_transform([s0, s1, s3], lambda x: CASE WHEN can THEN {'c': x.c + 6 + more, 'a': x.a || 'IR', 't': x.t || iu || asst} END)
+                    || list_transform([s0, s1, s3], lambda x: CASE WHEN can AND r = 'a' THEN {'c': x.c + 3 + more, 'a': x.a || 'IK', 't': x.t || iu || keep} END), lambda x: x.c IS NOT NULL))
+            FROM (SELECT w.conv_id, g.i, w.s0, w.s1, w.s2, w.s3, g.r, g.can, g.more, g.keep, g.usr, g.asst, g.iu, g.ia FROM walk w JOIN g ON g.conv_id IS NOT DISTINCT FROM w.conv_id AND g.i = w.i + 1)),
+        last AS (SELECT conv_id, list_min(list_filter([s0, s3, {'c': s2.c + 3, 'a': s2.a || 'I', 't': s2.t || chr(10) || 'assistant:'},
+            {'c': s1.c + 6, 'a': s1.a || 'II', 't': s1.t || chr(10) || 'user:' || chr(10) || 'assistant:'}], lambda x: x.c IS NOT NULL)) AS best
+            FROM walk QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY i DESC) = 1),
+        h AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate,
+            count(*) FILTER (fault = 'truncated') AS truncated, count(*) FILTER (before || r NOT IN ('su', 'ua', 'au')) AS illegal FROM f GROUP BY conv_id)
+        SELECT l.conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, CAST(coalesce(blank, 0) AS BIGINT) AS blank, CAST(coalesce(duplicate, 0) AS BIGINT) AS duplicate, CAST(coalesce(truncated, 0) AS BIGINT) AS truncated,
+            CAST(coalesce(illegal, 0) AS BIGINT) AS illegal, CAST(best.c AS BIGINT) AS cost, best.a AS audit, sha256(substr(best.t, 2)) AS repaired_sha256
+        FROM last l LEFT JOIN h ON h.conv_id IS NOT DISTINCT FROM l.conv_id""",
 }

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from oriscope.llm import bpe, conversations, exact_dedup, langid, mixing, ngram_join, nn_descent, secret_scan, sharding, url_rules, warc
+from oriscope.llm import bpe, collocations, conversations, exact_dedup, langid, mixing, ngram_join, nn_descent, secret_scan, sharding, url_rules, warc
 
 #: The explicit URL rules.
 URL_RULES = [("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow")]
@@ -67,12 +67,16 @@ def op10_bloom_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(_read(spark, sf_dir, "documents"))
 
 
+def op11_stripes_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(_read(spark, sf_dir, "documents"), least=30, top=2000, subsumed=80)
+
+
 def op13_hirschberg_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversations.repair_conversations(_read(spark, sf_dir, "conversations"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_url_rules, op2_ngram_join, op3_nn_descent, op4_pivotal_mix, op5_warc_normaliser, op6_trie_bpe, op7_extendible_shards, op8_rank_order_langid, op9_secret_lexer, op10_bloom_dedup, op13_hirschberg_repair)}
+    return {f.__name__: f for f in (op1_url_rules, op2_ngram_join, op3_nn_descent, op4_pivotal_mix, op5_warc_normaliser, op6_trie_bpe, op7_extendible_shards, op8_rank_order_langid, op9_secret_lexer, op10_bloom_dedup, op11_stripes_collocations, op13_hirschberg_repair)}
 
 
 ORACLE = {
@@ -98,6 +102,19 @@ ORACLE = {
         g AS (SELECT *, max(doc_id) OVER (PARTITION BY text_sha256) AS keep_id, count(*) OVER (PARTITION BY text_sha256) AS group_size,
             row_number() OVER (PARTITION BY text_sha256 ORDER BY doc_id DESC NULLS LAST) AS nth FROM d)
         SELECT doc_id, keep_id, CAST(group_size AS BIGINT) AS group_size, nth = 1 AS kept, text_sha256 FROM g""",
+    "op11_stripes_collocations": r"""
+        WITH p AS (SELECT lang, d, row_number() OVER () AS piece, list_filter(string_split(x, ' '), lambda w: w <> '') AS w FROM (
+            SELECT coalesce(lang, 'und') AS lang, row_number() OVER () AS d, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ' || chr(9), 'abcdefghijklmnopqrstuvwxyz '), '[.,;:!?\x0A-\x0D]')) AS x FROM documents)),
+        n AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM p GROUP BY lang),
+        g AS (SELECT lang, k, array_to_string(list_slice(w, i, i + k - 1), ' ') AS phrase FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM p, (SELECT unnest([1, 2, 3, 4]) AS k) WHERE len(w) >= k)),
+        f AS (SELECT lang, k, phrase, count(*) AS a FROM g GROUP BY ALL HAVING count(*) >= 30),
+        c AS (SELECT lang, phrase, a, k AS size, string_split(phrase, ' ') AS w FROM f WHERE k > 1),
+        x AS (SELECT c.lang, c.phrase, c.a, l.a AS l, r.a AS r, CAST(CAST(2000000 AS HUGEINT) * c.a // (l.a + r.a) AS BIGINT) AS score, c.k FROM (SELECT *, unnest(range(1, size)) AS k FROM c) c
+            JOIN f l ON l.lang = c.lang AND l.phrase = array_to_string(list_slice(w, 1, c.k), ' ') JOIN f r ON r.lang = c.lang AND r.phrase = array_to_string(list_slice(w, c.k + 1, size), ' ')),
+        b AS (SELECT * FROM x QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+        t AS (SELECT c.lang, array_to_string(list_slice(w, i, i + m - 1), ' ') AS phrase, max(a) AS most FROM (SELECT *, unnest(range(1, size - m + 2)) AS i FROM c, (SELECT unnest([2, 3]) AS m) WHERE m < size) c GROUP BY ALL),
+        k AS (SELECT b.*, row_number() OVER (PARTITION BY b.lang ORDER BY score DESC, a DESC, b.phrase) AS rank FROM b LEFT JOIN t ON t.lang = b.lang AND t.phrase = b.phrase WHERE most IS NULL OR 100 * most < 80 * a)
+        SELECT k.lang, CAST(rank AS BIGINT) AS rank, k.phrase, k.a, k.l, k.r, n.n, k.score FROM k JOIN n ON n.lang = k.lang WHERE rank <= 2000""",
     "op13_hirschberg_repair": r"""
         WITH RECURSIVE k AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
             coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS key FROM conversations),

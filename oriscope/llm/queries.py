@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from oriscope.llm import bpe, collocations, conversations, exact_dedup, langid, mixing, ngram_join, nn_descent, secret_scan, sharding, url_rules, warc
+from oriscope.llm import bpe, collocations, conversations, exact_dedup, langid, mixing, ngram_join, nn_descent, secret_scan, sharding, substrings, url_rules, warc
 
 #: The explicit URL rules.
 URL_RULES = [("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow")]
@@ -71,12 +71,16 @@ def op11_stripes_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(_read(spark, sf_dir, "documents"), least=30, top=2000, subsumed=80)
 
 
+def op12_relative_lz(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.drop_repeated_spans(_read(spark, sf_dir, "documents"), window=50, with_text=False)
+
+
 def op13_hirschberg_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversations.repair_conversations(_read(spark, sf_dir, "conversations"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_url_rules, op2_ngram_join, op3_nn_descent, op4_pivotal_mix, op5_warc_normaliser, op6_trie_bpe, op7_extendible_shards, op8_rank_order_langid, op9_secret_lexer, op10_bloom_dedup, op11_stripes_collocations, op13_hirschberg_repair)}
+    return {f.__name__: f for f in (op1_url_rules, op2_ngram_join, op3_nn_descent, op4_pivotal_mix, op5_warc_normaliser, op6_trie_bpe, op7_extendible_shards, op8_rank_order_langid, op9_secret_lexer, op10_bloom_dedup, op11_stripes_collocations, op12_relative_lz, op13_hirschberg_repair)}
 
 
 ORACLE = {
@@ -115,6 +119,14 @@ ORACLE = {
         t AS (SELECT c.lang, array_to_string(list_slice(w, i, i + m - 1), ' ') AS phrase, max(a) AS most FROM (SELECT *, unnest(range(1, size - m + 2)) AS i FROM c, (SELECT unnest([2, 3]) AS m) WHERE m < size) c GROUP BY ALL),
         k AS (SELECT b.*, row_number() OVER (PARTITION BY b.lang ORDER BY score DESC, a DESC, b.phrase) AS rank FROM b LEFT JOIN t ON t.lang = b.lang AND t.phrase = b.phrase WHERE most IS NULL OR 100 * most < 80 * a)
         SELECT k.lang, CAST(rank AS BIGINT) AS rank, k.phrase, k.a, k.l, k.r, n.n, k.score FROM k JOIN n ON n.lang = k.lang WHERE rank <= 2000""",
+    "op12_relative_lz": r"""
+        WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+        x AS (SELECT r, doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM d),
+        h AS (SELECT r, doc_id, i, w[i] AS word, CASE WHEN i + 49 <= len(w) THEN sha256(array_to_string(list_slice(w, i, i + 49), ' ')) END AS h FROM x),
+        m AS (SELECT h, min(doc_id) AS least FROM h WHERE h IS NOT NULL GROUP BY h),
+        g AS (SELECT h.r, h.i, h.word, max(CASE WHEN least < coalesce(h.doc_id, 9223372036854775807) THEN 1 ELSE 0 END) OVER (PARTITION BY h.r ORDER BY h.i ROWS BETWEEN 49 PRECEDING AND CURRENT ROW) AS gone FROM h LEFT JOIN m ON m.h = h.h),
+        k AS (SELECT r, sum(gone) AS n_removed, string_agg(word, ' ' ORDER BY i) FILTER (gone = 0) AS kept FROM g GROUP BY r)
+        SELECT d.doc_id, len(d.w) AS n_words, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN k ON k.r = d.r""",
     "op13_hirschberg_repair": r"""
         WITH RECURSIVE k AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
             coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS key FROM conversations),

@@ -86,8 +86,8 @@ PARTS = {
         SELECT genome_id, sample_id, bin_ix, x, w, v + greatest(-0.5, least(0.5, sum(w * (x - exp(w * v))) OVER y / sum(w * w * exp(w * v)) OVER y)), i + 1 FROM (
         SELECT genome_id, sample_id, bin_ix, x, v, i, w + greatest(-0.5, least(0.5, sum(v * (x - exp(w * v))) OVER z / sum(v * v * exp(w * v)) OVER z)) AS w
         FROM factors WHERE i < {ROUNDS} WINDOW z AS (PARTITION BY genome_id, bin_ix)) WINDOW y AS (PARTITION BY genome_id, sample_id)""",
-    "binorder": f"""SELECT genome_id, bin_ix, w / sqrt(avg(w * w) OVER (PARTITION BY genome_id)) AS w, row_number() OVER (PARTITION BY genome_id ORDER BY w, bin_ix) AS place
-        FROM (SELECT genome_id, bin_ix, max(w) AS w FROM factors WHERE i = {ROUNDS} GROUP BY 1, 2)""",
+    "binorder": f"""SELECT genome_id, bin_ix, w, row_number() OVER (PARTITION BY genome_id ORDER BY round(w, 7), bin_ix) AS place FROM (
+        SELECT genome_id, bin_ix, w / sqrt(avg(w * w) OVER (PARTITION BY genome_id)) AS w FROM (SELECT genome_id, bin_ix, max(w) AS w FROM factors WHERE i = {ROUNDS} GROUP BY 1, 2))""",
     "trim": """SELECT genome_id, sample_id, nth - lo AS ix, cnt FROM (
         SELECT *, CAST(floor(CAST(0.05 AS DOUBLE) * n) AS BIGINT) AS lo, CAST(floor(CAST(0.95 AS DOUBLE) * n) AS BIGINT) AS hi FROM (
         SELECT genome_id, sample_id, cnt, row_number() OVER (PARTITION BY genome_id, sample_id ORDER BY place) - 1 AS nth, count(*) OVER (PARTITION BY genome_id, sample_id) AS n
@@ -119,8 +119,28 @@ PARTS = {
         CASE WHEN n = 1 THEN own ELSE r.ori END AS ori, CASE WHEN n = 1 THEN (own + 0.5) % 1 ELSE r.ter END AS ter, q.nreads, q.frac_nonzero AS cov_frac
         FROM qc q LEFT JOIN (SELECT sample_id, genome_id, ori_pos / ref_length AS own, count(*) OVER (PARTITION BY genome_id) AS n FROM med) m USING (sample_id, genome_id)
         LEFT JOIN fit f USING (sample_id, genome_id) LEFT JOIN refit r USING (sample_id, genome_id)""",
-    "ll": """SELECT sample_id, genome_id, ptr AS log2_ptr, o AS ori, count(*) * log2(ptr * ln(2) / (1 - pow(2, -ptr))) - 2 * ptr * sum(least(abs(pos / ref_length - o), 1 - abs(pos / ref_length - o))) AS log_lk
-        FROM complete, (SELECT unnest([0.25, 0.5, 1.0, 2.0])::DOUBLE AS ptr), (SELECT unnest([0.0, 0.25, 0.5, 0.75])::DOUBLE AS o) GROUP BY 1, 2, 3, 4""",
+    "ll": """SELECT sample_id, genome_id, log2_ptr, ori, ter, CASE WHEN log2_ptr > 0 AND log2_ptr <= 4 AND ori <= 1 AND abs(ori - ter) BETWEEN 0.45::DOUBLE AND 0.55::DOUBLE
+        THEN sum(c * CASE WHEN ori < ter THEN log2_ptr / (ter - ori) * CASE WHEN x <= ori THEN x - ori WHEN x <= ter THEN ori - x ELSE x - 2 * ter + ori END
+            ELSE log2_ptr / (ori - ter) * CASE WHEN x <= ter THEN ter - x WHEN x <= ori THEN x - ter ELSE 2 * ori - ter - x END END) - sum(c) * log2(CASE WHEN ori < ter
+            THEN (2 - pow(2, -log2_ptr / (ter - ori) * ori) - 2 * pow(2, -log2_ptr) + pow(2, -log2_ptr / (ter - ori) * (2 * ter - ori - 1))) / (log2_ptr / (ter - ori) * ln(2))
+            ELSE (pow(2, log2_ptr / (ori - ter) * ter) + 2 * pow(2, log2_ptr) - 2 - pow(2, log2_ptr / (ori - ter) * (2 * ori - ter - 1))) / (log2_ptr / (ori - ter) * ln(2)) END)
+        ELSE CAST('-Infinity' AS DOUBLE) END AS log_lk
+        FROM (SELECT sample_id, genome_id, pos / ref_length AS x, 1 AS c FROM complete) r, (SELECT unnest([0.0::DOUBLE, 0.25, 0.5, 1.0, 2.0, 4.5]) AS log2_ptr) a,
+        (SELECT unnest([0.0::DOUBLE, 0.25, 0.5, 0.75, 0.1, 0.62, 0.3, 1.25]) AS ori, unnest([0.5::DOUBLE, 0.75, 0.0, 0.25, 0.57, 0.15, 0.9, 0.75]) AS ter) b GROUP BY sample_id, genome_id, log2_ptr, ori, ter""",
+    "fcells": "SELECT sample_id, genome_id, pos * 200 // len AS cell, sum(c) AS n, sum(c * pos) / max(len) AS s FROM spots GROUP BY 1, 2, 3",
+    "borders": """SELECT sample_id, genome_id, k, coalesce(sum(n) FILTER (cell < k), 0) AS w, coalesce(sum(s) FILTER (cell < k), 0.0) AS s, sum(n) AS w_all, sum(s) AS s_all
+        FROM fcells, (SELECT unnest(range(200)) AS k) GROUP BY 1, 2, 3""",
+    "breaks": """SELECT *, CASE WHEN mean > x1 * x1 / 2 + (x2 - x1) * (x2 - x1) / 2 + (x2 - x1) * (1 - x2) - (1 - x2) * (1 - x2) / 2 THEN 1 ELSE -1 END AS sgn FROM (
+        SELECT *, (n1 * x1 - s1 + s2 - s1 - (n2 - n1) * x1 + (2 * x2 - x1) * (n - n2) - (s - s2)) / n AS mean FROM (
+        SELECT a.sample_id, a.genome_id, a.k AS i, b.k AS j, a.k / 200 AS x1, b.k / 200 AS x2, a.w AS n1, a.s AS s1, b.w AS n2, b.s AS s2, a.w_all AS n, a.s_all AS s
+        FROM borders a JOIN borders b ON a.sample_id = b.sample_id AND a.genome_id = b.genome_id AND b.k BETWEEN a.k + 90 AND a.k + 110))""",
+    "free_": """SELECT sample_id, genome_id, i, j, x1, x2, n, mean, sgn, 0 AS step, CAST(1e-6 AS DOUBLE) AS lo, 4 / (x2 - x1) AS hi FROM breaks UNION ALL
+        SELECT sample_id, genome_id, i, j, x1, x2, n, mean, sgn, step + 1, CASE WHEN below THEN (lo + hi) / 2 ELSE lo END, CASE WHEN below THEN hi ELSE (lo + hi) / 2 END FROM (
+        SELECT *, sgn * ((x1 * pow(2, a * x1) + 2 * (x2 - x1) * pow(2, a * (x2 - x1)) - (2 * x2 - x1 - 1) * pow(2, a * (2 * x2 - x1 - 1)))
+            / (pow(2, a * x1) + 2 * pow(2, a * (x2 - x1)) - 2 - pow(2, a * (2 * x2 - x1 - 1))) - 1 / (a * ln(2))) < sgn * mean AS below
+        FROM (SELECT *, sgn * (lo + hi) / 2 AS a FROM free_ WHERE step < 50))""",
+    "free": """SELECT *, a * n * mean - n * log2((pow(2, a * x1) + 2 * pow(2, a * (x2 - x1)) - 2 - pow(2, a * (2 * x2 - x1 - 1))) / (a * ln(2))) AS log_lk FROM (
+        SELECT *, sgn * (lo + hi) / 2 AS a FROM free_ WHERE step = 50)""",
     "ccount": """SELECT sample_id, genome_id, CAST(coalesce(sum(cnt), 0) AS BIGINT) AS count, count(*) * max(bin_size) AS length FROM masked
         JOIN (SELECT sample_id, genome_id, max(bin_size) AS bin_size FROM csizes GROUP BY 1, 2) USING (sample_id, genome_id) GROUP BY 1, 2""",
     # Counting asks for one read and the coverage only.
@@ -271,8 +291,10 @@ FINAL = {
     "contig_mle": "SELECT genome_id, sample_id, round(slope, 5) AS slope, round(abs(slope), 5) AS log2_ptr, reads, round(cov_frac, 5) AS cov_frac FROM cfit",
     "ols_slope": """SELECT genome_id, sample_id, round(regr_slope(y, x), 6) AS slope, round(regr_intercept(y, x), 6) AS intercept FROM (
         SELECT genome_id, sample_id, cnt, log2(cnt) AS y, ix / max(ix) OVER (PARTITION BY genome_id, sample_id) AS x FROM trim) WHERE cnt > 0 GROUP BY 1, 2""",
-    "ref_log_likelihood_grid": "SELECT sample_id, genome_id, log2_ptr, ori, round(log_lk, 5) AS log_lk FROM ll",
-    "multisample_ll_grid": "SELECT genome_id, log2_ptr, ori, round(sum(log_lk), 5) AS log_lk FROM ll GROUP BY 1, 2, 3",
+    "ref_log_likelihood_grid": "SELECT sample_id, genome_id, log2_ptr, ori, ter, round(log_lk, 5) AS log_lk FROM ll",
+    "multisample_ll_grid": "SELECT genome_id, log2_ptr, ori, ter, round(sum(log_lk), 5) AS log_lk FROM ll GROUP BY 1, 2, 3, 4",
+    "free_terminus_ptr": """SELECT sample_id, genome_id, round(abs(a) * (x2 - x1), 5) AS log2_ptr, CASE WHEN a > 0 THEN x2 ELSE x1 END AS ori, CASE WHEN a > 0 THEN x1 ELSE x2 END AS ter, round(log_lk, 5) AS log_lk
+        FROM free QUALIFY row_number() OVER (PARTITION BY sample_id, genome_id ORDER BY round(log_lk, 6) DESC, i, j) = 1""",
     "circular_median": "SELECT * REPLACE (round(mean_distance, 9) AS mean_distance) FROM med",
     "single_sample_ptr": "SELECT sample_id, genome_id, round(log2_ptr, 5) AS log2_ptr FROM fit",
     "shared_origin": "SELECT genome_id, round(ori, 6) AS ori, round(ter, 6) AS ter FROM shared",

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from oriscope.jobs import oracle
 from oriscope.jobs import projection as p
 from oriscope.jobs.steps import Options, Steps
-from oriscope.operators import assign, coverage, filters, fit_assembly, fit_complete, mapping, products
+from oriscope.operators import assign, coverage, filters, fit_assembly, fit_complete, fit_free, mapping, products
 from oriscope.sources import bam, sam, sequences, simulate, tables
 
 KEYS = coverage.KEYS
@@ -82,9 +82,15 @@ def _weights(s: Steps) -> DataFrame:
     return each.select("sample_id", "genomes", F.col("x.genomes").alias("genome_id"), "reads", F.round("x.phi", 4).alias("phi"), "chosen")
 
 
+#: log2 ratios, origins and termini, some of them outside the density's domain.
+RATIOS = (0.0, 0.25, 0.5, 1.0, 2.0, 4.5)
+PLACES = ((0.0, 0.5), (0.25, 0.75), (0.5, 0.0), (0.75, 0.25), (0.1, 0.57), (0.62, 0.15), (0.3, 0.9), (1.25, 0.75))
+FREE_CELLS = 200
+
+
 def _ll_grid(s: Steps) -> DataFrame:
-    grid = s.spark.createDataFrame([(r, o) for r in (0.25, 0.5, 1.0, 2.0) for o in (0.0, 0.25, 0.5, 0.75)], "log2_ptr double, ori double")
-    return fit_complete.log_likelihood_grid(s.complete, grid)
+    grid = s.spark.createDataFrame([(r, *at) for r in RATIOS for at in PLACES], "log2_ptr double, ori double, ter double")
+    return fit_free.log_likelihood_grid(s.complete, grid)
 
 
 def _simulated(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -187,9 +193,10 @@ STEPS: dict[str, Callable[[Steps], DataFrame]] = {
     "contig_mle": lambda s: rounded(s.contig_fits, 5),
     "ols_slope": lambda s: rounded(fit_assembly.ols_line(s.trimmed)),
     "ref_log_likelihood_grid": lambda s: rounded(_ll_grid(s), 5),
-    "multisample_ll_grid": lambda s: rounded(_ll_grid(s).groupBy("genome_id", "log2_ptr", "ori").agg(F.sum("log_lk").alias("log_lk")), 5),
+    "multisample_ll_grid": lambda s: rounded(_ll_grid(s).groupBy("genome_id", "log2_ptr", "ori", "ter").agg(F.sum("log_lk").alias("log_lk")), 5),
     "circular_median": lambda s: rounded(fit_complete.circular_median(s.passing), 9),
     "single_sample_ptr": lambda s: rounded(s.single.select(*KEYS, "log2_ptr"), 5),
+    "free_terminus_ptr": lambda s: rounded(fit_free.free_terminus_ptr(s.passing, FREE_CELLS), 5),
     "shared_origin": lambda s: rounded(s.shared_origin),
     "ptr_refit": lambda s: rounded(s.again, 5),
     "ptr_estimates_ref": lambda s: rounded(s.ptr_ref, 5),
@@ -219,7 +226,7 @@ PLAIN: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 COVERAGE = """positions_per_sequence position_lists coverage_map_scan min_reads_prefilter incremental_extract ref_histogram genomewide_bounds local_bounds rolling_counts
     outlier_regions phase1_filter region_compaction phase2_regions phase2_filter ref_filter_pipeline ref_qc contig_histogram contig_qc
     coverage_matrix masked_matrix sample_gate min_samples_gate bin_gate poisson_factor_order reordered_bins trimmed_bins contig_mle ols_slope
-    ref_log_likelihood_grid multisample_ll_grid circular_median single_sample_ptr shared_origin ptr_refit ptr_estimates_ref
+    ref_log_likelihood_grid multisample_ll_grid circular_median single_sample_ptr free_terminus_ptr shared_origin ptr_refit ptr_estimates_ref
     ptr_estimates_contig ptr_table read_counts read_counts_pivot relative_abundance relative_abundance_pivot plot_data_ref plot_data_contig""".split()
 
 

@@ -59,7 +59,8 @@ def poisson_factors(x: np.ndarray, tol: float = 1e-11) -> tuple[np.ndarray, np.n
 
 
 def bin_order(matrix: DataFrame) -> DataFrame:
-    """genome_id, bin_ix, w, place: bins in order of their factor, ties by number. Factors have a mean square of 1.
+    """genome_id, bin_ix, w, place: bins in order of their factor; factors that agree to seven digits are ties, which go by
+    number, so that bins with equal counts don't part by rounding. Factors have a mean square of 1.
 
     A genome's matrix has a bounded number of bins and a column a sample; it is gathered by genome. A genome whose
     factorisation fails has no rows.
@@ -75,7 +76,7 @@ def bin_order(matrix: DataFrame) -> DataFrame:
         return out[np.isfinite(out["w"])]
 
     found = matrix.select("genome_id", "sample_id", "bin_ix", F.col("cnt").cast("double").alias("cnt")).groupBy("genome_id").applyInPandas(run, "genome_id string, bin_ix long, w double")
-    return found.withColumn("place", F.row_number().over(Window.partitionBy("genome_id").orderBy("w", "bin_ix")))
+    return found.withColumn("place", F.row_number().over(Window.partitionBy("genome_id").orderBy(F.round("w", 7), "bin_ix")))
 
 
 def trimmed_bins(ordered: DataFrame) -> DataFrame:

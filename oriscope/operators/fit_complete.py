@@ -141,19 +141,3 @@ def distance(pos: Column, length: Column, ori: Column) -> Column:
     """Circular distance of a read from an origin, as fractions of the genome."""
     d = F.abs(pos / length - ori)
     return F.least(d, 1 - d)
-
-
-def log_density_peak(r: Column) -> Column:
-    return F.log2(r * float(np.log(2.0)) / (1 - F.pow(F.lit(2.0), -r)))
-
-
-def log_likelihood_grid(reads: DataFrame, grid: DataFrame) -> DataFrame:
-    """sample_id, genome_id, log2_ptr, ori, log_lk for the parameters of grid(log2_ptr, ori), a handful of rows.
-
-    Distances are summed for each origin; ratios enter after the aggregation.
-    """
-    origins = [row.ori for row in grid.select("ori").distinct().collect()]
-    ori = F.explode(F.array(*map(F.lit, sorted(origins)))).alias("ori")
-    sums = reads.select(*KEYS, "pos", "ref_length", times(reads).alias("times"), ori).groupBy(*KEYS, "ori").agg(F.sum("times").alias("n"), F.sum(F.col("times") * distance(F.col("pos"), F.col("ref_length"), F.col("ori"))).alias("total"))
-    log_lk = F.col("n") * log_density_peak(F.col("log2_ptr")) - 2 * F.col("log2_ptr") * F.col("total")
-    return sums.join(F.broadcast(grid), "ori").select(*KEYS, "log2_ptr", "ori", log_lk.alias("log_lk"))

@@ -58,7 +58,7 @@ def run_extract(spark: SparkSession, folder: str, out: str, regex: str = mapping
     if check_regex or seqs.isEmpty():
         hold.drop()
         return report
-    reads = hold(assign.assigned_reads(hold(extract(records, header, regex), "best"), max_alignments), "reads")
+    reads = hold(assign.assigned_reads(hold(extract(records, header, regex), "best"), max_alignments, hold), "reads")
     tables.write_coverage(reads, f"{out}/reads")
     seqs.write.mode("append").parquet(f"{out}/sequences")
     hold.drop()

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from oriscope.jobs import oracle
 from oriscope.jobs import projection as p
 from oriscope.jobs.steps import Options, Steps
-from oriscope.operators import assign, coverage, filters, fit_assembly, fit_complete, fit_free, mapping, products
+from oriscope.operators import assign, coverage, factors, filters, fit_assembly, fit_complete, fit_free, mapping, products
 from oriscope.sources import bam, sam, sequences, simulate, tables
 
 KEYS = coverage.KEYS
@@ -78,7 +78,7 @@ def _position_lists(s: Steps) -> DataFrame:
 
 def _weights(s: Steps) -> DataFrame:
     """A row a genome of each class."""
-    each = assign.class_weights(s.hold(s.best, "best")).select("sample_id", joined("genomes"), "reads", "chosen", F.explode(F.arrays_zip("genomes", "phi")).alias("x"))
+    each = assign.class_weights(s.hold(s.best, "best"), hold=s.hold).select("sample_id", joined("genomes"), "reads", "chosen", F.explode(F.arrays_zip("genomes", "phi")).alias("x"))
     return each.select("sample_id", "genomes", F.col("x.genomes").alias("genome_id"), "reads", F.round("x.phi", 4).alias("phi"), "chosen")
 
 
@@ -93,6 +93,14 @@ def _ll_grid(s: Steps) -> DataFrame:
     return fit_free.log_likelihood_grid(s.complete, grid)
 
 
+def _rank2(s: Steps) -> DataFrame:
+    """What a factorisation of rank two expects in each cell; its factors aren't unique, their products are."""
+    found = factors.factorise(s.gated, 2, s.hold, tol=1e-6)
+    product = F.exp(F.aggregate(F.zip_with("w", "v", lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b))
+    cells = s.gated.join(found.bins, ["genome_id", "bin_ix"]).join(found.samples, ["genome_id", "sample_id"])
+    return cells.select("genome_id", "sample_id", "bin_ix", "cnt", F.round(product, 2).alias("expected"))
+
+
 def _simulated(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A sample for each supplier, its ratio from the balance."""
     ratio = 0.05 + 1.2 * F.pmod(F.abs("s_acctbal") / 100, F.lit(1.0))
@@ -156,7 +164,7 @@ STEPS: dict[str, Callable[[Steps], DataFrame]] = {
     "prior_counts": lambda s: mapping.prior_counts(s.best),
     "multimap_classes": lambda s: mapping.multimap_classes(s.best).select("sample_id", joined("genomes"), "reads"),
     "vi_weights": _weights,
-    "multimap_assignment": lambda s: assign.assigned_reads(s.hold(s.best, "best")),
+    "multimap_assignment": lambda s: assign.assigned_reads(s.hold(s.best, "best"), hold=s.hold),
     "positions_per_sequence": lambda s: coverage.positions_per_sequence(s.positions, s.ref_seqs).drop("is_assembly"),
     "position_lists": _position_lists,
     "coverage_map_scan": _map_round_trip,
@@ -188,6 +196,7 @@ STEPS: dict[str, Callable[[Steps], DataFrame]] = {
     "min_samples_gate": lambda s: s.samples,
     "bin_gate": lambda s: s.bins,
     "poisson_factor_order": lambda s: s.order.select("genome_id", "bin_ix", F.round("w", 4).alias("w"), "place"),
+    "poisson_rank2": _rank2,
     "reordered_bins": lambda s: s.ordered.select("genome_id", "sample_id", "place", "cnt"),
     "trimmed_bins": lambda s: s.trimmed,
     "contig_mle": lambda s: rounded(s.contig_fits, 5),

@@ -53,7 +53,7 @@ class Steps:
     def reads(self) -> DataFrame:
         """Uniquely mapped reads; with multi-mapped ones at their genomes if `assigned`."""
         if self.assigned:
-            return self.hold(assign.assigned_reads(self.hold(self.best, "best")), "reads")
+            return self.hold(assign.assigned_reads(self.hold(self.best, "best"), hold=self.hold), "reads")
         return mapping.unique_hits(self.best).select("sample_id", "read_id", "genome_id", "ref_name", "ref_length", "pos")
 
     @cached_property
@@ -164,7 +164,7 @@ class Steps:
 
     @cached_property
     def order(self) -> DataFrame:
-        return self.hold(fit_assembly.bin_order(self.gated), "order")
+        return self.hold(fit_assembly.bin_order(self.gated, self.hold), "order")
 
     @cached_property
     def ordered(self) -> DataFrame:

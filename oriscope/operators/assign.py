@@ -1,21 +1,29 @@
 """Multi-mapped reads to single genomes by variational inference.
 
 Reads with the same set of genomes have the same responsibilities, so inference runs on the distinct sets of a sample
-with their numbers of reads. A sample's sets are its rows here, not its reads.
+with their numbers of reads. A sample's sets are its rows here, not its reads. A sample whose sets name up to MOST_ENTRIES
+genomes is one task. For larger ones each step of inference is a pair of Spark aggregations, by genome and by set: within a
+set the responsibilities depend on the parameters of its own genomes only, as what all genomes share cancels out.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from oriscope.functions.numeric import digamma
 from oriscope.operators import mapping
 
+#: The most entries of sets, a genome each, that one task infers; it holds some hundred bytes for each.
+MOST_ENTRIES = 2_000_000
+SETTLED = 1e-7
+
 
 def infer(sets: list[np.ndarray], reads: np.ndarray, prior: np.ndarray, tol: float = 1e-3, settled: float = 1e-7) -> tuple[np.ndarray, list[np.ndarray], list[float]]:
     """Dirichlet parameters, responsibilities of each set, and the bound after each step.
@@ -50,13 +58,61 @@ def infer(sets: list[np.ndarray], reads: np.ndarray, prior: np.ndarray, tol: flo
     return eta, np.split(phi, np.flatnonzero(np.diff(owner)) + 1), bounds
 
 
-def class_weights(best: DataFrame, max_alignments: int = mapping.MAX_ALIGNMENTS) -> DataFrame:
+@F.pandas_udf(T.DoubleType())
+def _digamma(x: pd.Series) -> pd.Series:
+    return pd.Series(digamma(x.to_numpy(np.float64)))
+
+
+def infer_by_rounds(classes: DataFrame, priors: DataFrame, hold: Callable[[DataFrame, str], DataFrame], settled: float = SETTLED) -> DataFrame:
+    """sample_id, genomes, reads, phi of classes(sample_id, genomes, reads), with no sample or set gathered.
+
+    Steps end when no responsibility moves by more than `settled`. priors: sample_id, genome_id, prior.
+    """
+    sets = classes.select("sample_id", "genomes", "reads", F.monotonically_increasing_id().alias("set_id"))
+    sets = hold(sets.withColumn("phi", F.transform("genomes", lambda _: F.lit(1.0) / F.size("genomes"))), "sets")
+    known = hold(priors.select("sample_id", "genome_id", "prior"), "priors")
+    while True:
+        entries = sets.select("sample_id", "set_id", "reads", F.posexplode(F.arrays_zip("genomes", "phi")).alias("at", "x"))
+        entries = entries.select("sample_id", "set_id", "at", "reads", F.col("x.genomes").alias("genome_id"), F.col("x.phi").alias("phi"))
+        eta = entries.groupBy("sample_id", "genome_id").agg(F.sum(F.col("reads") * F.col("phi")).alias("given")).join(known, ["sample_id", "genome_id"], "left")
+        eta = hold(eta.select("sample_id", "genome_id", _digamma(1 + F.coalesce("prior", F.lit(0)) + F.col("given")).alias("log_phi")), "eta")
+        found = entries.select("sample_id", "set_id", "at", "genome_id").join(eta, ["sample_id", "genome_id"]).groupBy("sample_id", "set_id")
+        found = found.agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "log_phi"))), lambda x: x["log_phi"]).alias("logs"))  # a set is as long as a read's alignments
+        weights = found.select("sample_id", "set_id", F.transform("logs", lambda x: F.exp(x - F.array_max("logs"))).alias("w"))
+        weights = weights.withColumn("w", F.transform("w", lambda x: x / F.aggregate("w", F.lit(0.0), lambda a, b: a + b)))
+        moved = F.array_max(F.zip_with("w", "phi", lambda a, b: F.abs(a - b))).alias("moved")
+        new = hold(sets.join(weights, ["sample_id", "set_id"]).select("sample_id", "set_id", "genomes", "reads", F.col("w").alias("phi"), moved), "sets")
+        most = new.agg(F.max("moved")).first()[0]
+        sets = new.drop("moved")
+        if most is None or most <= settled:
+            return sets.drop("set_id")
+
+
+def class_weights(best: DataFrame, max_alignments: int = mapping.MAX_ALIGNMENTS, hold: Callable[[DataFrame, str], DataFrame] | None = None, most_entries: int = MOST_ENTRIES) -> DataFrame:
     """sample_id, genomes, reads, phi (one a genome) and the chosen genome of each class of multi-mapped reads.
 
-    The most probable genome is chosen, at a tie (to six digits) the first by name.
+    The most probable genome is chosen, at a tie (to six digits) the first by name. With hold(df, name), which writes and
+    rereads a step, samples of more than most_entries entries of sets are inferred by rounds of aggregations.
     """
-    classes = mapping.multimap_classes(best, max_alignments).withColumn("kind", F.lit("set"))
-    priors = mapping.prior_counts(best).select("sample_id", F.array("genome_id").alias("genomes"), F.col("prior").alias("reads"), F.lit("prior").alias("kind"))
+    classes = mapping.multimap_classes(best, max_alignments)
+    prior = mapping.prior_counts(best)
+    if hold:
+        classes = hold(classes, "classes")
+        large = hold(classes.groupBy("sample_id").agg(F.sum(F.size("genomes")).alias("n")).filter(F.col("n") > most_entries).select("sample_id"), "large")
+        if not large.isEmpty():
+            of_large = lambda df: df.join(large, "sample_id", "left_semi")
+            found = infer_by_rounds(of_large(classes), of_large(prior), hold)
+            sure = F.transform("phi", lambda p: F.round(p, 6))
+            found = found.withColumn("chosen", F.element_at("genomes", F.array_position(sure, F.array_max(sure)).cast("int")))
+            few = lambda df: df.join(large, "sample_id", "left_anti")
+            return _by_sample(few(classes), few(prior)).unionByName(found)
+    return _by_sample(classes, prior)
+
+
+def _by_sample(classes: DataFrame, priors: DataFrame) -> DataFrame:
+    """class_weights of samples that are a task each."""
+    classes = classes.withColumn("kind", F.lit("set"))
+    priors = priors.select("sample_id", F.array("genome_id").alias("genomes"), F.col("prior").alias("reads"), F.lit("prior").alias("kind"))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         is_prior = pdf["kind"] == "prior"
@@ -76,11 +132,11 @@ def class_weights(best: DataFrame, max_alignments: int = mapping.MAX_ALIGNMENTS)
     return classes.select(*columns).unionByName(priors.select(*columns)).groupBy("sample_id").applyInPandas(run, "sample_id string, genomes array<string>, reads long, phi array<double>, chosen string")
 
 
-def assigned_reads(best: DataFrame, max_alignments: int = mapping.MAX_ALIGNMENTS) -> DataFrame:
+def assigned_reads(best: DataFrame, max_alignments: int = mapping.MAX_ALIGNMENTS, hold: Callable[[DataFrame, str], DataFrame] | None = None) -> DataFrame:
     """sample_id, read_id, genome_id, ref_name, ref_length, pos: uniquely mapped reads as they are, and kept
     multi-mapped ones at their position on the chosen genome."""
     columns = ["sample_id", "read_id", "genome_id", "ref_name", "ref_length", "pos"]
-    chosen = mapping.multi_hits(best, max_alignments).filter("not discarded").join(class_weights(best, max_alignments).select("sample_id", "genomes", "chosen"), ["sample_id", "genomes"])
+    chosen = mapping.multi_hits(best, max_alignments).filter("not discarded").join(class_weights(best, max_alignments, hold).select("sample_id", "genomes", "chosen"), ["sample_id", "genomes"])
     placed = best.filter("n_hits > 1").join(chosen.select("sample_id", "read_id", F.col("chosen").alias("genome_id")), ["sample_id", "read_id", "genome_id"])
     return mapping.unique_hits(best).select(*columns).unionByName(placed.select(*columns))
 

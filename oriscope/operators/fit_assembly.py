@@ -9,8 +9,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from oriscope.functions.numeric import slope_of_counts
+from oriscope.operators import factors
 
 TRIM = 0.05
+#: The largest matrix that one task holds, of 32 MB; how far larger ones are factorised.
+MOST_CELLS, TOLERANCE = 4_000_000, 1e-11
 
 
 def _newton(x: np.ndarray, mask: np.ndarray, own: np.ndarray, other: np.ndarray, steps: int = 25) -> np.ndarray:
@@ -58,12 +61,12 @@ def poisson_factors(x: np.ndarray, tol: float = 1e-11) -> tuple[np.ndarray, np.n
             return w, v, scores
 
 
-def bin_order(matrix: DataFrame) -> DataFrame:
+def bin_order(matrix: DataFrame, hold: factors.Hold | None = None, most_cells: int = MOST_CELLS) -> DataFrame:
     """genome_id, bin_ix, w, place: bins in order of their factor; factors that agree to seven digits are ties, which go by
     number, so that bins with equal counts don't part by rounding. Factors have a mean square of 1.
 
-    A genome's matrix has a bounded number of bins and a column a sample; it is gathered by genome. A genome whose
-    factorisation fails has no rows.
+    A genome's matrix of up to most_cells is gathered by genome. Larger ones are factorised by blocks of samples, for
+    which hold(df, name), which writes and rereads a step, is needed. A genome whose factorisation fails has no rows.
     """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -75,7 +78,17 @@ def bin_order(matrix: DataFrame) -> DataFrame:
         out = pd.DataFrame({"genome_id": pdf["genome_id"].iat[0], "bin_ix": wide.index.to_numpy(np.int64), "w": w / np.sqrt((w * w).mean())})
         return out[np.isfinite(out["w"])]
 
-    found = matrix.select("genome_id", "sample_id", "bin_ix", F.col("cnt").cast("double").alias("cnt")).groupBy("genome_id").applyInPandas(run, "genome_id string, bin_ix long, w double")
+    cells = matrix.select("genome_id", "sample_id", "bin_ix", F.col("cnt").cast("double").alias("cnt"))
+    large = cells.groupBy("genome_id").count().filter(F.col("count") > most_cells).select("genome_id") if hold else None
+    if large is not None and not (large := hold(large, "large")).isEmpty():
+        by_blocks = factors.factorise(hold(cells.join(large, "genome_id", "left_semi"), "cells"), 1, hold, TOLERANCE).bins
+        cells = cells.join(large, "genome_id", "left_anti")
+        scale = F.sqrt(F.avg(F.col("w")[0] * F.col("w")[0]).over(Window.partitionBy("genome_id")))
+        by_blocks = by_blocks.select("genome_id", "bin_ix", (F.col("w")[0] / scale).alias("w"))
+    else:
+        by_blocks = None
+    found = cells.groupBy("genome_id").applyInPandas(run, "genome_id string, bin_ix long, w double")
+    found = found if by_blocks is None else found.unionByName(by_blocks)
     return found.withColumn("place", F.row_number().over(Window.partitionBy("genome_id").orderBy(F.round("w", 7), "bin_ix")))
 
 

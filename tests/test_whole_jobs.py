@@ -8,6 +8,7 @@ import numpy as np
 from oriscope.jobs import registry
 from oriscope.jobs.steps import Steps
 from oriscope.operators import assign, mapping
+from oriscope.sources import tables
 
 DATA = "/root/testdata/sf0.01"
 
@@ -48,3 +49,21 @@ def test_headers_of_whole_pages(spark, tmp_path):
         want += [(f"refs/g{i % 7}.fa", i, n, f">g{i % 7}|{x[1:]}" if x[:1] == ">" else x) for n, x in enumerate(lines)]
     rows = registry.queries()["fasta_header_rewrite"](spark, str(tmp_path)).collect()
     assert sorted((r.file, r.page_id, r.line_no, r.value) for r in rows) == sorted(want)
+
+
+def test_inference_by_rounds_equals_that_of_gathered_samples(spark):
+    """One sample whose sets are all linked to each other, one with few; no group but a genome's sum and a set."""
+    r = np.random.default_rng(12)
+    rows = []
+    for sample, reads in (("S0", 400), ("S1", 30)):
+        for i in range(reads):
+            n = int(r.choice([1, 2, 3, 4], p=[0.4, 0.3, 0.2, 0.1]))
+            first = int(r.integers(0, 12))
+            rows += [(sample, i, f"G{(first + j * j) % 12:02d}", f"G{(first + j * j) % 12:02d}|c", 20_000, int(r.integers(0, 20_000)), n) for j in range(n)]
+    best = spark.createDataFrame(rows, "sample_id string, read_id long, genome_id string, ref_name string, ref_length long, pos long, n_hits long")
+    hold = tables.scratch(spark, "inference")
+    rounded = lambda df: {(w.sample_id, tuple(w.genomes)): (w.reads, w.chosen, [round(p, 4) for p in w.phi]) for w in df.collect()}
+    gathered = rounded(assign.class_weights(best))
+    assert len(gathered) > 30
+    assert rounded(assign.class_weights(best, hold=hold, most_entries=60)) == gathered
+    assert rounded(assign.class_weights(best, hold=hold)) == gathered

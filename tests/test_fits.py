@@ -111,9 +111,9 @@ def test_outlier_regions_by_walk(spark):
     assert got == want
 
 
-def test_local_bounds_by_walk():
+def test_local_bounds_by_walk(spark):
     r = np.random.default_rng(5)
-    for length, size in ((60_000, 1200), (50_050, 1000), (61_000, 1300)):
+    for length, size in ((60_000, 1200), (50_050, 1000), (61_000, 1300), (1300, 700)):
         n = -(-length // (size // 100))
         counts = r.poisson(6, n) * (r.random(n) > 0.2) + np.where((np.arange(n) // 300) % 5 == 2, 40, 0)
         reach = max(4, math.ceil(0.0625 * length / size))
@@ -127,8 +127,11 @@ def test_local_bounds_by_walk():
                 memo[key] = 2 ** (m - numeric.Z975 * s), 2 ** (m + numeric.Z975 * s)
             lower.append(memo[key][0])
             upper.append(memo[key][1])
-        got = filters._local_bounds(counts, size, length)
-        assert got[0] == pytest.approx(lower, nan_ok=True) and got[1] == pytest.approx(upper, nan_ok=True)
+        rolling = spark.createDataFrame([("s", "g", k, int(c)) for k, c in enumerate(counts)], "sample_id string, genome_id string, k long, cnt long").repartition(3)
+        sizes = spark.createDataFrame([("s", "g", length, size)], "sample_id string, genome_id string, length long, size long")
+        got = filters.window_bounds(rolling, sizes, 50).orderBy("k").toPandas()
+        assert got["k"].tolist() == list(range(n)) and got["cnt"].tolist() == counts.tolist()
+        assert got["lower"].to_numpy(float) == pytest.approx(lower, nan_ok=True) and got["upper"].to_numpy(float) == pytest.approx(upper, nan_ok=True)
 
 
 def test_phase2_regions_by_walk(spark):
@@ -166,6 +169,38 @@ def test_region_removal_step_by_step(spark):
     assert {(x.ref_length, x.full_length) for x in out} == {(length, 1000)}
 
 
+def test_region_removal_by_walk_over_stretches(spark, monkeypatch):
+    """Regions that touch, that start and end at stretches' ends, that span several; pairs without any; repeated positions."""
+    monkeypatch.setattr(filters, "STRETCH", 16)
+    r = random.Random(8)
+    reads, regions, want = [], [], set()
+    for g in range(12):
+        length = r.choice([15, 16, 17, 300])
+        ends = sorted(r.sample(range(0, length + 1), min(length, 2 * r.choice([0, 1, 3, 6]))))
+        cuts = list(zip(ends[::2], ends[1::2], strict=True))
+        if g % 3 == 0 and len(cuts) > 1:
+            cuts[1] = (cuts[0][1], cuts[1][1])
+        pos = [r.randrange(length) for _ in range(80)]
+        reads += [("s", f"g{g}", length, p, i) for i, p in enumerate(pos)]
+        regions += [("s", f"g{g}", a, b) for a, b in cuts]
+        short = length - sum(b - a for a, b in cuts)
+        want |= {(f"g{g}", i, p - sum(b - a for a, b in cuts if b <= p), short, length) for i, p in enumerate(pos) if not any(a <= p < b for a, b in cuts)}
+    table = spark.createDataFrame(reads, READS + ", read_id long").repartition(3)
+    out = filters.remove_regions(table, spark.createDataFrame(regions, "sample_id string, genome_id string, left long, right long"))
+    assert {(x.genome_id, x.read_id, x.pos, x.ref_length, x.full_length) for x in out.collect()} == want
+    assert set(out.columns) == {*table.columns, "full_length"}
+
+
+def test_removal_of_many_regions_looks_at_each_once(spark):
+    """50,000 regions and as many positions: rows out of every join and window stay in proportion."""
+    n = 50_000
+    regions = spark.range(n).select(F.lit("s").alias("sample_id"), F.lit("g").alias("genome_id"), (F.col("id") * 20).alias("left"), (F.col("id") * 20 + 10).alias("right"))
+    reads = spark.range(n).select(F.lit("s").alias("sample_id"), F.lit("g").alias("genome_id"), F.lit(20 * n).cast("long").alias("ref_length"), (F.col("id") * 20 + F.col("id") % 20).alias("pos"))
+    out = filters.remove_regions(reads, regions)
+    assert out.count() == n // 2
+    assert out.agg(F.max("ref_length")).first()[0] == 10 * n
+
+
 def test_every_pair_has_an_outcome(spark):
     """Too short a genome, too few reads, and too much removed: pairs that fail have their reads, and no estimate."""
     r = random.Random(3)

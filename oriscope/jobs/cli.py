@@ -46,7 +46,7 @@ def run_extract(spark: SparkSession, folder: str, out: str, regex: str = mapping
     files = sam.alignment_files(spark, folder)
     if not check_regex:
         try:
-            files = files.join(spark.read.parquet(f"{out}/sequences").select("sample_id").distinct(), "sample_id", "left_anti")
+            files = files.join(tables.read_maps(spark, out)[1].select("sample_id").distinct(), "sample_id", "left_anti")
         except AnalysisException as e:
             if "PATH_NOT_FOUND" not in str(e):
                 raise
@@ -59,8 +59,7 @@ def run_extract(spark: SparkSession, folder: str, out: str, regex: str = mapping
         hold.drop()
         return report
     reads = hold(assign.assigned_reads(hold(extract(records, header, regex), "best"), max_alignments, hold), "reads")
-    tables.write_coverage(reads, f"{out}/reads")
-    seqs.write.mode("append").parquet(f"{out}/sequences")
+    tables.commit_maps(reads, seqs, out)
     hold.drop()
     return report
 
@@ -68,8 +67,8 @@ def run_extract(spark: SparkSession, folder: str, out: str, regex: str = mapping
 def coverage_steps(spark: SparkSession, folder: str, options: Options, restart: bool = False) -> CoverageSteps:
     """The steps over coverage maps. Their counts of positions are kept in `<folder>/positions`, which `restart` takes up
     again instead of grouping the reads anew."""
-    seqs = spark.read.parquet(f"{folder}/sequences").dropDuplicates(["sample_id", "ref_name"])
-    steps, place = CoverageSteps(spark, tables.read_coverage(spark, f"{folder}/reads"), seqs, options), f"{folder}/positions"
+    reads, seqs = tables.read_maps(spark, folder)
+    steps, place = CoverageSteps(spark, reads, seqs.dropDuplicates(["sample_id", "ref_name"]), options), f"{folder}/positions"
     if not restart:
         coverage.position_counts(steps.reads).write.mode("overwrite").parquet(place)
     steps.__dict__["positions"] = spark.read.parquet(place)

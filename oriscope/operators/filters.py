@@ -118,8 +118,8 @@ def window_bounds(rolling: DataFrame, sizes: DataFrame, bins: int) -> DataFrame:
     """
     widest = max(4, math.ceil(REACH * 2 * bins))
     reach = F.greatest(F.lit(4), F.ceil(F.lit(REACH) * F.col("length") / F.col("size"))).cast("int")
-    n = F.max("k").over(Window.partitionBy(*KEYS)) + 1
-    rows = rolling.withColumn("n", n).join(sizes.select(*KEYS, reach.alias("reach")), KEYS)
+    n = F.ceil(F.col("length") / (F.col("size") / STEPS).cast("long")).alias("n")
+    rows = rolling.join(sizes.select(*KEYS, reach.alias("reach"), n), KEYS)
     far = STEPS * (widest - 1)
     turns = F.sequence(F.ceil((-far - F.col("k")) / F.col("n")), F.floor((F.col("n") - 1 + far - F.col("k")) / F.col("n")))
     rows = rows.select("*", F.explode(turns).alias("turn")).withColumn("at", F.col("k") + F.col("turn") * F.col("n"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -44,8 +45,36 @@ def new_samples(reads: DataFrame, done: DataFrame) -> DataFrame:
 
 
 def write_coverage(reads: DataFrame, path: str) -> None:
-    """Coverage maps, a folder a sample; samples written before stay unless they are written again."""
-    reads.repartition("sample_id", "genome_id").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("sample_id").parquet(path)
+    """Coverage maps, a folder a sample; samples written before stay unless they are written again. Reads lie together by
+    genome, and those of a pair with very many are dealt over several tasks and files."""
+    reads.hint("rebalance", "sample_id", "genome_id").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("sample_id").parquet(path)
+
+
+def commit_maps(reads: DataFrame, sequences: DataFrame, folder: str) -> None:
+    """Add samples to a folder of maps: their reads, the sequences of their headers, and in the end a row for each in
+    `done`, which alone makes them visible. What a broken run left of a sample is written over by the next one."""
+    marker = "sample_id string, sequences long"
+    sequences.sparkSession.createDataFrame([], marker).write.mode("ignore").parquet(f"{folder}/done")
+    write_coverage(reads, f"{folder}/reads")
+    sequences.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("sample_id").parquet(f"{folder}/sequences")
+    mark_done(sequences.groupBy("sample_id").agg(F.count("*").alias("sequences")), folder)
+
+
+def mark_done(samples: DataFrame, folder: str) -> None:
+    samples.coalesce(1).write.mode("append").parquet(f"{folder}/done")
+
+
+def read_maps(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """Reads and sequences of the samples that are done; of all where the folder has no `done`, as other tools wrote it."""
+    seqs = spark.read.parquet(f"{folder}/sequences").withColumn("sample_id", F.col("sample_id").cast("string"))
+    reads = read_coverage(spark, f"{folder}/reads")
+    try:
+        done = spark.read.parquet(f"{folder}/done").select("sample_id").distinct()
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        return reads, seqs
+    return reads.join(done, "sample_id", "left_semi"), seqs.join(done, "sample_id", "left_semi")
 
 
 def read_coverage(spark: SparkSession, path: str) -> DataFrame:
@@ -53,8 +82,16 @@ def read_coverage(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_wide(wide: DataFrame, path: str, label: str, fill: str = "") -> None:
-    """One CSV file in folder `path` (`.csv` appended if missing), rows in the DataFrame's order, headed
-    `label:genome_id/sample_id`."""
+    """One CSV file at `path` (`.csv` appended if missing), rows in the DataFrame's order, headed
+    `label:genome_id/sample_id`. It is written beside its place and then moved there, so that readers never meet a part of it."""
     path = path if path.endswith(".csv") else path + ".csv"
     named = wide.withColumnRenamed("genome_id", f"{label}:genome_id/sample_id")
-    named.coalesce(1).write.mode("overwrite").option("header", True).option("nullValue", fill).option("emptyValue", fill).csv(path)
+    folder = f"{path}.parts"
+    named.coalesce(1).write.mode("overwrite").option("header", True).option("nullValue", fill).option("emptyValue", fill).csv(folder)
+    spark = wide.sparkSession
+    place = spark._jvm.org.apache.hadoop.fs.Path
+    fs = place(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    part = next(f.getPath() for f in fs.listStatus(place(folder)) if f.getPath().getName().startswith("part-"))
+    fs.delete(place(path), True)
+    fs.rename(part, place(path))
+    fs.delete(place(folder), True)

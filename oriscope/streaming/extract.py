@@ -17,7 +17,9 @@ def extract_new(spark: SparkSession, folder: str, out: str, checkpoint: str) ->
     then.
 
     The stream only finds the files, without their content; each batch is extracted as a whole, since a read's best hits
-    need all of its alignments. A batch that fails is run again and overwrites its samples' folders.
+    need all of its alignments. A batch writes its samples' reads and sequences, and marks them as done in the end, so
+    that one that fails leaves nothing that is visible; run again, it writes over what it left. `out` is a folder that
+    the command line's estimate, count and rabun take.
     """
     files = spark.readStream.format("binaryFile").schema(FILES).option("pathGlobFilter", "*.{sam,bam}").load(folder).select("path")
 
@@ -25,10 +27,13 @@ def extract_new(spark: SparkSession, folder: str, out: str, checkpoint: str) ->
         names = sorted(r.path for r in batch.collect())  # a row a file
         if names:
             rows, header = sam.read_files(spark, names)
-            tables.write_coverage(assign.assigned_reads(extract(rows, header)), out)
+            hold = tables.scratch(spark, "extract")
+            seqs = hold(mapping.with_genome(header), "sequences")
+            tables.commit_maps(assign.assigned_reads(hold(extract(rows, header), "best"), hold=hold), seqs, out)
+            hold.drop()
 
     files.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
-    return tables.read_coverage(spark, out).count()
+    return tables.read_maps(spark, out)[0].count()
 
 
 def extract(alignments: DataFrame, header: DataFrame, regex: str = mapping.GENOME_REGEX) -> DataFrame:

@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from oriscope.jobs import cli
+from oriscope.jobs.steps import Options
 from oriscope.operators import assign, mapping
 from oriscope.sources import bam as bam_files
 from oriscope.sources import sam, sequences, tables
@@ -228,3 +229,45 @@ def test_stream_extracts_each_file_once(spark, folder):
     assert extract.extract_new(spark, *args) == 6
     (folder / "in/bam3.sam").write_text(text(TWO))
     assert extract.extract_new(spark, *args) == 8
+
+
+def test_a_batch_that_fails_leaves_nothing_visible(spark, folder, monkeypatch):
+    args = str(folder / "in"), str(folder / "stream"), str(folder / "check")
+    mark = tables.mark_done
+
+    def killed(*_):
+        raise RuntimeError("killed")
+
+    monkeypatch.setattr(tables, "mark_done", killed)
+    with pytest.raises(Exception, match="killed"):
+        extract.extract_new(spark, *args)
+    reads, seqs = tables.read_maps(spark, args[1])
+    assert reads.count() == 0 and seqs.count() == 0
+    monkeypatch.setattr(tables, "mark_done", mark)
+    assert extract.extract_new(spark, *args) == 6
+    (folder / "in/bam3.sam").write_text(text(TWO))
+    monkeypatch.setattr(tables, "mark_done", killed)
+    with pytest.raises(Exception, match="killed"):
+        extract.extract_new(spark, *args)
+    assert {r.sample_id for r in tables.read_maps(spark, args[1])[1].select("sample_id").distinct().collect()} == {"bam1", "bam2"}
+
+
+def test_estimate_takes_a_folder_that_the_stream_filled(spark, folder, tmp_path):
+    extract.extract_new(spark, str(folder / "in"), str(tmp_path / "maps"), str(tmp_path / "check"))
+    s = cli.coverage_steps(spark, str(tmp_path / "maps"), Options(min_reads=1, min_cov=0.0, min_samples=1))
+    cli.write_estimates(s, str(tmp_path / "ptr.csv"))
+    lines = (tmp_path / "ptr.csv").read_text().splitlines()
+    assert (tmp_path / "ptr.csv").is_file() and lines[0] == "log2(PTR):genome_id/sample_id,bam1,bam2"
+    assert s.positions.agg(F.sum("n")).first()[0] == 6
+
+
+def test_a_hot_pair_is_written_by_several_tasks(spark, tmp_path):
+    before = spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "64k")
+    try:
+        rows = spark.range(200_000).select(F.lit("s").alias("sample_id"), F.lit("g").alias("genome_id"), F.sha2(F.col("id").cast("string"), 256).alias("ref_name"), F.col("id").alias("pos")).repartition(8)
+        tables.write_coverage(rows, str(tmp_path / "reads"))
+    finally:
+        spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", before)
+    assert len(list((tmp_path / "reads/sample_id=s").glob("*.parquet"))) > 1
+    assert tables.read_coverage(spark, str(tmp_path / "reads")).count() == 200_000

@@ -6,6 +6,8 @@ import math
 from collections.abc import Callable
 from typing import NamedTuple
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,6 +18,7 @@ MOST_REMOVED = 0.25
 REACH = 0.0625
 STEPS = 100  # rolling windows a bin
 STRETCH = 1 << 16  # bases that are swept together
+TOGETHER = 4096  # windows whose neighbourhoods are held at once
 
 
 def bounds_of(cnt: Column, z: float = Z95) -> tuple[Column, Column]:
@@ -107,43 +110,47 @@ def remove_regions(reads: DataFrame, regions: DataFrame) -> DataFrame:
     return out.drop("at", "kind", "state", "stretch")
 
 
-def window_bounds(rolling: DataFrame, sizes: DataFrame, bins: int) -> DataFrame:
-    """sample_id, genome_id, k, cnt, lower, upper of rolling(.., k, cnt), whose k run from 0; sizes: sample_id, genome_id, length,
-    size (of a bin). length is less than 2 * bins * size.
+def _local_bounds(counts: np.ndarray, size: int, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Lower and upper bounds of each window by its neighbourhood; NaN where that has no reads.
 
-    A window's neighbourhood is every 100th window on both sides, over 6.25 % of the genome or 4 bins, itself counted
-    twice; it wraps around. Windows part into 100 classes, in which a neighbourhood is a frame of rows; windows that
-    are met beyond an end are copied there. Bounds are remembered by the neighbourhood's median: the first
-    window with a median sets them for all later ones. They are null where that has no reads.
+    A window's neighbourhood is every 100th window on both sides, over 6.25 % of the genome or 4 bins; it wraps around.
+    Bounds are remembered by the neighbourhood's median, and the first with a median sets them for all later ones.
     """
-    widest = max(4, math.ceil(REACH * 2 * bins))
-    reach = F.greatest(F.lit(4), F.ceil(F.lit(REACH) * F.col("length") / F.col("size"))).cast("int")
-    n = F.ceil(F.col("length") / (F.col("size") / STEPS).cast("long")).alias("n")
-    rows = rolling.join(sizes.select(*KEYS, reach.alias("reach"), n), KEYS)
-    far = STEPS * (widest - 1)
-    turns = F.sequence(F.ceil((-far - F.col("k")) / F.col("n")), F.floor((F.col("n") - 1 + far - F.col("k")) / F.col("n")))
-    rows = rows.select("*", F.explode(turns).alias("turn")).withColumn("at", F.col("k") + F.col("turn") * F.col("n"))
-    frame = Window.partitionBy(*KEYS, F.pmod("at", F.lit(STEPS))).orderBy("at").rowsBetween(1 - widest, widest - 1)
-    near = rows.withColumn("near", F.collect_list("cnt").over(frame)).filter("turn = 0")
-    own = F.slice("near", F.lit(widest) - F.col("reach") + 1, 2 * F.col("reach") - 1)
-    near = near.select(*KEYS, "k", "cnt", "reach", F.sort_array(F.concat(own, F.array("cnt"))).alias("near"))
-    middle = lambda first, count: (F.try_element_at("near", (first + (count + 1).cast("double") / 2).cast("int")) + F.try_element_at("near", (first + count.cast("double") / 2 + 1).cast("int"))) / 2
-    near = near.withColumns({"zeros": F.size(F.filter("near", lambda x: x == 0)), "all": 2 * F.col("reach"), "logs": F.transform(F.filter("near", lambda x: x > 0), lambda x: F.log2(x.cast("double")))})
-    add = lambda f: F.aggregate("logs", F.lit(0.0), lambda a, x: a + f(x))
-    near = near.withColumn("mean", F.when(F.size("logs") > 0, add(lambda x: x) / F.size("logs")))
-    spread = F.greatest(F.lit(1.0), F.sqrt(add(lambda x: (x - F.col("mean")) * (x - F.col("mean"))) / F.size("logs")))
-    centre = F.log2(middle(F.col("zeros"), F.size("logs")))
-    bound = lambda sign: F.when(F.size("logs") > 0, F.pow(F.lit(2.0), centre + sign * Z975 * spread))
-    found = near.select(*KEYS, "k", "cnt", middle(F.lit(0), F.col("all")).alias("median"), bound(-1).alias("lower"), bound(1).alias("upper"))
-    first = Window.partitionBy(*KEYS, "median").orderBy("k").rowsBetween(Window.unboundedPreceding, 0)
-    return found.select(*KEYS, "k", "cnt", F.first("lower").over(first).alias("lower"), F.first("upper").over(first).alias("upper"))
+    n = len(counts)
+    reach = max(4, math.ceil(REACH * length / size))
+    jump = STEPS * np.arange(reach)
+
+    def near(at: np.ndarray) -> np.ndarray:
+        return np.concatenate([counts[(at[:, None] - jump) % n], counts[(at[:, None] + jump) % n]], axis=1).astype(np.float64)
+
+    middle = np.concatenate([np.median(near(np.arange(i, min(i + TOGETHER, n))), axis=1) for i in range(0, n, TOGETHER)])
+    _, first, back = np.unique(middle, return_index=True, return_inverse=True)
+    lower, upper = np.full(len(first), np.nan), np.full(len(first), np.nan)
+    for i, row in enumerate(near(first)):
+        seen = row[row > 0]
+        if len(seen):
+            centre, spread = np.log2(np.median(seen)), max(1.0, float(np.std(np.log2(seen))))
+            lower[i], upper[i] = 2 ** (centre - Z975 * spread), 2 ** (centre + Z975 * spread)
+    return lower[back], upper[back]
 
 
 def local_bounds(reads: DataFrame, bins: int = 500) -> DataFrame:
-    """window_bounds of every rolling window, on the reads that phase 1 left."""
+    """sample_id, genome_id, k, cnt, lower, upper of every rolling window, on the reads that phase 1 left; bounds are
+    null where the neighbourhood has no reads. A pair's grid of windows is one row; its length follows from the number
+    of bins and not from the reads."""
     size = bin_size_ref(F.col("full_length"), bins)
     sizes = reads.groupBy(*KEYS).agg(F.max("ref_length").alias("length"), F.max(size).alias("size"))
-    return window_bounds(rolling_counts(reads, bins), sizes, bins)
+    grids = rolling_counts(reads, bins).groupBy(*KEYS).agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "cnt"))), lambda x: x.cnt).alias("counts"))
+
+    def run(batches):
+        for pdf in batches:
+            for s, g, counts, length, size in pdf.itertuples(index=False):
+                counts = np.asarray(counts)
+                lower, upper = _local_bounds(counts, size, length)
+                yield pd.DataFrame({"sample_id": s, "genome_id": g, "k": np.arange(len(counts)), "cnt": counts, "lower": lower, "upper": upper})
+
+    found = grids.join(sizes, KEYS).select(*KEYS, "counts", "length", "size").mapInPandas(run, "sample_id string, genome_id string, k long, cnt long, lower double, upper double")
+    return found.select(*KEYS, "k", "cnt", F.nanvl("lower", F.lit(None)).alias("lower"), F.nanvl("upper", F.lit(None)).alias("upper"))
 
 
 def phase2_regions(reads: DataFrame, bins: int = 500) -> DataFrame:

@@ -186,8 +186,15 @@ class Steps:
     def ptr_contig(self) -> DataFrame:
         return self.hold(fit_assembly.estimates(self.contig_qc, self.sample_gate, self.samples, self.in_kept_bins, self.contig_fits), "ptr-contig")
 
+    @cached_property
+    def masked_alone(self) -> DataFrame:
+        """Masked bins of every pair that passes, whatever the contigs of a genome's other samples: counts and abundances
+        go sample by sample."""
+        passing = self.contig_qc.filter("passed_qc").select(*KEYS)
+        return self.hold(filters.mask_outliers(coverage.coverage_matrix(self.contig_histogram.join(passing, KEYS))), "masked-alone")
+
     def _counts(self, qc: DataFrame) -> DataFrame:
-        return products.contig_counts(self.masked, self.contig_qc, self.sizes).unionByName(products.complete_counts(self.filtered.reads, qc))
+        return products.contig_counts(self.masked_alone, self.contig_qc, self.sizes).unionByName(products.complete_counts(self.filtered.reads, qc))
 
     @cached_property
     def read_counts(self) -> DataFrame:

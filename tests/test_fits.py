@@ -228,6 +228,20 @@ def test_contigs_must_agree(spark):
         coverage.same_contigs(sizes(seqs), pairs).collect()
 
 
+def test_counts_and_abundances_do_not_need_equal_contigs(spark):
+    r = np.random.default_rng(14)
+    names = {"a": ("c1", "c2"), "b": ("c1", "c3")}
+    seqs = [(s, "g", c, 400_000) for s, contigs in names.items() for c in contigs]
+    reads = [(s, i, "g", r.choice(contigs).item(), 400_000, int(r.integers(0, 400_000))) for s, contigs in names.items() for i in range(3000)]
+    table = spark.createDataFrame(reads, "sample_id string, read_id long, genome_id string, ref_name string, ref_length long, pos long")
+    s = CoverageSteps(spark, table, spark.createDataFrame(seqs, "sample_id string, genome_id string, ref_name string, length long"), Options(min_reads=1, contig_bins=60))
+    counted = {x.sample_id: x["count"] for x in s.read_counts.collect()}
+    assert counted.keys() == {"a", "b"} and all(2500 < n <= 3000 for n in counted.values())
+    assert {x.sample_id: x.rel_abun for x in s.abundance.collect()} == {"a": 1.0, "b": 1.0}
+    with pytest.raises(Exception, match="samples differ in the contigs of g"):
+        s.ptr_contig.collect()
+
+
 def test_inference_is_monotone_and_classes_equal_reads():
     r = np.random.default_rng(4)
     sets = [np.unique(r.integers(0, 12, r.integers(2, 5))) for _ in range(300)]

@@ -15,6 +15,7 @@ different components meet, with the multi-match test, so that no link between co
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 from itertools import chain
@@ -32,6 +33,7 @@ LEVELS = 8  # the most shared prefix shingles that a document may ask for
 HEAVY_FROM = 32  # a shingle in the low parts of so many documents goes last in the order
 MAX_HEAVY = 1 << 20  # bound on such shingles (8 MB); the threshold rises until they fit
 SLICE = 1 << 20
+LIST_SHARE = 4096  # members of a posting list, of one class of size, that meet others in one task
 
 _R = np.uint64(0x9E3779B97F4A7C15)
 _GAP = re.compile(rb"[\x20\x09-\x0D]")
@@ -233,7 +235,8 @@ def postings(sets: DataFrame, percent: int, scratch: Scratch, verify_cost: float
     shingles of its own, so that it is near to the most of them.
 
     Tokens of one document are left out. ell is the document's own l: that of least estimated cost, the postings in its
-    l-prefix and, at verify_cost a shingle, the candidates, of which there are at most the postings over l.
+    l-prefix and, at verify_cost a shingle, the candidates, of which there are at most the postings over l. Postings at
+    which even the smallest admissible partner would ask for more than ell are left out: they can't count in any pair.
     """
     each = sets.select("id", "n", F.posexplode("prefix").alias("pos", "token"))
     shared = each.groupBy("token").agg(F.count("*").alias("df"), F.min(F.struct("pos", "id", "n")).alias("first")).filter("df > 1")
@@ -249,7 +252,7 @@ def postings(sets: DataFrame, percent: int, scratch: Scratch, verify_cost: float
     per = met.groupBy("id", "n").agg(F.collect_list(F.struct("token", "pos", "first")).alias("items"), F.array(*costs).alias("costs"))
     ell = F.array_position("costs", F.array_min("costs")).cast("int")
     per = per.select("id", "n", ell.alias("ell"), F.explode("items").alias("x"))
-    lists = scratch.table(per.select("id", "n", "ell", "x.*"), "postings")
+    lists = scratch.table(per.select("id", "n", "ell", "x.*").filter(_own_level(percent) <= F.col("ell")), "postings")
     scratch.drop(shared)
     return lists
 
@@ -264,6 +267,18 @@ def _level(percent: int, a: str, b: str) -> Column:
     return F.expr(f"greatest(1, {a}.pos + 1 - {n_a} + {overlap}, {b}.pos + 1 - {n_b} + {overlap})")
 
 
+def _own_level(percent: int) -> Column:
+    """The least that _level can be for a posting (n, pos), whatever its partner: that of the smallest size that fits."""
+    least = f"((n * {percent} + 99) div 100)"
+    return F.expr(f"greatest(1, pos + 1 - n + (((n + {least}) * {percent} + {99 + percent}) div {100 + percent}))")
+
+
+def _size_class(n: str, percent: int) -> Column:
+    """Sizes that fit each other are of the same class or of two that follow each other."""
+    step = max(math.log(100 / percent), 0.005) * (1 + 1e-9)  # a little wider, so that rounding can't part them further
+    return F.floor(F.log(n) / F.lit(step)).cast("long")
+
+
 def _sizes_fit(a: str, b: str, percent: int) -> Column:
     return F.least(a, b) * 100 >= F.greatest(a, b) * percent
 
@@ -317,6 +332,27 @@ def _enough(meetings: DataFrame) -> DataFrame:
     return meetings.groupBy("a", "b").agg(F.count("*").alias("met"), F.first("ell").alias("ell")).filter("met >= ell").select("a", "b", "met")
 
 
+def met_in_lists(mixed: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
+    """a, b, ell: a row for each shingle at which two members of different components meet.
+
+    mixed(token, id, n, pos, ell, component, main, kind) holds the postings of lists with several components, and kind
+    the class of size. A list's members of one class are dealt to shares of some LIST_SHARE, and whoever asks for that
+    class goes to each of them, so that a long list is the work of many tasks.
+    """
+    shares = mixed.groupBy("token", "kind").agg(F.ceil(F.count("*") / F.lit(LIST_SHARE)).cast("int").alias("shares"), F.count("*").alias("members"))
+    shares = scratch.table(shares, "shares")
+    fields = F.struct("id", "n", "pos", "ell", "component", (F.col("component") == F.col("main")).alias("in_main"))
+    held = join_unique(mixed, shares, ["token", "kind"], "members").select("token", "kind", F.pmod(F.xxhash64("id"), "shares").cast("int").alias("share"), fields.alias("y"))
+    asking = mixed.select("token", F.explode(F.sequence(F.col("kind") - 1, F.col("kind") + 1)).alias("kind"), fields.alias("x")).filter("not x.in_main")
+    asked = asking.groupBy("token", "kind").agg(F.count("*").alias("askers")).join(shares.select("token", "kind", "shares"), ["token", "kind"])
+    asking = join_unique(asking, scratch.table(asked, "asked"), ["token", "kind"], "askers")
+    asking = asking.select("token", "kind", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"), "x")
+    asks = F.least("x.ell", "y.ell")
+    apart = (F.col("x.component") != F.col("y.component")) & (F.col("y.in_main") | (F.col("x.id") < F.col("y.id")))
+    meets = asking.join(held, ["token", "kind", "share"]).filter(apart & _sizes_fit("x.n", "y.n", percent) & (_level(percent, "x", "y") <= asks))
+    return meets.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b"), asks.alias("ell"))
+
+
 def link_rows(rows: DataFrame, size: int, threshold: float, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
     """The sets of rows(row_id, text), a written table with distinct row ids, and the classes of equal sets.
 
@@ -344,13 +380,11 @@ def link_rows(rows: DataFrame, size: int, threshold: float, scratch: Scratch) ->
     # In each list, the members of its largest component meet only those outside it.
     counts = placed.groupBy("token", "component").agg(F.count("*").alias("n_in"))
     mixed = counts.groupBy("token").agg(F.count("*").alias("groups"), F.sum("n_in").alias("members"), F.max_by("component", F.struct("n_in", "component")).alias("main")).filter("groups > 1").select("token", "main", "members")
-    mixed = scratch.table(join_unique(placed, scratch.table(mixed, "mixed"), ["token"], "members"), "open")
+    mixed = join_unique(placed, scratch.table(mixed, "mixed"), ["token"], "members").withColumn("kind", _size_class("n", percent))
+    mixed = scratch.table(mixed, "open")
     scratch.drop(placed)
-    side = lambda name: mixed.select("token", F.struct("id", "n", "pos", "ell", "component", (F.col("component") == F.col("main")).alias("in_main")).alias(name))
-    asks = F.least("x.ell", "y.ell")
-    apart = (F.col("x.component") != F.col("y.component")) & (F.col("y.in_main") | (F.col("x.id") < F.col("y.id")))
-    meets = side("x").filter("not x.in_main").join(side("y"), "token").filter(apart & _sizes_fit("x.n", "y.n", percent) & (_level(percent, "x", "y") <= asks))
-    cross = _enough(meets.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b"), asks.alias("ell"))).select("a", "b")
+    meets = met_in_lists(mixed, percent, scratch)
+    cross = _enough(meets).select("a", "b")
     cross = scratch.table(cross, "cross")
     scratch.drop(mixed)
     far = verified(cross, rows, size, percent, scratch)

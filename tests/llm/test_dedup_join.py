@@ -211,3 +211,47 @@ def test_filter_passes_single_rows(make, spark):
     bits = exact_dedup.repeated_filter(rows, 1001, 16, 4, 64)
     flagged = exact_dedup.flag_repeated(rows, "sha", bits, 4)
     assert 2 <= flagged.filter("maybe").count() < 20
+
+
+def templates(n, seed=4):
+    """Documents of one template of 22 words and five words of their own, between which no links are."""
+    r = random.Random(seed)
+    template = [f"t{i}" for i in range(22)]
+    return [(i, " ".join(template + [f"w{r.randrange(10**9)}" for _ in range(5)])) for i in range(n)]
+
+
+@pytest.mark.parametrize("n", [100, 400])
+def test_templates_make_no_pairs(make, spark, n, monkeypatch):
+    """The rows at which documents meet don't grow with the square of those that share a template."""
+    met = []
+    whole = ngram_join.met_in_lists
+
+    def counted(mixed, percent, scratch):
+        out = whole(mixed, percent, scratch)
+        met.append((mixed.count(), out.count()))
+        return out
+
+    monkeypatch.setattr(ngram_join, "met_in_lists", counted)
+    rows = templates(n)
+    got = {x.doc_id: x.component_id for x in ngram_join.link_documents(make(rows)).collect()}
+    assert got == {i: i for i, _ in rows}
+    assert met[0][0] <= n and met[0][1] <= n
+
+
+def test_long_lists_in_shares(make, spark, monkeypatch):
+    """Lists that are dealt to shares of two members, in all classes of size, lose no link."""
+    monkeypatch.setattr(ngram_join, "LIST_SHARE", 2)
+    for seed, k, percent in ((11, 3, 90), (12, 5, 80), (13, 2, 50)):
+        rows = corpus(seed, groups=8)
+        got = {x.doc_id: (x.n_shingles, x.component_id) for x in ngram_join.link_documents(make(rows), k, percent / 100).collect()}
+        assert got == components(rows, k, percent)
+
+
+@pytest.mark.parametrize("percent", [100, 90, 80, 50, 7])
+def test_classes_of_size_hold_all_that_fits(spark, percent):
+    import pyspark.sql.functions as F
+
+    kind = {r.n: r.kind for r in spark.range(1, 3000).select(F.col("id").alias("n")).withColumn("kind", ngram_join._size_class("n", percent)).collect()}
+    for n in kind:
+        most = n * 100 // percent  # the greatest size that fits n
+        assert most not in kind or kind[most] - kind[n] <= 1

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from oriscope.llm._shared import Scratch, pow2_at_least
+from oriscope.llm._shared import Scratch, pow2_at_least, unused
 
 HASH_BITS = 60
 
@@ -60,15 +60,19 @@ def shard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", limit
     out in overflow pages, largest row first; the pages are filled per input partition, so that a hot hash is no single
     task's work. page is 0 elsewhere. shard_bytes is what the shard's page holds. A null text has 0 bytes. An empty table gives an empty result; other columns are ignored.
     """
-    scratch = Scratch(docs.sparkSession, "sharding")
-    keyed = docs.select(F.col(id_col).alias("doc_id"), hash_bits(F.col(id_col)).alias("h"), F.coalesce(F.octet_length(F.col(text_col)), F.lit(0)).cast("long").alias("n_bytes"), F.spark_partition_id().alias("part"))
-    keyed = scratch.table(keyed, "keys")
+    rows = docs.select(F.col(id_col).alias("doc_id"), hash_bits(F.col(id_col)).alias("h"), F.coalesce(F.octet_length(F.col(text_col)), F.lit(0)).cast("long").alias("n_bytes"), F.spark_partition_id().alias("part"))
+    return _placed(rows, limit, Scratch(docs.sparkSession, "sharding"), [])
+
+
+def _placed(rows: DataFrame, limit: int, scratch: Scratch, carried: list[str]) -> DataFrame:
+    """The rows of shard() for rows(doc_id, h, n_bytes, part), with the columns `carried`."""
+    keyed = scratch.table(rows, "keys")
     directory = plan_directory(keyed.select("h", "n_bytes"), limit, scratch)
     depths = sorted(r.shard_depth for r in directory.select("shard_depth").distinct().collect()) or [0]  # 61 at most
     # A hash meets the directory under each depth in use (a few neighbouring ones); exactly one of these is a bucket.
     buckets = F.explode(F.array(*(F.struct(F.lit(d).alias("shard_depth"), _prefix(d).alias("shard_prefix")) for d in depths)))
-    placed = keyed.select("doc_id", "n_bytes", "part", buckets.alias("bucket")).select("doc_id", "n_bytes", "part", "bucket.*").join(directory, ["shard_depth", "shard_prefix"])
-    columns = ["doc_id", "n_bytes", "shard_depth", "shard_prefix", "page", "shard_bytes"]
+    placed = keyed.select("doc_id", "n_bytes", "part", *carried, buckets.alias("bucket")).select("doc_id", "n_bytes", "part", *carried, "bucket.*").join(directory, ["shard_depth", "shard_prefix"])
+    columns = ["doc_id", "n_bytes", "shard_depth", "shard_prefix", "page", "shard_bytes", *carried]
     is_crowded = (F.col("shard_bytes") > limit) & (F.col("shard_depth") == HASH_BITS)
     whole = placed.filter(~is_crowded).withColumn("page", F.lit(0).cast("long")).select(*columns)
     if HASH_BITS not in depths:
@@ -81,11 +85,18 @@ def shard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", limit
 
 
 def write_shards(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", limit: int = 128 << 20) -> DataFrame:
-    """Write docs as Parquet folders, one a shard (shard=depth-prefix-page), and return the rows' shards.
+    """Write docs as Parquet folders, one a shard, and return the rows' shards as shard() does.
 
-    The ids must be distinct and non-null here, as they join the rows to their shards.
+    A shard's folder is `shard=depth-prefix-page`; where docs has a column `shard`, the folders' name gets underscores
+    before it. Each row is written once, with all its columns: it meets its shard by its place in a written copy, so that
+    null and repeated ids, and repeated rows, stay as they are.
     """
-    shards = shard(docs, id_col, text_col, limit)
-    names = shards.select(F.col("doc_id").alias("_shard_id"), F.concat_ws("-", "shard_depth", "shard_prefix", "page").alias("shard"))
-    docs.join(names, docs[id_col] == names["_shard_id"]).drop("_shard_id").repartition("shard").write.partitionBy("shard").parquet(path)
-    return shards
+    scratch = Scratch(docs.sparkSession, "write-shards")
+    place, name = unused(docs, "_place"), unused(docs, "shard")
+    rows = scratch.table(docs.withColumn(place, F.monotonically_increasing_id()), "rows")
+    col = lambda c: F.col(f"`{c}`")
+    keyed = rows.select(col(id_col).alias("doc_id"), hash_bits(col(id_col)).alias("h"), F.coalesce(F.octet_length(col(text_col)), F.lit(0)).cast("long").alias("n_bytes"), F.spark_partition_id().alias("part"), col(place).alias("row_place"))
+    shards = scratch.table(_placed(keyed, limit, scratch, ["row_place"]), "placed")
+    names = shards.select(F.col("row_place").alias(place), F.concat_ws("-", "shard_depth", "shard_prefix", "page").alias(name))
+    rows.join(names, place).drop(place).repartition(name).write.partitionBy(name).parquet(path)
+    return shards.drop("row_place")

@@ -26,8 +26,8 @@ def path_of(url: Column) -> Column:
 
 
 def explicit_rule(host: Column, path: Column, rules: list[tuple[str, str]]) -> Column:
-    """Struct(rule, verdict) of the longest rule that fits, else null. rules: (`host/path`, verdict)."""
-    fits = []
+    """Struct(rule, verdict) of the longest rule that fits, else null, as without rules. rules: (`host/path`, verdict)."""
+    fits = [F.lit(None).cast("struct<rule: string, verdict: string>")]
     for rule, verdict in sorted(rules, key=lambda r: (-len(r[0]), r[0])):
         name, slash, rest = rule.partition("/")
         fit = ((host == name) | host.endswith("." + name)) & path.startswith(slash + rest)
@@ -48,6 +48,12 @@ def url_tokens(url: Column, host: Column, path: Column) -> Column:
     return F.when(host == "", F.array().cast("array<string>")).otherwise(F.coalesce(kept, F.array().cast("array<string>")))
 
 
+def rule_name(tokens: Column) -> Column:
+    """Sorted tokens joined by spaces. Spaces and backslashes within a token get a backslash, so that two
+    combinations never share a name."""
+    return F.array_join(F.transform(tokens, lambda t: F.regexp_replace(t, r"[\\ ]", r"\\$0")), " ")
+
+
 def mine_rules(labelled: DataFrame, min_support: float, min_rows: int, min_confidence: float, min_lift: float, partitions: int | None = None) -> DataFrame:
     """rule_id, tokens, label, confidence, support from labelled(tokens, label).
 
@@ -69,14 +75,14 @@ def mine_rules(labelled: DataFrame, min_support: float, min_rows: int, min_confi
     implied = F.element_at("consequent", 1)
     rules = rules.filter(implied.startswith("label=") & (F.col("lift") >= min_lift) & ~F.exists("antecedent", lambda t: t.startswith("label=")))
     tokens = F.array_sort("antecedent")
-    return rules.select(F.concat_ws(" ", tokens).alias("rule_id"), tokens.alias("tokens"), F.substring(implied, 7, 1 << 20).alias("label"), "confidence", "lift", "support")
+    return rules.select(rule_name(tokens).alias("rule_id"), tokens.alias("tokens"), F.substring(implied, 7, 1 << 20).alias("label"), "confidence", "lift", "support")
 
 
 def prune_rules(rules: DataFrame) -> DataFrame:
     """Without the rules to which a rule of one token less gives the same label with at least the same confidence; the
     shorter ones are looked up by key, not compared pairwise."""
     shorter = rules.select("rule_id", "label", "confidence", "tokens", F.explode(F.sequence(F.lit(1), F.size("tokens"))).alias("out"))
-    shorter = shorter.filter(F.size("tokens") > 1).select("rule_id", "label", "confidence", F.concat_ws(" ", F.filter("tokens", lambda t, i: i != F.col("out") - 1)).alias("part"))
+    shorter = shorter.filter(F.size("tokens") > 1).select("rule_id", "label", "confidence", rule_name(F.filter("tokens", lambda t, i: i != F.col("out") - 1)).alias("part"))
     parts = rules.select(F.col("rule_id").alias("part"), "label", F.col("confidence").alias("part_confidence"))
     needless = shorter.join(parts, ["part", "label"]).filter(F.col("part_confidence") >= F.col("confidence")).select("rule_id", "label").distinct()
     return rules.join(needless, ["rule_id", "label"], "left_anti")

@@ -144,6 +144,35 @@ def test_shards_empty_and_written(make, spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "s")).count() == 100
 
 
+def test_written_shards_hold_each_row_once(spark, tmp_path):
+    """Null and repeated ids, repeated rows, and columns of the names that are used within."""
+    rows = [(1, "a", "s"), (None, "b", "s"), (3, "c", "s"), (3, "c", "s"), (3, "d", None), (None, None, "u")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, shard string").withColumns({c: F.lit("x") for c in ("_place", "row_place", "h", "page", "part", "_shard_id")})
+    for limit in (1, 1000):
+        path = str(tmp_path / str(limit))
+        out = sharding.write_shards(docs, path, limit=limit)
+        read = spark.read.parquet(path)
+        order = lambda x: repr(x)
+        assert sorted(((r.doc_id, r.text, r.shard) for r in read.collect()), key=order) == sorted(rows, key=order)
+        assert {r._place for r in read.collect()} == {"x"}
+        assert out.count() == 6 and sorted(out.columns) == sorted(sharding.shard(docs).columns)
+        assert read.select("_shard").distinct().count() == out.select("shard_depth", "shard_prefix", "page").distinct().count()
+
+
+def test_no_explicit_rules(spark):
+    pages = spark.createDataFrame([(1, "http://a.net/x"), (2, None)], "page_id long, url string")
+    got = url_rules.judge_urls(pages, spark.createDataFrame([], "page_id long, label string"), []).collect()
+    assert sorted((r.page_id, r.rule, r.verdict) for r in got) == [(1, None, "allow"), (2, None, "allow")]
+
+
+def test_rules_whose_tokens_hold_spaces(spark):
+    """Combinations that look alike when joined have names of their own."""
+    lists = [["q:a", "q:b c"], ["q:a q:b", "c"], ["q:a", "q:b", "c"], ["q:a\\", "q:b"], ["q:a\\ q:b"], ["q:a q:b"], ["q:a", "q:b"]]
+    got = spark.createDataFrame([(x,) for x in lists], "tokens array<string>").select(url_rules.rule_name(F.col("tokens")).alias("name")).collect()
+    assert len({r.name for r in got}) == len(lists)
+    assert got[-1].name == "q:a q:b"
+
+
 def parse(url):
     if not url or "://" not in url:
         return "", ""

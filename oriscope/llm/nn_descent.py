@@ -1,10 +1,11 @@
 """Approximate nearest neighbours by cosine: an NN-descent graph, and greedy search in it.
 
 Building: every node starts with neighbours from blocks of vectors that random projections bring together. Then, in
-rounds, a node's neighbours and a bounded sample of the nodes that have it as a neighbour meet at the node, each with
+rounds, a node's neighbours and a bounded number of the nodes that have it as a neighbour meet at the node, each with
 its vector; they are compared, all with all, unless both are known there from earlier rounds, so that neighbours of
-neighbours become neighbours. A round is a join of the graph with its own reverse and few shuffles; nodes at which
-nothing is new send nothing. Equal vectors are one node.
+neighbours become neighbours. Of a node's in-links the new ones come first; those that are left over stay new and come
+in a later round. Rounds go on until hardly any list changes. A round is a join of the graph with its own reverse and
+few shuffles; nodes at which nothing is new send nothing. Equal vectors are one node.
 
 Searching: a query keeps its best nodes found so far; a round joins those not yet looked into with the graph, fetches
 the vectors of nodes that are new to the query, and keeps the best. It ends when nothing among the best is left to
@@ -26,8 +27,10 @@ from pyspark.sql import functions as F
 from oriscope.llm._shared import Scratch
 
 BLOCK = 512
-#: The starting points of searches: at most this many nodes, chosen by a hash of their ids.
-ENTRIES = 1024
+#: The starting points of searches: so many nodes, at every size of the table, chosen by a hash of their ids.
+ENTRIES = 64
+#: Bytes of vectors that one group of meeting places may hold.
+GROUP_BYTES = 64 << 20
 
 
 def usable_vectors(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
@@ -150,34 +153,37 @@ def _meet(table: pa.Table, k: int) -> pa.Table:
     return pa.table({"node": a, "other": b, "sim": pa.array(s, pa.float64())})
 
 
-def build_graph(nodes: DataFrame, dim: int, scratch: Scratch, k: int = 32, orders: int = 4, rounds: int = 4, least_change: float = 0.02, seed: int = 5) -> DataFrame:
+def build_graph(nodes: DataFrame, dim: int, scratch: Scratch, k: int = 32, orders: int = 6, least_change: float = 0.02, seed: int = 5) -> DataFrame:
     """node, others, sims of the NN-descent graph over nodes(node, unit), packed unit vectors of 32 bits.
 
     At a node meet its k neighbours and at most k of those that have it as a neighbour: the new ones first, then by a
-    hash. Rounds end when fewer than least_change of all neighbours change, or after `rounds`.
+    hash. A link whose owner did not come to a crowded node stays new. Rounds end when fewer than least_change of all
+    neighbours change; they do end, as each change brings a nearer neighbour.
     """
     n = nodes.count()
-    parts = max(8, -(-n // 4000))
+    parts = max(8, -(-n * 2 * k * (4 * dim + 32) // GROUP_BYTES))
     graph = scratch.table(_merge(_starting_pairs(nodes, dim, k, orders, seed, parts).withColumn("fresh", F.lit(True)), k, parts), "graph")
     units = nodes.select("node", "unit")
-    for _ in range(rounds):
-        links = graph.select("node", F.explode(F.arrays_zip("others", "fresh")).alias("x")).select("node", F.col("x.others").alias("other"), F.col("x.fresh").alias("fresh"))
+    changed = n * k
+    while changed > least_change * n * k:
+        links = graph.select("node", F.explode(F.arrays_zip("others", "sims", "fresh")).alias("x")).select("node", F.col("x.others").alias("other"), F.col("x.sims").alias("sim"), F.col("x.fresh").alias("fresh"))
         # The rank filter cuts a hub's in-links down before they shuffle.
         nth = F.row_number().over(Window.partitionBy("other").orderBy(F.col("fresh").desc(), F.xxhash64("node", "other")))
-        back = links.withColumn("nth", nth).filter(F.col("nth") <= k).select(F.col("other").alias("at"), "node", "fresh")
+        links = scratch.table(links.withColumn("nth", nth), "in-links")
+        back = links.filter(F.col("nth") <= k).select(F.col("other").alias("at"), "node", "fresh")
         come = links.select(F.col("node").alias("at"), F.col("other").alias("node"), "fresh").unionByName(back)
         come = come.groupBy("at").agg(F.collect_list(F.struct("node", "fresh")).alias("come")).filter(F.exists("come", lambda x: x.fresh))
         come = come.select("at", F.explode("come").alias("x")).select("at", "x.*")
         least = F.when(F.size("sims") >= k, F.array_min("sims")).otherwise(F.lit(-2.0)).cast("double")
         sent = come.join(graph.select("node", least.alias("least")).join(units, "node"), "node")
         met = sent.withColumn("bucket", F.pmod(F.xxhash64("at"), F.lit(parts))).groupBy("bucket").applyInArrow(lambda t: _meet(t, k), PAIRS)
-        known = graph.select("node", F.explode(F.arrays_zip("others", "sims")).alias("x")).select("node", F.col("x.others").alias("other"), F.col("x.sims").alias("sim"), F.lit(False).alias("fresh"))
+        known = links.select("node", "other", "sim", (F.col("fresh") & (F.col("nth") > k)).alias("fresh"))
         better = scratch.table(_merge(known.unionByName(met.withColumn("fresh", F.lit(True))), k, parts), "graph")
-        changed = better.agg(F.sum(F.size(F.filter("fresh", lambda x: x)))).first()[0] or 0
+        new = F.size(F.array_except("others", "before"))
+        changed = better.join(graph.select("node", F.col("others").alias("before")), "node").agg(F.sum(new)).first()[0] or 0
         scratch.drop(graph)
+        scratch.drop(links)
         graph = better
-        if changed <= least_change * n * k:
-            break
     return graph
 
 

@@ -60,3 +60,16 @@ def test_great_and_tiny_components(spark):
             a, b = y[q], y[row.vec_id]
             assert row.score == pytest.approx(a @ b / np.sqrt((a @ a) * (b @ b)), abs=1e-12)
     assert not {900} & {r.vec_id for r in rows}  # another length than the others
+
+
+def test_small_tables_are_searched_by_the_graph(spark, monkeypatch):
+    """With one starting point, and far fewer nodes kept than there are, recall comes from the graph."""
+    monkeypatch.setattr(nn_descent, "ENTRIES", 1)
+    r = np.random.default_rng(21)
+    x = r.standard_normal((900, 16))
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {}
+    for row in nn_descent.nearest_neighbours(table, every=30, k=5, width=40).collect():
+        got.setdefault(row.query_id, set()).add(row.vec_id)
+    right = sum(len(got[q] & nearest(x, q)) for q in got)
+    assert len(got) == 30 and right >= 0.95 * 5 * len(got), right

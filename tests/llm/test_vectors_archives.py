@@ -55,7 +55,7 @@ def test_recall(spark):
 
 
 def test_copies_and_odd_vectors(spark):
-    """Small tables are searched whole: copies, scaled copies, and vectors that take no part."""
+    """Small tables: copies, scaled copies, and vectors that take no part."""
     rows = clusters(120, 8, 2)
     rows += [(1000 + i, rows[0][1]) for i in range(20)] + [(2000, [2 * x for x in rows[0][1]])]
     rows += [(3000, None), (3050, [0.0] * 8), (3100, [float("nan")] + [1.0] * 7), (3150, [None] + [1.0] * 7), (3200, [float("inf")] + [1.0] * 7), (None, rows[1][1]), (5, rows[5][1]), (3250, [])]

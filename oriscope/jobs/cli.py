@@ -50,7 +50,7 @@ def run_extract(spark: SparkSession, folder: str, out: str, regex: str = mapping
         except AnalysisException as e:
             if "PATH_NOT_FOUND" not in str(e):
                 raise
-    records, header = sam.read_files(spark, sorted(r.file for r in files.collect()))  # a row a file
+    records, header = sam.read_files(spark, sorted(r.file for r in files.collect()), mapping.EXTRACTED, mapping.REJECTED)  # a row a file
     hold = tables.scratch(spark, "extract")
     seqs = hold(mapping.with_genome(header, regex), "sequences")
     report = seqs.groupBy("sample_id").agg(F.countDistinct("ref_name").alias("n_sequences"), F.countDistinct("genome_id").alias("n_genomes"))

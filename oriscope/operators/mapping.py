@@ -8,6 +8,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 UNMAPPED, QC_FAIL, SECOND_MATE = 0x4, 0x200, 0x80
+REJECTED = UNMAPPED | QC_FAIL | SECOND_MATE
+#: What extraction needs of an alignment.
+EXTRACTED = ["sample_id", "read_id", "flag", "ref_name", "pos", "query_length", "as_score"]
 GENOME_REGEX = r"[^\|]+"
 COVERAGE_BIN = 5000
 MAX_ALIGNMENTS = 10
@@ -16,7 +19,7 @@ PRIOR_COVERAGE = 0.3
 
 def flag_filter(alignments: DataFrame) -> DataFrame:
     """Without unmapped, failed and second-mate records; secondary and duplicate ones stay."""
-    return alignments.filter(F.col("flag").bitwiseAND(UNMAPPED | QC_FAIL | SECOND_MATE) == 0)
+    return alignments.filter(F.col("flag").bitwiseAND(REJECTED) == 0)
 
 
 def identity_filter(alignments: DataFrame) -> DataFrame:

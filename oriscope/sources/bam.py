@@ -34,6 +34,8 @@ _PAIRS = np.array([[ord(BASES[b >> 4]), ord(BASES[b & 15])] for b in range(256)]
 _CODES = {c: i for i, c in enumerate(BASES)}
 _ARROW = pa.schema([("sample_id", pa.string()), ("read_id", pa.string()), ("flag", pa.int32()), ("ref_name", pa.string()), ("pos", pa.int64()), ("mapq", pa.int32()), ("cigar", pa.string()), ("query_length", pa.int32()), ("as_score", pa.int32()), ("tlen", pa.int32()), ("seq", pa.string()), ("qual", pa.string()), ("tags", pa.string())])
 
+FIELDS = _ARROW.names[1:]  # those of a record; the sample is the file's name
+
 
 def _open(uri: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(uri if "://" in uri or ":/" not in uri else uri.replace(":/", ":///", 1))
@@ -82,19 +84,65 @@ def _tags(data: bytes, at: int) -> Iterator[str]:
             at += struct.calcsize(NUMBERS[kind])
 
 
-def decode(data: bytes, names: list[str]) -> tuple:
-    """The row of a record (without its size), without the sample."""
+def _score(data: bytes, at: int) -> int | None:
+    """The score among the tags that begin at `at`, stepping over the others without making text of them."""
+    while at < len(data):
+        name, kind = data[at : at + 2], chr(data[at + 2])
+        if name == b"AS":
+            return int(float(next(_tags(data, at))[5:]))
+        at += 3
+        if kind in "ZH":
+            at = data.index(b"\0", at) + 1
+        elif kind == "A":
+            at += 1
+        elif kind == "B":
+            at += 5 + struct.unpack_from("<i", data, at + 1)[0] * struct.calcsize(NUMBERS[chr(data[at])])
+        else:
+            at += struct.calcsize(NUMBERS[kind])
+    return None
+
+
+def decode(data: bytes, names: list[str], columns: list[str] = FIELDS, without_flags: int = 0) -> tuple | None:
+    """The values of `columns` (of FIELDS) of a record (without its size); None if its flags have a bit of
+    without_flags. What isn't asked for is stepped over."""
     ref, pos, name_size, mapq, _, n_ops, flag, n_bases, _, _, tlen = struct.unpack_from("<iiBBHHHiiii", data)
+    if flag & without_flags:
+        return None
     at = 32 + name_size
-    ops = [(x >> 4, OPS[x & 15]) for x in struct.unpack_from(f"<{n_ops}I", data, at)]
     bases = at + 4 * n_ops
     quals = bases + (n_bases + 1) // 2
-    seq = _PAIRS[np.frombuffer(data, np.uint8, quals - bases, bases)].tobytes()[:n_bases].decode() if n_bases else "*"
-    has_qual = n_bases and data[quals] != 255
-    qual = (np.frombuffer(data, np.uint8, n_bases, quals) + 33).tobytes().decode("latin-1") if has_qual else "*"
-    tags = list(_tags(data, quals + n_bases))
-    score = next((int(float(t[5:])) for t in tags if t.startswith("AS:")), None)
-    return data[32 : at - 1].decode(), flag, names[ref] if ref >= 0 else "*", pos, mapq, "".join(f"{n}{o}" for n, o in ops) or "*", sum(n for n, o in ops if o in "MI=X"), score, tlen, seq, qual, "\t".join(tags)
+    ops = struct.unpack_from(f"<{n_ops}I", data, at)
+
+    def value(column: str):
+        match column:
+            case "read_id":
+                return data[32 : at - 1].decode()
+            case "flag":
+                return flag
+            case "ref_name":
+                return names[ref] if ref >= 0 else "*"
+            case "pos":
+                return pos
+            case "mapq":
+                return mapq
+            case "cigar":
+                return "".join(f"{x >> 4}{OPS[x & 15]}" for x in ops) or "*"
+            case "query_length":
+                return sum(x >> 4 for x in ops if OPS[x & 15] in "MI=X")
+            case "as_score":
+                return _score(data, quals + n_bases)
+            case "tlen":
+                return tlen
+            case "seq":
+                return _PAIRS[np.frombuffer(data, np.uint8, quals - bases, bases)].tobytes()[:n_bases].decode() if n_bases else "*"
+            case "qual":
+                has_qual = n_bases and data[quals] != 255
+                return (np.frombuffer(data, np.uint8, n_bases, quals) + 33).tobytes().decode("latin-1") if has_qual else "*"
+            case "tags":
+                return "\t".join(_tags(data, quals + n_bases))
+        raise KeyError(column)
+
+    return tuple(map(value, columns))
 
 
 class _Blocks:
@@ -187,7 +235,8 @@ class _Share(InputPartition):
 
 
 class _Reader(DataSourceReader):
-    def __init__(self, options):
+    def __init__(self, options, columns: list[str]):
+        self.columns, self.without_flags = columns, int(options.get("without_flags", 0))
         self.paths, self.header = [p for p in options.get("path", "").split(",") if p], options.get("content") == "header"
         self.share = int(options.get("share_bytes", 64 << 20))
 
@@ -208,21 +257,32 @@ class _Reader(DataSourceReader):
                 names, lengths = read_names(gzip.open(raw))
                 yield pa.RecordBatch.from_arrays([pa.array([sample] * len(names), pa.string()), pa.array(names, pa.string()), pa.array(lengths, pa.int64())], ["sample_id", "ref_name", "length"])
                 return
-            yield from _batches(sample, _records(raw, start, end))
+            fields = [c for c in self.columns if c != "sample_id"]
+            yield from _batches(sample, _records(raw, start, end, fields, self.without_flags), self.columns)
 
 
-def _records(raw, start: int, end: int) -> Iterator[tuple]:
-    """Rows of the records that begin in the blocks of [start, end)."""
+def _records(raw, start: int, end: int, columns: list[str] = FIELDS, without_flags: int = 0) -> Iterator[tuple]:
+    """Rows of the records that begin in the blocks of [start, end) and have none of without_flags."""
+    whole = _raw_records(raw, start, end)
+    names = next(whole, None)
+    for data in whole:
+        if (row := decode(data, names, columns, without_flags)) is not None:
+            yield row
+
+
+def _raw_records(raw, start: int, end: int) -> Iterator:
+    """The dictionary's names, then the bytes of each record that begins in the blocks of [start, end)."""
     if not is_bgzf(raw.read(18)):
         if start == 0:
             raw.seek(0)
             with gzip.open(raw) as file:
-                names, _ = read_names(file)
+                yield read_names(file)[0]
                 while size := file.read(4):
-                    yield decode(_take(file, struct.unpack("<i", size)[0]), names)
+                    yield _take(file, struct.unpack("<i", size)[0])
         return
     head = _Blocks(raw, 0)
     names, lengths = read_names(head)
+    yield names
     blocks = head
     if start:
         at = _block_from(raw, start, end)
@@ -237,15 +297,18 @@ def _records(raw, start: int, end: int) -> Iterator[tuple]:
             return
         blocks.read(skip)
     while blocks.need(4) and blocks.block_of_next() < end:
-        yield decode(blocks.read(struct.unpack("<i", blocks.read(4))[0]), names)
+        yield blocks.read(struct.unpack("<i", blocks.read(4))[0])
 
 
-def _batches(sample: str, rows: Iterator[tuple]) -> Iterator[pa.RecordBatch]:
+def _batches(sample: str, rows: Iterator[tuple], columns: list[str]) -> Iterator[pa.RecordBatch]:
+    """rows hold the columns without sample_id, in their order."""
     held: list[tuple] = []
+    schema = pa.schema([_ARROW.field(c) for c in columns])
 
     def batch() -> pa.RecordBatch:
-        columns = [[sample] * len(held), *zip(*held, strict=True)]
-        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _ARROW, strict=True)], schema=_ARROW)
+        values = zip(*held, strict=True)
+        arrays = [pa.array([sample] * len(held) if f.name == "sample_id" else next(values), f.type) for f in schema]
+        return pa.RecordBatch.from_arrays(arrays, schema=schema)
 
     for row in rows:
         held.append(row)
@@ -258,7 +321,8 @@ def _batches(sample: str, rows: Iterator[tuple]) -> Iterator[pa.RecordBatch]:
 
 class BamSource(DataSource):
     """spark.read.format("bam").load(path[,path...]); content=header reads the sequence dictionary, share_bytes is the
-    compressed size of a task's share."""
+    compressed size of a task's share. A schema given to the reader, of some of ALIGNMENTS, is all that is decoded;
+    records with a bit of without_flags are passed over before anything else of them is."""
 
     @classmethod
     def name(cls) -> str:
@@ -268,15 +332,21 @@ class BamSource(DataSource):
         return HEADER if self.options.get("content") == "header" else ALIGNMENTS
 
     def reader(self, schema):
-        return _Reader(self.options)
+        return _Reader(self.options, list(schema.fieldNames()))
 
 
-def read_bam(spark: SparkSession, paths: list[str], header: bool = False, share_bytes: int = 64 << 20) -> DataFrame:
-    """ALIGNMENTS, or HEADER, of BAM files; a sample is a file's name without its extension."""
+def read_bam(spark: SparkSession, paths: list[str], header: bool = False, share_bytes: int = 64 << 20, columns: list[str] | None = None, without_flags: int = 0) -> DataFrame:
+    """ALIGNMENTS (or only `columns` of it), or HEADER, of BAM files; a sample is a file's name without its extension.
+
+    Records whose flag has a bit of without_flags are left out while reading.
+    """
+    types = dict(x.split(" ") for x in ALIGNMENTS.split(", "))
+    schema = HEADER if header else ", ".join(f"{c} {types[c]}" for c in columns or types)
     if not paths:
-        return spark.createDataFrame([], HEADER if header else ALIGNMENTS)
+        return spark.createDataFrame([], schema)
     spark.dataSource.register(BamSource)
-    return spark.read.format("bam").option("path", ",".join(paths)).option("content", "header" if header else "records").option("share_bytes", share_bytes).load()
+    read = spark.read.format("bam").schema(schema).option("content", "header" if header else "records").option("without_flags", without_flags)
+    return read.option("path", ",".join(paths)).option("share_bytes", share_bytes).load()
 
 
 def block(data: bytes, level: int = 6) -> bytes:

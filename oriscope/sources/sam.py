@@ -52,12 +52,15 @@ def alignment_files(spark: SparkSession, folder: str) -> DataFrame:
     return found.select(stem(F.col("path")).alias("sample_id"), F.col("path").alias("file"))
 
 
-def read_files(spark: SparkSession, files: list[str]) -> tuple[DataFrame, DataFrame]:
-    """ALIGNMENTS and HEADER of SAM and BAM files, told apart by their names."""
+def read_files(spark: SparkSession, files: list[str], columns: list[str] | None = None, without_flags: int = 0) -> tuple[DataFrame, DataFrame]:
+    """ALIGNMENTS (or only `columns`) and HEADER of SAM and BAM files, told apart by their names; without the records
+    whose flag has a bit of without_flags."""
     text, binary = [f for f in files if not f.endswith(".bam")], [f for f in files if f.endswith(".bam")]
-    rows, heads = bam.read_bam(spark, binary), bam.read_bam(spark, binary, header=True)
+    rows, heads = bam.read_bam(spark, binary, columns=columns, without_flags=without_flags), bam.read_bam(spark, binary, header=True)
     if text:
-        rows = rows.unionByName(read_sam(spark, text, "*")) if binary else read_sam(spark, text, "*")
+        lines = read_sam(spark, text, "*").filter(F.col("flag").bitwiseAND(without_flags) == 0) if without_flags else read_sam(spark, text, "*")
+        lines = lines.select(*columns) if columns else lines
+        rows = rows.unionByName(lines) if binary else lines
         heads = heads.unionByName(read_sam_header(spark, text, "*")) if binary else read_sam_header(spark, text, "*")
     return rows, heads
 

@@ -26,7 +26,7 @@ def extract_new(spark: SparkSession, folder: str, out: str, checkpoint: str) ->
     def one(batch: DataFrame, _: int) -> None:
         names = sorted(r.path for r in batch.collect())  # a row a file
         if names:
-            rows, header = sam.read_files(spark, names)
+            rows, header = sam.read_files(spark, names, mapping.EXTRACTED, mapping.REJECTED)
             hold = tables.scratch(spark, "extract")
             seqs = hold(mapping.with_genome(header), "sequences")
             tables.commit_maps(assign.assigned_reads(hold(extract(rows, header), "best"), hold=hold), seqs, out)

@@ -109,6 +109,24 @@ def test_reads_bam(spark, tmp_path):
     assert {(x.ref_name, x.length) for x in bam_files.read_bam(spark, [str(tmp_path / "s1.bam")], header=True).collect()} == {("a", 1000), ("b", 1000)}
 
 
+def test_bam_reads_what_is_asked_for(spark, tmp_path, monkeypatch):
+    """Columns in any order, the score after tags of every kind, flags passed over; other tags never become text."""
+    tags = b"NMi" + struct.pack("<i", 3) + b"XZZtext\0" + b"XBBs" + struct.pack("<ihh", 2, 1, 2) + b"XAAc" + b"XFf" + struct.pack("<f", 0.5) + b"ASc" + struct.pack("b", -7)
+    records = [("r1", 16, 1, 42, [(5, "S"), (70, "M"), (3, "I")], tags), ("r2", 4, -1, -1, [], b""), ("r3", 512, 0, 1, [(3, "M")], tags), ("r4", 0, 0, 7, [(3, "M")], b"XZZonly\0")]
+    path = tmp_path / "s1.bam"
+    path.write_bytes(gzip.compress(bam(records, ["a", "b"])))
+    whole = bam_files.read_bam(spark, [str(path)])
+    some = bam_files.read_bam(spark, [str(path)], columns=["as_score", "sample_id", "ref_name", "pos", "query_length"], without_flags=0x204)
+    assert some.columns == ["as_score", "sample_id", "ref_name", "pos", "query_length"]
+    assert sorted(map(tuple, some.collect()), key=str) == sorted(map(tuple, whole.filter("flag & 516 = 0").select(*some.columns).collect()), key=str)
+    assert some.count() == 2
+    made = []
+    monkeypatch.setattr(bam_files, "_tags", lambda data, at, whole=bam_files._tags: (made.append(t) or t for t in whole(data, at)))
+    with open(path, "rb") as raw:
+        rows = list(bam_files._records(raw, 0, 1 << 20, ["as_score"], 0x204))
+    assert rows == [(-7,), (None,)] and made == ["AS:i:-7"]
+
+
 def test_shares_of_a_bam_file(tmp_path):
     """Records of all sizes, over the borders of blocks: each is read by one share, whatever the shares."""
     import random

@@ -1,10 +1,9 @@
 """Secret scanning: pattern spans, and literals that assignment-aware lexing finds.
 
-The lexer reads source and configuration text as statements `name = value`, `name: value`, `"name": value`,
-`export NAME=value`. A value is a literal, a reference to an earlier name, or several of these joined by `+`.
-References are replaced by what the name held, so a literal reaches every name that it is passed on to. Each literal
-is scored by how sensitive the names are that it reaches and by its own look. Literals in triple quotes may span lines;
-statements inside them are read too. References to earlier names inside double quotes ("${name}:x") are replaced too.
+The lexer (`assignments`) reads source and configuration text as statements that assign values to names. A value is made of
+literals and of references to earlier names. References are replaced by what the name held, so a literal reaches every name
+that it is passed on to. Each literal is scored by how sensitive the names are that it reaches and by its own look. Strings of
+several lines are literals, and the statements inside them are read too.
 """
 
 from __future__ import annotations
@@ -20,6 +19,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from oriscope.llm._shared import slices
+from oriscope.llm.assignments import statements
+
 # The base patterns.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII | re.IGNORECASE)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -27,11 +29,6 @@ HEX = re.compile(r"[0-9a-f]{16,}")  # the runs of [0-9a-f]+ of 16 and more
 ASSIGN_LEAST, ACCESS_LEAST = 12, 18
 KINDS = {"assign": 0, "access": 1, "hex": 2, "lexed": 3}
 
-_NAME = r"[A-Za-z_$][\w$.\-]*"
-STATEMENT = re.compile(rf"""(?<![\w$.\-"'])(?P<q>["']?)(?P<name>{_NAME})(?P=q)[\x20\t]*(?::=|=>|=(?![=>])|:(?![:/]))[\x20\t]*""", re.ASCII)
-TERM = re.compile(r"""(?:\"{3}(?P<triple>(?:[^"\\]++|\\[\s\S]|"(?!""))*+)\"{3}|'{3}(?P<triple1>(?:[^'\\]++|\\[\s\S]|'(?!''))*+)'{3}|"(?P<double>(?:[^"\\\n]|\\.)*)"|'(?P<single>(?:[^'\\\n]|\\.)*)'|\$\{(?P<braced>[\w.\-]+)\}|\$(?P<dollar>\w+)|(?P<bare>[A-Za-z0-9+/_.=\-]+))""", re.ASCII)
-REFERENCE = re.compile(r"\$(?:\{([\w.\-]+)\}|(\w+))", re.ASCII)
-PLUS = re.compile(r"[\x20\t]*\+[\x20\t\n]*")
 WORDS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
 
 SENSITIVE = {"password": 3, "passwd": 3, "pwd": 3, "passphrase": 3, "secret": 3, "credential": 3, "credentials": 3, "token": 3, "apikey": 3, "auth": 2, "bearer": 2, "private": 1, "access": 1, "api": 1, "signing": 1, "encryption": 1, "key": 2, "salt": 1, "signature": 1, "cookie": 1}
@@ -125,42 +122,18 @@ def literal_score(x: _Look) -> float:
 
 def lexed_spans(text: str, threshold: float = 4.5) -> list[tuple[int, int, str]]:
     """(start, end, `lexed`) of literals whose names and looks score the threshold."""
-    if "=" not in text and ":" not in text:
+    if not any(c in text for c in ("=", ":", "</", "define", "ENV")):
         return []
     held: dict[str, _Value | None] = {}
     found: set[tuple[int, int]] = set()
     told: set[int] = set()  # values whose spans are in found
     kept: list[_Value] = []  # keeps their ids theirs
-    ranges = [(0, len(text))]  # the next one last
-    while ranges:
-        at, end = ranges.pop()
-        if not (m := STATEMENT.search(text, at, end)):
-            continue
-        at, parts, inner = m.end(), [], []
-        while t := TERM.match(text, at, end):
-            kind = t.lastgroup
-            value = t[kind].rstrip(".") if kind == "bare" else t[kind]
-            if kind in ("braced", "dollar") or kind == "bare" and value in held:
-                parts += [p for p in [held.get(value)] if p]
-            elif value:
-                start, stop = t.start(kind), t.start(kind) + len(value)
-                for ref in REFERENCE.finditer(text, start, stop) if kind == "double" and "$" in value else ():
-                    if (name := ref[1] or ref[2]) in held:
-                        parts += [(start, ref.start())] if start < ref.start() else []
-                        parts += [p for p in [held[name]] if p]
-                        start = ref.end()
-                if start < stop:
-                    parts.append((start, stop))
-                if kind.startswith("triple"):
-                    inner.append((t.start(kind), t.end(kind)))
-            at = t.end()
-            if not (plus := PLUS.match(text, at, end)):
-                break
-            at = plus.end()
-        ranges += [(at, end), *reversed(inner)]
+    for names, described, adds, read in statements(text, held):
+        parts = [p for p in ([held.get(names[-1])] if adds else []) if p]
+        parts += [p for p in (held[x] if isinstance(x, str) else x for x in read) if p]
         whole = parts[0] if len(parts) == 1 and isinstance(parts[0], list) else [parts, None] if parts else None
-        held[m["name"]] = whole
-        if whole and (sensitive := name_score(m["name"])) >= 2 and sensitive + literal_score(_look(text, whole)) >= threshold:
+        held.update(dict.fromkeys(names, whole))
+        if whole and (sensitive := name_score(described)) >= 2 and sensitive + literal_score(_look(text, whole)) >= threshold:
             todo = [whole]
             while todo:
                 if id(top := todo.pop()) not in told:
@@ -201,7 +174,7 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     struct = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("text", pa.string())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             counts: dict[str, list[int]] = {k: [] for k in ("assign", "access", "hex")}
             digests, joined, found = [], [], []
             for text in batch.column(1).to_pylist():

@@ -96,9 +96,8 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, scratch = spark.read.parquet(f"{sf_dir}/documents.parquet"), Scratch(spark, "pipeline")
     for name, stage in STAGES:
-        made = len(Scratch.made)
-        before, docs = docs, scratch.table(stage(spark, docs, sf_dir), name)
-        Scratch.discard(spark, made)  # what the stage wrote on its way
+        with Scratch.of_run(spark):  # what the stage writes on its way
+            before, docs = docs, scratch.table(stage(spark, docs, sf_dir), name)
         if name != STAGES[0][0]:
             scratch.drop(before)
     return docs

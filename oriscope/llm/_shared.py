@@ -9,6 +9,7 @@ import tempfile
 import uuid
 import weakref
 from collections.abc import Iterator
+from contextvars import ContextVar
 from typing import ClassVar
 
 import pyarrow as pa
@@ -22,6 +23,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: The folders of local sessions without spark.checkpoint.dir.
 _local: weakref.WeakKeyDictionary = weakref.WeakKeyDictionary()
+#: The folders that the run in this thread made, where it keeps account of them (Scratch.of_run).
+_owned: ContextVar[list[str] | None] = ContextVar("owned", default=None)
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -46,15 +49,33 @@ class Scratch:
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.base, self.n = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}", 0
         self.made.append(self.base)
+        if (own := _owned.get()) is not None:
+            own.append(self.base)
+
+    @classmethod
+    @contextlib.contextmanager
+    def of_run(cls, spark: SparkSession) -> Iterator[None]:
+        """In the end, delete what was made in here, by this thread; what other queries made meanwhile stays."""
+        token = _owned.set(own := [])
+        try:
+            yield
+        finally:
+            _owned.reset(token)
+            cls._delete(spark, own)
+            cls.made[:] = [base for base in cls.made if base not in own]
 
     @classmethod
     def discard(cls, spark: SparkSession, since: int = 0) -> None:
         """Delete the folders that were made after the first `since` ones."""
-        for base in cls.made[since:]:
+        cls._delete(spark, cls.made[since:])
+        del cls.made[since:]
+
+    @staticmethod
+    def _delete(spark: SparkSession, folders: list[str]) -> None:
+        for base in folders:
             path = spark._jvm.org.apache.hadoop.fs.Path(base)
             with contextlib.suppress(Exception):
                 path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-        del cls.made[since:]
 
     def path(self, name: str) -> str:
         self.n += 1

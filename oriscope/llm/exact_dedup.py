@@ -6,18 +6,21 @@ the other rows, possibly repeated, are the only ones that shuffle, and an exact
 A false positive costs one shuffled row and never changes a result.
 
 A filter has at least LEAST_BITS bits a row, with which about a fortieth of single rows is possibly repeated, and at
-most max_filter_mb. More rows than fit one filter are dealt to ranges of hashes, each with a filter of its own.
+most max_filter_mb. More rows than fit one filter are dealt to ranges of hashes, each with a filter of its own: rows are
+written once, into a folder for each range, without a shuffle, and ranges are then worked one after the other, so that
+the driver and each task hold one filter at a time, however many rows there are.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from oriscope.llm._shared import Scratch, join_unique, pow2_at_least, row_hash
 
@@ -97,24 +100,25 @@ def _runs(sorted_values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray
     return sorted_values[start], start, np.r_[start[1:], len(sorted_values)]
 
 
-def flag_repeated(df: DataFrame, sha: str, bits: np.ndarray, k: int) -> DataFrame:
-    """df with a boolean column `maybe`: false for rows whose hash certainly occurs once."""
-    known, m = df.sparkSession.sparkContext.broadcast(bits), len(bits) * 8
+def flag_repeated(df: DataFrame, sha: str, known: Broadcast, k: int) -> DataFrame:
+    """df with a boolean column `maybe`: false for rows whose hash certainly occurs once. known: the bits of the filter."""
 
     @F.arrow_udf("boolean")
     def test(hashes: pa.Array) -> pa.Array:
-        pos = _positions(hashes, m, k)
+        pos = _positions(hashes, len(known.value) * 8, k)
         return pa.array(((known.value[pos >> 3] >> (7 - (pos & 7)).astype(np.uint8)) & 1).all(axis=1), pa.bool_())
 
     return df.withColumn("maybe", test(sha))
 
 
-def _filters(docs: DataFrame, sha: Column, rows: int, bits_per_row: int, k: int, max_filter_mb: int, scratch: Scratch, keep: tuple[str, ...] = ()) -> tuple[DataFrame, list[np.ndarray]]:
-    """A table of the hashes (sha, span and the `keep` columns of docs), in a folder for each range, and their filters."""
-    n = ranges_of(rows, max_filter_mb)
-    table = docs.select(*keep, sha.alias("sha")).withColumn("span", _range("sha", n))
-    table = scratch.table(table, "hashes", ["span"])
-    return table, [repeated_filter(table.filter(F.col("span") == i).select("sha"), -(-rows // n), bits_per_row, k, max_filter_mb) for i in range(n)]
+def _by_range(rows: DataFrame, n: int, count: int, bits_per_row: int, k: int, max_filter_mb: int, work: Callable[[DataFrame], None]) -> None:
+    """Call `work`, which writes, with the flagged rows of one range after the other. rows has columns sha and span."""
+    for i in range(n):
+        span = rows.filter(F.col("span") == i).drop("span")
+        bits = repeated_filter(span.select("sha"), -(-count // n), bits_per_row, k, max_filter_mb)
+        known = rows.sparkSession.sparkContext.broadcast(bits)
+        work(flag_repeated(span, "sha", known, k))
+        known.destroy()
 
 
 def _sha(text: Column) -> Column:
@@ -130,9 +134,13 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     scratch = Scratch(docs.sparkSession, "exact-dedup")
     plain = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    rows, filters = _filters(plain, _sha(normalise(F.col("text"))), plain.count(), bits_per_row, hashes, max_filter_mb, scratch, ("doc_id",))
-    parts = [flag_repeated(rows.filter(F.col("span") == i).select("doc_id", "sha"), "sha", bits, hashes) for i, bits in enumerate(filters)]
-    flagged = scratch.table(reduce(DataFrame.unionByName, parts), "flagged", ["maybe"])
+    count = plain.count()
+    n = ranges_of(count, max_filter_mb)
+    rows = plain.select("doc_id", _sha(normalise(F.col("text"))).alias("sha")).withColumn("span", _range("sha", n))
+    rows, flagged = scratch.table(rows, "hashes", ["span"]), scratch.path("flagged")
+    kind = T.StructType([rows.schema["doc_id"], rows.schema["sha"], T.StructField("maybe", T.BooleanType())])
+    _by_range(rows, n, count, bits_per_row, hashes, max_filter_mb, lambda part: part.write.mode("append").option("compression", "zstd").partitionBy("maybe").parquet(flagged))
+    flagged = docs.sparkSession.read.schema(kind).parquet(flagged)
     scratch.drop(rows)
     alone = flagged.filter(~F.col("maybe")).select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "sha")
     # Equal rows are counted by the part of the table that they are in, so that a great many of them are several rows.
@@ -150,15 +158,23 @@ def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     """The rows of docs that stay, with all their columns of any type; rows of texts that occur once never shuffle.
 
     The row with the largest id stays, null ids last; of rows with the same id, that with the largest hash over all
-    columns. A null text counts as empty; an empty table gives an empty result. docs is read once for the filters and
-    once for each filter.
+    columns. A null text counts as empty; an empty table gives an empty result. docs is read for the filter and for the
+    result; where it needs more than one filter it is read once and written by range, and so is the result of each range.
     """
     packed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col(id_col).alias("id"), row_hash(docs).alias("hash"), _sha(F.col(text_col)).alias("sha"))
-    scratch = Scratch(docs.sparkSession, "exact-dedup")
-    shas, filters = _filters(docs, _sha(F.col(text_col)), docs.count(), bits_per_row, hashes, max_filter_mb, scratch)
-    scratch.drop(shas)
-    spans = [packed.filter(_range("sha", len(filters)) == i) if len(filters) > 1 else packed for i in range(len(filters))]
-    flagged = reduce(DataFrame.unionByName, [flag_repeated(span, "sha", bits, hashes) for span, bits in zip(spans, filters, strict=True)])
-    once = flagged.filter(~F.col("maybe")).select("row.*")
-    most = flagged.filter("maybe").groupBy("sha").agg(F.max_by("row", F.struct("id", "hash")).alias("row"))
-    return once.unionByName(most.select("row.*"))
+
+    def kept(flagged: DataFrame) -> DataFrame:
+        once = flagged.filter(~F.col("maybe")).select("row.*")
+        most = flagged.filter("maybe").groupBy("sha").agg(F.max_by("row", F.struct("id", "hash")).alias("row"))
+        return once.unionByName(most.select("row.*"))
+
+    spark, count = docs.sparkSession, docs.count()
+    n = ranges_of(count, max_filter_mb)
+    if n == 1:
+        bits = repeated_filter(packed.select("sha"), count, bits_per_row, hashes, max_filter_mb)
+        return kept(flag_repeated(packed, "sha", spark.sparkContext.broadcast(bits), hashes))
+    scratch = Scratch(spark, "exact-dedup")
+    dealt, result = scratch.table(packed.withColumn("span", _range("sha", n)), "dealt", ["span"]), scratch.path("kept")
+    _by_range(dealt, n, count, bits_per_row, hashes, max_filter_mb, lambda part: kept(part).write.mode("append").option("compression", "zstd").parquet(result))
+    scratch.drop(dealt)
+    return spark.read.schema(docs.schema).parquet(result)

@@ -194,7 +194,7 @@ def test_filter_passes_single_rows_when_full(make):
     rows = make([(0, "x")]).sparkSession.range(n).select(F.unhex(F.sha2(F.col("id").cast("string"), 256)).alias("sha"))
     bits = exact_dedup.repeated_filter(rows, n, exact_dedup.LEAST_BITS, 4, 64)
     assert len(bits) * 8 == n * exact_dedup.LEAST_BITS
-    assert exact_dedup.flag_repeated(rows, "sha", bits, 4).filter("maybe").count() < 0.03 * n
+    assert exact_dedup.flag_repeated(rows, "sha", rows.sparkSession.sparkContext.broadcast(bits), 4).filter("maybe").count() < 0.03 * n
 
 
 def test_drop_keeps_map_columns(make):
@@ -209,7 +209,7 @@ def test_filter_passes_single_rows(make, spark):
 
     rows = make([(i, str(i)) for i in range(1000)] + [(2000, "5")]).select(F.unhex(F.sha2("text", 256)).alias("sha"))
     bits = exact_dedup.repeated_filter(rows, 1001, 16, 4, 64)
-    flagged = exact_dedup.flag_repeated(rows, "sha", bits, 4)
+    flagged = exact_dedup.flag_repeated(rows, "sha", rows.sparkSession.sparkContext.broadcast(bits), 4)
     assert 2 <= flagged.filter("maybe").count() < 20
 
 
@@ -255,3 +255,43 @@ def test_classes_of_size_hold_all_that_fits(spark, percent):
     for n in kind:
         most = n * 100 // percent  # the greatest size that fits n
         assert most not in kind or kind[most] - kind[n] <= 1
+
+
+def test_ranges_one_at_a_time(spark, make, monkeypatch):
+    """With several ranges the input is read once, and each range's filter is gone before the next one is made."""
+    rows = [(i, f"t{i % 70}") for i in range(200)] + [(None, "t1"), (7, None), (7, "")]
+    df = make(rows)
+    want = sorted(map(str, exact_dedup.drop_exact_copies(df).collect()))
+    monkeypatch.setattr(exact_dedup, "ranges_of", lambda rows, mb: 5)
+    live, most, made = [], [], type(spark.sparkContext).broadcast
+
+    def broadcast(context, value):
+        known = made(context, value)
+        live.append(known)
+        most.append(len(live))
+        destroy = known.destroy
+        known.destroy = lambda: (live.remove(known), destroy())
+        return known
+
+    monkeypatch.setattr(type(spark.sparkContext), "broadcast", broadcast)
+    assert sorted(map(str, exact_dedup.drop_exact_copies(df).collect())) == want
+    assert most == [1] * 5 and not live
+
+
+def test_runs_delete_their_own_tables(spark):
+    import threading
+
+    from oriscope.llm._shared import Scratch
+
+    def other():
+        tables.append(Scratch(spark, "other").table(spark.range(3), "x"))
+
+    tables = []
+    with Scratch.of_run(spark):
+        thread = threading.Thread(target=other)
+        thread.start()
+        thread.join()
+        mine = Scratch(spark, "mine").table(spark.range(5), "x")
+        assert mine.count() == 5
+    assert tables[0].count() == 3
+    assert not spark._jvm.org.apache.hadoop.fs.FileSystem.get(spark._jsc.hadoopConfiguration()).exists(spark._jvm.org.apache.hadoop.fs.Path(mine.inputFiles()[0]))

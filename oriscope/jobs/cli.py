@@ -76,7 +76,7 @@ def coverage_steps(spark: SparkSession, folder: str, options: Options, restart:
 
 
 def run_merge(spark: SparkSession, files: list[str], out: str) -> None:
-    """The best alignments of each read over SAM and BAM files: a BAM file if out ends so, else a folder of SAM text."""
+    """The best alignments of each read over SAM and BAM files: a BAM or SAM file if out ends so, else a folder of SAM text."""
     parts = [sam.read_files(spark, [f]) for f in files]
     header, rows = mapping.merge_headers([h for _, h in parts]), mapping.merge_best([r for r, _ in parts])
     if out.endswith(".bam"):
@@ -99,7 +99,7 @@ def run_map(spark: SparkSession, a: argparse.Namespace) -> None:
 
 
 def write_estimates(s: CoverageSteps, out: str, plot: str | None = None) -> None:
-    tables.write_wide(s.ptr_table(), out, "log2(PTR)")
+    tables.write_wide(s.ptr_lines(), out, F.col("is_assembly"))
     if plot:
         bounds = filters.genome_bounds(s.histogram)
         products.plot_data_ref(s.histogram, bounds, s.ptr_ref.filter("log2_ptr is not null")).write.mode("overwrite").parquet(f"{plot}/complete")
@@ -122,8 +122,8 @@ def main(argv: list[str] | None = None) -> None:
     if a.verb == "estimate":
         write_estimates(s, a.out_file, a.plot)
     else:
-        long, value, label = (s.read_counts, "count", "count") if a.verb == "count" else (s.abundance, "rel_abun", "rel_abun")
-        tables.write_wide(products.wide_table(long, value, s.domain, 0).orderBy("genome_id"), a.out_file, label, "0")
+        long, value, fill = (s.read_counts, "count", "0") if a.verb == "count" else (s.abundance, "rel_abun", "0.0")
+        tables.write_wide(products.wide_lines(long, value, s.sample_names, value, fill), a.out_file)
     s.hold.drop()
 
 

@@ -210,12 +210,28 @@ class Steps:
         """All samples, taken before any filter."""
         return products.sample_domain(self.ref_seqs)
 
-    def ptr_table(self) -> DataFrame:
+    def _ptr_long(self) -> tuple[DataFrame, DataFrame]:
+        """Ratios of all genomes, and whether each genome is an assembly."""
         kinds = self.ref_seqs.groupBy("genome_id").agg(F.max("is_assembly").alias("is_assembly"))
         long = self.ptr_ref.select(*KEYS, "log2_ptr").unionByName(self.ptr_contig.select(*KEYS, "log2_ptr"))
-        wide = products.wide_table(long.withColumn("log2_ptr", F.round("log2_ptr", 6)), "log2_ptr", self.domain)
+        return long.withColumn("log2_ptr", F.round("log2_ptr", 6)), kinds
+
+    def ptr_table(self) -> DataFrame:
+        long, kinds = self._ptr_long()
+        wide = products.wide_table(long, "log2_ptr", self.domain)
         return products.ordered_rows(wide.filter(~products.blank_row(wide)).join(kinds, "genome_id"), F.col("is_assembly")).drop("is_assembly")
 
+    @property
+    def sample_names(self) -> DataFrame:
+        """All samples, taken before any filter, as rows."""
+        return self.ref_seqs.select("sample_id").distinct()
+
+    def ptr_lines(self) -> DataFrame:
+        """The table of ratios as lines of text, with is_assembly to order them by."""
+        long, kinds = self._ptr_long()
+        lines = products.wide_lines(long.filter("log2_ptr is not null"), "log2_ptr", self.sample_names, "log2(PTR)")
+        return lines.join(kinds, "genome_id", "left")
+
 
 class CoverageSteps(Steps):
     """The same steps from coverage maps: reads with one genome each, and the sequences of their headers."""

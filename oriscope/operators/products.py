@@ -33,6 +33,27 @@ def wide_table(long: DataFrame, value: str, samples: list[str], fill=None) -> Da
     return wide if fill is None else wide.na.fill(fill)
 
 
+def wide_lines(long: DataFrame, value: str, samples: DataFrame, label: str, fill: str = "") -> DataFrame:
+    """The wide table as text, without a column a sample: genome_id (null: the heading) and the CSV line of each genome.
+
+    samples: sample_id, distinct. A genome's values are put in a line in the order of sample numbers, with the fields of
+    missing samples, and of null values, between them; the cost follows from the values that there are. Genomes without
+    any row have no line.
+    """
+    field = lambda c: F.to_csv(F.struct(F.col(c).cast("string").alias("x")))
+    # One row a sample: the names are one line of the file, so one task can hold them.
+    numbered = samples.select("sample_id", F.row_number().over(Window.orderBy("sample_id")).alias("ix"), F.count("*").over(Window.partitionBy(F.lit(0))).alias("of"))
+    blanks = lambda n: F.repeat(F.lit(f",{fill}"), n.cast("int"))
+    before = F.coalesce(F.lag("ix").over(Window.partitionBy("genome_id").orderBy("ix")), F.lit(0))
+    cell = F.concat(blanks(F.col("ix") - before - 1), F.lit(","), F.when(F.col("shown").isNull(), F.lit(fill)).otherwise(field("shown")))
+    pieces = long.select("genome_id", "sample_id", F.col(value).alias("shown")).join(numbered, "sample_id").withColumn("cell", cell)
+    rows = pieces.groupBy("genome_id").agg(F.sort_array(F.collect_list(F.struct("ix", "cell"))).alias("cells"), F.max("ix").alias("reach"), F.max("of").alias("of"))
+    rows = rows.select("genome_id", F.concat(field("genome_id"), F.array_join("cells.cell", ""), blanks(F.col("of") - F.col("reach"))).alias("line"))
+    names = numbered.agg(F.sort_array(F.collect_list(F.struct("ix", F.concat(F.lit(","), field("sample_id")).alias("cell")))).alias("cells"))
+    heading = names.select(F.lit(None).cast("string").alias("genome_id"), F.concat(F.lit(f"{label}:genome_id/sample_id"), F.array_join("cells.cell", "")).alias("line"))
+    return heading.unionByName(rows)
+
+
 def sample_domain(reads: DataFrame) -> list[str]:
     """All samples with any coverage map, sorted; taken before filters. They become columns, so they are few."""
     return [r[0] for r in reads.select("sample_id").distinct().orderBy("sample_id").collect()]

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from oriscope.sources import bam
+from oriscope.sources.tables import write_one_file
 
 def stem(name: Column) -> Column:
     """A file name without its folder and last extension."""
@@ -66,7 +67,8 @@ def read_files(spark: SparkSession, files: list[str], columns: list[str] | None
 
 
 def write_sam(alignments: DataFrame, header: DataFrame, path: str) -> None:
-    """A folder of SAM text: part files of records, and beside it `<path>-header` with the dictionary sorted by name.
+    """One SAM file if path ends in `.sam`. Else a folder of part files of records, and beside it `<path>-header`. The
+    dictionary is sorted by name.
 
     Template lengths and all tags are carried over, mapping qualities and mates are not.
     """
@@ -74,7 +76,12 @@ def write_sam(alignments: DataFrame, header: DataFrame, path: str) -> None:
     score = F.when(F.col("as_score").isNotNull(), F.concat(F.lit("AS:i:"), F.col("as_score").cast("string")))
     columns = [F.col("read_id").cast("string"), F.col("flag").cast("string"), F.col("ref_name"), (F.col("pos") + 1).cast("string"), F.lit("255"), F.col("cigar"), F.lit("*"), F.lit("0"), have("tlen", F.lit("0")), have("seq", F.lit("*")), have("qual", F.lit("*"))]
     tags = have("tags", score)
-    alignments.select(F.concat_ws("\t", *columns, F.when(tags != "", tags)).alias("value")).write.mode("overwrite").text(path)
+    records = alignments.select(F.concat_ws("\t", *columns, F.when(tags != "", tags)).alias("value"))
     lines = header.orderBy("ref_name").select(F.concat_ws("\t", F.lit("@SQ"), F.concat(F.lit("SN:"), "ref_name"), F.concat(F.lit("LN:"), F.col("length").cast("string"))).alias("value"))
     first = header.sparkSession.createDataFrame([("@HD\tVN:1.0\tSO:unsorted",)], "value string")
-    first.unionByName(lines).coalesce(1).write.mode("overwrite").text(f"{path}-header")
+    heading = first.unionByName(lines)
+    if path.endswith(".sam"):
+        write_one_file(heading.unionByName(records), path)
+    else:
+        records.write.mode("overwrite").text(path)
+        heading.coalesce(1).write.mode("overwrite").text(f"{path}-header")

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -81,17 +81,34 @@ def read_coverage(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path).withColumn("sample_id", F.col("sample_id").cast("string"))
 
 
-def write_wide(wide: DataFrame, path: str, label: str, fill: str = "") -> None:
-    """One CSV file at `path` (`.csv` appended if missing), rows in the DataFrame's order, headed
-    `label:genome_id/sample_id`. It is written beside its place and then moved there, so that readers never meet a part of it."""
-    path = path if path.endswith(".csv") else path + ".csv"
-    named = wide.withColumnRenamed("genome_id", f"{label}:genome_id/sample_id")
+def write_one_file(lines: DataFrame, path: str) -> None:
+    """One text file at `path` of a single column of lines, in the order of the DataFrame's partitions. All tasks write
+    parts, which are then put one after the other in blocks of a buffer. The file is made beside its place and then moved
+    there, so that readers never meet a part of it."""
     folder = f"{path}.parts"
-    named.coalesce(1).write.mode("overwrite").option("header", True).option("nullValue", fill).option("emptyValue", fill).csv(folder)
-    spark = wide.sparkSession
-    place = spark._jvm.org.apache.hadoop.fs.Path
-    fs = place(path).getFileSystem(spark._jsc.hadoopConfiguration())
-    part = next(f.getPath() for f in fs.listStatus(place(folder)) if f.getPath().getName().startswith("part-"))
+    lines.write.mode("overwrite").text(folder)
+    jvm, conf = lines.sparkSession._jvm, lines.sparkSession._jsc.hadoopConfiguration()
+    place = jvm.org.apache.hadoop.fs.Path
+    fs = place(path).getFileSystem(conf)
+    parts = sorted(f.getPath().toString() for f in fs.listStatus(place(folder)) if f.getPath().getName().startswith("part-"))
+    whole = place(f"{folder}/whole")
+    out = fs.create(whole, True)
+    try:
+        for part in parts:
+            source = fs.open(place(part))
+            try:
+                jvm.org.apache.hadoop.io.IOUtils.copyBytes(source, out, 1 << 20, False)
+            finally:
+                source.close()
+    finally:
+        out.close()
     fs.delete(place(path), True)
-    fs.rename(part, place(path))
+    fs.rename(whole, place(path))
     fs.delete(place(folder), True)
+
+
+def write_wide(lines: DataFrame, path: str, *order: Column) -> None:
+    """One CSV file at `path` (`.csv` appended if missing) of the lines of `products.wide_lines`: the heading, then genomes
+    by `order` and their ids."""
+    sorted_lines = lines.orderBy(F.col("genome_id").isNotNull(), *order, "genome_id").select("line")
+    write_one_file(sorted_lines, path if path.endswith(".csv") else path + ".csv")

@@ -52,6 +52,17 @@ def test_merge(spark, folder):
     assert [r.ref_name for r in sam.read_sam_header(spark, str(folder / "merged-header"), "*").collect()] == ["ref1|seq1", "ref1|seq2", "ref2|seq1"]
 
 
+def test_merge_to_one_sam_file(spark, folder):
+    out = folder / "one/merged.sam"
+    cli.run_merge(spark, [str(folder / "in/bam1.sam"), str(folder / "in/bam2.sam")], str(out))
+    lines = out.read_text().splitlines()
+    assert out.is_file() and not (folder / "one/merged.sam.parts").exists()
+    assert [x.split("\t")[0] for x in lines[:4]] == ["@HD", "@SQ", "@SQ", "@SQ"]
+    rows = sam.read_sam(spark, str(out), "*").collect()
+    assert {(r.read_id, r.ref_name) for r in rows} == {("read1", "ref2|seq1"), ("read2", "ref1|seq1"), ("read3", "ref2|seq1"), ("read4", "ref1|seq2")}
+    assert [r.ref_name for r in sam.read_sam_header(spark, str(out), "*").collect()] == ["ref1|seq1", "ref1|seq2", "ref2|seq1"]
+
+
 def test_merge_headers_last_wins(spark):
     a = spark.createDataFrame([("x", 5), ("y", 7)], "ref_name string, length long")
     b = spark.createDataFrame([("x", 6)], "ref_name string, length long")
